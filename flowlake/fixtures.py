@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import spread
+
 _K = "event_id % 36"
 _ICMP_SPLIT = "user_id % 50"
 _PROTOCOL = (f"CASE WHEN {_K} = 1 THEN 'TCP' WHEN {_ICMP_SPLIT} < 36 THEN 'TCP' "
@@ -155,7 +157,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixture flows of one scale factor, already in canonical form."""
-    return events(spark, sf_dir).selectExpr(
+    return spread(events(spark, sf_dir)).selectExpr(
         *[f"{expression} AS `{name}`" for name, expression in FLOW_EXPRESSIONS.items()])
 
 

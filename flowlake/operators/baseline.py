@@ -14,7 +14,7 @@ from .features import (FEATURE_PREFIX, add_context_key, add_features, add_servic
                        scaled_feature)
 from .params import GroupParams, small_or_written
 from .scoring import (anomaly_score, centred_columns, class_cuts, decision_thresholds, distance_score,
-                      explanation, joined_components, literal_components, rarity_score,
+                      explanation, joined_directions, literal_directions, rarity_score,
                       reconstruction_error, risk_band, traffic_class)
 from .subspace import leading_directions, merged_factors
 
@@ -29,7 +29,7 @@ def context_totals(features: DataFrame, get, by: str | None = None) -> DataFrame
     """Row count and feature sums per context key: one pass feeds both the
     context frequencies and the mean vector."""
     keys = [by] if by else []
-    sums = [F.sum(scaled_feature(n, get)).alias(f"sum_{n}") for n in FEATURE_COLUMNS]
+    sums = [F.expr(f"sum({scaled_feature(n, get)})").alias(f"sum_{n}") for n in FEATURE_COLUMNS]
     return features.groupBy(*keys, "context_key").agg(F.count("*").alias("rows"), *sums)
 
 
@@ -53,18 +53,18 @@ class FlowBaselineModel:
         """Parameters and directions: literals for one model, one join for many."""
         if self.by is None:
             joined, get = self.params.attach(df)
-            return joined, get, literal_components(self.components.get(None, np.zeros((0, 0))))
+            return joined, get, literal_directions(self.components.get(None, np.zeros((0, 0))))
         wide = {g: dict(values) for g, values in self.params.rows.items()}
         for g, directions in self.components.items():
             for k in range(self.rank):
                 for i in range(len(FEATURE_COLUMNS)):
                     wide[g][f"v{k}_{i}"] = float(directions[k][i]) if k < len(directions) else 0.0
         joined, get = GroupParams(self.by, wide).attach(df)
-        return joined, get, joined_components(get, self.rank)
+        return joined, get, joined_directions(get, self.rank)
 
     def add_scores(self, features: DataFrame) -> DataFrame:
         """Add distance, reconstruction, rarity and anomaly_score to a feature table."""
-        joined, get, component = self._attach(features)
+        joined, get, directions = self._attach(features)
         contexts = self.context_frequency
         names = {c: f"_x_{c}" for c in contexts.columns}
         contexts = contexts.withColumnsRenamed(names)
@@ -76,7 +76,7 @@ class FlowBaselineModel:
         centred = joined.withColumns(centred_columns(get)).join(contexts, on, "left")
         scored = centred.withColumns({
             "distance": distance_score(),
-            "reconstruction": reconstruction_error(component),
+            "reconstruction": reconstruction_error(directions),
             "rarity": rarity_score(F.col("_x_frequency")),
         }).withColumn("anomaly_score", anomaly_score())
         drop = [f"c_{i}" for i in range(len(FEATURE_COLUMNS))] + list(names.values())
@@ -108,7 +108,7 @@ class FlowBaselineModel:
         cut = GroupParams(self.by, {g: {"threshold": t} for g, t in thresholds.items()})
         joined, get = cut.attach(scored)
         flagged = GroupParams.detach(joined.withColumn(
-            "is_anomaly", F.coalesce(F.col("anomaly_score") >= get("threshold"), F.lit(False))))
+            "is_anomaly", F.coalesce(F.col("anomaly_score") >= F.expr(get("threshold")), F.lit(False))))
         cuts = class_cuts(flagged.filter("is_anomaly"), self.by, rows)
 
         with_cuts, cut_of = cuts.attach(flagged)
@@ -217,7 +217,7 @@ class FlowBaseline:
         sizes = GroupParams(self.by, {g: {"n": float(n)} for g, n in group_rows.items()})
         framed, size_of = sizes.attach(totals)
         frequency = GroupParams.detach(framed.select(
-            *keys, "context_key", (F.col("rows") / size_of("n")).alias("frequency")))
+            *keys, "context_key", (F.col("rows") / F.expr(size_of("n"))).alias("frequency")))
 
         components, singular = self._subspace(features, params, size["last"] + 1, group_rows)
         model = FlowBaselineModel(self.contamination, self.rank, self.by, params, components,
@@ -234,7 +234,7 @@ class FlowBaseline:
             return ({g: np.zeros((0, width)) for g in group_rows},
                     {g: np.zeros(0) for g in group_rows})
         joined, get = params.attach(features)
-        centred = [scaled_feature(n, get) - get(f"mean_{n}") for n in FEATURE_COLUMNS]
+        centred = [F.expr(f"{scaled_feature(n, get)} - {get(f'mean_{n}')}") for n in FEATURE_COLUMNS]
         factors = merged_factors(joined, centred, self.by, tasks, len(group_rows))
         components, singular = {}, {}
         for g, n in group_rows.items():

@@ -107,11 +107,13 @@ def robust_params(features: DataFrame, by: str | None = None, rows: int | None =
     medians = exact_quantiles(features, {n: (feature(n), [0.5]) for n in FEATURE_COLUMNS}, by, rows)
     params = GroupParams(by, {g: {f"med_{n}": v[0] for n, v in m.items()} for g, m in medians.items()})
     joined, get = params.attach(features)
-    spread = {n: (F.abs(feature(n) - get(f"med_{n}")), [0.5]) for n in FEATURE_COLUMNS}
+    spread = {n: (F.expr(f"abs({FEATURE_PREFIX}{n} - {get(f'med_{n}')})"), [0.5])
+              for n in FEATURE_COLUMNS}
     for g, mads in exact_quantiles(joined, spread, by, rows).items():
         params.rows[g].update({f"mad_{n}": (v[0] if v[0] else mad_floor) for n, v in mads.items()})
     return params
 
 
-def scaled_feature(name: str, get) -> Column:
-    return (feature(name) - get(f"med_{name}")) / get(f"mad_{name}")
+def scaled_feature(name: str, get) -> str:
+    """Robust z of one feature, as SQL text."""
+    return f"(({FEATURE_PREFIX}{name} - {get(f'med_{name}')}) / {get(f'mad_{name}')})"

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Parameter tables up to this many rows are broadcast; larger ones are left to
@@ -26,18 +27,31 @@ def small_or_written(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> t
     return cut_lineage(df, name), False
 
 
+def sql_number(value: float | None) -> str:
+    """A double as SQL text that parses back to the same bits."""
+    if value is None:
+        return "CAST(NULL AS DOUBLE)"
+    if math.isinf(value) or math.isnan(value):
+        return f"CAST('{value}' AS DOUBLE)"
+    return f"{float(value)!r}D"
+
+
 class GroupParams:
-    """Scalars per group: literals without a group column, a join with one."""
+    """Scalars per group: literals without a group column, a join with one.
+
+    The accessor returns SQL text, because the score formulas are long sums
+    that are far cheaper to parse once than to assemble call by call.
+    """
 
     def __init__(self, by: str | None, rows: dict[object, dict[str, float]]):
         self.by = by
         self.rows = rows
 
-    def attach(self, df: DataFrame) -> tuple[DataFrame, Callable[[str], Column]]:
+    def attach(self, df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
         """``df`` with the parameters at hand, and an accessor for each of them."""
         if self.by is None:
             values = self.rows.get(None, {})
-            return df, lambda name: F.lit(values.get(name)).cast("double")
+            return df, lambda name: sql_number(values.get(name))
         names = sorted({n for values in self.rows.values() for n in values})
         data = [(key, *[values.get(n) for n in names]) for key, values in self.rows.items()]
         key_type = df.schema[self.by].dataType.simpleString()
@@ -47,7 +61,7 @@ class GroupParams:
             table = F.broadcast(table)
         joined = df.join(table, df[self.by].eqNullSafe(table["_group"]), "left").drop("_group")
         known = set(names)
-        return joined, lambda name: F.col(f"`_p_{name}`") if name in known else F.lit(None).cast("double")
+        return joined, lambda name: f"`_p_{name}`" if name in known else sql_number(None)
 
     @staticmethod
     def detach(df: DataFrame) -> DataFrame:

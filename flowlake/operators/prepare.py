@@ -243,7 +243,8 @@ def prepare_flows(df: DataFrame, units: UnitPlan | None = None, *, volume: str =
     return normalize_text(coerce_numbers(filled), null_label, label_fallback)
 
 
-def rejected_ports(df: DataFrame, by: list[Column] | None = None) -> DataFrame:
+def rejected_ports(df: DataFrame, by: list[Column] | None = None,
+                   also: list[Column] | None = None) -> DataFrame:
     """Rows per group whose ports are given but are no finite numbers."""
     named = standardize_columns(df)
     bad = F.lit(False)
@@ -253,4 +254,4 @@ def rejected_ports(df: DataFrame, by: list[Column] | None = None) -> DataFrame:
             finite = F.coalesce(F.abs(value) != F.lit(float("inf")), F.lit(False))
             bad = bad | (_quoted(name).isNotNull() & ~finite)
     return named.groupBy(*(by or [])).agg(
-        F.count("*").alias("n_rows"), F.count_if(bad).alias("bad_rows"))
+        F.count("*").alias("n_rows"), F.count_if(bad).alias("bad_rows"), *(also or []))

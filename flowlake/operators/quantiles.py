@@ -140,11 +140,13 @@ def order_statistics(df: DataFrame, columns: dict[str, Column],
         joined, get = params.attach(data)
         pieces: list[Column] = []
         for n in active:
-            c, low, high = F.col(n), get(f"lo_{n}"), get(f"hi_{n}")
-            within = (c > low) & (c < high)
-            pieces += [F.count_if(c < low).alias(f"a_{n}"), F.count_if(c <= low).alias(f"b_{n}"),
-                       F.count_if(c < high).alias(f"c_{n}"), F.count_if(c <= high).alias(f"d_{n}"),
-                       F.collect_list(F.when(within & (get(f"gather_{n}") == 1.0), c)).alias(f"v_{n}")]
+            low, high = get(f"lo_{n}"), get(f"hi_{n}")
+            within = f"`{n}` > {low} AND `{n}` < {high}"
+            gathered = f"CASE WHEN {within} AND {get(f'gather_{n}')} = 1 THEN `{n}` END"
+            pieces += [F.expr(e).alias(f"{x}_{n}") for x, e in {
+                "a": f"count_if(`{n}` < {low})", "b": f"count_if(`{n}` <= {low})",
+                "c": f"count_if(`{n}` < {high})", "d": f"count_if(`{n}` <= {high})",
+                "v": f"collect_list({gathered})"}.items()]
         counted = joined.groupBy(*_keys(by)).agg(*pieces)
         # Pick the wanted ranks out of the gathered values before they leave Spark.
         picks = GroupParams(by, {})
@@ -153,20 +155,19 @@ def order_statistics(df: DataFrame, columns: dict[str, Column],
             picks.rows.setdefault(g, {}).update(
                 {f"r{i}_{n}": float(r) for i, r in enumerate(s.open_ranks)})
         picked, rank_of = picks.attach(counted)
-        out = [F.col(f"{x}_{n}") for n in active for x in "abcd"]
+        out = [F.col(f"`{x}_{n}`") for n in active for x in "abcd"]
         for n in active:
-            ordered = F.sort_array(f"v_{n}")
             for i in wanted_ranks:
-                index = (rank_of(f"r{i}_{n}") - F.col(f"b_{n}")).cast("int")
-                value = F.when((index >= 0) & (index < F.size(ordered)), F.get(ordered, index))
-                out.append(value.alias(f"x{i}_{n}"))
+                index = f"CAST({rank_of(f'r{i}_{n}')} - `b_{n}` AS INT)"
+                out.append(F.expr(f"CASE WHEN {index} BETWEEN 0 AND size(`v_{n}`) - 1 "
+                                  f"THEN get(sort_array(`v_{n}`), {index}) END").alias(f"x{i}_{n}"))
         rows = {row[by] if by else None: row for row in picked.select(*_keys(by), *out).collect()}
 
         narrowed = [(g, n, s) for g, n, s in todo if not s.gather]
         grids: dict = {}
         if narrowed:
-            sketched = {n: F.when((F.col(n) > get(f"lo_{n}")) & (F.col(n) < get(f"hi_{n}")), F.col(n))
-                        for n in sorted({n for _, n, _ in narrowed})}
+            sketched = {n: F.expr(f"CASE WHEN `{n}` > {get(f'lo_{n}')} AND `{n}` < {get(f'hi_{n}')} "
+                                  f"THEN `{n}` END") for n in sorted({n for _, n, _ in narrowed})}
             grids = _sketch_grids(joined, sketched, by)
         for g, n, s in todo:
             row = rows[g]

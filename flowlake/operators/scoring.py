@@ -8,13 +8,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip, fixed_text
+from ..functions.numeric import fixed_text
 from ..functions.text import is_known_normal
-from ..functions.vectors import add_up
 from ..schema import (CLIP, FEATURE_COLUMNS, FEATURE_WORDING, RISK_BANDS, UNSEEN_FREQUENCY,
                       WEIGHT_DISTANCE, WEIGHT_RARITY, WEIGHT_RECONSTRUCTION)
-from .features import feature, scaled_feature
-from .params import GroupParams
+from .features import FEATURE_PREFIX, feature, scaled_feature
+from .params import GroupParams, sql_number
 from .quantiles import exact_quantiles
 
 _WIDTH = len(FEATURE_COLUMNS)
@@ -22,47 +21,38 @@ _WIDTH = len(FEATURE_COLUMNS)
 
 def centred_columns(get) -> dict[str, Column]:
     """``c_<i>``: scaled, centred and clipped features."""
-    return {f"c_{i}": clip(scaled_feature(n, get) - get(f"mean_{n}"), -CLIP, CLIP)
-            for i, n in enumerate(FEATURE_COLUMNS)}
+    return {f"c_{i}": F.expr(f"least(greatest({scaled_feature(n, get)} - {get(f'mean_{n}')}, "
+                             f"{-CLIP}D), {CLIP}D)") for i, n in enumerate(FEATURE_COLUMNS)}
 
 
-def _centred() -> list[Column]:
-    return [F.col(f"c_{i}") for i in range(_WIDTH)]
+_SQUARED_LENGTH = "(" + " + ".join(f"c_{i} * c_{i}" for i in range(_WIDTH)) + ")"
 
 
 def distance_score() -> Column:
     """Root mean square of the centred features."""
-    return F.sqrt(add_up([c * c for c in _centred()]) / _WIDTH)
+    return F.expr(f"sqrt({_SQUARED_LENGTH} / {_WIDTH})")
 
 
-def reconstruction_error(component) -> Column:
+def reconstruction_error(directions: list[list[str]]) -> Column:
     """Root mean square left after projecting on the subspace.
 
-    ``component(k)`` is the list of entries of direction ``k``, or None past
-    the last one. The directions are orthonormal, so the residual is what the
-    projections leave of the squared length.
+    ``directions`` holds the entries of each direction as SQL text. They are
+    orthonormal, so the residual is what the projections leave of the squared
+    length.
     """
-    centred = _centred()
-    residual = add_up([c * c for c in centred])
-    for k in range(_WIDTH):
-        direction = component(k)
-        if direction is None:
-            break
-        projection = add_up([c * v for c, v in zip(centred, direction)])
-        residual = residual - projection * projection
-    return F.sqrt(F.greatest(residual, F.lit(0.0)) / _WIDTH)
+    residual = _SQUARED_LENGTH
+    for direction in directions:
+        projection = " + ".join(f"c_{i} * {v}" for i, v in enumerate(direction))
+        residual += f" - power({projection}, 2)"
+    return F.expr(f"sqrt(greatest({residual}, 0D) / {_WIDTH})")
 
 
-def literal_components(components: np.ndarray):
-    def component(k: int):
-        return [F.lit(float(x)) for x in components[k]] if k < len(components) else None
-    return component
+def literal_directions(components: np.ndarray) -> list[list[str]]:
+    return [[sql_number(x) for x in direction] for direction in components]
 
 
-def joined_components(get, rank: int):
-    def component(k: int):
-        return [get(f"v{k}_{i}") for i in range(_WIDTH)] if k < rank else None
-    return component
+def joined_directions(get, rank: int) -> list[list[str]]:
+    return [[get(f"v{k}_{i}") for i in range(_WIDTH)] for k in range(rank)]
 
 
 def rarity_score(frequency: Column) -> Column:
@@ -93,7 +83,7 @@ def decision_thresholds(scored: DataFrame, contamination: float, by: str | None
     if labelled and any(q["normal"][0] is not None for q in first.values()):
         medians = GroupParams(by, {g: {"m": q["normal"][0]} for g, q in first.items()})
         joined, get = medians.attach(scored)
-        spread = F.abs(F.when(is_known_normal(F.col("label")), score) - get("m"))
+        spread = F.abs(F.when(is_known_normal(F.col("label")), score) - F.expr(get("m")))
         second = exact_quantiles(joined, {"mad": (spread, [0.5])}, by, rows)
         for g, q in first.items():
             median, high = q["normal"]
@@ -114,13 +104,13 @@ def risk_band(score: Column) -> Column:
 
 def top_features(get, count: int = 3) -> Column:
     """The features furthest from their median, ties in vector order."""
-    entries = [F.struct((-F.abs(scaled_feature(n, get))).alias("rank"), F.lit(i).alias("i"),
-                        feature(n).alias("value")) for i, n in enumerate(FEATURE_COLUMNS)]
-    return F.slice(F.sort_array(F.array(*entries)), 1, count)
+    entries = ", ".join(f"struct(-abs({scaled_feature(n, get)}) AS rank, {i} AS i, "
+                        f"{FEATURE_PREFIX}{n} AS value)" for i, n in enumerate(FEATURE_COLUMNS))
+    return F.expr(f"slice(sort_array(array({entries})), 1, {count})")
 
 
 def explanation(get, count: int = 3) -> Column:
-    wording = F.array(*[F.lit(FEATURE_WORDING.get(n, n)) for n in FEATURE_COLUMNS])
+    wording = F.lit([FEATURE_WORDING.get(n, n) for n in FEATURE_COLUMNS])
     parts = F.transform(top_features(get, count), lambda e: F.concat(
         F.get(wording, e["i"]), F.lit("="), fixed_text(e["value"])))
     context = F.concat(F.lit("context="), F.col("protocol"), F.lit("/"), F.col("direction"),
@@ -144,14 +134,15 @@ def traffic_class(flagged: Column, get) -> Column:
     syn, failed = feature("tcp_syn_ratio"), F.col("failed_connections")
     gap, jitter = feature("log_inter_arrival_mean_ms"), feature("log_inter_arrival_std_ms")
     variation = F.when(gap > 0.1, jitter / (gap + 1e-6)).otherwise(1.0)
-    fast, wide = pps >= get("pps_high"), bps >= get("bps_high")
+    pps_high, bps_high, bpp_low = (F.expr(get(n)) for n in ("pps_high", "bps_high", "bpp_low"))
+    fast, wide = pps >= pps_high, bps >= bps_high
     return (
         F.when(~F.coalesce(flagged, F.lit(False)), "BENIGN")
-        .when((variation < 0.35) & (pps < get("pps_high")), "Botnet")
+        .when((variation < 0.35) & (pps < pps_high), "Botnet")
         .when(wide & (feature("is_uncommon_port") == 1), "Infiltration")
         .when(feature("is_web_service") == 1, "Web Attack")
         .when((feature("is_admin_service") == 1) & (failed >= 1), "Brute Force")
-        .when((syn >= 0.55) & (feature("bytes_per_packet") <= get("bpp_low")) & (failed >= 1),
+        .when((syn >= 0.55) & (feature("bytes_per_packet") <= bpp_low) & (failed >= 1),
               "Port Scan")
         .when((fast & (syn >= 0.35) & (feature("is_tcp") == 1)) | (wide & fast), "DoS/DDoS")
         .otherwise("Unknown Anomaly"))
