@@ -1,0 +1,295 @@
+"""Flow encoder: 12 scaled inputs to a unit vector of 64, trained on Spark.
+
+The network is small (about 0.15 million weights) and lives in NumPy inside
+the tasks. Training is synchronous data-parallel descent: a step is one Spark
+job in which every task computes the mean batch-hard triplet gradient of its
+mini-batches, the gradients are added up in a tree, and the driver applies
+one update. The data never leave the executors.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..schema import ENCODER_COLUMNS
+from .features import encoder_scaling, scaled_encoder_expressions
+from .resample import balanced_resample, label_index
+from .triplet import MARGIN, hardest_triplets
+
+Weights = dict[str, np.ndarray]
+_MERGE_FANOUT = 32
+
+# Layer widths: inputs, three hidden blocks, embedding.
+_WIDTHS = (len(ENCODER_COLUMNS), 256, 256, 128, 64)
+_DROPOUT = 0.15
+
+
+def init_weights(seed: int = 42) -> Weights:
+    """He-normal matrices, zero biases, unit norm gains."""
+    rng = np.random.default_rng(seed)
+
+    def matrix(rows: int, columns: int) -> np.ndarray:
+        return rng.normal(0.0, math.sqrt(2.0 / rows), (rows, columns)).astype(np.float32)
+
+    weights: Weights = {}
+    for i in (1, 2, 3):
+        weights[f"w{i}"] = matrix(_WIDTHS[i - 1], _WIDTHS[i])
+        weights[f"b{i}"] = np.zeros(_WIDTHS[i], np.float32)
+        weights[f"gain{i}"] = np.ones(_WIDTHS[i], np.float32)
+        weights[f"shift{i}"] = np.zeros(_WIDTHS[i], np.float32)
+    weights["w4"], weights["b4"] = matrix(_WIDTHS[3], _WIDTHS[4]), np.zeros(_WIDTHS[4], np.float32)
+    weights["skip1"] = matrix(_WIDTHS[0], _WIDTHS[1])
+    weights["skip3"] = matrix(_WIDTHS[2], _WIDTHS[3])
+    return weights
+
+
+def _normal_cdf(x: np.ndarray) -> np.ndarray:
+    """Abramowitz and Stegun 7.1.26, absolute error below 1.5e-7."""
+    z = np.abs(x) / math.sqrt(2.0)
+    t = 1.0 / (1.0 + 0.3275911 * z)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return 0.5 * (1.0 + np.sign(x) * (1.0 - poly * np.exp(-z * z)))
+
+
+def _forward(x: np.ndarray, w: Weights, rng: np.random.Generator | None = None):
+    """Unit embeddings, and what the backward pass needs."""
+    trace = {"h0": x}
+    h = x
+    for i in (1, 2, 3):
+        z = h @ w[f"w{i}"] + w[f"b{i}"]
+        centred = z - z.mean(axis=1, keepdims=True)
+        scale = 1.0 / np.sqrt((centred ** 2).mean(axis=1, keepdims=True) + 1e-5)
+        unit = centred * scale
+        n = unit * w[f"gain{i}"] + w[f"shift{i}"]
+        cdf = _normal_cdf(n)
+        a = n * cdf
+        keep = None
+        if rng is not None and i < 3:
+            keep = (rng.random(a.shape) >= _DROPOUT) / (1.0 - _DROPOUT)
+            a = a * keep
+        skip = h if i == 2 else h @ w[f"skip{i}"]
+        trace[i] = (h, unit, scale, n, cdf, keep)
+        h = a + skip
+    out = h @ w["w4"] + w["b4"]
+    length = np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    trace["head"] = (h, length)
+    return out / length, trace
+
+
+def _backward(grad: np.ndarray, embedding: np.ndarray, trace: dict, w: Weights) -> Weights:
+    """Weight gradients for the gradient ``grad`` of the unit embeddings."""
+    h, length = trace["head"]
+    out = (grad - embedding * (embedding * grad).sum(axis=1, keepdims=True)) / length
+    g: Weights = {"w4": h.T @ out, "b4": out.sum(axis=0)}
+    flow = out @ w["w4"].T
+    for i in (3, 2, 1):
+        h, unit, scale, n, cdf, keep = trace[i]
+        a = flow if keep is None else flow * keep
+        density = np.exp(-0.5 * n * n) / math.sqrt(2.0 * math.pi)
+        dn = a * (cdf + n * density)
+        g[f"gain{i}"], g[f"shift{i}"] = (dn * unit).sum(axis=0), dn.sum(axis=0)
+        du = dn * w[f"gain{i}"]
+        dz = scale * (du - du.mean(axis=1, keepdims=True) - unit * (du * unit).mean(axis=1, keepdims=True))
+        g[f"w{i}"], g[f"b{i}"] = h.T @ dz, dz.sum(axis=0)
+        if i == 2:
+            flow = dz @ w["w2"].T + flow
+        else:
+            g[f"skip{i}"] = h.T @ flow
+            flow = dz @ w[f"w{i}"].T + flow @ w[f"skip{i}"].T
+    return g
+
+
+def batch_gradient(x: np.ndarray, labels: np.ndarray, w: Weights, margin: float = MARGIN,
+                   rng: np.random.Generator | None = None) -> tuple[float, Weights]:
+    """Mean batch-hard triplet loss of one mini-batch and its gradient."""
+    embedding, trace = _forward(x, w, rng)
+    anchors, positive, negative, similarity = hardest_triplets(embedding, labels)
+    grad = np.zeros_like(embedding)
+    loss = 0.0
+    if len(anchors):
+        gap = similarity[anchors, negative] - similarity[anchors, positive] + margin
+        loss = float(np.maximum(gap, 0.0).mean())
+        active = gap > 0
+        i, p, q = anchors[active], positive[active], negative[active]
+        share = 1.0 / len(anchors)
+        np.add.at(grad, i, share * (embedding[q] - embedding[p]))
+        np.add.at(grad, q, share * embedding[i])
+        np.add.at(grad, p, -share * embedding[i])
+    return loss, _backward(grad, embedding, trace, w)
+
+
+def _flatten(w: Weights) -> np.ndarray:
+    return np.concatenate([w[name].ravel() for name in sorted(w)])
+
+
+def _unflatten(flat: np.ndarray, like: Weights) -> Weights:
+    result, start = {}, 0
+    for name in sorted(like):
+        size = like[name].size
+        result[name] = flat[start:start + size].reshape(like[name].shape)
+        start += size
+    return result
+
+
+class _AdamW:
+    """Decoupled weight decay Adam with gradient clipping and a one-cycle rate."""
+
+    def __init__(self, size: int, steps: int, peak: float = 2e-3, decay: float = 1e-4):
+        self.m, self.v = np.zeros(size), np.zeros(size)
+        self.t, self.steps, self.peak, self.decay = 0, steps, peak, decay
+
+    def rate(self) -> float:
+        warm = max(1.0, 0.2 * self.steps - 1)
+        low, final = self.peak / 25.0, self.peak / 25.0 / 1e4
+        if self.t <= warm:
+            a, b, share = low, self.peak, self.t / warm
+        else:
+            a, b, share = self.peak, final, min(1.0, (self.t - warm) / max(1.0, self.steps - 1 - warm))
+        return b + (a - b) * 0.5 * (1.0 + math.cos(math.pi * share))
+
+    def step(self, weights: np.ndarray, grad: np.ndarray) -> np.ndarray:
+        grad = grad * min(1.0, 1.0 / (np.linalg.norm(grad) + 1e-6))
+        rate = self.rate()
+        self.t += 1
+        self.m = 0.9 * self.m + 0.1 * grad
+        self.v = 0.999 * self.v + 0.001 * grad * grad
+        update = (self.m / (1 - 0.9 ** self.t)) / (np.sqrt(self.v / (1 - 0.999 ** self.t)) + 1e-8)
+        return weights * (1.0 - rate * self.decay) - rate * update
+
+
+def _step_gradient(data: DataFrame, flat: np.ndarray, like: Weights, batch_size: int, seed: int):
+    """Mean loss and gradient over all mini-batches of ``data`` (one Spark job)."""
+    spark = data.sparkSession
+    shared = spark.sparkContext.broadcast(flat.astype(np.float32))
+    shapes = {name: np.empty(a.shape, np.float32) for name, a in like.items()}
+
+    def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = _unflatten(shared.value, shapes)
+        total, loss_sum, n, task = None, 0.0, 0, 0
+        for batch in batches:
+            if batch.num_rows < 2:
+                continue
+            task = batch.column(0)[0].as_py()
+            rng = np.random.default_rng([seed, task, n])
+            labels = batch.column(1).to_numpy()
+            x = np.column_stack([batch.column(i + 2).to_numpy() for i in range(_WIDTHS[0])]).astype(np.float32)
+            order = rng.permutation(len(x))
+            for start in range(0, len(x), batch_size):
+                rows = order[start:start + batch_size]
+                loss, g = batch_gradient(x[rows], labels[rows], w, rng=rng)
+                flat_g = _flatten(g).astype(np.float64)
+                total = flat_g if total is None else total + flat_g
+                loss_sum, n = loss_sum + loss, n + 1
+        if total is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([task], pa.int64()), pa.array([n], pa.int64()), pa.array([loss_sum], pa.float64()),
+                 pa.array([total], pa.list_(pa.float64()))], names=["task", "n", "loss", "g"])
+
+    def add(table: pa.Table) -> pa.Table:
+        g = np.sum([np.asarray(v) for v in table.column("g").to_pylist()], axis=0)
+        return pa.table({"task": table.column("task")[:1].cast(pa.int64()),
+                         "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()),
+                         "loss": pa.array([math.fsum(table.column("loss").to_pylist())], pa.float64()),
+                         "g": pa.array([g], pa.list_(pa.float64()))})
+
+    schema = "task long, n long, loss double, g array<double>"
+    columns = [F.spark_partition_id().cast("long").alias("task"), F.col("label_index").cast("long"),
+               *[F.col(c).cast("double") for c in ENCODER_COLUMNS]]
+    partial = data.select(*columns).mapInArrow(gradients, schema)
+    if data.rdd.getNumPartitions() > _MERGE_FANOUT:
+        partial = partial.groupBy(F.col("task") % _MERGE_FANOUT).applyInArrow(add, schema)
+    table = partial.toArrow()
+    shared.unpersist()
+    if table.num_rows == 0:
+        return 0.0, np.zeros(flat.shape)
+    n = sum(table.column("n").to_pylist())
+    total = table.column("g").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).sum(axis=0)
+    return math.fsum(table.column("loss").to_pylist()) / n, total / n
+
+
+@dataclass
+class FlowEncoderModel:
+    weights: Weights
+    scaling: dict[str, tuple[float, float]]
+    losses: list[float] = field(default_factory=list)
+
+    def embed(self, flows: DataFrame, name: str = "embedding") -> DataFrame:
+        """Flows with their unit embedding."""
+        shared = flows.sparkSession.sparkContext.broadcast(self.weights)
+
+        @F.pandas_udf("array<float>")
+        def forward(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+            for part in parts:
+                embedding, _ = _forward(part.to_numpy(np.float32), shared.value)
+                yield pd.Series(list(embedding.astype(np.float32)))
+
+        inputs: dict[str, Column] = scaled_encoder_expressions(flows, self.scaling)
+        return flows.withColumn(name, forward(F.struct(*[inputs[c].alias(c) for c in ENCODER_COLUMNS])))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Weights, input scaling and losses as one table."""
+        rows = [(f"weight:{n}", list(map(int, a.shape)), [float(x) for x in a.ravel()])
+                for n, a in self.weights.items()]
+        rows += [(f"scaling:{n}", [2], [float(a), float(b)]) for n, (a, b) in self.scaling.items()]
+        rows.append(("losses", [len(self.losses)], [float(x) for x in self.losses]))
+        spark.createDataFrame(rows, "name string, shape array<int>, content array<double>").write.mode(
+            "overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "FlowEncoderModel":
+        weights, scaling, losses = {}, {}, []
+        for row in spark.read.parquet(path).collect():
+            kind, _, name = row["name"].partition(":")
+            if kind == "weight":
+                weights[name] = np.array(row["content"], np.float32).reshape(row["shape"])
+            elif kind == "scaling":
+                scaling[name] = (row["content"][0], row["content"][1])
+            else:
+                losses = list(row["content"])
+        return FlowEncoderModel(weights, scaling, losses)
+
+
+class FlowEncoder:
+    """Learns embeddings in which flows of a class lie close together."""
+
+    def __init__(self, epochs: int = 60, steps_per_epoch: int = 1, batch_size: int = 1024,
+                 rate: float = 2e-3, seed: int = 42, balanced: bool = True):
+        self.epochs, self.steps, self.batch_size = epochs, steps_per_epoch, batch_size
+        self.rate, self.seed, self.balanced = rate, seed, balanced
+
+    def fit(self, flows: DataFrame, label: str, key: str = "flow_id",
+            storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> FlowEncoderModel:
+        scaling = encoder_scaling(flows)
+        inputs = scaled_encoder_expressions(flows, scaling)
+        indexed = label_index(flows.select(key, label, *[inputs[c].alias(c) for c in ENCODER_COLUMNS]), label)
+        # Mix the classes over the tasks once; mini-batches are drawn task-locally.
+        data = indexed.repartition(F.xxhash64(F.col(key))).persist(storage_level)
+        weights = init_weights(self.seed)
+        flat = _flatten(weights).astype(np.float64)
+        optimizer = _AdamW(flat.size, self.epochs * self.steps, self.rate)
+        best, losses = (math.inf, flat), []
+        for epoch in range(self.epochs):
+            drawn = balanced_resample(data, label, key, seed=self.seed + epoch) if self.balanced else data
+            slot = F.pmod(F.xxhash64(F.col(key), F.lit(self.seed + epoch)), F.lit(self.steps))
+            epoch_losses = []
+            for step in range(self.steps):
+                part = drawn.filter(slot == step) if self.steps > 1 else drawn
+                loss, gradient = _step_gradient(part, flat, weights, self.batch_size,
+                                                self.seed + epoch * self.steps + step)
+                epoch_losses.append(loss)
+                flat = optimizer.step(flat, gradient)
+            losses.append(float(np.mean(epoch_losses)))
+            if losses[-1] < best[0]:
+                best = (losses[-1], flat)
+        data.unpersist()
+        final = _unflatten(best[1].astype(np.float32), weights)
+        return FlowEncoderModel(final, scaling, losses)

@@ -8,29 +8,30 @@ The rank-4 queries next to them are covered by NumPy tests.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import fixtures as fx
-from ..functions.hashing import hash_key
-from ..functions.numeric import clip, number_or_zero
+from ..functions.numeric import number_or_zero
 from ..functions.ports import port_band, service_name
 from ..functions.text import canonical_protocol, infer_direction, normal_label
 from ..operators import evaluate, features, knn, ranking, reports, resample, scoring, similarity, summary
 from ..operators.baseline import FlowBaseline, context_totals
+from ..operators.encoder import FlowEncoder
 from ..operators.params import GroupParams
 from ..operators.positions import assign_batches, time_order, with_position
-from ..operators.prepare import (UnitPlan, add_volumes, coerce_numbers, derive_missing, detect_units,
+from ..operators.prepare import (add_volumes, coerce_numbers, derive_missing, detect_units,
                                  fill_defaults, normalize_text, parse_timestamps, prepare_flows,
                                  scale_times, standardize_columns)
 from ..operators.triplet import triplet_loss
 from ..schema import ENCODER_COLUMNS, FEATURE_COLUMNS
-from ..session import scratch_path, shared_folder, spread
+from ..session import scratch_path, spread
 from ..sources import csv_flows, sinks
+from ..streaming.adaptive_stream import deduplicated, start_adaptive_stream
+from .adaptive import AdaptiveSettings, adaptive_per_source, adaptive_run
+from .embedding import embed_and_evaluate
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEEP = StorageLevel.MEMORY_AND_DISK
@@ -548,6 +549,54 @@ def batch_assign(spark, sf_dir):
     return assign_batches(fx.flows(spark, sf_dir), 700, "flow_id").select("flow_id", "position", "slice_id")
 
 
+# -- adaptive and streaming --------------------------------------------------------------------------
+
+def _adaptive(spark, sf_dir):
+    """A tenth of the table per batch, so the run has ten steps at any scale."""
+    flows = fx.flows(spark, sf_dir)
+    return adaptive_run(flows, AdaptiveSettings(batch_size=-(-flows.count() // 5)))
+
+
+@query
+def adaptive_scored(spark, sf_dir):
+    return rounded(_adaptive(spark, sf_dir).scored().select(
+        "flow_id", "batch_id", "slice_id", "learning_phase", "anomaly_score", "is_anomaly", "traffic_class"))
+
+
+@query
+def adaptive_summary(spark, sf_dir):
+    return rounded(_adaptive(spark, sf_dir).summary())
+
+
+@query
+def relearn_decisions(spark, sf_dir):
+    return rounded(_adaptive(spark, sf_dir).batch_summaries().orderBy("batch_id"))
+
+
+@query
+def adaptive_by_source(spark, sf_dir):
+    flows = fx.flows(spark, sf_dir)
+    _, summaries = adaptive_per_source(flows, AdaptiveSettings(batch_size=-(-flows.count() // 6)))
+    return rounded(summaries)
+
+
+@query
+def stream_adaptive(spark, sf_dir):
+    """The fixture as a stream of four files, scored as they arrive."""
+    root = scratch_path(spark, "stream")
+    flows = fx.flows(spark, sf_dir)
+    placed = assign_batches(flows, -(-flows.count() // 4), "flow_id").drop("position")
+    for i in range(4):
+        part = placed.filter(F.col("slice_id") == i).drop("slice_id")
+        part.coalesce(1).write.mode("append").parquet(f"{root}/input")
+    stream = spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/input")
+    job = start_adaptive_stream(deduplicated(stream), f"{root}/run", AdaptiveSettings())
+    job.awaitTermination()
+    scored = spark.read.parquet(f"{root}/run/scored")
+    return rounded(scored.select("flow_id", F.col("batch_id").cast("long").alias("batch_id"), "learning_phase",
+                                 "anomaly_score", "is_anomaly"))
+
+
 # -- embeddings ------------------------------------------------------------------------------------
 
 @query
@@ -645,6 +694,33 @@ def embedding_kpis(spark, sf_dir):
     return rounded(similarity.embedding_kpis(fx.embeddings(spark, sf_dir)))
 
 
+def _labelled(spark, sf_dir):
+    return scored_flows(spark, sf_dir, rank=4)[0]
+
+
+@query
+def encoder_fit_loss(spark, sf_dir):
+    """Mean triplet loss per epoch of a short training run."""
+    flows = resample.training_labels(_labelled(spark, sf_dir))
+    model = FlowEncoder(epochs=4, steps_per_epoch=2).fit(flows, "training_label")
+    return rounded(spark.createDataFrame(list(enumerate(model.losses)), "epoch int, loss double"), 4)
+
+
+@query
+def encode_flows(spark, sf_dir):
+    flows = resample.training_labels(_labelled(spark, sf_dir))
+    embedded = FlowEncoder(epochs=2).fit(flows, "training_label").embed(flows)
+    return embedded.select("flow_id", F.size("embedding").alias("size"),
+                           F.round(F.expr("aggregate(embedding, 0D, (s, x) -> s + x * x)"), 4).alias("squared_length"))
+
+
+@query
+def encoder_kpis(spark, sf_dir):
+    """Train, split, vote and measure in one job."""
+    result = embed_and_evaluate(_labelled(spark, sf_dir), FlowEncoder(epochs=6))
+    return rounded(result.kpis, 4)
+
+
 # -- reports -----------------------------------------------------------------------------------------
 
 @query

@@ -1,0 +1,48 @@
+"""From scored flows to embeddings, neighbour votes and quality figures."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.encoder import FlowEncoder, FlowEncoderModel
+from ..operators.evaluate import accuracy, classification_report, confusion_matrix
+from ..operators.knn import nearest_neighbours, predict
+from ..operators.resample import classes_with_at_least, stratified_split, training_labels
+from ..operators.similarity import embedding_kpis
+from ..session import cut_lineage
+
+
+@dataclass
+class EmbeddingResult:
+    model: FlowEncoderModel
+    embedded: DataFrame
+    report: DataFrame
+    kpis: DataFrame
+
+
+def embed_and_evaluate(scored: DataFrame, encoder: FlowEncoder, key: str = "flow_id", k: int = 7,
+                       test_fraction: float = 0.2, seed: int = 42,
+                       labelled_only: bool = True) -> EmbeddingResult:
+    """Train on a stratified split, vote on the test rows, measure the embedding space.
+
+    ``labelled_only`` exports the rows of the classes trained on; otherwise
+    all rows are embedded.
+    """
+    labelled = training_labels(scored)
+    usable = classes_with_at_least(labelled, "training_label", 2)
+    if usable.select("training_label").distinct().limit(2).count() < 2:
+        raise ValueError("training needs two classes of two rows")
+    split = stratified_split(usable, "training_label", key, test_fraction, seed)
+    model = encoder.fit(split.filter("NOT is_test"), "training_label", key)
+    embedded = cut_lineage(model.embed(split), "embedded")
+    test, train = embedded.filter("is_test"), embedded.filter("NOT is_test")
+    near = nearest_neighbours(test, train, k, key, "embedding", "training_label")
+    judged = predict(near).join(test.select(F.col(key).alias("id"), F.col("training_label").alias("truth")), "id")
+    judged = cut_lineage(judged, "judged")
+    report = classification_report(confusion_matrix(judged))
+    kpis = embedding_kpis(test, accuracy(judged), "training_label")
+    exported = embedded if labelled_only else model.embed(labelled)
+    return EmbeddingResult(model, exported, report, kpis)
