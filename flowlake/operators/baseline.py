@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import FEATURE_COLUMNS, SUBSPACE_RANK, ZERO_MAD
+from ..session import cut_lineage
 from .features import (FEATURE_PREFIX, add_context_key, add_features, add_service, robust_params,
                        scaled_feature)
 from .params import GroupParams, small_or_written
+from .quantiles import SMALL_ROWS
 from .scoring import (anomaly_score, centred_columns, class_cuts, decision_thresholds, distance_score,
                       explanation, joined_directions, literal_directions, rarity_score,
                       reconstruction_error, risk_band, traffic_class)
@@ -47,6 +49,8 @@ class FlowBaselineModel:
     contexts_small: bool
     thresholds: dict[object, float] = field(default_factory=dict)
     rows: int = 0
+    scoring_thresholds: dict[object, float] = field(default_factory=dict)
+    _held: list[DataFrame] = field(default_factory=list)
 
     # -- scoring ------------------------------------------------------------
     def _attach(self, df: DataFrame):
@@ -98,12 +102,13 @@ class FlowBaselineModel:
         scored = self.add_scores(prepared)
         if storage_level is not None:
             scored = scored.persist(storage_level)
+            self._held.append(scored)
         if rows is None:
             rows = flows.count()
         if use_fit_thresholds:
             thresholds = self.thresholds
         else:
-            thresholds = decision_thresholds(scored, self.contamination, self.by, self.thresholds, rows)
+            thresholds = self._thresholds(scored, rows, self.thresholds)
         self.scoring_thresholds = thresholds
         cut = GroupParams(self.by, {g: {"threshold": t} for g, t in thresholds.items()})
         joined, get = cut.attach(scored)
@@ -123,6 +128,19 @@ class FlowBaselineModel:
             return result
         return result.drop(*_WORK_COLUMNS, "context_key", "distance", "reconstruction", "rarity")
 
+    def _thresholds(self, scored: DataFrame, rows: int, baseline: dict | None = None) -> dict:
+        """Thresholds from a narrow score table: scores are computed once, not per scan."""
+        keep = ([self.by] if self.by else []) + (["label"] if "label" in scored.columns else [])
+        narrow = scored.select(*keep, "anomaly_score")
+        if rows > SMALL_ROWS and not scored.is_cached:
+            narrow = cut_lineage(narrow, "scores")
+        return decision_thresholds(narrow, self.contamination, self.by, baseline, rows)
+
+    def release(self) -> None:
+        """Let go of the rows kept between passes, once the results are written."""
+        while self._held:
+            self._held.pop().unpersist()
+
     # -- persistence ----------------------------------------------------------
     def params_table(self, spark: SparkSession) -> DataFrame:
         """One row per group: vectors, directions and threshold."""
@@ -222,8 +240,7 @@ class FlowBaseline:
         components, singular = self._subspace(features, params, size["last"] + 1, group_rows)
         model = FlowBaselineModel(self.contamination, self.rank, self.by, params, components,
                                   singular, frequency, small, rows=rows)
-        scored = model.add_scores(features)
-        model.thresholds = decision_thresholds(scored, self.contamination, self.by, rows=rows)
+        model.thresholds = model._thresholds(model.add_scores(features), rows)
         if storage_level is not None:
             features.unpersist()
         return model
@@ -248,5 +265,7 @@ class FlowBaseline:
         if storage_level is not None and _WORK_COLUMNS[0] not in flows.columns:
             flows = add_features(add_context_key(flows)).persist(storage_level)
         self.model = self.fit(flows, None)
+        if flows.is_cached:
+            self.model._held.append(flows)
         return self.model.transform(flows, use_fit_thresholds=True, rows=self.model.rows,
                                     storage_level=storage_level, **options)

@@ -85,31 +85,52 @@ def _keys(by: str | None) -> list[str]:
     return [] if by is None else [by]
 
 
-def _sketch_grids(df: DataFrame, columns: dict[str, Column], by: str | None) -> dict:
-    """Per group and column: number of values and their quantile grid."""
-    salted = df.select(*_keys(by), *[c.alias(n) for n, c in columns.items()],
-                       (F.spark_partition_id() % _MERGE_FANOUT).alias("_salt"))
+def _scan(df: DataFrame, by: str | None, counts: dict[str, str], sketches: dict[str, str],
+          gathers: dict[str, str]) -> DataFrame:
+    """Counts, sketches and gathered values of SQL expressions, in one scan.
+
+    Tasks are merged in two levels, so that no reducer receives the partial
+    sketches of all tasks of a large table at once.
+    """
+    salted = df.withColumn("_salt", F.spark_partition_id() % _MERGE_FANOUT)
+    size = F.lit(_SKETCH_SIZE)
     partial = salted.groupBy(*_keys(by), "_salt").agg(
-        *[F.kll_sketch_agg_double(n, F.lit(_SKETCH_SIZE)).alias(n) for n in columns])
-    merged = partial.groupBy(*_keys(by)).agg(
-        *[F.kll_merge_agg_double(n).alias(n) for n in columns])
-    grid = F.lit([i / _GRID for i in range(_GRID + 1)])
-    counted = merged.select(*_keys(by), *[
-        F.struct(
-            F.kll_sketch_get_n_double(n).alias("n"),
-            F.when(F.kll_sketch_get_n_double(n) > 0, F.kll_sketch_get_quantile_double(n, grid)).alias("grid"),
-        ).alias(n) for n in columns])
-    return {row[by] if by else None: {n: (row[n]["n"] or 0, row[n]["grid"]) for n in columns}
-            for row in counted.collect()}
+        F.count("*").alias("_rows"),
+        *[F.expr(f"count_if({e})").alias(n) for n, e in counts.items()],
+        *[F.kll_sketch_agg_double(F.expr(e), size).alias(n) for n, e in sketches.items()],
+        *[F.expr(f"collect_list({e})").alias(n) for n, e in gathers.items()])
+    return partial.groupBy(*_keys(by)).agg(
+        F.sum("_rows").alias("_rows"),
+        *[F.sum(f"`{n}`").alias(n) for n in counts],
+        *[F.kll_merge_agg_double(f"`{n}`").alias(n) for n in sketches],
+        *[F.flatten(F.collect_list(f"`{n}`")).alias(n) for n in gathers])
+
+
+def _grid(sketch: str) -> Column:
+    """Number of values in a sketch and their quantile grid."""
+    n = F.kll_sketch_get_n_double(f"`{sketch}`")
+    steps = F.lit([i / _GRID for i in range(_GRID + 1)])
+    return F.struct(n.alias("n"), F.when(n > 0, F.kll_sketch_get_quantile_double(
+        f"`{sketch}`", steps)).alias("grid")).alias(sketch)
+
+
+def _first_grids(data: DataFrame, names: list[str], by: str | None) -> dict:
+    """Per group and column: number of values and their quantile grid."""
+    merged = _scan(data, by, {}, {f"s_{n}": f"`{n}`" for n in names}, {})
+    rows = merged.select(*_keys(by), *[_grid(f"s_{n}") for n in names]).collect()
+    return {row[by] if by else None:
+            {n: (row[f"s_{n}"]["n"] or 0, row[f"s_{n}"]["grid"]) for n in names} for row in rows}
 
 
 def order_statistics(df: DataFrame, columns: dict[str, Column],
                      ranks: dict[object, dict[str, list[int]]],
                      totals: dict[object, dict[str, int]],
-                     by: str | None = None, small: int = SMALL_ROWS) -> dict:
+                     by: str | None = None, small: int = SMALL_ROWS,
+                     grids: dict | None = None) -> dict:
     """Exact values at the given 0-based ranks, per group and column.
 
-    ``totals`` holds the number of non-null values. Returns
+    The ranks of one column must be neighbours. ``totals`` holds the number
+    of non-null values, ``grids`` quantile grids if already known. Returns
     ``{group: {column: {rank: value}}}``.
     """
     names = list(columns)
@@ -120,10 +141,10 @@ def order_statistics(df: DataFrame, columns: dict[str, Column],
     def open_searches():
         return [(g, n, s) for g, group in searches.items() for n, s in group.items() if s.open_ranks]
 
-    if any(s.inside > small for _, _, s in open_searches()):
-        for g, grids in _sketch_grids(data, {n: F.col(n) for n in names}, by).items():
-            for n, s in searches.get(g, {}).items():
-                s.grid = grids[n][1]
+    if grids is None and any(s.inside > small for _, _, s in open_searches()):
+        grids = _first_grids(data, names, by)
+    for g, n, s in open_searches():
+        s.grid = (grids or {}).get(g, {}).get(n, (0, None))[1]
 
     for _ in range(_MAX_SCANS):
         todo = open_searches()
@@ -131,49 +152,44 @@ def order_statistics(df: DataFrame, columns: dict[str, Column],
             break
         for _, _, s in todo:
             s.propose(small)
-        active = [n for n in names if any(n == m for _, m, _ in todo)]
         params = GroupParams(by, {})
         for g, n, s in todo:
             wanted = {f"lo_{n}": s.trial[0], f"hi_{n}": s.trial[1],
                       f"gather_{n}": 1.0 if s.gather else 0.0}
             params.rows.setdefault(g, {}).update(wanted)
         joined, get = params.attach(data)
-        pieces: list[Column] = []
-        for n in active:
-            low, high = get(f"lo_{n}"), get(f"hi_{n}")
-            within = f"`{n}` > {low} AND `{n}` < {high}"
-            gathered = f"CASE WHEN {within} AND {get(f'gather_{n}')} = 1 THEN `{n}` END"
-            pieces += [F.expr(e).alias(f"{x}_{n}") for x, e in {
-                "a": f"count_if(`{n}` < {low})", "b": f"count_if(`{n}` <= {low})",
-                "c": f"count_if(`{n}` < {high})", "d": f"count_if(`{n}` <= {high})",
-                "v": f"collect_list({gathered})"}.items()]
-        counted = joined.groupBy(*_keys(by)).agg(*pieces)
+        active = {n for _, n, _ in todo}
+        narrowed = sorted({n for _, n, s in todo if not s.gather})
+        gathered = sorted({n for _, n, s in todo if s.gather})
+
+        def inside(n: str, gather: int) -> str:
+            return (f"CASE WHEN `{n}` > {get(f'lo_{n}')} AND `{n}` < {get(f'hi_{n}')} "
+                    f"AND {get(f'gather_{n}')} = {gather} THEN `{n}` END")
+
+        counts = {f"{x}_{n}": f"`{n}` {sign} {get(f'{side}_{n}')}" for n in names if n in active
+                  for x, sign, side in (("a", "<", "lo"), ("b", "<=", "lo"), ("c", "<", "hi"), ("d", "<=", "hi"))}
+        found = _scan(joined, by, counts, {f"s_{n}": inside(n, 0) for n in narrowed},
+                      {f"v_{n}": inside(n, 1) for n in gathered})
         # Pick the wanted ranks out of the gathered values before they leave Spark.
         picks = GroupParams(by, {})
         wanted_ranks = sorted({i for _, _, s in todo for i in range(len(s.open_ranks))})
         for g, n, s in todo:
             picks.rows.setdefault(g, {}).update(
                 {f"r{i}_{n}": float(r) for i, r in enumerate(s.open_ranks)})
-        picked, rank_of = picks.attach(counted)
-        out = [F.col(f"`{x}_{n}`") for n in active for x in "abcd"]
-        for n in active:
+        picked, rank_of = picks.attach(found)
+        out = [F.col(f"`{c}`") for c in counts] + [_grid(f"s_{n}") for n in narrowed]
+        for n in gathered:
             for i in wanted_ranks:
                 index = f"CAST({rank_of(f'r{i}_{n}')} - `b_{n}` AS INT)"
                 out.append(F.expr(f"CASE WHEN {index} BETWEEN 0 AND size(`v_{n}`) - 1 "
                                   f"THEN get(sort_array(`v_{n}`), {index}) END").alias(f"x{i}_{n}"))
-        rows = {row[by] if by else None: row for row in picked.select(*_keys(by), *out).collect()}
-
-        narrowed = [(g, n, s) for g, n, s in todo if not s.gather]
-        grids: dict = {}
-        if narrowed:
-            sketched = {n: F.expr(f"CASE WHEN `{n}` > {get(f'lo_{n}')} AND `{n}` < {get(f'hi_{n}')} "
-                                  f"THEN `{n}` END") for n in sorted({n for _, n, _ in narrowed})}
-            grids = _sketch_grids(joined, sketched, by)
+        rows = {row[by] if by else None: row.asDict() for row in picked.select(*_keys(by), *out).collect()}
         for g, n, s in todo:
             row = rows[g]
-            values = {r: row[f"x{i}_{n}"] for i, r in enumerate(s.open_ranks)}
+            values = {r: row.get(f"x{i}_{n}") for i, r in enumerate(s.open_ranks)}
+            sketch = None if s.gather else row[f"s_{n}"]
             s.learn(row[f"a_{n}"], row[f"b_{n}"], row[f"c_{n}"], row[f"d_{n}"], values,
-                    grids.get(g, {}).get(n, (0, None))[1])
+                    sketch["grid"] if sketch else None)
     else:
         raise RuntimeError("rank search did not settle")
     return {g: {n: s.found for n, s in group.items()} for g, group in searches.items()}
@@ -196,8 +212,9 @@ def exact_quantiles(df: DataFrame, targets: dict[str, tuple[Column, list[float]]
                  for n, (_, probs) in targets.items()} for row in exact.collect()}
 
     columns = {n: c for n, (c, _) in targets.items()}
-    counts = df.groupBy(*_keys(by)).agg(*[F.count(c).alias(n) for n, c in columns.items()]).collect()
-    sizes = {row[by] if by else None: {n: row[n] for n in columns} for row in counts}
+    data = df.select(*_keys(by), *[c.cast("double").alias(n) for n, c in columns.items()])
+    first = _first_grids(data, list(columns), by)
+    sizes = {g: {n: grid[0] for n, grid in by_column.items()} for g, by_column in first.items()}
     # One search per column and probability: its ranks are neighbours.
     parts = {f"{n}@{i}": (n, p) for n, (_, probs) in targets.items() for i, p in enumerate(probs)}
     ranks, totals = {}, {}
@@ -207,8 +224,9 @@ def exact_quantiles(df: DataFrame, targets: dict[str, tuple[Column, list[float]]
         for part, (n, p) in parts.items():
             spot = (by_column[n] - 1) * p
             ranks[g][part] = [math.floor(spot), math.ceil(spot)] if by_column[n] else []
-    found = order_statistics(df, {part: columns[n] for part, (n, _) in parts.items()},
-                             ranks, totals, by, small)
+    grids = {g: {part: by_column[n] for part, (n, _) in parts.items()} for g, by_column in first.items()}
+    found = order_statistics(data, {part: F.col(n) for part, (n, _) in parts.items()},
+                             ranks, totals, by, small, grids)
 
     result: Groups = {g: {n: [] for n in targets} for g in sizes}
     for g, by_column in sizes.items():

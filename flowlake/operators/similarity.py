@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, norm, vector_sum
 from ..schema import TARGET_ACCURACY, TARGET_INTER, TARGET_INTRA
+from .params import small_or_written
 
 
 def unit_vectors(df: DataFrame, vector: str = "embedding", name: str = "unit") -> DataFrame:
@@ -69,7 +70,7 @@ def cosine_to(df: DataFrame, probes: DataFrame, key: str = "vec_id", vector: str
 def embedding_kpis(df: DataFrame, accuracy: float | None = None, label: str = "label",
                    vector: str = "embedding", size: int = 64) -> DataFrame:
     """Unweighted means over classes and class pairs, and whether they meet the targets."""
-    sums = class_sums(df, label, vector, size)
+    sums, _ = small_or_written(class_sums(df, label, vector, size), "class_sums")
     intra = intra_class(sums, label).agg(F.avg("intra_cosine").alias("value")).withColumn("kpi", F.lit("intra"))
     inter = inter_class(sums, label).agg(F.avg("inter_cosine").alias("value")).withColumn("kpi", F.lit("inter"))
     table = intra.unionByName(inter).groupBy().pivot("kpi", ["intra", "inter"]).agg(F.first("value"))

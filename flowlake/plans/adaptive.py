@@ -130,6 +130,7 @@ class AdaptiveLearner:
         model = self._model[1]
         result = model.transform(batch, storage_level=StorageLevel.MEMORY_AND_DISK)
         stored = self._write("scored", batch_id, result.withColumn("learning_phase", F.lit(phase)))
+        model.release()
         return stored, float(model.scoring_thresholds[None])
 
     def step(self, batch: DataFrame, batch_id: int, before: StepLog, persist_model: bool = True) -> StepLog:
