@@ -20,35 +20,38 @@ def feature(name: str) -> Column:
     return F.col(FEATURE_PREFIX + name)
 
 
+def _port_in(ports: list[int]) -> str:
+    return f"dst_port IN ({', '.join(map(str, ports))})"
+
+
+_DURATION, _PACKETS, _BYTES = "greatest(duration_sec, 0.001D)", "greatest(packets, 1D)", "greatest(bytes, 1D)"
+_FEATURE_SQL = {
+    "log_duration": f"log1p({_DURATION})",
+    "log_packets": f"log1p({_PACKETS})",
+    "log_bytes": f"log1p({_BYTES})",
+    "bytes_per_packet": f"{_BYTES} / {_PACKETS}",
+    "bytes_per_sec": f"log1p({_BYTES} / {_DURATION})",
+    "packets_per_sec": f"log1p({_PACKETS} / {_DURATION})",
+    "tcp_syn_ratio": "least(greatest(tcp_syn_ratio, 0D), 1D)",
+    "tcp_ack_ratio": "least(greatest(tcp_ack_ratio, 0D), 1D)",
+    "tcp_fin_ratio": "least(greatest(tcp_fin_ratio, 0D), 1D)",
+    "log_inter_arrival_mean_ms": "log1p(greatest(inter_arrival_mean_ms, 0D))",
+    "log_inter_arrival_std_ms": "log1p(greatest(inter_arrival_std_ms, 0D))",
+    "failed_connections": "greatest(failed_connections, 0D)",
+    "is_inbound": "direction = 'inbound'",
+    "is_tcp": "protocol = 'TCP'",
+    "is_udp": "protocol = 'UDP'",
+    "is_icmp": "protocol = 'ICMP'",
+    "is_other_proto": "protocol NOT IN ('TCP', 'UDP', 'ICMP')",
+    "is_web_service": _port_in(WEB_PORTS),
+    "is_admin_service": _port_in(ADMIN_PORTS),
+    "is_uncommon_port": f"NOT ({_port_in(list(SERVICE_PORTS))})",
+}
+
+
 def feature_expressions() -> dict[str, Column]:
     """The 20 features in vector order, over canonical flow columns."""
-    duration = clip(F.col("duration_sec"), low=0.001)
-    packets = clip(F.col("packets"), low=1.0)
-    volume = clip(F.col("bytes"), low=1.0)
-    port, protocol = F.col("dst_port"), F.col("protocol")
-    values = {
-        "log_duration": F.log1p(duration),
-        "log_packets": F.log1p(packets),
-        "log_bytes": F.log1p(volume),
-        "bytes_per_packet": volume / packets,
-        "bytes_per_sec": F.log1p(volume / duration),
-        "packets_per_sec": F.log1p(packets / duration),
-        "tcp_syn_ratio": clip(F.col("tcp_syn_ratio"), 0.0, 1.0),
-        "tcp_ack_ratio": clip(F.col("tcp_ack_ratio"), 0.0, 1.0),
-        "tcp_fin_ratio": clip(F.col("tcp_fin_ratio"), 0.0, 1.0),
-        "log_inter_arrival_mean_ms": F.log1p(clip(F.col("inter_arrival_mean_ms"), low=0.0)),
-        "log_inter_arrival_std_ms": F.log1p(clip(F.col("inter_arrival_std_ms"), low=0.0)),
-        "failed_connections": clip(F.col("failed_connections"), low=0.0),
-        "is_inbound": F.col("direction") == "inbound",
-        "is_tcp": protocol == "TCP",
-        "is_udp": protocol == "UDP",
-        "is_icmp": protocol == "ICMP",
-        "is_other_proto": ~protocol.isin("TCP", "UDP", "ICMP"),
-        "is_web_service": port.isin(WEB_PORTS),
-        "is_admin_service": port.isin(ADMIN_PORTS),
-        "is_uncommon_port": ~port.isin(list(SERVICE_PORTS)),
-    }
-    return {name: values[name].cast("double") for name in FEATURE_COLUMNS}
+    return {name: F.expr(f"CAST({_FEATURE_SQL[name]} AS DOUBLE)") for name in FEATURE_COLUMNS}
 
 
 def add_features(flows: DataFrame) -> DataFrame:

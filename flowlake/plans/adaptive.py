@@ -109,6 +109,17 @@ class AdaptiveLearner:
         table.coalesce(1).write.mode("overwrite").parquet(self._path("log", entry.batch_id))
         return entry
 
+    def checkpoint_epoch(self, epoch: int, warm_seen: int, batch_id: int) -> None:
+        """Remember how far a stream got: warm-up slices seen and last batch written."""
+        table = self.spark.createDataFrame([(warm_seen, batch_id)], "warm_seen long, batch_id long")
+        table.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/epochs/epoch={epoch}")
+
+    def epoch_state(self, epoch: int) -> tuple[int, int]:
+        if epoch < 0:
+            return 0, 0
+        row = self.spark.read.schema("warm_seen long, batch_id long").parquet(f"{self.root}/epochs/epoch={epoch}").first()
+        return row["warm_seen"], row["batch_id"]
+
     def logged(self, batch_id: int) -> StepLog:
         row = self.spark.read.schema(_LOG_SCHEMA).parquet(self._path("log", batch_id)).first()
         return StepLog(**row.asDict())

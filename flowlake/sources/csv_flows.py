@@ -19,7 +19,7 @@ MISSING_TEXTS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 ENCODINGS = ["UTF-8", "windows-1252", "ISO-8859-1"]
-_UNDECODABLE = "�"
+_REPLACEMENT = "\ufffd"  # what a decoder leaves for bytes it cannot read
 
 
 @dataclass(frozen=True)
@@ -69,12 +69,15 @@ def inspect(spark: SparkSession, paths: list[str]) -> list[FileGroup]:
     for encoding in ENCODINGS:
         if not open_paths:
             break
+        # UTF-8 text is kept as raw bytes, the other encodings are decoded on reading.
+        unreadable = (~F.is_valid_utf8("value") if encoding == "UTF-8"
+                      else F.col("value").contains(_REPLACEMENT))
         lines = _lines(spark, open_paths, encoding).select(
             F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("line"), "value")
         per_file = lines.groupBy("path").agg(
             F.min_by("value", F.struct("block", "line")).alias("header"),
-            F.bool_or(F.col("value").contains(_UNDECODABLE)).alias("undecodable")).collect()
+            F.bool_or(unreadable).alias("undecodable")).collect()
         seen = {r["path"]: r for r in per_file}
         retry = [p for p, r in seen.items() if r["undecodable"] and encoding != ENCODINGS[-1]]
         headers.update({p: (r["header"], encoding) for p, r in seen.items() if p not in retry})

@@ -8,6 +8,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.positions import time_order, with_position
 from ..plans.adaptive import AdaptiveLearner, AdaptiveSettings
+from ..session import cut_lineage
 
 _BATCH_BITS = 40  # room for the rows of one micro-batch in a global position
 
@@ -29,17 +30,23 @@ def start_adaptive_stream(stream: DataFrame, root: str, settings: AdaptiveSettin
     warm = max(1, settings.warmup_batches)
 
     def on_batch(batch: DataFrame, epoch: int) -> None:
-        placed = with_position(batch, time_order(settings.key))
-        placed = placed.withColumn("position", F.col("position") + F.lit(epoch << _BATCH_BITS))
-        placed = placed.withColumn("slice_id", F.lit(epoch).cast("long"))
-        if epoch < warm:
-            learner._write("warmup", epoch, placed)
-            if epoch == warm - 1:
-                pooled = learner.spark.read.schema(placed.schema).parquet(f"{root}/warmup")
-                learner.warmup(pooled)
-            return
-        batch_id = epoch - warm + 2
-        learner.step(placed, batch_id, learner.logged(batch_id - 1))
+        warm_seen, last = learner.epoch_state(epoch - 1)
+        # Written first: a stateful stream must not be replayed for each use of the batch.
+        placed = with_position(cut_lineage(batch, "micro"), time_order(settings.key))
+        placed = placed.withColumns({"position": F.col("position") + F.lit(epoch << _BATCH_BITS),
+                                     "slice_id": F.lit(epoch).cast("long")})
+        if placed.isEmpty():        # a micro-batch that only moves the watermark
+            pass
+        elif warm_seen < warm:
+            learner._write("warmup", warm_seen, placed)
+            warm_seen += 1
+            if warm_seen == warm:
+                pooled = [f"{root}/warmup/batch_id={i}" for i in range(warm)]
+                learner.warmup(stream.sparkSession.read.schema(placed.schema).parquet(*pooled))
+                last = 1
+        else:
+            last = learner.step(placed, last + 1, learner.logged(last)).batch_id
+        learner.checkpoint_epoch(epoch, warm_seen, last)
 
     return (stream.writeStream.foreachBatch(on_batch)
             .option("checkpointLocation", f"{root}/offsets")

@@ -1,0 +1,42 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from flowlake.operators import encoder as enc
+from flowlake.operators.encoder import FlowEncoder, FlowEncoderModel
+from flowlake.plans.embedding import embed_and_evaluate
+
+
+def test_gradient_against_finite_differences():
+    rng = np.random.default_rng(0)
+    w = {n: a.astype(np.float64) + rng.normal(0, 0.05, a.shape) for n, a in enc.init_weights(1).items()}
+    x, labels = rng.normal(size=(24, 12)), rng.integers(0, 3, 24)
+    _, gradient = enc.batch_gradient(x, labels, w, margin=2.0)
+    for name in w:
+        direction = rng.normal(size=w[name].shape)
+        step = 1e-6
+        up, down = ({**w, name: w[name] + s * step * direction} for s in (1, -1))
+        slope = (enc.batch_gradient(x, labels, up, 2.0)[0] - enc.batch_gradient(x, labels, down, 2.0)[0]) / (2 * step)
+        # the tabulated normal CDF limits the agreement
+        assert float((gradient[name] * direction).sum()) == pytest.approx(slope, rel=2e-3, abs=2e-4)
+
+
+def test_flatten_round_trip():
+    w = enc.init_weights(3)
+    again = enc._unflatten(enc._flatten(w), w)
+    assert all((again[n] == w[n]).all() for n in w) and 140_000 < enc._flatten(w).size < 155_000
+
+
+def test_training_separates_classes(spark, flows, tmp_path):
+    flows = flows.withColumn("label", F.col("direction"))                 # one of the encoder's inputs
+    result = embed_and_evaluate(flows, FlowEncoder(epochs=8, steps_per_epoch=2, batch_size=256))
+    losses = result.model.losses
+    assert len(losses) == 8 and min(losses[4:]) < losses[0]
+    kpis = result.kpis.first()
+    assert kpis.accuracy > 0.9 and kpis.mean_intra > kpis.mean_inter
+    assert {"accuracy", "macro avg"} <= {r["class"] for r in result.report.collect()}
+    result.model.save(spark, str(tmp_path / "encoder"))
+    loaded = FlowEncoderModel.load(spark, str(tmp_path / "encoder"))
+    a, b = (np.stack(m.embed(flows.orderBy("flow_id").limit(20)).toPandas()["embedding"]) for m in (result.model, loaded))
+    np.testing.assert_array_equal(a, b)
+    np.testing.assert_allclose(np.linalg.norm(a, axis=1), 1.0, atol=1e-5)
