@@ -18,8 +18,10 @@ MISSING_TEXTS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-ENCODINGS = ["UTF-8", "windows-1252", "ISO-8859-1"]
-_REPLACEMENT = "\ufffd"  # what a decoder leaves for bytes it cannot read
+# Tried in this order; the two single-byte encodings differ in bytes 0x80-0x9f only.
+UTF8, WINDOWS, LATIN = "UTF-8", "windows-1252", "ISO-8859-1"
+_HIGH_BYTES = {chr(b): bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0)}
+_NOT_WINDOWS = "[" + "".join(c for c, w in _HIGH_BYTES.items() if w == "\ufffd") + "]"
 
 
 @dataclass(frozen=True)
@@ -52,36 +54,44 @@ def discover(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def _lines(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
-    if encoding == "UTF-8":
+    if encoding == UTF8:
         return spark.read.text(paths).select("value", "_metadata")
     single = T.StructType([T.StructField("value", T.StringType())])
-    return (spark.read.schema(single).option("encoding", encoding).option("sep", "\u0001")
+    return (spark.read.schema(single).option("encoding", LATIN).option("sep", "\u0001")
             .option("quote", "").csv(paths).select("value", "_metadata"))
 
 
+def _decoded(text: Column, encoding: str) -> Column:
+    """Text read as Latin-1 with its Windows characters restored."""
+    if encoding != WINDOWS:
+        return text
+    return F.translate(text, "".join(_HIGH_BYTES), "".join(_HIGH_BYTES.values()))
+
+
+def _headers(spark: SparkSession, paths: list[str], encoding: str, flag: Column) -> dict[str, tuple[str, bool]]:
+    """First line of each file, and whether any of its lines is flagged."""
+    lines = _lines(spark, paths, encoding).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), "value")
+    per_file = lines.groupBy("path").agg(F.min_by("value", F.struct("block", "line")).alias("header"),
+                                         F.bool_or(flag).alias("flagged"))
+    return {r["path"]: (r["header"], r["flagged"]) for r in per_file.collect()}
+
+
 def inspect(spark: SparkSession, paths: list[str]) -> list[FileGroup]:
     """Header and encoding of every file; per-file results only reach the driver.
 
     A file is read in the first encoding that decodes all of its bytes.
     """
-    headers: dict[str, tuple[str, str]] = {}
-    open_paths = list(paths)
-    for encoding in ENCODINGS:
-        if not open_paths:
-            break
-        # UTF-8 text is kept as raw bytes, the other encodings are decoded on reading.
-        unreadable = (~F.is_valid_utf8("value") if encoding == "UTF-8"
-                      else F.col("value").contains(_REPLACEMENT))
-        lines = _lines(spark, open_paths, encoding).select(
-            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"), "value")
-        per_file = lines.groupBy("path").agg(
-            F.min_by("value", F.struct("block", "line")).alias("header"),
-            F.bool_or(unreadable).alias("undecodable")).collect()
-        seen = {r["path"]: r for r in per_file}
-        retry = [p for p, r in seen.items() if r["undecodable"] and encoding != ENCODINGS[-1]]
-        headers.update({p: (r["header"], encoding) for p, r in seen.items() if p not in retry})
-        open_paths = retry
+    value = F.col("value")
+    found = _headers(spark, paths, UTF8, ~F.is_valid_utf8(value))
+    headers = {path: (header, UTF8) for path, (header, invalid) in found.items() if not invalid}
+    single_byte = [path for path in found if path not in headers]
+    if single_byte:
+        for path, (header, latin) in _headers(spark, single_byte, LATIN, value.rlike(_NOT_WINDOWS)).items():
+            encoding = LATIN if latin else WINDOWS
+            names = header if latin else header.translate(str.maketrans(_HIGH_BYTES))
+            headers[path] = (names, encoding)
     groups: dict[tuple[str, str], list[str]] = {}
     for path, (header, encoding) in sorted(headers.items()):
         groups.setdefault((header, encoding), []).append(path)
@@ -106,10 +116,11 @@ def read_group(spark: SparkSession, group: FileGroup, paths: list[str] | None =
     # One column more than the header has: only a row that is too long fills it.
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*group.columns, "_extra")])
     raw = (spark.read.schema(schema)
-           .options(header=True, encoding=group.encoding, quote='"', escape='"', emptyValue="",
+           .options(header=True, encoding=UTF8 if group.encoding == UTF8 else LATIN, quote='"', escape='"', emptyValue="",
                     mode="PERMISSIVE")
            .csv(list(paths or group.paths)))
-    cells = [F.when(~F.col(f"`{c}`").isin(MISSING_TEXTS), F.col(f"`{c}`")).alias(c) for c in group.columns]
+    cells = [F.when(~F.col(f"`{c}`").isin(MISSING_TEXTS), _decoded(F.col(f"`{c}`"), group.encoding)).alias(c)
+             for c in group.columns]
     return raw.select(*cells, F.col("_metadata.file_path").alias("_path"),
                       F.col("_extra").isNotNull().alias("_too_long"))
 

@@ -18,7 +18,7 @@ def folder(tmp_path):
     write(base, "day1.csv", "Source IP,Destination Port,Protocol,Flow Duration,Label\n"
                             "10.0.0.1,443,6,5000000,BENIGN\n10.0.0.2,80.0,17,7000000,DDoS\n10.0.0.3,,6,9000000,\n")
     write(base / "sub", "day2.csv", "﻿srcip,dport,proto,dur,label\n10.0.0.4,22,tcp,1.5,0\n10.0.0.5,53,udp,2.5\n")
-    write(base / "sub", "day3.csv", "srcip,dport,proto,dur,label\n10.0.0.6,22,tcp,1.5,café\n", "cp1252")
+    write(base / "sub", "day3.csv", "srcip,dport,proto,dur,label\n10.0.0.6,22,tcp,1.5,café€\n", "cp1252")
     write(base, "ports.csv", "srcip,dport\n10.0.0.7,0x01bb\n10.0.0.8,443\n")
     write(base, "ragged.csv", "srcip,dport\n10.0.0.9,443\n10.0.0.9,443,7\n")
     write(base, "my_events.csv", "a,b\n1,2\n")
@@ -52,7 +52,7 @@ def test_load_and_quarantine(spark, folder):
     assert rows["10.0.0.1"].duration_sec == 5.0 and rows["10.0.0.4"].duration_sec == 1.5
     assert (rows["10.0.0.2"].dst_port, rows["10.0.0.3"].dst_port) == (80, 443)
     assert (rows["10.0.0.2"].protocol, rows["10.0.0.3"].label, rows["10.0.0.5"].label) == ("UDP", "nan", "nan")
-    assert rows["10.0.0.6"].label == "café"
+    assert rows["10.0.0.6"].label == "café€"
 
 
 def test_nothing_readable(spark, tmp_path):
