@@ -34,8 +34,19 @@ def clip(column: Column, low: float | None = None, high: float | None = None) ->
 
 
 def fixed_text(column: Column, digits: int = 2) -> Column:
-    """``%.{digits}f`` with half-even rounding and no thousands separators."""
-    return F.replace(F.format_number(column, digits), F.lit(","), F.lit(""))
+    """``%.{digits}f`` with half-even rounding and no thousands separators.
+
+    The exact formatter is slow, so it is left to the values it matters for:
+    those next to a tie, and negative or very large ones.
+    """
+    unit = 10 ** digits
+    scaled = column * unit
+    near_tie = F.abs(scaled - F.floor(scaled) - 0.5) < 1e-4
+    whole = F.floor(scaled + 0.5).cast("long")
+    quick = F.concat(F.floor(whole / unit).cast("string"), F.lit("."),
+                     F.lpad((whole % unit).cast("string"), digits, "0"))
+    exact = F.replace(F.format_number(column, digits), F.lit(","), F.lit(""))
+    return F.when((scaled >= 0) & (scaled < 1e10) & ~near_tie, quick).otherwise(exact)
 
 
 def median_side(column: Column, cut: float, at_least: bool = False) -> Column:

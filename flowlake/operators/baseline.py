@@ -15,8 +15,8 @@ from .features import (FEATURE_PREFIX, add_context_key, add_features, add_servic
                        scaled_feature)
 from .params import GroupParams, small_or_written
 from .quantiles import SMALL_ROWS
-from .scoring import (anomaly_score, centred_columns, class_cuts, decision_thresholds, distance_score,
-                      explanation, joined_directions, literal_directions, rarity_score,
+from .scoring import (add_explanation, anomaly_score, centred_columns, class_cuts, decision_thresholds, distance_score,
+                      joined_directions, literal_directions, rarity_score,
                       reconstruction_error, risk_band, traffic_class)
 from .subspace import leading_directions, merged_factors
 
@@ -120,10 +120,8 @@ class FlowBaselineModel:
         classed = GroupParams.detach(with_cuts.withColumn(
             "traffic_class", traffic_class(F.col("is_anomaly"), cut_of)))
         explained, get = self.params.attach(classed)
-        result = GroupParams.detach(add_service(explained).withColumns({
-            "risk_level": risk_band(F.col("anomaly_score")),
-            "explanation": explanation(get),
-        }))
+        banded = add_service(explained).withColumn("risk_level", risk_band(F.col("anomaly_score")))
+        result = GroupParams.detach(add_explanation(banded, get))
         if keep_features:
             return result
         return result.drop(*_WORK_COLUMNS, "context_key", "distance", "reconstruction", "rarity")

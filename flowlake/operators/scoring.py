@@ -102,20 +102,36 @@ def risk_band(score: Column) -> Column:
     return bands.otherwise("low")
 
 
-def top_features(get, count: int = 3) -> Column:
-    """The features furthest from their median, ties in vector order."""
-    entries = ", ".join(f"struct(-abs({scaled_feature(n, get)}) AS rank, {i} AS i, "
-                        f"{FEATURE_PREFIX}{n} AS value)" for i, n in enumerate(FEATURE_COLUMNS))
-    return F.expr(f"slice(sort_array(array({entries})), 1, {count})")
+def add_explanation(features: DataFrame, get, count: int = 3) -> DataFrame:
+    """Name the features furthest from their median, ties in vector order.
 
-
-def explanation(get, count: int = 3) -> Column:
+    The largest deviation is picked ``count`` times over plain columns, which
+    stays in generated code; sorting an array per row is far slower.
+    """
+    deviations = features.withColumns({
+        f"d_{i}": F.expr(f"abs({scaled_feature(n, get)})") for i, n in enumerate(FEATURE_COLUMNS)})
+    work = [f"d_{i}" for i in range(_WIDTH)]
+    for k in range(count):
+        def left(i: int) -> str:
+            taken = " OR ".join(f"top_{j} = {i}" for j in range(k))
+            return f"CASE WHEN {taken} THEN -1D ELSE d_{i} END" if taken else f"d_{i}"
+
+        deviations = deviations.withColumn(
+            f"most_{k}", F.expr(f"greatest({', '.join(left(i) for i in range(_WIDTH))})"))
+        free = "".join(f" AND top_{j} <> {{i}}" for j in range(k))
+        cases = " ".join(f"WHEN d_{i} = most_{k}{free.format(i=i)} THEN {i}" for i in range(_WIDTH))
+        deviations = deviations.withColumn(f"top_{k}", F.expr(f"CASE {cases} END"))
+        work += [f"most_{k}", f"top_{k}"]
     wording = F.lit([FEATURE_WORDING.get(n, n) for n in FEATURE_COLUMNS])
-    parts = F.transform(top_features(get, count), lambda e: F.concat(
-        F.get(wording, e["i"]), F.lit("="), fixed_text(e["value"])))
-    context = F.concat(F.lit("context="), F.col("protocol"), F.lit("/"), F.col("direction"),
-                       F.lit("/port-"), F.col("dst_port").cast("string"))
-    return F.concat(F.array_join(parts, ", "), F.lit(", "), context)
+    parts = []
+    for k in range(count):
+        cases = " ".join(f"WHEN {i} THEN {FEATURE_PREFIX}{n}" for i, n in enumerate(FEATURE_COLUMNS))
+        deviations = deviations.withColumn(f"value_{k}", F.expr(f"CASE top_{k} {cases} END"))
+        work.append(f"value_{k}")
+        parts += [F.get(wording, F.col(f"top_{k}")), F.lit("="), fixed_text(F.col(f"value_{k}")), F.lit(", ")]
+    context = [F.lit("context="), F.col("protocol"), F.lit("/"), F.col("direction"),
+               F.lit("/port-"), F.col("dst_port").cast("string")]
+    return deviations.withColumn("explanation", F.concat(*parts, *context)).drop(*work)
 
 
 def class_cuts(flagged: DataFrame, by: str | None = None, rows: int | None = None) -> GroupParams:

@@ -403,7 +403,7 @@ def anomaly_flag(spark, sf_dir):
 def explain_top3(spark, sf_dir):
     table = featured(spark, sf_dir)
     joined, get = features.robust_params(table).attach(table)
-    return joined.select("flow_id", scoring.explanation(get).alias("explanation"))
+    return scoring.add_explanation(joined, get).select("flow_id", "explanation")
 
 
 @query
