@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_key
 from ..functions.text import is_known_attack, is_known_normal
 from ..schema import MIN_BENIGN_ROWS, SIGNATURE_COLUMNS
-from .positions import time_order, with_position
+from .positions import place, time_order
 from .quantiles import smallest_cut
 
 _HIT_PROBE = 2_000
@@ -62,9 +62,8 @@ def lowest_scores(scored: DataFrame, count: int, key: str = "flow_id") -> DataFr
 
 def latest_rows(flows: DataFrame, count: int, key: str = "flow_id") -> DataFrame:
     """The last ``count`` rows in time order."""
-    placed = with_position(flows, time_order(key))
-    total = placed.count()
-    return placed.filter(F.col("position") >= total - count).drop("position")
+    placed = place(flows, time_order(key))
+    return placed.rows(max(0, placed.total - count)).drop("position")
 
 
 def limit_rows(df: DataFrame, max_rows: int | None, key: str, seed: int = 42) -> DataFrame:

@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.baseline import FlowBaseline, FlowBaselineModel
-from ..operators.positions import assign_batches
+from ..operators.positions import place, time_order
 from ..operators.quantiles import smallest_cut
 from ..operators.ranking import benign_reference
 from ..operators.summary import batch_summary, summarize
 from ..schema import SUBSPACE_RANK
-from ..session import cut_lineage, scratch_path
+from ..session import scratch_path
 
 MIN_BATCH = 100
 _LOG_SCHEMA = ("batch_id long, phase string, threshold double, relearn_status string, candidates long, "
@@ -195,21 +195,25 @@ def adaptive_run(flows: DataFrame, settings: AdaptiveSettings = AdaptiveSettings
                  root: str | None = None) -> AdaptiveLearner:
     """Adaptive scoring of a canonical flow table in time order.
 
-    The batches are written once, partitioned by batch, so every step reads
-    its own rows only. Choose ``batch_size`` so that the number of batches
-    stays in the thousands.
+    The flows are written once in order; every step reads the row range of
+    its batch only. Choose ``batch_size`` so that the number of batches stays
+    in the thousands.
     """
-    spark = flows.sparkSession
-    placed = assign_batches(flows, settings.size, settings.key, minimum=MIN_BATCH)
-    table = cut_lineage(placed, "batches", ["slice_id"])
-    last = table.agg(F.max("slice_id")).first()[0]
-    if last is None:
+    spark, size = flows.sparkSession, settings.size
+    placed = place(flows, time_order(settings.key))
+    if not placed.total:
         raise ValueError("no flows for adaptive learning")
+    slices = -(-placed.total // size)
+
+    def batch(first: int, stop: int) -> DataFrame:
+        rows = placed.rows(first * size, stop * size)
+        return rows.withColumn("slice_id", F.floor(F.col("position") / size).cast("long"))
+
     learner = AdaptiveLearner(spark, root or scratch_path(spark, "adaptive"), settings)
-    warm = min(max(1, settings.warmup_batches), last + 1)
-    log = learner.warmup(table.filter(F.col("slice_id") < warm), persist_model=False)
-    for batch_id, slice_id in enumerate(range(warm, last + 1), start=2):
-        log = learner.step(table.filter(F.col("slice_id") == slice_id), batch_id, log, persist_model=False)
+    warm = min(max(1, settings.warmup_batches), slices)
+    log = learner.warmup(batch(0, warm), persist_model=False)
+    for batch_id, slice_id in enumerate(range(warm, slices), start=2):
+        log = learner.step(batch(slice_id, slice_id + 1), batch_id, log, persist_model=False)
     return learner
 
 

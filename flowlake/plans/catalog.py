@@ -552,9 +552,9 @@ def batch_assign(spark, sf_dir):
 # -- adaptive and streaming --------------------------------------------------------------------------
 
 def _adaptive(spark, sf_dir):
-    """A tenth of the table per batch, so the run has ten steps at any scale."""
+    """A third of the table per batch: the warm-up and two steps at any scale."""
     flows = fx.flows(spark, sf_dir)
-    return adaptive_run(flows, AdaptiveSettings(batch_size=-(-flows.count() // 5)))
+    return adaptive_run(flows, AdaptiveSettings(batch_size=-(-flows.count() // 3)))
 
 
 @query
@@ -582,16 +582,14 @@ def adaptive_by_source(spark, sf_dir):
 
 @query
 def stream_adaptive(spark, sf_dir):
-    """The fixture as a stream of four files, scored as they arrive."""
+    """The fixture as a stream: three deliveries, each scored as it arrives."""
     root = scratch_path(spark, "stream")
     flows = fx.flows(spark, sf_dir)
-    placed = assign_batches(flows, -(-flows.count() // 4), "flow_id").drop("position")
-    for i in range(4):
-        part = placed.filter(F.col("slice_id") == i).drop("slice_id")
-        part.coalesce(1).write.mode("append").parquet(f"{root}/input")
-    stream = spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/input")
-    job = start_adaptive_stream(deduplicated(stream), f"{root}/run", AdaptiveSettings())
-    job.awaitTermination()
+    placed = assign_batches(flows, -(-flows.count() // 3), "flow_id").drop("position")
+    for i in range(3):
+        placed.filter(F.col("slice_id") == i).drop("slice_id").write.mode("append").parquet(f"{root}/input")
+        stream = spark.readStream.schema(flows.schema).parquet(f"{root}/input")
+        start_adaptive_stream(deduplicated(stream), f"{root}/run", AdaptiveSettings()).awaitTermination()
     scored = spark.read.parquet(f"{root}/run/scored")
     return rounded(scored.select("flow_id", F.col("batch_id").cast("long").alias("batch_id"), "learning_phase",
                                  "anomaly_score", "is_anomaly"))
