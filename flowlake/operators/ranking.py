@@ -27,7 +27,7 @@ def sorted_by_score(scored: DataFrame, key: str = "flow_id") -> DataFrame:
     return scored.orderBy(F.desc("anomaly_score"), key)
 
 
-def _best_per_signature(scored: DataFrame, keys: list[str], key: str) -> DataFrame:
+def best_per_signature(scored: DataFrame, keys: list[str], key: str) -> DataFrame:
     """Highest scoring row per signature as a map-side combining maximum."""
     rest = [c for c in scored.columns if c not in (*keys, "anomaly_score", key)]
     best = F.max(F.struct(F.col("anomaly_score"), (-F.col(key)).alias("tie"),
@@ -52,7 +52,7 @@ def top_hits(scored: DataFrame, count: int = 5, key: str = "flow_id") -> DataFra
         source = scored.sparkSession.createDataFrame(rows, scored.schema)
     else:
         source = scored
-    return _best_per_signature(source, keys, key).orderBy(*order).limit(count).select(*scored.columns)
+    return best_per_signature(source, keys, key).orderBy(*order).limit(count).select(*scored.columns)
 
 
 def lowest_scores(scored: DataFrame, count: int, key: str = "flow_id") -> DataFrame:

@@ -416,9 +416,9 @@ def classify_traffic(spark, sf_dir):
 
 @query
 def score_flows(spark, sf_dir):
-    """Score flows with a saved model, threshold decided on the scored rows."""
+    """Fit on the known normal flows, score all; the threshold is decided on the scored rows."""
     flows = fx.flows(spark, sf_dir)
-    model = FlowBaseline().fit(flows.filter("dataset_source <> 'src_c'"), KEEP)
+    model = FlowBaseline().fit(ranking.benign_reference(flows), KEEP)
     return rounded(model.transform(flows, storage_level=KEEP).select(
         "flow_id", "service", "anomaly_score", "is_anomaly", "risk_level", "explanation", "traffic_class"))
 
@@ -503,7 +503,7 @@ def top_hits(spark, sf_dir):
 @query
 def best_per_signature(spark, sf_dir):
     scored = scored_flows(spark, sf_dir)[0].select("flow_id", "src_ip", "dst_port", "protocol", "anomaly_score")
-    best = ranking._best_per_signature(scored, ["src_ip", "dst_port", "protocol"], "flow_id")
+    best = ranking.best_per_signature(scored, ["src_ip", "dst_port", "protocol"], "flow_id")
     return rounded(best.select("flow_id", "src_ip", "dst_port", "anomaly_score"))
 
 
