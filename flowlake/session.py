@@ -37,22 +37,22 @@ def local_session(cores: int | str = "*", app: str = "flowlake", memory: str = "
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own.
+    Only a local session, where driver and executors are one process, may
+    leave it unset; it then gets one folder that stays for the session.
     """
-    conf = spark.sparkContext.getConf()
-    named = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        own = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", own)
-        return own
-    raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="flowlake-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/flowlake/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/flowlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -60,6 +60,7 @@ def cut_lineage(df: DataFrame, name: str, partition_by: list[str] | None = None)
 
     The written table survives the loss of any executor and gives later jobs
     a plain columnar scan with pruning instead of a replay of the whole plan.
+    ``drop_scratch`` removes it once nothing reads it any more.
     """
     path = scratch_path(df.sparkSession, name)
     writer = df.write
@@ -69,6 +70,17 @@ def cut_lineage(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut_lineage`` wrote."""
+    spark = df.sparkSession
+    own = f"{shared_folder(spark).split(':', 1)[-1].rstrip('/')}/flowlake/".replace("//", "/")
+    folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+    for folder in folders:
+        if own in folder.split(":", 1)[-1].replace("//", "/"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for an input with fewer splits than the session has cores.
 
