@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlake.llm import decontaminate, exact_dedup
+from flowlake.llm import byte_bpe, decontaminate, exact_dedup, language_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language_id": language_id.query,
         "op4_benchmark_decontamination": decontaminate.query,
         "op7_exact_dedup": exact_dedup.query,
+        "op8_byte_bpe": byte_bpe.query,
     }
 
 
