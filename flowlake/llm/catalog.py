@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlake.llm import byte_bpe, decontaminate, exact_dedup, language_id
+from flowlake.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_jaccard_join": ngram_join.query,
         "op3_language_id": language_id.query,
         "op4_benchmark_decontamination": decontaminate.query,
         "op7_exact_dedup": exact_dedup.query,
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_ngram_jaccard_join": ngram_join.SQL,
         "op4_benchmark_decontamination": decontaminate.SQL,
         "op7_exact_dedup": exact_dedup.SQL,
     }
