@@ -63,7 +63,7 @@ def cut_lineage(df: DataFrame, name: str, partition_by: list[str] | None = None)
     ``drop_scratch`` removes it once nothing reads it any more.
     """
     path = scratch_path(df.sparkSession, name)
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
