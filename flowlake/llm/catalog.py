@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlake.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join
+from flowlake.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join, tree_weighting
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_benchmark_decontamination": decontaminate.query,
         "op7_exact_dedup": exact_dedup.query,
         "op8_byte_bpe": byte_bpe.query,
+        "op10_tree_weighting": tree_weighting.query,
     }
 
 

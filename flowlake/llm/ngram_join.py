@@ -196,27 +196,6 @@ def _sets(rule: Rule, shared):
     return run
 
 
-def _streamed_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The runs of equal keys of sorted batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
-        cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
-        edges = [0, *cut.tolist(), batch.num_rows]
-        for a, b in zip(edges, edges[1:]):
-            key = tuple(c[a] for c in columns)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _halves(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     """Which rows lie in the first and which in the second of the two blocks; whether they are one block."""
     block = table.column("block").to_numpy()
@@ -227,7 +206,7 @@ def _halves(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
 def _possible(rule: Rule):
     """Of every two blocks, the texts that can link with another one by sizes and bins."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _streamed_groups(batches, ["leader", "i", "j"]):
+        for table in K.streamed_groups(batches, ["leader", "i", "j"]):
             if table.num_rows < 2:
                 continue
             left, right, same = _halves(table)
@@ -343,7 +322,7 @@ class Trie:
 def _linked(rule: Rule):
     """(node, root, links) of the texts with a link in their two blocks: the least node of their tree, counted links."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _streamed_groups(batches, ["leader", "i", "j"]):
+        for table in K.streamed_groups(batches, ["leader", "i", "j"]):
             if table.num_rows < 2:
                 continue
             left, right, same = _halves(table)
