@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlake.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join, tree_weighting
+from flowlake.llm import byte_bpe, decontaminate, exact_dedup, host_paths, language_id, ngram_join, tree_weighting, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_jaccard_join": ngram_join.query,
         "op3_language_id": language_id.query,
         "op4_benchmark_decontamination": decontaminate.query,
+        "op5_url_rules": url_rules.query,
         "op7_exact_dedup": exact_dedup.query,
         "op8_byte_bpe": byte_bpe.query,
+        "op9_host_paths": host_paths.query,
         "op10_tree_weighting": tree_weighting.query,
     }
 
@@ -24,5 +26,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_ngram_jaccard_join": ngram_join.SQL,
         "op4_benchmark_decontamination": decontaminate.SQL,
+        "op5_url_rules": url_rules.query,
         "op7_exact_dedup": exact_dedup.SQL,
     }
