@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlake.llm import byte_bpe, decontaminate, exact_dedup, host_paths, language_id, ngram_join, tree_weighting, url_rules
+from flowlake.llm import byte_bpe, decontaminate, exact_dedup, host_paths, language_id, ngram_join, packing, quotation, tree_weighting, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quotation_linking": quotation.query,
         "op2_ngram_jaccard_join": ngram_join.query,
         "op3_language_id": language_id.query,
         "op4_benchmark_decontamination": decontaminate.query,
         "op5_url_rules": url_rules.query,
+        "op6_token_packing": packing.query,
         "op7_exact_dedup": exact_dedup.query,
         "op8_byte_bpe": byte_bpe.query,
         "op9_host_paths": host_paths.query,
@@ -24,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_quotation_linking": quotation.SQL,
         "op2_ngram_jaccard_join": ngram_join.SQL,
         "op4_benchmark_decontamination": decontaminate.SQL,
         "op5_url_rules": url_rules.query,
