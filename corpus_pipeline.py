@@ -1,10 +1,64 @@
-"""A corpus pipeline of five stages over ``documents``; each stage works on all that the one before kept."""
+"""A corpus pipeline of five stages over ``documents``; each works on all that the one before kept.
+
+Language identification drops texts without letters and texts of which no language has a quarter of the letters.
+Exact deduplication keeps the smallest doc_id of equal texts. The n-gram join (five words, similarity 0.8) keeps
+the smallest doc_id of each connected group. Decontamination drops documents with a benchmark window. The last
+stage encodes and decodes the rest and returns doc_id, lang, source, n_tokens and digests of ids and text.
+
+All stages but the last return the columns of documents. Edge cases are those of the operators: null and empty
+texts go in the first stage, rows without doc_id stay where a stage decides by id, an empty table passes through.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowlake.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join
+from flowlake.llm.routing import without_ids
+from flowlake.session import cut_lineage
+
+#: Least share of a text's letters that its language must have.
+LANGUAGE_SHARE = 0.25
+NEAR_DUPLICATES = ngram_join.Rule(width=5, num=80, den=100)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.fit(docs)
+    return language_id.predict(docs, model).filter((F.col("_lang") != "und") & (F.col("_score") >= LANGUAGE_SHARE)).select(docs.columns)
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.distinct_documents(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = ngram_join.similar_documents(docs, NEAR_DUPLICATES)
+    return without_ids(docs, "doc_id", cut_lineage(found.filter("doc_id <> component_id").select("doc_id"), "dropped"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(docs.select("doc_id", "text", "lang", "source"), *byte_bpe.public_vocabulary())
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("exact_dedup", distinct_texts),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("benchmark_decontamination", without_benchmark),
+    ("byte_bpe", encoded),
+]
+
+#: SQL cannot express the language model and the encoder; the tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,15 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlake.llm.routing import routed
 from flowlake.session import cut_lineage
 
 #: Fingerprints are 64 bits: the leading bits are the quotient, the rest the remainder.
 QUOTIENT_BITS = 24
 #: Most fingerprints that a slice of the merged filter holds on average.
 SLICE_FINGERPRINTS = 500_000
-#: Bits of the routing map that is broadcast (8 MB at any size of the input).
-ROUTE_BITS = 1 << 26
-_BITMAP_BITS = 32_768
 
 
 class CountingQuotientFilter:
@@ -127,26 +125,6 @@ def repeated_fingerprints(fingerprints: DataFrame, column: str, rows: int) -> Da
     return slices.groupBy("slice").applyInArrow(_repeated_of_slice, "fingerprint long, copies long")
 
 
-def _routed(df: DataFrame, fingerprint: str, repeated: DataFrame) -> DataFrame:
-    """``df`` with ``_routed``: whether the row's bit is set in the map of repeated fingerprints.
-
-    It is for all rows with a repeated fingerprint. The map has a fixed number of bits, so it may be
-    broadcast; rows that merely share a bit pass as well and the verification finds them single.
-    """
-    def bit(column: str) -> Column:
-        return F.pmod(F.col(column), F.lit(ROUTE_BITS))
-
-    buckets = (repeated.select(bit("fingerprint").alias("_bit"))
-               .groupBy(F.floor(F.col("_bit") / _BITMAP_BITS).alias("_bucket"))
-               .agg(F.bitmap_construct_agg(F.col("_bit") % _BITMAP_BITS).alias("_bits")))
-    within = bit(fingerprint) % _BITMAP_BITS
-    byte = F.conv(F.hex(F.col("_bits").substr(F.floor(within / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return (df.withColumn("_bucket", F.floor(bit(fingerprint) / _BITMAP_BITS))
-            .join(F.broadcast(buckets), "_bucket", "left")
-            .withColumn("_routed", F.coalesce(F.getbit(byte, (within % 8).cast("int")) == 1, F.lit(False)))
-            .drop("_bucket", "_bits"))
-
-
 def _prepare(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Id, fingerprint and digest of every text, and the repeated fingerprints; both written."""
     text = normalised(F.col(text_col))
@@ -158,7 +136,7 @@ def _prepare(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 def _groups(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Byte verification: the groups of two and more equal texts among the rows that the map lets through."""
     texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("_text")).withColumn("_fp", F.xxhash64("_text"))
-    return (_routed(texts, "_fp", repeated).filter("_routed").groupBy("_fp", "_text")
+    return (routed(texts, "_fp", repeated, "fingerprint").filter("_routed").groupBy("_fp", "_text")
             .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
             .filter("group_size > 1")
             .select("_fp", F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size"))
@@ -183,10 +161,10 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     _, repeated = _prepare(docs, id_col, text_col)
     groups = _groups(docs, repeated, id_col, text_col).select(
         "_fp", F.col("text_sha256").alias("_sha"), "keep_id", F.lit(True).alias("_grouped"))
-    marked = _routed(docs.withColumn("_text", normalised(F.col(text_col))).withColumn("_fp", F.xxhash64("_text")), "_fp", repeated)
-    routed = marked.filter("_routed").withColumn("_sha", F.sha2(F.col("_text").cast("binary"), 256)).join(groups, ["_fp", "_sha"], "left")
-    single = routed.filter("_grouped IS NULL")
-    first = routed.filter(F.col("_grouped") & F.col(id_col).eqNullSafe(F.col("keep_id"))).dropDuplicates(["_fp", "_sha"])
+    marked = routed(docs.withColumn("_text", normalised(F.col(text_col))).withColumn("_fp", F.xxhash64("_text")), "_fp", repeated, "fingerprint")
+    possible = marked.filter("_routed").withColumn("_sha", F.sha2(F.col("_text").cast("binary"), 256)).join(groups, ["_fp", "_sha"], "left")
+    single = possible.filter("_grouped IS NULL")
+    first = possible.filter(F.col("_grouped") & F.col(id_col).eqNullSafe(F.col("keep_id"))).dropDuplicates(["_fp", "_sha"])
     return marked.filter("NOT _routed").select(docs.columns).unionByName(single.select(docs.columns)).unionByName(first.select(docs.columns))
 
 
