@@ -1,19 +1,21 @@
 """Language-model scores by context-tree weighting over bytes.
 
 A text is coded as its lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+``, each followed by a space, and one end
-symbol. The context of a byte are the up to ``DEPTH`` bytes before it in its word and the word's beginning. A
-byte is decomposed into eight binary decisions; each decision of each context of each depth has a
-Krichevsky-Trofimov estimate from the training counts, and the estimates of all depths along a context's path
-are mixed with the weights of the context tree. A context that training never met takes no part in the mixture.
+symbol. The context of a byte are the up to ``DEPTH`` bytes before it: those of its word, the space before, and
+for the first ``HEAD`` bytes of a word also the last ``TAIL`` bytes of the word before. A byte is decomposed into
+eight binary decisions; each decision of each context of each depth has a Krichevsky-Trofimov estimate from the
+training counts, and the estimates of all depths along a context's path are mixed with the weights of the context
+tree. A context that training never met takes no part in the mixture.
 
 Everything that depends on the corpus stays distributed:
 
-1. Texts are dealt to bundles of about ``BUNDLE_BYTES``. A bundle lists its distinct words once, with their
-   training counts, and its texts as numbers of these words.
-2. Word counts are summed over bundles. In the same way, bundles of words list their distinct byte contexts.
+1. Texts are dealt to bundles of about ``BUNDLE_BYTES``. A bundle lists its distinct words, and the distinct joints
+   where a word's tail meets the next word's head, once, with their training counts, and its texts as numbers of
+   these words.
+2. Counts are summed over bundles. In the same way, bundles of words and joints list their distinct contexts.
 3. Contexts that share their last two bytes form a subtree, which one task weighs from the leaves up; the two
    levels above hold at most 65,280 decisions and are broadcast.
-4. Scores of contexts return to the bundles of words, scores of words to the bundles of texts.
+4. Scores of contexts return to the bundles of words, scores of words and joints to the bundles of texts.
 
 Words are matched between bundles by 64-bit hashes: among 10^9 different words two are mistaken with a chance of
 about one in thirty.
@@ -38,6 +40,7 @@ from flowlake.llm import kernels as K
 from flowlake.session import cut_lineage
 
 DEPTH = 5
+HEAD, TAIL = 3, 2
 BUNDLE_BYTES = 24 << 20
 BUNDLE_WORDS = 400_000
 _SPACE, _END = 0x20, 0x0A
@@ -59,7 +62,8 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = K.words(data, offsets, K.NOT_SPACE)
             ids = batch.column(0).slice(low, high - low)
             held_out = batch.column(1).slice(low, high - low).to_numpy(zero_copy_only=False).astype(bool)
-            parts.append((ids, held_out, np.bincount(found.row, minlength=high - low), found.hash, _distinct(data, found)))
+            sizes = np.bincount(found.row, minlength=high - low)
+            parts.append((ids, held_out, sizes, found.hash, _distinct(data, found), _joints(data, found, sizes, held_out)))
             held += len(data)
             if held >= BUNDLE_BYTES:
                 yield from _bundle(task + done, parts)
@@ -74,6 +78,42 @@ def _distinct(data: np.ndarray, found: K.Words) -> tuple[np.ndarray, pa.Array]:
     return value, K.binary_rows(K.LOWER[data], found.start[first], found.end[first])
 
 
+def edges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of the words [start, end): the last two bytes (the last one lower) above the first three coded bytes."""
+    size = end - start
+    last = max(len(data) - 1, 0)
+
+    def byte(at: np.ndarray, there: np.ndarray, else_: np.ndarray) -> np.ndarray:
+        return np.where(there, data[np.clip(at, 0, last)], else_).astype(np.uint64) if len(at) else np.zeros(0, np.uint64)
+
+    space = np.full(len(start), _SPACE)
+    head = ((byte(start, size > 0, space) << np.uint64(16)) | (byte(start + 1, size > 1, space) << np.uint64(8))
+            | byte(start + 2, size > 2, np.where(size == 2, _SPACE, 0)))
+    tail = (byte(end - 2, size > 1, space) << np.uint64(8)) | byte(end - 1, size > 0, space)
+    return (tail << np.uint64(24)) | head
+
+
+_HEAD_BITS = np.uint64((1 << 24) - 1)
+_END_HEAD = np.uint64(_END << 16)
+
+
+def joint_keys(edge: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The joints of texts with ``sizes`` words: each word's head below the tail before it (0 at the beginning),
+    and after each text's words the end symbol below the last tail."""
+    before = np.zeros(len(edge) + len(sizes), np.uint64)
+    head = np.full(len(before), _END_HEAD)
+    place = np.arange(len(edge)) + np.repeat(np.arange(len(sizes)), sizes)
+    head[place] = edge & _HEAD_BITS
+    before[place + 1] = edge & ~_HEAD_BITS
+    return before | head
+
+
+def _joints(data: np.ndarray, found: K.Words, sizes: np.ndarray, held_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, training count) of the distinct joints of a slice."""
+    key, code = np.unique(joint_keys(edges(K.LOWER[data], found.start, found.end), sizes), return_inverse=True)
+    return key, np.bincount(code, np.repeat(~held_out, sizes + 1), len(key)).astype(np.int64)
+
+
 def _bundle(number: int, parts: list) -> Iterator[pa.RecordBatch]:
     hashes = np.concatenate([p[3] for p in parts])
     sizes = np.concatenate([p[2] for p in parts])
@@ -101,6 +141,10 @@ def _bundle(number: int, parts: list) -> Iterator[pa.RecordBatch]:
                       number=pa.array(rank[a:b].astype(np.int32)), n=pa.array(trained[a:b]))
     yield _filled(1, number, hash=pa.array([_END_HASH]), word=pa.array([bytes([_END])], pa.binary()),
                   number=pa.array([len(value)], pa.int32()), n=pa.array([int((~held_out).sum())]))
+    joint, code = np.unique(np.concatenate([p[5][0] for p in parts]), return_inverse=True)
+    trained = np.bincount(code, np.concatenate([p[5][1] for p in parts]), len(joint)).astype(np.int64)
+    for a in range(0, len(joint), 50_000):
+        yield _filled(len(joint[a:a + 50_000]), number, hash=K.signed(joint[a:a + 50_000]), n=pa.array(trained[a:a + 50_000]))
 
 
 _TYPES = {"doc_id": pa.int64(), "held_out": pa.bool_(), "low": pa.binary(), "high": pa.binary(), "hash": pa.int64(),
@@ -112,29 +156,61 @@ def _filled(rows: int, bundle: int, **columns: pa.Array) -> pa.RecordBatch:
         name: columns[name] if name in columns else pa.nulls(rows, kind) for name, kind in _TYPES.items()})
 
 
-# -- byte contexts of words ---------------------------------------------------------------------------------
+# -- byte contexts of words and joints ----------------------------------------------------------------------
 
-def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, gram) of every coded byte of ``words``. A gram has the byte in its lowest eight bits and its
-    context above, the byte before topmost; beyond the word's beginning the context is zero."""
+def _word_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary array."""
     _, at, data = words.buffers()
     offsets = np.frombuffer(at, np.int32)[words.offset: words.offset + len(words) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[offsets[0]: offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
+    return raw, offsets - offsets[0]
+
+
+def word_grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, gram) of every coded byte of ``words`` from the HEAD-th on. A gram has the byte in its lowest
+    eight bits and its context above, the byte before topmost; before the word is a space, further back nothing."""
+    raw, offsets = _word_bytes(words)
     length = np.diff(offsets)
     number = np.repeat(np.arange(len(words)), length + 1)
     begin = offsets[:-1] + np.arange(len(words))
     place = np.arange(len(number)) - begin[number]
     coded = np.full(len(number), _SPACE, np.uint64)
     coded[place < length[number]] = raw
-    key = coded.copy()
+    at = np.flatnonzero(place >= HEAD)
+    place = place[at]
+    key = coded[at]
     for back in range(1, DEPTH + 1):
-        earlier = np.zeros(len(coded), np.uint64)
-        earlier[back:] = coded[:-back] if back < len(coded) else 0
-        earlier[place < back] = 0
+        earlier = np.where(place >= back, coded[np.maximum(at - back, 0)], np.where(place == back - 1, np.uint64(_SPACE), np.uint64(0)))
         key |= earlier << np.uint64(8 * (DEPTH + 1 - back))
-    last = (place == 1) & (coded == _SPACE) & (np.r_[np.zeros(1, np.uint64), coded[:-1]] == _END)  # the end symbol has no space
-    return number[~last], key[~last]
+    return number[at], key
+
+
+def joint_grams(joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(joint number, gram) of the coded bytes of the heads."""
+    before, last = (joint >> np.uint64(32)) & np.uint64(0xFF), (joint >> np.uint64(24)) & np.uint64(0xFF)
+    space = np.where(last > 0, np.uint64(_SPACE), np.uint64(0))
+    heads = [(joint >> np.uint64(shift)) & np.uint64(0xFF) for shift in (16, 8, 0)]
+    numbers, keys = [], []
+    for k, byte in enumerate(heads):
+        context = [*reversed(heads[:k]), space, last, before][:DEPTH]
+        key = byte.copy()
+        for back, value in enumerate(context, 1):
+            key |= value << np.uint64(8 * (DEPTH + 1 - back))
+        coded = np.flatnonzero(byte > 0)
+        if k:  # the end symbol has nothing after it, and a NUL byte in a head is never a coded one's predecessor
+            coded = coded[heads[0][coded] != _END]
+        numbers.append(coded)
+        keys.append(key[coded])
+    return np.concatenate(numbers), np.concatenate(keys)
+
+
+def _grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(row, gram) of a table of words and joints; a joint has no word, and its key as hash."""
+    is_word = table.column("word").is_valid().to_numpy()
+    at_word, at_joint = np.flatnonzero(is_word), np.flatnonzero(~is_word)
+    number, key = word_grams(table.column("word").combine_chunks().drop_null())
+    other, more = joint_grams(table.column("hash").to_numpy()[at_joint].view(np.uint64))
+    return np.concatenate([at_word[number], at_joint[other]]), np.concatenate([key, more])
 
 
 _WORD_FIELDS = "bundle long, hash long, word binary, c long, gram long, n long"
@@ -145,19 +221,17 @@ def _word_bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     done, held, parts = 0, 0, []
 
     def out() -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(parts).combine_chunks()
-        word = table.column("word").combine_chunks() if table.num_rows else pa.array([], pa.binary())
-        number, key = grams(word)
+        table = pa.Table.from_batches(parts)
+        row, key = _grams(table)
         value, code = np.unique(key, return_inverse=True)
-        n = np.bincount(code, table.column("c").to_numpy()[number].astype(float), len(value)).astype(np.int64)
-        rows = len(value)
+        n = np.bincount(code, table.column("c").to_numpy()[row].astype(float), len(value)).astype(np.int64)
+        none = pa.nulls(len(value), pa.int64())
+        yield pa.RecordBatch.from_pydict({"bundle": pa.array(np.full(len(value), task + done)), "hash": none, "word": pa.nulls(len(value), pa.binary()),
+                                          "c": none, "gram": K.signed(value), "n": pa.array(n)})
+        none = pa.nulls(table.num_rows, pa.int64())
         yield pa.RecordBatch.from_pydict({
-            "bundle": pa.array(np.full(rows, task + done)), "hash": pa.nulls(rows, pa.int64()), "word": pa.nulls(rows, pa.binary()),
-            "c": pa.nulls(rows, pa.int64()), "gram": K.signed(value), "n": pa.array(n)})
-        rows = table.num_rows
-        none = pa.nulls(rows, pa.int64())
-        yield pa.RecordBatch.from_pydict({"bundle": pa.array(np.full(rows, task + done)), "hash": table.column("hash").combine_chunks(),
-                                          "word": word, "c": table.column("c").combine_chunks(), "gram": none, "n": none})
+            "bundle": pa.array(np.full(table.num_rows, task + done)), "hash": table.column("hash").combine_chunks(),
+            "word": table.column("word").combine_chunks(), "c": table.column("c").combine_chunks(), "gram": none, "n": none})
 
     for batch in batches:
         for a in range(0, batch.num_rows, BUNDLE_WORDS):
@@ -292,41 +366,52 @@ def _top(roots: DataFrame) -> dict[int, Decisions]:
 
 # -- scores -------------------------------------------------------------------------------------------------
 
-def _score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _score_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of words and joints: log10 probability of their coded bytes; of words also their edges."""
     for table in K.streamed_groups(batches, ["bundle"]):
         is_gram = table.column("log10").is_valid()
-        scored, words = table.filter(is_gram), table.filter(pa.compute.invert(is_gram))
+        scored, items = table.filter(is_gram), table.filter(pa.compute.invert(is_gram))
         gram = scored.column("gram").to_numpy().view(np.uint64)
         order = np.argsort(gram)
-        number, key = grams(words.column("word").combine_chunks())
-        value = scored.column("log10").to_numpy()[order][np.searchsorted(gram[order], key)]
-        yield pa.RecordBatch.from_pydict({"hash": words.column("hash").combine_chunks(), "c": words.column("c").combine_chunks(),
-                                          "log10": pa.array(np.bincount(number, value, words.num_rows))})
+        row, key = _grams(items)
+        value = scored.column("log10").to_numpy()[order][np.searchsorted(gram[order], key)] if len(key) else np.zeros(0)
+        is_word = items.column("word").is_valid()
+        edge = np.zeros(items.num_rows, np.uint64)
+        raw, offsets = _word_bytes(items.column("word").combine_chunks().drop_null())
+        edge[is_word.to_numpy()] = edges(raw, offsets[:-1], offsets[1:])
+        yield pa.RecordBatch.from_pydict({
+            "is_word": is_word.combine_chunks(), "hash": items.column("hash").combine_chunks(), "c": items.column("c").combine_chunks(),
+            "log10": pa.array(np.bincount(row, value, items.num_rows)), "edge": K.signed(edge)})
 
 
 def _score_texts(total: int, distinct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in K.streamed_groups(batches, ["bundle"]):
-            is_text = table.column("low").is_valid()
-            texts, words = table.filter(is_text), table.filter(pa.compute.invert(is_text))
+            is_text, is_word = table.column("low").is_valid(), table.column("number").is_valid()
+            texts, words = table.filter(is_text), table.filter(is_word)
+            joints = table.filter(pa.compute.invert(pa.compute.or_(is_text, is_word)))
             order = np.argsort(words.column("number").to_numpy())
-            c = words.column("c").to_numpy()[order]
-            log10 = words.column("log10").to_numpy()[order]
+            c, log10 = words.column("c").to_numpy()[order], words.column("log10").to_numpy()[order]
+            edge = words.column("edge").to_numpy().view(np.uint64)[order]
+            key = joints.column("hash").to_numpy().view(np.uint64)
+            by_key = np.argsort(key)
+            key, joint_log10 = key[by_key], joints.column("log10").to_numpy()[by_key]
             base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-            low = texts.column("low").to_pylist()
-            wide = np.uint8 if len(c) - 1 < 1 << 24 else "<u4"
-            code = np.frombuffer(b"".join(low), "<u2").astype(np.int64) | (
-                np.frombuffer(b"".join(texts.column("high").to_pylist()), wide).astype(np.int64) << 16)
-            row = np.repeat(np.arange(len(low)), [len(x) // 2 for x in low])
-            end = len(c) - 1  # the end symbol has the bundle's last number
-            rows = len(low)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": texts.column("doc_id").combine_chunks(), "held_out": texts.column("held_out").combine_chunks(),
-                "n_tokens": pa.array(np.bincount(row, minlength=rows) + 1),
-                "n_known": pa.array((np.bincount(row, c[code] > 0, rows) + (c[end] > 0)).astype(np.int64)),
-                "train_tokens": pa.array(np.full(rows, total)),
-                "base_score": pa.array(np.bincount(row, base[code], rows) + base[end]),
-                "score": pa.array(np.bincount(row, log10[code], rows) + log10[end])})
+            end, wide = len(c) - 1, np.dtype(np.uint8 if len(c) - 1 < 1 << 24 else "<u4")  # the end symbol has the last number
+            lows, highs = texts.column("low").to_pylist(), texts.column("high").to_pylist()
+            for a in range(0, len(lows), 1024):
+                sizes = np.array([len(x) // 2 for x in lows[a:a + 1024]])
+                rows = len(sizes)
+                code = np.frombuffer(b"".join(lows[a:a + 1024]), "<u2").astype(np.int64)
+                code |= np.frombuffer(b"".join(highs[a:a + 1024]), wide).astype(np.int64) << 16
+                row = np.repeat(np.arange(rows), sizes)
+                met = joint_log10[np.searchsorted(key, joint_keys(edge[code], sizes))]
+                score = np.bincount(row, log10[code], rows) + np.bincount(np.repeat(np.arange(rows), sizes + 1), met, rows)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": texts.column("doc_id").slice(a, rows).combine_chunks(), "held_out": texts.column("held_out").slice(a, rows).combine_chunks(),
+                    "n_tokens": pa.array(sizes + 1), "n_known": pa.array((np.bincount(row, c[code] > 0, rows) + (c[end] > 0)).astype(np.int64)),
+                    "train_tokens": pa.array(np.full(rows, total)), "base_score": pa.array(np.bincount(row, base[code], rows) + base[end]),
+                    "score": pa.array(score)})
     return run
 
 
@@ -338,38 +423,36 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     bundles = cut_lineage(docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
                           .mapInArrow(_bundles, _TEXT_FIELDS), "bundles")
-    listed = bundles.filter("word IS NOT NULL").select("bundle", "hash", "number", "n", "word")
-    counted = listed.groupBy("hash").agg(F.sum("n").alias("c"), F.first("word").alias("word"))
-    words = cut_lineage(counted.mapInArrow(_word_bundles, _WORD_FIELDS), "words")
-    row = words.filter("word IS NOT NULL").agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
+    listed = bundles.filter("hash IS NOT NULL").withColumn("is_word", F.col("word").isNotNull())
+    counted = listed.groupBy("is_word", "hash").agg(F.sum("n").alias("c"), F.first("word").alias("word"))
+    items = cut_lineage(counted.select("hash", "word", "c").mapInArrow(_word_bundles, _WORD_FIELDS), "items")
+    row = items.filter("word IS NOT NULL").agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
     total, distinct = int(row[0] or 0), int(row[1])
 
-    requests = words.filter("gram IS NOT NULL").select("bundle", "gram", "n")
-    every = cut_lineage(requests.groupBy("gram").agg(F.sum("n").alias("n"))
-                        .withColumn("tree", F.shiftrightunsigned("gram", 8 * (DEPTH + 1 - _SPLIT)))
-                        .repartition("tree").sortWithinPartitions("tree", "gram"), "grams")
-    trees = every.select("tree", "gram", "n").repartition("tree").sortWithinPartitions("tree")
+    requests = items.filter("gram IS NOT NULL").select("bundle", "gram", "n")
+    trees = cut_lineage(requests.groupBy("gram").agg(F.sum("n").alias("n"))
+                        .withColumn("tree", F.shiftrightunsigned("gram", 8 * (DEPTH + 1 - _SPLIT))), "grams")
+    trees = trees.repartition("tree").sortWithinPartitions("tree")
     shared = spark.sparkContext.broadcast(_top(trees.mapInArrow(_weigh, "key long, zeros long, ones long, weighted double")))
     gram_scores = trees.mapInArrow(_score_grams(shared), "gram long, log10 double")
+
+    def empty(**kinds: str) -> list[Column]:
+        return [F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]
+
     replies = requests.select("bundle", "gram").join(gram_scores, "gram").select(
-        "bundle", "gram", "log10", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("hash"), F.lit(None).cast("long").alias("c"))
-    asked = words.filter("word IS NOT NULL").select(
-        "bundle", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("log10"), "word", "hash", "c")
-    word_scores = (replies.unionByName(asked).repartition("bundle").sortWithinPartitions("bundle")
-                   .mapInArrow(_score_words, "hash long, c long, log10 double"))
-    back = listed.select("bundle", "hash", "number").join(word_scores, "hash").select(
-        "bundle", "number", "c", "log10", *(F.lit(None).cast(kind).alias(name) for name, kind in _TEXT_ONLY))
-    texts = bundles.filter("word IS NULL").select(
-        "bundle", F.lit(None).cast("int").alias("number"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("log10"),
-        *(name for name, _ in _TEXT_ONLY))
+        "bundle", "gram", "log10", *empty(word="binary", hash="long", c="long"))
+    asked = items.filter("gram IS NULL").select("bundle", *empty(gram="long", log10="double"), "word", "hash", "c")
+    scored = (replies.unionByName(asked).repartition("bundle").sortWithinPartitions("bundle")
+              .mapInArrow(_score_items, "is_word boolean, hash long, c long, log10 double, edge long"))
+    text_only = {"doc_id": "long", "held_out": "boolean", "low": "binary", "high": "binary"}
+    back = listed.select("bundle", "is_word", "hash", "number").join(scored, ["is_word", "hash"]).select(
+        "bundle", "number", F.when(~F.col("is_word"), F.col("hash")).alias("hash"), "c", "log10", "edge", *empty(**text_only))
+    texts = bundles.filter("hash IS NULL").select("bundle", *empty(number="int", hash="long", c="long", log10="double", edge="long"), *text_only)
     return (back.unionByName(texts).repartition("bundle").sortWithinPartitions("bundle").mapInArrow(
         _score_texts(total, distinct),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
 
 
-_TEXT_ONLY = [("doc_id", "long"), ("held_out", "boolean"), ("low", "binary"), ("high", "binary")]
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     key = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
