@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlake.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join
-from flowlake.llm.routing import without_ids
+from flowlake.llm.routing import numbered, without_ids
 from flowlake.session import cut_lineage
 
 #: Least share of a text's letters that its language must have.
@@ -24,8 +24,9 @@ NEAR_DUPLICATES = ngram_join.Rule(width=5, num=80, den=100)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language_id.fit(docs)
-    return language_id.predict(docs, model).filter((F.col("_lang") != "und") & (F.col("_score") >= LANGUAGE_SHARE)).select(docs.columns)
+    plain, name = numbered(docs)
+    found = language_id.predict(plain, language_id.fit(docs), name["text"])
+    return found.filter((F.col("_lang") != "und") & (F.col("_score") >= LANGUAGE_SHARE)).select(plain.columns).toDF(*docs.columns)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

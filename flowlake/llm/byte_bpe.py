@@ -355,7 +355,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_ids`` (array of int)."""
+    """``docs`` with ``_ids`` (array of int), in place of a column of that name."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
@@ -363,11 +363,12 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text
             for low in range(0, batch.num_rows, 512):
                 ids = pa.array([own.encode(t or "") for t in texts.slice(low, 512).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(low, 512).columns, ids], [*batch.schema.names, "_ids"])
+    docs = docs.drop("_ids")
     return docs.mapInArrow(run, _fields(docs, "_ids array<int>"))
 
 
 def decode_ids(df: DataFrame, path: str, pattern: str, ids_col: str = "_ids") -> DataFrame:
-    """``df`` with ``_decoded``, the text of its ids."""
+    """``df`` with ``_decoded``, the text of its ids, in place of a column of that name."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
@@ -375,11 +376,12 @@ def decode_ids(df: DataFrame, path: str, pattern: str, ids_col: str = "_ids") ->
             for low in range(0, batch.num_rows, 512):
                 texts = pa.array([own.decode(x or ()) for x in ids.slice(low, 512).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.slice(low, 512).columns, texts], [*batch.schema.names, "_decoded"])
+    df = df.drop("_decoded")
     return df.mapInArrow(run, _fields(df, "_decoded string"))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` other than the text, and n_tokens, ids_sha256, decoded_sha256.
+    """The columns of ``docs`` other than the text, and n_tokens, ids_sha256, decoded_sha256 in place of such columns.
 
     Encodes and decodes as above, but in one pass that keeps no ids.
     """
@@ -399,6 +401,7 @@ def digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
             yield pa.RecordBatch.from_pydict(columns | {
                 "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(encoded, pa.string()),
                 "decoded_sha256": pa.array(decoded, pa.string())})
+    docs = docs.drop(*({"n_tokens", "ids_sha256", "decoded_sha256"} - {text_col}))
     return docs.mapInArrow(run, _fields(docs.drop(text_col), "n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 

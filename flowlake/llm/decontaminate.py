@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.llm import kernels as K
+from flowlake.llm.routing import numbered
 from flowlake.session import cut_lineage
 
 WIDTH = 10
@@ -91,7 +92,7 @@ def united(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
     return [tuple(x) for x in out]
 
 
-def _scan(windows, text_col: str):
+def _scan(windows, text_col: str, again: bool):
     """Adds word counts, hit spans and item ids to batches, to those of an earlier pass if there are any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: WindowSet = windows.value
@@ -107,9 +108,9 @@ def _scan(windows, text_col: str):
                     spans[low + row].append((first - at, first - at + size, int(found.start[first]) - text_at,
                                              int(found.end[first + size - 1]) - text_at))
                     items[low + row].update(map(str, known.items[window]))
-            columns = dict(zip(batch.schema.names, batch.columns))
-            if "_spans" in columns:
-                for row, (old, names) in enumerate(zip(columns["_spans"].to_pylist(), columns["_items"].to_pylist())):
+            columns = {n: c for n, c in zip(batch.schema.names, batch.columns) if n not in _ADDED}
+            if again:
+                for row, (old, names) in enumerate(zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist())):
                     spans[row] += [tuple(x.values()) for x in old]
                     items[row].update(names)
             columns["_n_words"] = pa.array(counts)
@@ -131,7 +132,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
 
 def hit_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
               item_text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """``docs`` with ``_n_words``, ``_spans`` (word and byte ranges that are hit) and ``_items`` (ids as sorted strings)."""
+    """``docs`` with ``_n_words``, ``_spans`` (word and byte ranges that are hit) and ``_items`` (ids as sorted strings),
+    which take the place of columns of these names."""
     spark, found = docs.sparkSession, docs
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in _ADDED)
     fields += "".join(f", {name} {kind}" for name, kind in _ADDED.items())
@@ -139,7 +141,7 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
         if done:
             found = cut_lineage(found, "spans")
         known = spark.sparkContext.broadcast(WindowSet([(r.item, bytes(r.text)) for r in items], width))
-        found = found.mapInArrow(_scan(known, text_col), fields)
+        found = found.mapInArrow(_scan(known, text_col, done > 0), fields)
     return found
 
 
@@ -153,18 +155,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents without any hit, with the columns of ``docs``."""
-    return hit_spans(docs, benchmark, text_col, **options).filter(F.size("_spans") == 0).select(docs.columns)
+    plain, name = numbered(docs)
+    return hit_spans(plain, benchmark, name[text_col], **options).filter(F.size("_spans") == 0).select(plain.columns).toDF(*docs.columns)
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """All documents, with the bytes of hit spans cut out of their texts."""
-    raw = F.col(text_col).cast("binary")
+    plain, name = numbered(docs)
+    text = name[text_col]
+    raw = F.col(text).cast("binary")
     start = F.aggregate(  # (kept so far, next byte to keep)
         "_spans", F.struct(F.lit(b"").alias("kept"), F.lit(0).cast("long").alias("at")),
         lambda a, s: F.struct(F.concat(a["kept"], raw.substr(a["at"].cast("int") + 1, (s["start"] - a["at"]).cast("int"))).alias("kept"), s["stop"].alias("at")))
     left = F.concat(F.col("_left.kept"), raw.substr(F.col("_left.at").cast("int") + 1, F.length(raw)))
-    found = hit_spans(docs, benchmark, text_col, **options).withColumn("_left", start)
-    return found.withColumn(text_col, F.when(F.size("_spans") == 0, F.col(text_col)).otherwise(left.cast("string"))).select(docs.columns)
+    found = hit_spans(plain, benchmark, text, **options).withColumn("_left", start)
+    cut = F.when(F.size("_spans") == 0, F.col(text)).otherwise(left.cast("string"))
+    return found.withColumn(text, cut).select(plain.columns).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

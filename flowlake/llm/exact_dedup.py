@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.llm.routing import routed
+from flowlake.llm.routing import numbered, routed
 from flowlake.session import cut_lineage
 
 #: Fingerprints are 64 bits: the leading bits are the quotient, the rest the remainder.
@@ -158,14 +158,17 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows that the map of repeated fingerprints does not let through stay where they are; only the others
     are shuffled.
     """
+    plain, name = numbered(docs)
+    own_id, text = name[id_col], normalised(F.col(name[text_col]))
     _, repeated = _prepare(docs, id_col, text_col)
     groups = _groups(docs, repeated, id_col, text_col).select(
         "_fp", F.col("text_sha256").alias("_sha"), "keep_id", F.lit(True).alias("_grouped"))
-    marked = routed(docs.withColumn("_text", normalised(F.col(text_col))).withColumn("_fp", F.xxhash64("_text")), "_fp", repeated, "fingerprint")
+    marked = routed(plain.withColumn("_text", text).withColumn("_fp", F.xxhash64("_text")), "_fp", repeated, "fingerprint")
     possible = marked.filter("_routed").withColumn("_sha", F.sha2(F.col("_text").cast("binary"), 256)).join(groups, ["_fp", "_sha"], "left")
     single = possible.filter("_grouped IS NULL")
-    first = possible.filter(F.col("_grouped") & F.col(id_col).eqNullSafe(F.col("keep_id"))).dropDuplicates(["_fp", "_sha"])
-    return marked.filter("NOT _routed").select(docs.columns).unionByName(single.select(docs.columns)).unionByName(first.select(docs.columns))
+    first = possible.filter(F.col("_grouped") & F.col(own_id).eqNullSafe(F.col("keep_id"))).dropDuplicates(["_fp", "_sha"])
+    parts = [part.select(plain.columns) for part in (marked.filter("NOT _routed"), single, first)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

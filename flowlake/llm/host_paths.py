@@ -149,7 +149,7 @@ def parse(html: str) -> Page:
                 while stack[-1][0] != tag:
                     close()
                 close()
-            elif tag in _BLOCK:
+            elif tag == "p":
                 end_block()
             continue
         if tag in _RAW:
@@ -264,8 +264,8 @@ def _extract(html_col: str):
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``pages`` without the html, with ``_text``."""
-    pages = pages.withColumn("_host", host_of(F.col(url_col)))
+    """``pages`` without the html, with ``_text`` in place of a column of that name; ``_host`` and ``_paths`` are its own."""
+    pages = pages.drop("_text", "_paths").withColumn("_host", host_of(F.col(url_col)))
     winners = cut_lineage(winning_paths(pages, html_col), "paths")
     few = winners.count() <= BROADCAST_HOSTS
     found = pages.join(F.broadcast(winners) if few else winners, "_host", "left").drop("_host")

@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 SLICE_BYTES = 2 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 5
@@ -111,6 +112,12 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(value)
 
 
+def partition() -> int:
+    """Number of the running task's partition; 0 outside of a task."""
+    task = TaskContext.get()
+    return task.partitionId() if task else 0
+
+
 def signed(values: np.ndarray) -> pa.Array:
     """64-bit hashes as Spark longs."""
     return pa.array(np.ascontiguousarray(values).view(np.int64))

@@ -207,6 +207,9 @@ def label_words(model: LanguageModel, found: LetterWords, switch: float = SWITCH
     return label
 
 
+_ADDED = ("_lang", "_score", "_lang_spans")
+
+
 def _predict(shared, text_col: str, with_spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LanguageModel = shared.value
@@ -229,7 +232,7 @@ def _predict(shared, text_col: str, with_spans: bool):
                     for a, b in zip(cut.tolist(), last.tolist()):
                         spans[low + int(found.row[a])].append({"lang": model.languages[label[a]], "first": int(found.start[a]),
                                                                "last": int(found.start[b] + found.size[b])})
-            columns = {name: c for name, c in zip(batch.schema.names, batch.columns)}
+            columns = {name: c for name, c in zip(batch.schema.names, batch.columns) if name not in _ADDED}
             columns["_lang"] = pa.array([model.languages[k] if k >= 0 else "und" for k in best], pa.string())
             columns["_score"] = pa.array(share)
             if with_spans:
@@ -239,9 +242,10 @@ def _predict(shared, text_col: str, with_spans: bool):
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", with_spans: bool = False) -> DataFrame:
-    """``docs`` with ``_lang``, ``_score`` and, if asked for, ``_lang_spans`` (language, code point range)."""
+    """``docs`` with ``_lang``, ``_score`` and, if asked for, ``_lang_spans`` (language, code point range), which take
+    the place of columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["_lang string", "_score double"]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in _ADDED] + ["_lang string", "_score double"]
     fields += ["_lang_spans array<struct<lang:string,first:long,last:long>>"] * with_spans
     return docs.mapInArrow(_predict(shared, text_col, with_spans), ", ".join(fields))
 

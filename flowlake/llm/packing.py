@@ -22,10 +22,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlake.llm import kernels as K
+
 ROW_IDS = 2048
 BUFFER_IDS = 4 << 20
 #: Rows with at least this share of their ids taken are not opened again.
@@ -124,7 +125,7 @@ def _written(shard: int, number: int, rows: list[list[Piece]], capacity: int, pa
 def _pack(make_encoder: Callable, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make_encoder()
-        shard, number, held, waiting = TaskContext.get().partitionId(), 0, 0, []
+        shard, number, held, waiting = K.partition(), 0, 0, []
 
         def pack(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal number, held, waiting

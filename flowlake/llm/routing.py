@@ -30,9 +30,19 @@ def routed(df: DataFrame, column: str, hashes: DataFrame, hash_column: str) -> D
             .drop("_bucket", "_bits"))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, .., which clash with no name that an operator adds, and the new name of each
+    column. ``toDF(*df.columns)`` undoes it."""
+    names = [f"c{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
 def without_ids(df: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
     """The rows of ``df`` whose id is not in ``dropped`` (one column of that name). Only rows that the map lets
     through are shuffled; rows without an id stay."""
-    marked = routed(df.withColumn("_hash", F.xxhash64(id_col)), "_hash", dropped.select(F.xxhash64(id_col).alias("_hash")), "_hash")
-    checked = marked.filter("_routed").join(dropped.distinct(), id_col, "left_anti")
-    return marked.filter("NOT _routed").select(df.columns).unionByName(checked.select(df.columns))
+    plain, name = numbered(df)
+    own = name[id_col]
+    ids = dropped.select(F.col(id_col).alias(own)).distinct()
+    marked = routed(plain.withColumn("_hash", F.xxhash64(own)), "_hash", ids.select(F.xxhash64(own).alias("_hash")), "_hash")
+    checked = marked.filter("_routed").join(ids, own, "left_anti")
+    return marked.filter("NOT _routed").select(plain.columns).unionByName(checked.select(plain.columns)).toDF(*df.columns)

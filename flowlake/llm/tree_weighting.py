@@ -32,7 +32,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +54,7 @@ _TEXT_FIELDS = "bundle long, doc_id long, held_out boolean, low binary, high bin
 
 
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task = TaskContext.get().partitionId() << 24
+    task = K.partition() << 24
     done, held, parts = 0, 0, []
     for batch in batches:
         for low, high, data, offsets in K.text_slices(batch.column(2)):
@@ -217,7 +216,7 @@ _WORD_FIELDS = "bundle long, hash long, word binary, c long, gram long, n long"
 
 
 def _word_bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task = TaskContext.get().partitionId() << 24
+    task = K.partition() << 24
     done, held, parts = 0, 0, []
 
     def out() -> Iterator[pa.RecordBatch]:

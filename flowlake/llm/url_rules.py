@@ -25,6 +25,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlake.llm.routing import numbered
 from flowlake.session import cut_lineage
 
 MIN_SUPPORT = 0.005
@@ -121,9 +122,11 @@ def judge(urls: DataFrame, rules: list[CuratedRule], labels: DataFrame | None =
     Labelled URLs are those that a curated rule fits and, with ``labels`` of (id, verdict), those whose
     ``id_col`` it names; a curated verdict goes before a label.
     """
-    parsed = (urls.withColumn("_host", host_of(F.col(url_col))).withColumn("_path", path_of(F.col(url_col)))
-              .withColumn("_fit", curated(rules, F.col("_host"), F.col("_path"))).withColumn("_tokens", url_tokens(F.col(url_col))))
-    known = parsed.select(*([F.col(id_col).alias("_id")] if id_col else []), "_fit", "_tokens")
+    plain, name = numbered(urls)
+    url = F.col(name[url_col])
+    parsed = (plain.withColumn("_host", host_of(url)).withColumn("_path", path_of(url))
+              .withColumn("_fit", curated(rules, F.col("_host"), F.col("_path"))).withColumn("_tokens", url_tokens(url)))
+    known = parsed.select(*([F.col(name[id_col]).alias("_id")] if id_col else []), "_fit", "_tokens")
     if labels is not None:
         known = known.join(labels.select(F.col("id").alias("_id"), F.col("verdict").alias("_label")), "_id", "left")
     else:
@@ -135,8 +138,8 @@ def judge(urls: DataFrame, rules: list[CuratedRule], labels: DataFrame | None =
     judged = cut_lineage(judge_sets(sets, mined), "judged")
     few = judged.count() <= BROADCAST_SETS
     found = parsed.withColumn("set_id", F.xxhash64("_tokens")).join(F.broadcast(judged) if few else judged, "set_id", "left")
-    return found.select(*urls.columns, "_host", "_path", F.col("_fit.rule").alias("_rule"),
-                        F.coalesce("_fit.verdict", "mined", F.lit("allow")).alias("_verdict"), F.col("mined").alias("_mined"))
+    own = found.select(*plain.columns, "_host", "_path", F.col("_fit.rule"), F.coalesce("_fit.verdict", "mined", F.lit("allow")), "mined")
+    return own.toDF(*urls.columns, "_host", "_path", "_rule", "_verdict", "_mined")
 
 
 #: The rules of the query, as its contract gives them.
