@@ -10,56 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .session import spread
 
-_K = "event_id % 36"
-_ICMP_SPLIT = "user_id % 50"
-_PROTOCOL = (f"CASE WHEN {_K} = 1 THEN 'TCP' WHEN {_ICMP_SPLIT} < 36 THEN 'TCP' "
-             f"WHEN {_ICMP_SPLIT} < 47 THEN 'UDP' ELSE 'ICMP' END")
-_P0 = "(4 + (event_id * 13) % 64)"
-_S0 = "(0.05 + ((event_id * 11) % 21) / 100)"
-_A0 = "(0.30 + ((event_id * 19) % 37) / 100)"
+# One flow per event, as an access log of a shop would show it: the kind of event decides the service, the
+# user the host, the value the length of the session. Errors are short-lived attempts on other ports.
+_PACKETS = "(2 + floor(value / 3) + user_id % 7)"
+_PORT = ("(CASE event_type WHEN 'click' THEN 443 WHEN 'view' THEN (CASE user_id % 3 WHEN 0 THEN 443 WHEN 1 THEN 80 ELSE 8080 END) "
+         "WHEN 'purchase' THEN (CASE user_id % 4 WHEN 0 THEN 5432 WHEN 1 THEN 443 ELSE 8080 END) "
+         "WHEN 'signup' THEN (CASE user_id % 3 WHEN 0 THEN 25 WHEN 1 THEN 53 ELSE 123 END) "
+         "ELSE (CASE event_id % 6 WHEN 0 THEN 3389 WHEN 1 THEN 445 WHEN 2 THEN 22 WHEN 3 THEN 6667 WHEN 4 THEN 443 ELSE 50000 END) END)")
+_PROTOCOL = (f"(CASE WHEN event_id % 90 = 7 THEN 'OTHER' WHEN event_id % 45 = 11 THEN 'ICMP' WHEN {_PORT} IN (53, 123) THEN 'UDP' "
+             "ELSE 'TCP' END)")
+_DURATION = "(0.02 + value * value / 300)"
 
 
-def _by_kind(a: str, b: str, c: str, other: str = "1.0") -> str:
-    return f"(CASE {_K} WHEN 0 THEN {a} WHEN 1 THEN {b} WHEN 2 THEN {c} ELSE {other} END)"
+def _tcp(ratio: str) -> str:
+    return f"CAST(CASE WHEN {_PROTOCOL} = 'TCP' THEN {ratio} ELSE 0.0 END AS DOUBLE)"
 
 
 FLOW_EXPRESSIONS: dict[str, str] = {
     "flow_id": "event_id",
     "timestamp": "CAST(ts AS TIMESTAMP)",
-    "dataset_source": "CASE user_id % 3 WHEN 0 THEN 'src_a' WHEN 1 THEN 'src_b' ELSE 'src_c' END",
-    "src_ip": "concat('10.0.', CAST(user_id % 8 AS STRING), '.', CAST(user_id % 249 + 2 AS STRING))",
-    "dst_ip": (
-        "CASE WHEN (user_id * 7 + event_id) % 50 < 29 THEN "
-        "concat(CAST(23 + event_id % 169 AS STRING), '.', CAST(event_id % 256 AS STRING), '.', "
-        "CAST(user_id % 256 AS STRING), '.', CAST(event_id % 254 + 1 AS STRING)) ELSE "
-        "concat('10.0.', CAST(event_id % 8 AS STRING), '.', CAST(event_id % 249 + 2 AS STRING)) END"
-    ),
-    "src_port": "CAST(1024 + (event_id * 7919) % 64512 AS INT)",
-    "dst_port": (
-        f"CAST(CASE {_K} WHEN 0 THEN (CASE WHEN event_id % 5 < 2 THEN 4444 WHEN event_id % 5 < 4 "
-        "THEN 80 ELSE 53 END) WHEN 1 THEN (CASE WHEN event_id % 5 < 2 THEN 22 ELSE 25 END) "
-        "WHEN 2 THEN 31337 ELSE (CASE event_type WHEN 'click' THEN 443 WHEN 'view' THEN 80 "
-        "WHEN 'purchase' THEN 8080 WHEN 'error' THEN 22 ELSE 53 END) END AS INT)"
-    ),
+    "dataset_source": "CASE WHEN user_id % 10 < 5 THEN 'shop' WHEN user_id % 10 < 8 THEN 'office' ELSE 'branch' END",
+    "src_ip": "concat('192.168.', CAST(user_id % 16 AS STRING), '.', CAST(user_id % 200 + 1 AS STRING))",
+    "dst_ip": ("CASE WHEN event_type IN ('signup', 'error') AND user_id % 2 = 1 THEN concat('10.9.', CAST(event_id % 4 AS STRING), '.', "
+               "CAST(user_id % 90 + 5 AS STRING)) ELSE concat('93.', CAST(user_id % 190 AS STRING), '.', CAST(event_id % 13 AS STRING), "
+               "'.7') END"),
+    "src_port": "CAST(32768 + (event_id * 31 + user_id) % 28000 AS INT)",
+    "dst_port": f"CAST({_PORT} AS INT)",
     "protocol": _PROTOCOL,
-    "direction": "CASE WHEN (user_id * 7 + event_id) % 50 < 29 THEN 'outbound' ELSE 'inbound' END",
-    "duration_sec": f"CAST((0.08 + value / 20) * {_by_kind('1.9', '4.2', '2.8')} AS DOUBLE)",
-    "packets": f"CAST(floor({_P0} * {_by_kind('5.5', '0.45', '0.8')}) AS DOUBLE)",
-    "bytes": (f"CAST(floor({_P0} * (300 + (event_id * 17) % 640) * "
-              f"{_by_kind('8.0', '0.25', '0.55')}) AS DOUBLE)"),
-    "tcp_syn_ratio": (f"CAST(CASE WHEN {_PROTOCOL} <> 'TCP' THEN 0.0 WHEN {_K} = 1 "
-                      f"THEN least({_S0} + 0.55, 1.0) ELSE {_S0} END AS DOUBLE)"),
-    "tcp_ack_ratio": (f"CAST(CASE WHEN {_PROTOCOL} <> 'TCP' THEN 0.0 WHEN {_K} = 0 THEN {_A0} * 0.45 "
-                      f"WHEN {_K} = 1 THEN {_A0} * 0.2 ELSE {_A0} END AS DOUBLE)"),
-    "tcp_fin_ratio": (f"CAST(CASE WHEN {_PROTOCOL} <> 'TCP' THEN 0.0 "
-                      "ELSE 0.02 + ((event_id * 23) % 19) / 100 END AS DOUBLE)"),
-    "inter_arrival_mean_ms": (f"CAST((2 + ((event_id * 31) % 400) / 10) * "
-                              f"{_by_kind('0.3', '3.5', '5.0')} AS DOUBLE)"),
-    "inter_arrival_std_ms": (f"CAST((1 + ((event_id * 37) % 260) / 10) * "
-                             f"{_by_kind('0.5', '2.8', '0.02')} AS DOUBLE)"),
-    "failed_connections": (f"CAST(CASE {_K} WHEN 1 THEN 3 + event_id % 7 WHEN 2 THEN 1 + event_id % 4 "
-                           "ELSE (CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END) END AS DOUBLE)"),
-    "label": f"CASE WHEN {_K} <= 2 THEN 'anomalous' ELSE 'normal' END",
+    "direction": "CASE WHEN event_type = 'signup' OR user_id % 9 = 0 THEN 'inbound' ELSE 'outbound' END",
+    "duration_sec": f"CAST({_DURATION} AS DOUBLE)",
+    "packets": f"CAST({_PACKETS} AS DOUBLE)",
+    "bytes": f"CAST({_PACKETS} * (90 + (user_id * user_id) % 1301) AS DOUBLE)",
+    "tcp_syn_ratio": _tcp(f"least((1 + event_id % 4) / {_PACKETS}, 1.0)"),
+    "tcp_ack_ratio": _tcp(f"1 - 2 / {_PACKETS}"),
+    "tcp_fin_ratio": _tcp(f"CASE WHEN event_type = 'error' THEN 0 ELSE 1 / {_PACKETS} END"),
+    "inter_arrival_mean_ms": f"CAST({_DURATION} * 1000 / {_PACKETS} AS DOUBLE)",
+    "inter_arrival_std_ms": f"CAST({_DURATION} * 1000 / {_PACKETS} * (user_id % 12) / 10 AS DOUBLE)",
+    "failed_connections": "CAST(CASE WHEN event_type = 'error' THEN 1 + user_id % 4 ELSE 0 END AS DOUBLE)",
+    "label": ("CASE WHEN event_id % 97 = 3 THEN 'unknown' WHEN event_type = 'error' AND value > 45 THEN 'anomalous' "
+              "WHEN value > 210 THEN 'anomalous' ELSE 'normal' END"),
 }
 
 

@@ -12,11 +12,9 @@ from ..schema import (ATTACK_LABEL_SPELLINGS, FAILED_STATES, KNOWN_NORMAL_LABELS
                       NORMAL_LABEL_SPELLINGS, NOT_ATTACK_LABELS, PRIVATE_IPV4_BLOCKS,
                       PROTOCOL_NAMES, PROTOCOL_NUMBERS)
 
-# Tried in turn after the ISO form; month-first wins where both readings fit.
-_TIMESTAMP_FORMATS = [
-    "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy h:mm:ss a", "M/d/yyyy",
-    "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy h:mm:ss a", "d/M/yyyy",
-]
+# Tried in turn after the ISO form, in the reading that was decided for the file.
+_MONTH_FIRST = ["M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy h:mm:ss a", "M/d/yyyy"]
+_DAY_FIRST = ["d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy h:mm:ss a", "d/M/yyyy"]
 
 
 def literal_map(values: dict) -> Column:
@@ -24,7 +22,13 @@ def literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
-def parse_timestamp(column: Column, dtype: str = "string") -> Column:
+def slash_timestamp(column: Column, day_first: bool) -> Column:
+    """Timestamp of a cell such as 7/12/2017 8:59, in one of the two readings."""
+    formats = _DAY_FIRST if day_first else _MONTH_FIRST
+    return F.coalesce(*[F.try_to_timestamp(F.trim(column), F.lit(f)) for f in formats])
+
+
+def parse_timestamp(column: Column, dtype: str = "string", day_first: Column | bool = False) -> Column:
     """Timestamp of a cell, null where it cannot be read.
 
     Bare numbers are nanoseconds since the epoch.
@@ -34,10 +38,12 @@ def parse_timestamp(column: Column, dtype: str = "string") -> Column:
     if dtype != "string":
         return F.timestamp_micros((column.cast("double") / 1000).cast("long"))
     number = F.trim(column).try_cast("double")
-    texts = [F.try_to_timestamp(column)]
-    texts += [F.try_to_timestamp(F.trim(column), F.lit(f)) for f in _TIMESTAMP_FORMATS]
+    if isinstance(day_first, bool):
+        slashes = slash_timestamp(column, day_first)
+    else:
+        slashes = F.when(day_first, slash_timestamp(column, True)).otherwise(slash_timestamp(column, False))
     return F.when(number.isNotNull(), F.timestamp_micros((number / 1000).cast("long"))
-                  ).otherwise(F.coalesce(*texts))
+                  ).otherwise(F.coalesce(F.try_to_timestamp(column), slashes))
 
 
 def canonical_protocol(column: Column) -> Column:

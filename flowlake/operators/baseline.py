@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark import StorageLevel
@@ -166,16 +167,14 @@ class FlowBaselineModel:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "FlowBaselineModel":
-        rows = spark.read.parquet(f"{path}/params").collect()
-        by = rows[0]["group_column"]
-        key_type = None
+        table = spark.read.parquet(f"{path}/params")
+        by = table.first()["group_column"]
         contexts = spark.read.parquet(f"{path}/contexts")
-        if by:
-            key_type = contexts.schema[by].dataType.simpleString()
+        key_type = contexts.schema[by].dataType.simpleString() if by else "string"
+        rows = table.withColumn("_key", F.col("group_key").cast(key_type)).collect()
 
         def key(row):
-            text = row["group_key"]
-            return int(text) if text is not None and key_type in ("int", "bigint") else text
+            return row["_key"]
 
         params = GroupParams(by, {key(r): {
             f"{kind}_{n}": r[column][i]
@@ -212,30 +211,34 @@ class FlowBaseline:
         features = self._features(flows)
         if storage_level is not None:
             features = features.persist(storage_level)
-        size = features.select(F.spark_partition_id().alias("task")).agg(
-            F.count("*").alias("rows"), F.max("task").alias("last")).first()
+        unreadable = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in _WORK_COLUMNS])
+        size = features.select(F.spark_partition_id().alias("task"), unreadable.alias("unreadable")).agg(
+            F.count("*").alias("rows"), F.max("task").alias("last"), F.count_if("unreadable").alias("unreadable")).first()
         if not size["rows"]:
             raise ValueError("no flows to fit on")
+        if size["unreadable"]:
+            raise ValueError(f"{size['unreadable']} flows have null features, such as a port that is no number")
         rows = size["rows"]
         params = robust_params(features, self.by, rows, self.mad_floor)
 
         joined, get = params.attach(features)
         totals, small = small_or_written(context_totals(joined, get, self.by), "contexts")
         keys = [self.by] if self.by else []
+        text = F.col(self.by).cast("string") if self.by else F.lit(None).cast("string")
         means = totals.groupBy(*keys).agg(
-            F.sum("rows").alias("rows"),
+            F.sum("rows").alias("rows"), *([F.first(text).alias("_text")] if keys else []),
             *[F.sum(f"sum_{n}").alias(n) for n in FEATURE_COLUMNS]).collect()
-        group_rows = {}
+        group_rows, names = {}, {}
         for row in means:
             g = row[self.by] if self.by else None
-            group_rows[g] = row["rows"]
+            group_rows[g], names[g] = row["rows"], row["_text"] if self.by else None
             params.rows[g].update({f"mean_{n}": row[n] / row["rows"] for n in FEATURE_COLUMNS})
         sizes = GroupParams(self.by, {g: {"n": float(n)} for g, n in group_rows.items()})
         framed, size_of = sizes.attach(totals)
         frequency = GroupParams.detach(framed.select(
             *keys, "context_key", (F.col("rows") / F.expr(size_of("n"))).alias("frequency")))
 
-        components, singular = self._subspace(features, params, size["last"] + 1, group_rows)
+        components, singular = self._subspace(features, params, size["last"] + 1, group_rows, names)
         model = FlowBaselineModel(self.contamination, self.rank, self.by, params, components,
                                   singular, frequency, small, rows=rows)
         model.thresholds = model._thresholds(model.add_scores(features), rows)
@@ -243,7 +246,7 @@ class FlowBaseline:
             features.unpersist()
         return model
 
-    def _subspace(self, features: DataFrame, params: GroupParams, tasks: int, group_rows: dict):
+    def _subspace(self, features: DataFrame, params: GroupParams, tasks: int, group_rows: dict, names: dict):
         width = len(FEATURE_COLUMNS)
         if self.rank == 0:
             return ({g: np.zeros((0, width)) for g in group_rows},
@@ -253,7 +256,7 @@ class FlowBaseline:
         factors = merged_factors(joined, centred, self.by, tasks, len(group_rows))
         components, singular = {}, {}
         for g, n in group_rows.items():
-            r = factors[str(g) if self.by and g is not None else None]
+            r = factors[names[g]]
             components[g], singular[g] = leading_directions(r, min(self.rank, n))
         return components, singular
 

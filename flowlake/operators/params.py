@@ -8,23 +8,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Parameter tables up to this many rows are broadcast; larger ones are left to
-# the optimizer, which picks a shuffle join and splits skewed keys.
-BROADCAST_ROWS = 10_000
+# Parameter tables up to this size are broadcast; larger ones are left to the
+# optimizer, which picks a shuffle join and splits skewed keys.
+BROADCAST_BYTES = 128 << 20
+# Tables up to this many rows are handed over by the driver instead of being written.
+LOCAL_ROWS = 10_000
 
 
-def small_or_written(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` as a local table if it has at most ``limit`` rows, else written out.
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of a row in a hash table: eight a number, eighty a text, and its slot."""
+    return 32 + sum(80 if kind == "string" else 8 if "<" not in kind else 1024 for _, kind in df.dtypes)
 
-    Returns the table and whether it is small enough to broadcast. At most
-    ``limit + 1`` rows ever reach the driver.
+
+def small_or_written(df: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """``df`` as a local table if it is short, else written out.
+
+    Returns the table and whether its counted size allows a broadcast. At most
+    ``LOCAL_ROWS + 1`` rows ever reach the driver as rows.
     """
     from ..session import cut_lineage
 
-    head = df.limit(limit + 1).collect()
-    if len(head) <= limit:
+    head = df.limit(LOCAL_ROWS + 1).collect()
+    if len(head) <= LOCAL_ROWS:
         return df.sparkSession.createDataFrame(head, df.schema), True
-    return cut_lineage(df, name), False
+    written = cut_lineage(df, name)
+    return written, written.count() * row_bytes(df) <= BROADCAST_BYTES
 
 
 def sql_number(value: float | None) -> str:
@@ -57,7 +65,7 @@ class GroupParams:
         key_type = df.schema[self.by].dataType.simpleString()
         schema = ", ".join([f"_group {key_type}"] + [f"`_p_{n}` double" for n in names])
         table = df.sparkSession.createDataFrame(data, schema)
-        if len(data) <= BROADCAST_ROWS:
+        if len(data) * row_bytes(table) <= BROADCAST_BYTES:
             table = F.broadcast(table)
         joined = df.join(table, df[self.by].eqNullSafe(table["_group"]), "left").drop("_group")
         known = set(names)

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.numeric import (clip, median_is_above, median_side, number_or_zero, parse_number)
 from ..functions.ports import port_of_service
 from ..functions.text import (canonical_protocol, failed_state, infer_direction, normal_label,
-                              parse_timestamp)
+                              parse_timestamp, slash_timestamp)
 from ..schema import (CATEGORICAL_DEFAULTS, COLUMN_ALIASES, NUMERIC_COLUMNS, VOLUME_PAIRS)
+from .params import small_or_written
 from .positions import with_position
 
 _GAP_COLUMNS = ["sinpkt", "dinpkt"]
@@ -212,13 +213,36 @@ def normalize_text(df: DataFrame, null_label: str = "nan",
     return df.withColumns(new)
 
 
-def parse_timestamps(df: DataFrame, order_by: list[Column] | None = None,
-                     base: str = "2026-04-20", step_seconds: int = 5) -> DataFrame:
-    """Timestamps, or evenly spaced ones in row order where the column is absent."""
+def day_first_files(df: DataFrame, source: str | None = None) -> DataFrame:
+    """Per file whether its timestamps are read day-first: if that reading fits more of its rows."""
+    text = F.col("timestamp")
+    month, day = (F.count(slash_timestamp(text, first)) for first in (False, True))
+    return df.groupBy(*([source] if source else [])).agg((day > month).alias("_day_first"))
+
+
+def parse_timestamps(df: DataFrame, order_by: list[Column] | None = None, base: str = "2026-04-20",
+                     step_seconds: int = 5, source: str | None = None) -> DataFrame:
+    """Timestamps, or evenly spaced ones in row order where the column is absent.
+
+    ``source`` names the column of the file a row comes from: day and month are
+    told apart once per file, and each file's spaced timestamps start anew.
+    Without it the table counts as one file.
+    """
     if "timestamp" in df.columns:
         dtype = dict(df.dtypes)["timestamp"]
-        return df.withColumn("timestamp", parse_timestamp(F.col("timestamp"), dtype))
+        if dtype != "string":
+            return df.withColumn("timestamp", parse_timestamp(F.col("timestamp"), dtype))
+        files = day_first_files(df, source)
+        if not source:
+            return df.withColumn("timestamp", parse_timestamp(F.col("timestamp"), dtype, bool(files.first()["_day_first"])))
+        table, small = small_or_written(files, "files")
+        joined = df.join(F.broadcast(table) if small else table, source, "left")
+        return joined.withColumn("timestamp", parse_timestamp(F.col("timestamp"), dtype, F.col("_day_first"))).drop("_day_first")
     placed = with_position(df, order_by, "_position")
+    if source:
+        table, small = small_or_written(placed.groupBy(source).agg(F.min("_position").alias("_first")), "files")
+        placed = (placed.join(F.broadcast(table) if small else table, source, "left")
+                  .withColumn("_position", F.col("_position") - F.col("_first")).drop("_first"))
     start = F.lit(base).cast("timestamp")
     micros = F.unix_micros(start) + F.col("_position") * (step_seconds * 1_000_000)
     return placed.withColumn("timestamp", F.timestamp_micros(micros)).drop("_position")
@@ -227,9 +251,12 @@ def parse_timestamps(df: DataFrame, order_by: list[Column] | None = None,
 def prepare_flows(df: DataFrame, units: UnitPlan | None = None, *, volume: str = "first",
                   infer_flow_direction: bool = False, null_label: str = "nan",
                   label_fallback: str | None = None,
-                  order_by: list[Column] | None = None) -> DataFrame:
+                  order_by: list[Column] | None = None, source: str | None = None) -> DataFrame:
     """Raw flow table to canonical flow table.
 
+    Ports that are no numbers become null here; :mod:`flowlake.sources.csv_flows`
+    keeps files with such rows out, and fitting refuses them.
+
     The result is not sorted: consumers that need the time order
     (:mod:`flowlake.operators.positions`) establish it themselves.
     """
@@ -238,7 +265,7 @@ def prepare_flows(df: DataFrame, units: UnitPlan | None = None, *, volume: str =
         named = add_volumes(named)
     if units is None:
         units = detect_units(named)
-    timed = scale_times(parse_timestamps(named, order_by), units)
+    timed = scale_times(parse_timestamps(named, order_by, source=source), units)
     filled = fill_defaults(derive_missing(timed), infer_flow_direction)
     return normalize_text(coerce_numbers(filled), null_label, label_fallback)
 

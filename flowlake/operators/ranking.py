@@ -11,8 +11,6 @@ from ..schema import MIN_BENIGN_ROWS, SIGNATURE_COLUMNS
 from .positions import place, time_order
 from .quantiles import smallest_cut
 
-_HIT_PROBE = 2_000
-
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("count"))
@@ -28,31 +26,29 @@ def sorted_by_score(scored: DataFrame, key: str = "flow_id") -> DataFrame:
 
 
 def best_per_signature(scored: DataFrame, keys: list[str], key: str) -> DataFrame:
-    """Highest scoring row per signature as a map-side combining maximum."""
+    """Highest scoring row per signature, the smallest key of a tie, as a map-side combining minimum."""
     rest = [c for c in scored.columns if c not in (*keys, "anomaly_score", key)]
-    best = F.max(F.struct(F.col("anomaly_score"), (-F.col(key)).alias("tie"),
-                          F.struct(*rest).alias("rest"))).alias("best")
+    score = F.col("anomaly_score")
+    best = F.min(F.struct(score.isNull().alias("none"), (-score).alias("down"), F.col(key).alias("key"), score.alias("score"),
+                          F.struct(*rest).alias("rest") if rest else F.lit(0).alias("rest"))).alias("best")
     return scored.groupBy(*keys).agg(best).select(
-        *keys, F.col("best.anomaly_score"), (-F.col("best.tie")).alias(key), "best.rest.*")
+        *keys, F.col("best.score").alias("anomaly_score"), F.col("best.key").alias(key), *([F.col("best.rest.*")] if rest else []))
 
 
 def top_hits(scored: DataFrame, count: int = 5, key: str = "flow_id") -> DataFrame:
     """The highest scoring flows, one per flow signature.
 
-    The best ``count`` signatures are nearly always among a short prefix of
-    the score order, which needs no shuffle of the table. Only if that prefix
-    holds too few distinct signatures are all signatures aggregated.
+    Signatures are aggregated over their key columns alone; the other columns
+    are fetched for the ``count`` rows that are found.
     """
-    keys = [c for c in SIGNATURE_COLUMNS if c in scored.columns] or scored.columns
+    keys = [c for c in SIGNATURE_COLUMNS if c in scored.columns]
     order = [F.desc("anomaly_score"), F.col(key)]
-    prefix = scored.orderBy(*order).limit(max(_HIT_PROBE, 20 * count))
-    rows = prefix.collect()
-    distinct = {tuple(r[k] for k in keys) for r in rows}
-    if len(distinct) >= count or len(rows) < max(_HIT_PROBE, 20 * count):
-        source = scored.sparkSession.createDataFrame(rows, scored.schema)
-    else:
-        source = scored
-    return best_per_signature(source, keys, key).orderBy(*order).limit(count).select(*scored.columns)
+    if not keys:
+        return scored.dropDuplicates().orderBy(*order).limit(count)
+    narrow = best_per_signature(scored.select(*keys, "anomaly_score", key), keys, key)
+    found = narrow.orderBy(*order).limit(count).select(key)
+    rows = scored.join(F.broadcast(found), key, "left_semi")
+    return best_per_signature(rows, keys, key).orderBy(*order).limit(count).select(*scored.columns)
 
 
 def lowest_scores(scored: DataFrame, count: int, key: str = "flow_id") -> DataFrame:

@@ -76,10 +76,7 @@ def balanced_resample(df: DataFrame, label: str, key: str, draws: int | None = N
     joined, get = GroupParams(label, weights).attach(df)
     copies = F.floor(F.expr(get("w")) + hash_unit(F.col(key), seed)).cast("long")
     counted = GroupParams.detach(joined.withColumn("_copies", copies)).filter("_copies > 0")
-    if max(w["w"] for w in weights.values()) <= _COPIES_PER_STEP:
-        return (counted.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-                .drop("_copies"))
-    # A tiny class repeats its rows very often: spread the steps over tasks first.
+    # A tiny class repeats its rows very often: the steps are spread over tasks first.
     steps = counted.withColumn("_from", F.explode(F.sequence(
         F.lit(1).cast("long"), F.col("_copies"), F.lit(_COPIES_PER_STEP).cast("long"))))
     spread = steps.repartition(F.col(key), F.col("_from"))

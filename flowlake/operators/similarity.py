@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, norm, vector_sum
 from ..schema import TARGET_ACCURACY, TARGET_INTER, TARGET_INTRA
+from ..session import cut_lineage
 from .params import small_or_written
 
+#: Probe vectors of one broadcast.
+PROBE_BYTES = 32 << 20
+
 
 def unit_vectors(df: DataFrame, vector: str = "embedding", name: str = "unit") -> DataFrame:
     length = F.greatest(norm(F.col(vector)), F.lit(1e-8))
@@ -50,21 +54,24 @@ def inter_class(sums: DataFrame, label: str = "label") -> DataFrame:
                        mean.alias("inter_cosine"))
 
 
-def cosine_to(df: DataFrame, probes: DataFrame, key: str = "vec_id", vector: str = "embedding",
-              max_probes: int = 1_000) -> DataFrame:
-    """Cosine similarity of every row with each of a bounded set of probe rows.
+def cosine_to(df: DataFrame, probes: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Cosine similarity of every row with each probe row.
 
-    Compare with a few probes; the full similarity matrix of a table is
-    quadratic and only ever needed for the class means above.
+    Probes are a stated query set: they are broadcast in blocks of at most
+    ``PROBE_BYTES``, however many there are. The full similarity matrix of a
+    table is quadratic and only ever needed for the class means above.
     """
-    listed = unit_vectors(probes.select(key, vector), vector).select(key, "unit").limit(max_probes + 1).collect()
-    if len(listed) > max_probes:
-        raise ValueError(f"more than {max_probes} probes; use class_sums for class similarity")
-    listed = sorted(listed, key=lambda r: r[key])
-    probe_rows = F.array(*[F.struct(F.lit(r[key]).alias("probe"), F.lit(list(r["unit"])).alias("p"))
-                           for r in listed])
-    exploded = unit_vectors(df.select(key, vector), vector).select(key, "unit", F.inline(probe_rows))
-    return exploded.select(key, "probe", dot(F.col("unit"), F.col("p")).alias("cosine"))
+    units = unit_vectors(df.select(key, vector), vector).select(key, "unit")
+    listed = cut_lineage(unit_vectors(probes.select(F.col(key).alias("probe"), vector), vector).select("probe", F.col("unit").alias("p")), "probes")
+    size = listed.agg(F.sum(F.size("p") * 8 + 64)).first()[0] or 0
+    blocks = max(1, -(-size // PROBE_BYTES))
+    found = None
+    for block in range(blocks):
+        part = listed.filter(F.pmod(F.xxhash64("probe"), F.lit(blocks)) == block).withColumn("_all", F.lit(0))
+        each = units.withColumn("_all", F.lit(0)).join(F.broadcast(part), "_all").select(
+            key, "probe", dot(F.col("unit"), F.col("p")).alias("cosine"))
+        found = each if found is None else found.unionByName(each)
+    return found
 
 
 def embedding_kpis(df: DataFrame, accuracy: float | None = None, label: str = "label",

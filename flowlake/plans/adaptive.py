@@ -67,11 +67,23 @@ class StepLog:
 
 
 def latest_by_position(rows: DataFrame, count: int, total: int) -> DataFrame:
-    """The ``count`` rows with the highest positions, cut by counting."""
+    """The latest ``count`` rows by (slice, position): whole slices from the end, the first of them cut by counting.
+
+    Positions need to be comparable within a slice only.
+    """
     if total <= count:
         return rows
-    cut = smallest_cut(rows, -F.col("position"), {None: count}, {None: total})[None]
-    return rows.filter(F.col("position") >= -int(cut))
+    left = count
+    for row in rows.groupBy("slice_id").agg(F.count("*").alias("n")).orderBy(F.desc("slice_id")).toLocalIterator():
+        if row["n"] >= left:
+            break
+        left -= row["n"]
+    first, size = row["slice_id"], row["n"]
+    if left == size:
+        return rows.filter(F.col("slice_id") >= first)
+    part = rows.filter(F.col("slice_id") == first)
+    cut = smallest_cut(part, -F.col("position"), {None: left}, {None: size})[None]
+    return rows.filter((F.col("slice_id") > first) | ((F.col("slice_id") == first) & (F.col("position") >= -int(cut))))
 
 
 class AdaptiveLearner:
@@ -185,8 +197,9 @@ class AdaptiveLearner:
             F.count("*").alias("adaptive_batches"),
             F.count_if(F.col("relearn_status") == "skipped").alias("skipped_relearn_batches"),
             F.max_by("threshold", "batch_id").alias("final_threshold")).first()
+        warm = self.scored().filter(F.col("learning_phase") == "warmup").agg(F.count_distinct("slice_id")).first()[0]
         return summarize(self.scored()).withColumns({
-            "warmup_batches": F.lit(self.settings.warmup_batches).cast("long"),
+            "warmup_batches": F.lit(warm).cast("long"),
             "memory_size": F.lit(self.settings.memory).cast("long"),
             **{name: F.lit(log[name]) for name in log.asDict()}})
 

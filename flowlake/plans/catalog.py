@@ -19,7 +19,6 @@ from ..functions.ports import port_band, service_name
 from ..functions.text import canonical_protocol, infer_direction, normal_label
 from ..operators import evaluate, features, knn, ranking, reports, resample, scoring, similarity, summary
 from ..operators.baseline import FlowBaseline, context_totals
-from ..operators.encoder import FlowEncoder
 from ..operators.params import GroupParams
 from ..operators.positions import assign_batches, time_order, with_position
 from ..operators.prepare import (add_volumes, coerce_numbers, derive_missing, detect_units,
@@ -27,11 +26,10 @@ from ..operators.prepare import (add_volumes, coerce_numbers, derive_missing, de
                                  scale_times, standardize_columns)
 from ..operators.triplet import triplet_loss
 from ..schema import ENCODER_COLUMNS, FEATURE_COLUMNS
-from ..session import scratch_path, spread
+from ..session import cut_lineage, scratch_path, spread
 from ..sources import csv_flows, sinks
-from ..streaming.adaptive_stream import deduplicated, start_adaptive_stream
+from ..streaming.adaptive_stream import start_adaptive_stream
 from .adaptive import AdaptiveSettings, adaptive_per_source, adaptive_run
-from .embedding import embed_and_evaluate
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEEP = StorageLevel.MEMORY_AND_DISK
@@ -55,7 +53,8 @@ def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_flows(spark: SparkSession, sf_dir: str, rank: int = 0, by: str | None = None,
                  **options) -> tuple[DataFrame, FlowBaseline]:
     estimator = FlowBaseline(rank=rank, by=by)
-    result = estimator.fit_transform(fx.flows(spark, sf_dir), KEEP, **options)
+    result = cut_lineage(estimator.fit_transform(fx.flows(spark, sf_dir), KEEP, **options), "scored")
+    estimator.model.release()
     return result, estimator
 
 
@@ -492,6 +491,31 @@ def per_source_combined(spark, sf_dir):
     return summary.combined_source_summary(result, each, 0.08)
 
 
+@query
+def per_source_flags(spark, sf_dir):
+    """Models per source without a subspace."""
+    result, _ = scored_flows(spark, sf_dir, by="dataset_source")
+    return rounded(result.select("flow_id", "dataset_source", "anomaly_score", "is_anomaly", "traffic_class"))
+
+
+@query
+def per_source_overview(spark, sf_dir):
+    result, estimator = scored_flows(spark, sf_dir, by="dataset_source")
+    each = summary.per_source_summary(result, estimator.model.thresholds)
+    return rounded(summary.combined_source_summary(result, each, 0.08))
+
+
+@query
+def score_unseen_flows(spark, sf_dir):
+    """Fit without a subspace on the known normal flows, score all."""
+    flows = fx.flows(spark, sf_dir)
+    model = FlowBaseline(rank=0).fit(ranking.benign_reference(flows), KEEP)
+    scored = cut_lineage(model.transform(flows, storage_level=KEEP).select(
+        "flow_id", "anomaly_score", "is_anomaly", "risk_level", "traffic_class"), "scored")
+    model.release()
+    return rounded(scored)
+
+
 # -- ranking -----------------------------------------------------------------------------------
 
 @query
@@ -551,10 +575,10 @@ def batch_assign(spark, sf_dir):
 
 # -- adaptive and streaming --------------------------------------------------------------------------
 
-def _adaptive(spark, sf_dir):
+def _adaptive(spark, sf_dir, **settings):
     """A third of the table per batch: the warm-up and two steps at any scale."""
     flows = fx.flows(spark, sf_dir)
-    return adaptive_run(flows, AdaptiveSettings(batch_size=-(-flows.count() // 3)))
+    return adaptive_run(flows, AdaptiveSettings(batch_size=-(-flows.count() // 3), **settings))
 
 
 @query
@@ -580,16 +604,43 @@ def adaptive_by_source(spark, sf_dir):
     return rounded(summaries)
 
 
+@query
+def adaptive_flags(spark, sf_dir):
+    """The adaptive run without a subspace."""
+    return rounded(_adaptive(spark, sf_dir, rank=0).scored().select(
+        "flow_id", "batch_id", "slice_id", "learning_phase", "anomaly_score", "is_anomaly", "traffic_class"))
+
+
+@query
+def adaptive_overview(spark, sf_dir):
+    return rounded(_adaptive(spark, sf_dir, rank=0).summary())
+
+
+@query
+def relearn_overview(spark, sf_dir):
+    return rounded(_adaptive(spark, sf_dir, rank=0).batch_summaries())
+
+
 @query
 def stream_adaptive(spark, sf_dir):
     """The fixture as a stream: three deliveries, each scored as it arrives."""
+    return _streamed(spark, sf_dir, AdaptiveSettings())
+
+
+@query
+def stream_flags(spark, sf_dir):
+    """The stream without a subspace."""
+    return _streamed(spark, sf_dir, AdaptiveSettings(rank=0))
+
+
+def _streamed(spark, sf_dir, settings):
     root = scratch_path(spark, "stream")
     flows = fx.flows(spark, sf_dir)
     placed = assign_batches(flows, -(-flows.count() // 3), "flow_id").drop("position")
     for i in range(3):
         placed.filter(F.col("slice_id") == i).drop("slice_id").write.mode("append").parquet(f"{root}/input")
         stream = spark.readStream.schema(flows.schema).parquet(f"{root}/input")
-        start_adaptive_stream(deduplicated(stream), f"{root}/run", AdaptiveSettings()).awaitTermination()
+        start_adaptive_stream(stream, f"{root}/run", settings).awaitTermination()
     scored = spark.read.parquet(f"{root}/run/scored")
     return rounded(scored.select("flow_id", F.col("batch_id").cast("long").alias("batch_id"), "learning_phase",
                                  "anomaly_score", "is_anomaly"))
@@ -625,7 +676,7 @@ def balanced_resample(spark, sf_dir):
 @query
 def triplet_loss_query(spark, sf_dir):
     vectors = fx.embeddings(spark, sf_dir).withColumn("batch", F.floor(F.col("vec_id") / 128))
-    return rounded(triplet_loss(vectors, "batch").filter("anchors > 0"))
+    return rounded(triplet_loss(vectors, "batch"))
 
 
 _QUERIES["triplet_loss"] = _QUERIES.pop("triplet_loss_query")
@@ -692,33 +743,6 @@ def embedding_kpis(spark, sf_dir):
     return rounded(similarity.embedding_kpis(fx.embeddings(spark, sf_dir)))
 
 
-def _labelled(spark, sf_dir):
-    return scored_flows(spark, sf_dir, rank=4)[0]
-
-
-@query
-def encoder_fit_loss(spark, sf_dir):
-    """Mean triplet loss per epoch of a short training run."""
-    flows = resample.training_labels(_labelled(spark, sf_dir))
-    model = FlowEncoder(epochs=4, steps_per_epoch=2).fit(flows, "training_label")
-    return rounded(spark.createDataFrame(list(enumerate(model.losses)), "epoch int, loss double"), 4)
-
-
-@query
-def encode_flows(spark, sf_dir):
-    flows = resample.training_labels(_labelled(spark, sf_dir))
-    embedded = FlowEncoder(epochs=2).fit(flows, "training_label").embed(flows)
-    return embedded.select("flow_id", F.size("embedding").alias("size"),
-                           F.round(F.expr("aggregate(embedding, 0D, (s, x) -> s + x * x)"), 4).alias("squared_length"))
-
-
-@query
-def encoder_kpis(spark, sf_dir):
-    """Train, split, vote and measure in one job."""
-    result = embed_and_evaluate(_labelled(spark, sf_dir), FlowEncoder(epochs=6))
-    return rounded(result.kpis, 4)
-
-
 # -- reports -----------------------------------------------------------------------------------------
 
 @query

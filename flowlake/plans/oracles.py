@@ -119,13 +119,13 @@ RISK = ("CASE WHEN anomaly_score >= 18 THEN 'critical' WHEN anomaly_score >= 12
         "WHEN anomaly_score >= 7 THEN 'medium' ELSE 'low' END")
 
 
-def class_ctes(flagged: str, group: str = "g") -> list[str]:
-    """Signature classes of a table with features and ``is_anomaly``."""
+def class_ctes(flagged: str, group: str = "g", p: str = "") -> list[str]:
+    """Signature classes of a table with features and ``is_anomaly``; ``p`` goes before the tables' names."""
     return [
-        (f"cuts AS (SELECT {group} AS cg, quantile_cont(f_packets_per_sec, 0.6) AS pps, "
+        (f"{p}cuts AS (SELECT {group} AS cg, quantile_cont(f_packets_per_sec, 0.6) AS pps, "
          "quantile_cont(f_bytes_per_sec, 0.6) AS bps, quantile_cont(f_bytes_per_packet, 0.4) AS bpp "
          f"FROM {flagged} WHERE is_anomaly GROUP BY 1)"),
-        ("classed AS (SELECT t.*, CASE WHEN NOT is_anomaly THEN 'BENIGN' "
+        (f"{p}classed AS (SELECT t.*, CASE WHEN NOT is_anomaly THEN 'BENIGN' "
          "WHEN (CASE WHEN f_log_inter_arrival_mean_ms > 0.1 THEN f_log_inter_arrival_std_ms / "
          "(f_log_inter_arrival_mean_ms + 1e-6) ELSE 1 END) < 0.35 AND f_packets_per_sec < pps THEN 'Botnet' "
          "WHEN f_bytes_per_sec >= bps AND f_is_uncommon_port = 1 THEN 'Infiltration' "
@@ -134,10 +134,57 @@ def class_ctes(flagged: str, group: str = "g") -> list[str]:
          "WHEN f_tcp_syn_ratio >= 0.55 AND f_bytes_per_packet <= bpp AND failed_connections >= 1 THEN 'Port Scan' "
          "WHEN f_packets_per_sec >= pps AND f_tcp_syn_ratio >= 0.35 AND f_is_tcp = 1 THEN 'DoS/DDoS' "
          "WHEN f_bytes_per_sec >= bps AND f_packets_per_sec >= pps THEN 'DoS/DDoS' "
-         f"ELSE 'Unknown Anomaly' END AS traffic_class FROM {flagged} t LEFT JOIN cuts ON t.{group} = cuts.cg)"),
+         f"ELSE 'Unknown Anomaly' END AS traffic_class FROM {flagged} t LEFT JOIN {p}cuts ON t.{group} = {p}cuts.cg)"),
     ]
 
 
+def fit_ctes(p: str, source: str) -> list[str]:
+    """The model ``p`` (without a subspace) fitted on the rows of ``source``, down to its own threshold."""
+    feats = ", ".join(f"CAST({FEATURES[n]} AS DOUBLE) AS f_{n}" for n in FEATURE_COLUMNS)
+    return [
+        f"{p}feat AS (SELECT *, 0 AS g, {CONTEXT} AS context_key, {feats} FROM {source})",
+        f"{p}med AS (SELECT {_each('median(f_{n}) AS med_{n}')} FROM {p}feat)",
+        f"{p}mad AS (SELECT " + _each("CASE WHEN median(abs(f_{n} - med_{n})) = 0 THEN 1e-6 ELSE median(abs(f_{n} - med_{n})) END AS mad_{n}")
+        + f" FROM {p}feat, {p}med)",
+        f"{p}mean AS (SELECT " + _each("avg((f_{n} - med_{n}) / mad_{n}) AS m_{n}") + f" FROM {p}feat, {p}med, {p}mad)",
+        f"{p}freq AS (SELECT context_key, count(*) * 1.0 / (SELECT count(*) FROM {p}feat) AS frequency FROM {p}feat GROUP BY 1)",
+        *apply_ctes(f"{p}own", p, source)]
+
+
+def apply_ctes(q: str, p: str, source: str, floor: str = "NULL") -> list[str]:
+    """Rows of ``source`` scored and flagged by model ``p`` as ``q``flagged; ``floor`` is the least threshold."""
+    feats = ", ".join(f"CAST({FEATURES[n]} AS DOUBLE) AS f_{n}" for n in FEATURE_COLUMNS)
+    squares = " + ".join(f"power(least(greatest((f_{n} - med_{n}) / mad_{n} - m_{n}, -12), 12), 2)" for n in FEATURE_COLUMNS)
+    return [
+        f"{q}rows AS (SELECT *, 0 AS g, {CONTEXT} AS context_key, {feats} FROM {source})",
+        (f"{q}scores AS (SELECT r.*, 2.8 * sqrt(({squares}) / 20) + 0.85 * -ln(coalesce(frequency, 0.0001)) AS anomaly_score "
+         f"FROM {q}rows r CROSS JOIN {p}med CROSS JOIN {p}mad CROSS JOIN {p}mean LEFT JOIN {p}freq USING (context_key))"),
+        f"{q}centre AS (SELECT median(anomaly_score) FILTER (label = 'normal') AS mid FROM {q}scores)",
+        (f"{q}thr AS (SELECT greatest(quantile_cont(anomaly_score, 0.92), quantile_cont(anomaly_score, 0.995) FILTER (label = 'normal'), "
+         f"any_value(mid) + greatest(3.5 * (median(abs(anomaly_score - mid)) FILTER (label = 'normal')), 1.0), {floor}) AS threshold "
+         f"FROM {q}scores, {q}centre)"),
+        f"{q}flagged AS (SELECT s.*, threshold, anomaly_score >= threshold AS is_anomaly FROM {q}scores s, {q}thr)"]
+
+
+def _fitted(p: str) -> str:
+    return f"(SELECT threshold FROM {p}ownthr)"
+
+
+def adaptive_ctes() -> list[str]:
+    """Three batches: the first is the warm-up, the model is fitted anew on all normal flows after each."""
+    steps = ["""placed AS (SELECT *, row_number() OVER (ORDER BY "timestamp" NULLS LAST, flow_id) - 1 AS position FROM flows)""",
+             "sliced AS (SELECT *, position // ((SELECT count(*) + 2 FROM flows) // 3) AS slice_id FROM placed)",
+             *(f"part{k} AS (SELECT * FROM sliced WHERE slice_id = {k})" for k in range(3)),
+             "memory1 AS (SELECT * FROM part0 WHERE label = 'normal')",
+             "memory2 AS (SELECT * FROM sliced WHERE slice_id < 2 AND label = 'normal')",
+             *fit_ctes("m1", "memory1"), *fit_ctes("m2", "memory2")]
+    for k, model in enumerate(("m1", "m1", "m2")):
+        steps += apply_ctes(f"b{k}", model, f"part{k}", _fitted(model)) + class_ctes(f"b{k}flagged", p=f"b{k}")
+    columns = "flow_id, slice_id, protocol, label, anomaly_score, is_anomaly, threshold, traffic_class"
+    return [*steps, "result AS (" + " UNION ALL ".join(
+        f"SELECT {columns}, {k + 1} AS batch_id, '{'adapt' if k else 'warmup'}' AS phase FROM b{k}classed" for k in range(3)) + ")"]
+
+
 def scored_ctes(group: str = "0", source: str = "flows") -> list[str]:
     return (model_ctes(group, source) + class_ctes("flagged")
             + [f"result AS (SELECT *, {RISK} AS risk_level FROM classed)"])
@@ -402,6 +449,30 @@ def oracle_sql() -> dict[str, str]:
       FROM result JOIN (SELECT g, arg_min(protocol, (-n, protocol)) AS mode_protocol FROM (SELECT g, protocol, count(*) AS n
         FROM result GROUP BY g, protocol) GROUP BY g) USING (g) GROUP BY g, mode_protocol""")
 
+    # models per source, for other rows, and over batches, all without a subspace
+    q["per_source_flags"] = with_flows(*scored_ctes("dataset_source"), select="""SELECT flow_id, dataset_source,
+      round(anomaly_score, 6) AS anomaly_score, is_anomaly, traffic_class FROM result""")
+    q["per_source_overview"] = with_flows(*scored_ctes("dataset_source"), select=f"""SELECT {_summary()},
+      (SELECT protocol FROM result GROUP BY protocol ORDER BY count(*) DESC, protocol LIMIT 1) AS top_protocol,
+      (SELECT count(*) FROM thr) AS source_models,
+      (SELECT string_agg(g || '=' || CAST(round(threshold, 4) AS VARCHAR), ', ' ORDER BY g) FROM thr) AS per_source_thresholds,
+      round(quantile_cont(anomaly_score, 0.92), 6) AS overall_score_quantile FROM result""")
+    unseen = ["known AS (SELECT * FROM flows WHERE label = 'normal')", *fit_ctes("m", "known"),
+              *apply_ctes("a", "m", "flows", _fitted("m")), *class_ctes("aflagged")]
+    q["score_unseen_flows"] = with_flows(*unseen, select=f"""SELECT flow_id, round(anomaly_score, 6) AS anomaly_score, is_anomaly,
+      {RISK} AS risk_level, traffic_class FROM classed""")
+    q["adaptive_flags"] = with_flows(*adaptive_ctes(), select="""SELECT flow_id, batch_id, slice_id, phase AS learning_phase,
+      round(anomaly_score, 6) AS anomaly_score, is_anomaly, traffic_class FROM result""")
+    q["stream_flags"] = with_flows(*adaptive_ctes(), select="""SELECT flow_id, batch_id, phase AS learning_phase,
+      round(anomaly_score, 6) AS anomaly_score, is_anomaly FROM result""")
+    q["relearn_overview"] = with_flows(*adaptive_ctes(), select=f"""SELECT batch_id, phase,
+      {_summary(False).replace('AS total_flows', 'AS batch_size')}, round(any_value(threshold), 4) AS threshold,
+      CASE batch_id WHEN 1 THEN 'warmup' ELSE 'updated' END AS relearn_status FROM result GROUP BY batch_id, phase""")
+    q["adaptive_overview"] = with_flows(*adaptive_ctes(), select=f"""SELECT {_summary()},
+      (SELECT protocol FROM result GROUP BY protocol ORDER BY count(*) DESC, protocol LIMIT 1) AS top_protocol,
+      1 AS warmup_batches, 5 * ((SELECT count(*) + 2 FROM flows) // 3) AS memory_size, 3 AS adaptive_batches,
+      0 AS skipped_relearn_batches, round((SELECT threshold FROM b2thr), 6) AS final_threshold FROM result""")
+
     # ranking
     q["top_hits"] = with_flows(*s, select="""SELECT flow_id, src_ip, dst_ip, dst_port, protocol,
       round(anomaly_score, 6) AS anomaly_score FROM (SELECT *, row_number() OVER (PARTITION BY src_ip, dst_ip, dst_port,
@@ -437,8 +508,10 @@ def oracle_sql() -> dict[str, str]:
       FROM embeddings), pairs AS (SELECT a.batch, a.vec_id, a.label = b.label AS same,
       1 - least(greatest(list_dot_product(a.v, b.v), -1), 1) AS d FROM e a JOIN e b ON a.batch = b.batch
       AND a.vec_id <> b.vec_id), hard AS (SELECT batch, vec_id, max(d) FILTER (same) AS pos, min(d) FILTER (NOT same) AS neg
-      FROM pairs GROUP BY 1, 2) SELECT batch, count(*) AS anchors, round(avg(greatest(pos - neg + 0.3, 0)), 6) AS loss
-      FROM hard WHERE pos IS NOT NULL AND neg IS NOT NULL GROUP BY batch"""
+      FROM pairs GROUP BY 1, 2), anchors AS (SELECT batch, greatest(pos - neg + 0.3, 0) AS loss FROM hard
+      WHERE pos IS NOT NULL AND neg IS NOT NULL)
+      SELECT b.batch, count(loss) AS anchors, round(coalesce(avg(loss), 0), 6) AS loss
+      FROM (SELECT DISTINCT batch FROM e) b LEFT JOIN anchors USING (batch) GROUP BY b.batch"""
     q["knn_predict"] = f"WITH {_KNN} SELECT id, predicted FROM best"
     q["knn_proba"] = f"""WITH {_KNN}, classes AS (SELECT DISTINCT CAST(label AS VARCHAR) AS class FROM split WHERE NOT is_test)
       SELECT id, class, round(coalesce(n, 0) / 7.0, 6) AS probability FROM best CROSS JOIN classes

@@ -41,7 +41,7 @@ def is_flow_file(name: Column) -> Column:
 def discover(spark: SparkSession, paths: list[str]) -> list[str]:
     """CSV files named by ``paths`` or anywhere below them, in path order."""
     for path in paths:
-        if "." in path.rsplit("/", 1)[-1] and not path.lower().endswith(".csv"):
+        if not path.lower().endswith(".csv") and _is_file(spark, path):
             raise ValueError(f"unsupported file type: {path}")
     # Only path columns are used, so no file content is read here.
     listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -53,6 +53,12 @@ def discover(spark: SparkSession, paths: list[str]) -> list[str]:
     return found
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(place) and system.getFileStatus(place).isFile()
+
+
 def _lines(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
     if encoding == UTF8:
         return spark.read.text(paths).select("value", "_metadata")
@@ -111,8 +117,8 @@ def _unique(names: list[str]) -> tuple[str, ...]:
 
 
 def read_group(spark: SparkSession, group: FileGroup, paths: list[str] | None = None) -> DataFrame:
-    """All cells as text, missing ones null; ``_path`` and ``_too_long`` say where from
-    and whether the row has more cells than the header."""
+    """All cells as text, missing ones null; ``_path``, ``_block`` and ``_line`` say where
+    from, ``_too_long`` whether the row has more cells than the header."""
     # One column more than the header has: only a row that is too long fills it.
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*group.columns, "_extra")])
     raw = (spark.read.schema(schema)
@@ -122,6 +128,7 @@ def read_group(spark: SparkSession, group: FileGroup, paths: list[str] | None =
     cells = [F.when(~F.col(f"`{c}`").isin(MISSING_TEXTS), _decoded(F.col(f"`{c}`"), group.encoding)).alias(c)
              for c in group.columns]
     return raw.select(*cells, F.col("_metadata.file_path").alias("_path"),
+                      F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"),
                       F.col("_extra").isNotNull().alias("_too_long"))
 
 
@@ -140,8 +147,10 @@ def quarantine_report(spark: SparkSession, groups: list[FileGroup]) -> DataFrame
 def load_flows(spark: SparkSession, paths: list[str], **prepare) -> tuple[DataFrame, DataFrame]:
     """Canonical flows of all readable files, and the per-file report.
 
-    A file with unusable ports or ragged rows is left out as a whole.
+    A file with unusable ports or ragged rows is left out as a whole. Files
+    without a time column are spaced in line order, each from the same start.
     """
+    prepare.setdefault("order_by", [F.col("_path"), F.col("_block"), F.col("_line")])
     groups = inspect(spark, discover(spark, paths))
     report = quarantine_report(spark, groups)
     # One row per file: the same list the scan itself needs on the driver.
@@ -151,8 +160,8 @@ def load_flows(spark: SparkSession, paths: list[str], **prepare) -> tuple[DataFr
     for group in groups:
         kept = [p for p in group.paths if p in accepted]
         if kept:
-            raw = read_group(spark, group, kept).drop("_path", "_too_long")
-            tables.append(prepare_flows(raw, **prepare))
+            raw = read_group(spark, group, kept).drop("_too_long")
+            tables.append(prepare_flows(raw, source="_path", **prepare).drop("_path", "_block", "_line"))
     if not tables:
         raise FileNotFoundError("no readable CSV inputs")
     flows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)

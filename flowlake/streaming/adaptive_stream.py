@@ -10,14 +10,6 @@ from ..operators.positions import time_order, with_position
 from ..plans.adaptive import AdaptiveLearner, AdaptiveSettings
 from ..session import cut_lineage
 
-_BATCH_BITS = 40  # room for the rows of one micro-batch in a global position
-
-
-def deduplicated(stream: DataFrame, key: str = "flow_id", delay: str = "1 hour") -> DataFrame:
-    """Drop re-sent flows that arrive within ``delay`` of event time."""
-    return stream.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark([key])
-
-
 def start_adaptive_stream(stream: DataFrame, root: str, settings: AdaptiveSettings = AdaptiveSettings(),
                           **trigger) -> StreamingQuery:
     """Score canonical flows as they arrive, relearning after every micro-batch.
@@ -25,17 +17,29 @@ def start_adaptive_stream(stream: DataFrame, root: str, settings: AdaptiveSettin
     Results and state are tables below ``root``. State versions are keyed by
     the micro-batch id: a replayed micro-batch starts from the version before
     it and overwrites its own output, so every flow is scored exactly once.
+    Re-sent flows are found by their key in the table of all keys seen so far;
+    flows may arrive as late as they like, and those without a key all count.
     """
     learner = AdaptiveLearner(stream.sparkSession, root, settings)
     warm = max(1, settings.warmup_batches)
 
+    def fresh(batch: DataFrame, epoch: int) -> DataFrame:
+        """The flows of a micro-batch that no earlier one delivered, each key once."""
+        key = settings.key
+        keyed = batch.filter(F.col(key).isNotNull()).dropDuplicates([key])
+        if epoch:
+            kind = batch.schema[key].dataType.simpleString()
+            seen = stream.sparkSession.read.schema(f"`{key}` {kind}, epoch long").parquet(f"{root}/keys")
+            keyed = keyed.join(seen.filter(F.col("epoch") < epoch).select(key), key, "left_anti").select(batch.columns)
+        return keyed.unionByName(batch.filter(F.col(key).isNull()))
+
     def on_batch(batch: DataFrame, epoch: int) -> None:
         warm_seen, last = learner.epoch_state(epoch - 1)
-        # Written first: a stateful stream must not be replayed for each use of the batch.
-        placed = with_position(cut_lineage(batch, "micro"), time_order(settings.key))
-        placed = placed.withColumns({"position": F.col("position") + F.lit(epoch << _BATCH_BITS),
-                                     "slice_id": F.lit(epoch).cast("long")})
-        if placed.isEmpty():        # a micro-batch that only moves the watermark
+        new = cut_lineage(fresh(batch, epoch), "micro")
+        new.select(settings.key).write.mode("overwrite").parquet(f"{root}/keys/epoch={epoch}")
+        # positions count within the micro-batch, which is the slice
+        placed = with_position(new, time_order(settings.key)).withColumn("slice_id", F.lit(epoch).cast("long"))
+        if placed.isEmpty():
             pass
         elif warm_seen < warm:
             learner._write("warmup", warm_seen, placed)

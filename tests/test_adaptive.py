@@ -3,9 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import adaptive
-from flowlake.plans.adaptive import AdaptiveSettings, adaptive_per_source, adaptive_run
+from flowlake.plans.adaptive import AdaptiveSettings, adaptive_per_source, adaptive_run, latest_by_position
 from flowlake.session import scratch_path
-from flowlake.streaming.adaptive_stream import deduplicated, start_adaptive_stream
+from flowlake.streaming.adaptive_stream import start_adaptive_stream
 
 SETTINGS = AdaptiveSettings(batch_size=350, memory_size=500)
 
@@ -46,7 +46,7 @@ def test_few_normals_skip_relearning(flows):
 def test_sources_side_by_side(flows):
     scored, summaries = adaptive_per_source(flows, AdaptiveSettings(batch_size=200), parallel=3)
     assert scored.count() == flows.count()
-    assert {r.dataset_source for r in summaries.collect()} == {"src_a", "src_b", "src_c"}
+    assert {r.dataset_source for r in summaries.collect()} == {"shop", "office", "branch"}
 
 
 def test_stream_equals_batch(spark, flows, run, flow_frame):
@@ -60,7 +60,7 @@ def test_stream_equals_batch(spark, flows, run, flow_frame):
         part = part.unionByName(part.limit(5)) if i == 1 else part          # a few flows are sent twice
         part.coalesce(1).write.mode("append").parquet(f"{root}/input")
         stream = spark.readStream.schema(schema).parquet(f"{root}/input")
-        jobs = start_adaptive_stream(deduplicated(stream), f"{root}/run", SETTINGS)
+        jobs = start_adaptive_stream(stream, f"{root}/run", SETTINGS)
         jobs.awaitTermination()
     got = spark.read.parquet(f"{root}/run/scored").filter("learning_phase IS NOT NULL")
     want = run.scored()
@@ -68,3 +68,30 @@ def test_stream_equals_batch(spark, flows, run, flow_frame):
     assert got.count() == want.count() == len(ids)
     assert join.filter("abs(g.anomaly_score - w.anomaly_score) > 1e-6 OR g.is_anomaly <> w.is_anomaly "
                        "OR g.batch_id <> w.batch_id").count() == 0
+
+
+def test_late_and_untimed_flows_are_scored(spark, flows):
+    """A flow that arrives hours late, one without a time, and one that was sent before."""
+    root = scratch_path(spark, "late-test")
+    first = flows.orderBy(F.desc("timestamp")).limit(300)
+    late = flows.join(first, "flow_id", "left_anti").select(flows.columns).orderBy("timestamp").limit(100)
+    untimed = late.limit(1).withColumn("flow_id", F.lit(10 ** 6).cast(flows.schema["flow_id"].dataType)).withColumn(
+        "timestamp", F.lit(None).cast("timestamp"))
+    for part in (first, late.unionByName(untimed).unionByName(first.limit(7))):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/input")
+        stream = spark.readStream.schema(flows.schema).parquet(f"{root}/input")
+        start_adaptive_stream(stream, f"{root}/run", SETTINGS).awaitTermination()
+    assert spark.read.parquet(f"{root}/run/scored").count() == 401
+
+
+def test_latest_rows_at_high_slice_numbers(spark):
+    for low in (2 ** 13, 2 ** 17, 2 ** 24):
+        rows = spark.range(1000).select((F.col("id") % 10 + low).alias("slice_id"), F.floor(F.col("id") / 10).alias("position"))
+        kept = latest_by_position(rows, 130, 1000).collect()
+        want = sorted(((s + low, p) for s in range(10) for p in range(100)), reverse=True)[:130]
+        assert sorted(((r.slice_id, r.position) for r in kept), reverse=True) == want
+
+
+def test_warmup_is_counted_in_slices_there_are(flows):
+    learner = adaptive_run(flows, AdaptiveSettings(batch_size=500, warmup_batches=9))
+    assert learner.summary().first().warmup_batches == 2

@@ -8,6 +8,7 @@ from flowlake.operators.baseline import FlowBaseline, FlowBaselineModel, clipped
 from flowlake.operators.features import add_context_key, add_features
 from flowlake.operators.scoring import risk_band
 from flowlake.schema import TRAFFIC_CLASSES
+from flowlake.session import scratch_path
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +100,23 @@ def test_small_rules(spark):
     table = spark.createDataFrame([(v,) for v in (18.0, 17.99, 12.0, 7.0, 6.99)], "v double")
     assert [r[0] for r in table.select(risk_band(F.col("v"))).collect()] == [
         "critical", "high", "high", "medium", "low"]
+
+
+def test_null_features_are_refused_with_their_number(flows):
+    broken = flows.withColumn("dst_port", F.when(F.col("flow_id") >= 3, F.col("dst_port")))
+    with pytest.raises(ValueError, match="^3 flows"):
+        FlowBaseline(rank=0).fit(broken)
+
+
+@pytest.mark.parametrize("kind", ["boolean", "double", "date"])
+def test_typed_group_keys(spark, flows, kind):
+    key = {"boolean": F.col("flow_id") % 2 == 0, "double": (F.col("flow_id") % 2).cast("double"),
+           "date": F.date_add(F.lit("2024-01-01").cast("date"), (F.col("flow_id") % 2).cast("int"))}[kind]
+    keyed = flows.withColumn("part", key)
+    estimator = FlowBaseline(by="part")
+    scored = estimator.fit_transform(keyed)
+    path = scratch_path(spark, "model")
+    estimator.model.save(path)
+    again = FlowBaselineModel.load(spark, path)
+    assert again.thresholds == estimator.model.thresholds and len(again.thresholds) == 2
+    assert scored.filter("anomaly_score IS NULL").count() == 0

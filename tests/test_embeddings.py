@@ -3,10 +3,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlake import fixtures
-from flowlake.operators import knn
+from flowlake.operators import knn, similarity
 from flowlake.operators.evaluate import classification_report, confusion_matrix
 from flowlake.operators.similarity import class_sums, cosine_to, inter_class, intra_class
-from flowlake.operators.triplet import batch_loss
+from flowlake.operators.triplet import batch_loss, triplet_loss
 from conftest import SF
 
 
@@ -60,8 +60,6 @@ def test_similarity_of_single_row_classes(vectors):
     for r in inter_class(sums).collect():
         a, b = (unit[(frame["label"] == c).to_numpy()] for c in (r.class_a, r.class_b))
         assert r.inter_cosine == pytest.approx((a @ b.T).mean(), abs=1e-12)
-    with pytest.raises(ValueError):
-        cosine_to(vectors, vectors, max_probes=10)
 
 
 def test_triplet_loss_by_pairs():
@@ -77,3 +75,22 @@ def test_triplet_loss_by_pairs():
             losses.append(max(0.0, max(pos) - min(neg) + 0.3))
     assert batch_loss(v, labels) == (len(losses), pytest.approx(np.mean(losses)))
     assert batch_loss(v, np.zeros(20)) == (0, 0.0)
+
+
+def test_probes_in_one_or_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = [(int(k), [float(x) for x in rng.normal(size=4)]) for k in range(1100)]
+    vectors = spark.createDataFrame(data[:3], "vec_id long, embedding array<float>")
+    probes = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    whole = {(r.vec_id, r.probe): r.cosine for r in cosine_to(vectors, probes).collect()}
+    assert len(whole) == 3300
+    monkeypatch.setattr(similarity, "PROBE_BYTES", 20_000)
+    assert {(r.vec_id, r.probe): r.cosine for r in cosine_to(vectors, probes).collect()} == whole
+    unit = {k: np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for k, v in data}
+    assert all(abs(c - unit[a] @ unit[b]) < 1e-9 for (a, b), c in whole.items())
+
+
+def test_batches_without_anchors_have_loss_zero(spark):
+    rows = [(0, "a", [1.0, 0.0]), (0, "a", [0.0, 1.0]), (1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.0]), (2, "a", [0.6, 0.8]), (2, "b", [0.0, 1.0])]
+    found = triplet_loss(spark.createDataFrame(rows, "batch long, label string, embedding array<double>"), "batch")
+    assert {r.batch: (r.anchors, r.loss > 0) for r in found.collect()} == {0: (0, False), 1: (0, False), 2: (2, True)}

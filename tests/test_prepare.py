@@ -5,8 +5,8 @@ from flowlake.functions.numeric import fixed_text, parse_number
 from flowlake.functions.ports import port_band, port_of_service
 from flowlake.functions.text import (canonical_protocol, failed_state, infer_direction, is_known_attack,
                                      normal_label, parse_timestamp)
-from flowlake.operators.prepare import (coerce_numbers, column_key, detect_units, prepare_flows,
-                                        standardize_columns)
+from flowlake.operators.prepare import (coerce_numbers, column_key, detect_units, parse_timestamps,
+                                        prepare_flows, standardize_columns)
 
 
 def one(spark, values, expression, kind="string"):
@@ -52,8 +52,19 @@ def test_lookups(spark):
 def test_timestamps(spark):
     values = ["2024-01-02 03:04:05", "7/13/2017 8:59", "13/7/2017 8:59", "junk", None, "1500000000000000000"]
     got = [str(v) if v else None for v in one(spark, values, lambda c: parse_timestamp(c).cast("string"))]
-    assert got == ["2024-01-02 03:04:05", "2017-07-13 08:59:00", "2017-07-13 08:59:00", None, None,
-                   "2017-07-14 02:40:00"]
+    assert got == ["2024-01-02 03:04:05", "2017-07-13 08:59:00", None, None, None, "2017-07-14 02:40:00"]
+    got = [str(v) if v else None for v in one(spark, values, lambda c: parse_timestamp(c, day_first=True).cast("string"))]
+    assert got[1:3] == [None, "2017-07-13 08:59:00"]
+
+
+def test_day_and_month_are_told_apart_per_file(spark):
+    rows = [("a", "12/07/2017 08:59"), ("a", "13/07/2017 08:59"), ("b", "12/07/2017 08:59"), ("b", "12/13/2017 08:59"), ("c", "2017-01-02 00:00:00"),
+            ("c", None)]
+    table = spark.createDataFrame(rows, "file string, timestamp string")
+    got = [(r.file, str(r.timestamp)[:10]) for r in parse_timestamps(table, source="file").orderBy("file", "timestamp").collect()]
+    assert got == [("a", "2017-07-12"), ("a", "2017-07-13"), ("b", "2017-12-07"), ("b", "2017-12-13"), ("c", "None"), ("c", "2017-01-02")]
+    one_file = parse_timestamps(table.filter("file = 'a'")).orderBy("timestamp").collect()
+    assert [str(r.timestamp)[:10] for r in one_file] == ["2017-07-12", "2017-07-13"]
 
 
 def test_aliases(spark):

@@ -73,3 +73,19 @@ def test_round_trip(spark, flows, tmp_path):
 def test_wide_embeddings(spark, flows):
     table = fixtures.embeddings(spark, SF).withColumn("src_ip", F.lit("1"))
     assert embeddings_wide(table).columns == ["src_ip", "label"] + [f"emb_{i}" for i in range(64)]
+
+
+def test_dotted_folders_and_times_that_start_anew(spark, tmp_path):
+    base = tmp_path / "flows.v1"
+    base.mkdir()
+    for name, n in (("a.csv", 3), ("b.csv", 400)):
+        (base / name).write_text("src_ip,dst_port\n" + "".join(f"10.1.{k // 200}.{k % 200},443\n" for k in range(n)))
+    flows, _ = load_flows(spark, [str(base)])
+    times = sorted(str(r.timestamp) for r in flows.collect())
+    assert times[:5] == ["2026-04-20 00:00:00"] * 2 + ["2026-04-20 00:00:05"] * 2 + ["2026-04-20 00:00:10"]
+    for r in flows.collect():
+        a, b = map(int, r.src_ip.split(".")[2:])
+        assert (r.timestamp.hour * 3600 + r.timestamp.minute * 60 + r.timestamp.second) == 5 * (a * 200 + b)
+    with pytest.raises(ValueError):
+        (tmp_path / "x.json").write_text("{}")
+        load_flows(spark, [str(tmp_path / "x.json")])
