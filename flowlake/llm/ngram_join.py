@@ -8,8 +8,8 @@ with fewer words has the whole sequence as its one n-gram. Two texts link when `
 2. Texts that link share an n-gram among the rarest ``n - ceil(num * n / den) + 1`` of each. Texts that share
    one get the least of them as group; groups are cut into blocks of at most ``BLOCK`` texts and every two
    blocks of a group meet, so a hot group takes many tasks.
-3. Within two blocks, counts of the n-grams in 64 bins bound the difference of two sets from below. Texts that
-   can link with none leave; only the sets of the rest are fetched.
+3. Within two blocks, counts of the n-grams in bins, about sixteen to a bin, bound the difference of two sets from
+   below. Texts that can link with none leave; only the sets of the rest are fetched.
 4. The rest are stored in a trie in the common order. Each set walks down it once: a node's overlap is its
    parent's plus its own, shared by all sets below, and a subtree ends as soon as what is left of the set or
    below the node cannot reach the overlap that is needed.
@@ -45,7 +45,7 @@ FREQUENT = 1 << 20
 #: An n-gram of more than this share of all texts is a group of its own.
 HOT_SHARE = 0.05
 BLOCK = 512
-_BINS = 64
+_BINS = (5, 14)  # least and most bits of a bin's number
 _ROUTE_BITS = 1 << 26
 
 
@@ -94,6 +94,17 @@ def _set_names(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarra
     return size, np.where(size > 0, name, 0).astype(np.uint64)
 
 
+def binned(row: np.ndarray, value: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Per row how many n-grams lie in each of its bins (255 at most), by the leading bits of their hashes. The
+    number of bins is the power of two that gives a bin eight to sixteen n-grams."""
+    bits = np.clip(np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64) - 4, *_BINS)
+    end = np.cumsum(1 << bits)
+    begin = end - (1 << bits)
+    counts = np.bincount(begin[row] + (value >> (64 - bits[row]).astype(np.uint64)).astype(np.int64), minlength=int(end[-1]) if len(end) else 0)
+    counts = np.minimum(counts, 255).astype(np.uint8)
+    return [counts[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist())]
+
+
 def _count(rule: Rule):
     """Per text its set's name, size and bins; n-grams that occur in several texts of a buffer, with that number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,12 +124,11 @@ def _count(rule: Rule):
                 rows = high - low
                 row, value = ngram_sets(data, offsets, rule.width)
                 size, name = _set_names(row, value, rows)
-                bins = np.bincount(row * _BINS + (value >> np.uint64(58)).astype(np.int64), minlength=rows * _BINS)
-                bins = np.minimum(bins, 255).astype(np.uint8).tobytes()
+                bins = binned(row, value, size)
                 none = pa.nulls(rows, pa.int64())
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0).slice(low, rows), "node": K.signed(name), "size": pa.array(size),
-                    "bins": pa.array([bins[k * _BINS:(k + 1) * _BINS] for k in range(rows)], pa.binary()), "token": none, "n": none})
+                    "bins": pa.array(bins, pa.binary()), "token": none, "n": none})
                 fresh = np.array([not (x in seen or seen.add(x)) for x in name.tolist()], bool)
                 value = value[fresh[row]]
                 buffer.append(value)
@@ -203,6 +213,11 @@ def _halves(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     return np.flatnonzero(block == i), np.flatnonzero(block == j), i == j
 
 
+def folded(bins: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bins as rows of ``width`` coarser ones."""
+    return bins.reshape(len(bins), width, -1).sum(2, dtype=np.int32)
+
+
 def _possible(rule: Rule):
     """Of every two blocks, the texts that can link with another one by sizes and bins."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,17 +226,23 @@ def _possible(rule: Rule):
                 continue
             left, right, same = _halves(table)
             size = table.column("size").to_numpy().astype(np.int64)
-            bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, _BINS).astype(np.int16)
+            bins = [np.frombuffer(x, np.uint8).astype(np.int16) for x in table.column("bins").to_pylist()]
+            width = np.array([len(x) for x in bins])
             keep = np.zeros(table.num_rows, bool)
+            by_width = {int(w): right[width[right] == w] for w in np.unique(width[right])}
+            stored = {w: np.stack([bins[k] for k in at]) for w, at in by_width.items()}
             for k in left.tolist():
-                apart = np.abs(bins[right] - bins[k]).sum(1)
-                most = (size[k] + size[right] - apart) // 2  # common n-grams at most
-                can = np.minimum(most, np.minimum(size[k], size[right])) >= rule.needed(size[k], size[right])
-                if same:
-                    can &= right != k
-                if can.any():
-                    keep[k] = True
-                    keep[right[can]] = True
+                for w, at in by_width.items():
+                    near = np.flatnonzero((rule.den * np.minimum(size[k], size[at]) >= rule.num * np.maximum(size[k], size[at])) & (at != k))
+                    if not len(near):
+                        continue
+                    both = min(w, len(bins[k]))  # the coarser bins are sums of the finer ones
+                    apart = np.abs(folded(stored[w][near], both) - folded(bins[k][None], both)).sum(1)
+                    most = (size[k] + size[at[near]] - apart) // 2  # common n-grams at most
+                    can = near[most >= rule.needed(size[k], size[at[near]])]
+                    if len(can):
+                        keep[k] = True
+                        keep[at[can]] = True
             if keep.any():
                 yield from table.filter(pa.array(keep)).select(["leader", "i", "j", "block", "node"]).to_batches()
     return run
