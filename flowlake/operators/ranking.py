@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_key
 from ..functions.text import is_known_attack, is_known_normal
 from ..schema import MIN_BENIGN_ROWS, SIGNATURE_COLUMNS
-from .positions import place, time_order
 from .quantiles import smallest_cut
 
+#: Microseconds beyond any timestamp, exact as a double.
+_AFTER_ALL = float(1 << 53)
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("count"))
@@ -57,9 +59,21 @@ def lowest_scores(scored: DataFrame, count: int, key: str = "flow_id") -> DataFr
 
 
 def latest_rows(flows: DataFrame, count: int, key: str = "flow_id") -> DataFrame:
-    """The last ``count`` rows in time order."""
-    placed = place(flows, time_order(key))
-    return placed.rows(max(0, placed.total - count)).drop("position")
+    """The last ``count`` rows in time order: nulls last, ``key`` (a number) settles equal times.
+
+    Two cuts found by counting, of the time and of the keys at that time; no
+    sort of the table.
+    """
+    total = flows.count()
+    if total <= count:
+        return flows
+    time = F.coalesce(F.unix_micros(F.col("timestamp")).cast("double"), F.lit(_AFTER_ALL))
+    cut = -smallest_cut(flows, -time, {None: count}, {None: total})[None]
+    later, same = flows.filter(time > cut), flows.filter(time == cut)
+    left = count - later.count()
+    keys = -F.col(key)
+    last = smallest_cut(same, keys, {None: left}, {None: same.count()})[None]
+    return flows.filter((time > cut) | ((time == cut) & (keys <= last)))
 
 
 def limit_rows(df: DataFrame, max_rows: int | None, key: str, seed: int = 42) -> DataFrame:

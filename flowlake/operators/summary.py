@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_known_attack, is_known_normal
+from ..schema import TRAFFIC_CLASSES
 from .quantiles import exact_quantiles
 
 
@@ -54,11 +55,18 @@ def quality_columns(with_recall: bool = True) -> list[Column]:
     return columns
 
 
-def summarize(scored: DataFrame, by: list[str] | None = None, with_recall: bool = True) -> DataFrame:
-    """The summary row of a scored table, or one row per group."""
+def summarize(scored: DataFrame, by: list[str] | None = None, with_recall: bool = True,
+              with_classes: bool = False) -> DataFrame:
+    """The summary row of a scored table, or one row per group.
+
+    ``with_classes`` adds ``class_breakdown``, the flows of each traffic class.
+    """
     columns = [*score_columns(), top_protocol_column()]
     if "label" in scored.columns:
         columns += quality_columns(with_recall)
+    if with_classes:  # the classes are a fixed short list, so a column counts each
+        counts = [F.struct(F.lit(c).alias("key"), F.count_if(F.col("traffic_class") == c).alias("value")) for c in TRAFFIC_CLASSES]
+        columns.append(F.map_from_entries(F.filter(F.array(*counts), lambda x: x["value"] > 0)).alias("class_breakdown"))
     return scored.groupBy(*(by or [])).agg(*columns)
 
 

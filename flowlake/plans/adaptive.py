@@ -20,7 +20,7 @@ from ..operators.baseline import FlowBaseline, FlowBaselineModel
 from ..operators.positions import place, time_order
 from ..operators.quantiles import smallest_cut
 from ..operators.ranking import benign_reference
-from ..operators.summary import batch_summary, summarize
+from ..operators.summary import batch_summary, combined_source_summary, summarize
 from ..schema import SUBSPACE_RANK
 from ..session import scratch_path
 
@@ -191,14 +191,14 @@ class AdaptiveLearner:
         log = self.log_table().select("batch_id", F.round("threshold", 4).alias("threshold"), "relearn_status")
         return batch_summary(self.scored()).join(F.broadcast(log), "batch_id")
 
-    def summary(self) -> DataFrame:
+    def summary(self, with_classes: bool = False) -> DataFrame:
         """The overall summary with the batch counts and the last threshold."""
         log = self.log_table().agg(
             F.count("*").alias("adaptive_batches"),
             F.count_if(F.col("relearn_status") == "skipped").alias("skipped_relearn_batches"),
             F.max_by("threshold", "batch_id").alias("final_threshold")).first()
         warm = self.scored().filter(F.col("learning_phase") == "warmup").agg(F.count_distinct("slice_id")).first()[0]
-        return summarize(self.scored()).withColumns({
+        return summarize(self.scored(), with_classes=with_classes).withColumns({
             "warmup_batches": F.lit(warm).cast("long"),
             "memory_size": F.lit(self.settings.memory).cast("long"),
             **{name: F.lit(log[name]) for name in log.asDict()}})
@@ -248,3 +248,10 @@ def adaptive_per_source(flows: DataFrame, settings: AdaptiveSettings = AdaptiveS
     summaries = reduce(lambda a, b: a.unionByName(b), [
         one.batch_summaries().withColumn(by, F.lit(source)) for one, source in zip(learners, sources)])
     return scored, summaries
+
+
+def combined_summary(scored: DataFrame, summaries: DataFrame, contamination: float = 0.08,
+                     by: str = "dataset_source") -> DataFrame:
+    """One summary of the adaptive runs of all sources, with each source's last threshold."""
+    last = summaries.groupBy(by).agg(F.max_by("threshold", "batch_id").alias("threshold"))
+    return combined_source_summary(scored, last, contamination, by)

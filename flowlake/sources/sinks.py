@@ -12,6 +12,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_batch_summary(summaries: DataFrame, path: str) -> None:
+    """The batch summaries of an adaptive run as one CSV file, in batch order."""
+    write_csv(summaries.orderBy("batch_id").coalesce(1), path)
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
 

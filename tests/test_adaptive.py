@@ -3,8 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import adaptive
-from flowlake.plans.adaptive import AdaptiveSettings, adaptive_per_source, adaptive_run, latest_by_position
+from flowlake.plans.adaptive import AdaptiveSettings, adaptive_per_source, adaptive_run, combined_summary, latest_by_position
 from flowlake.session import scratch_path
+from flowlake.sources.sinks import write_batch_summary
 from flowlake.streaming.adaptive_stream import start_adaptive_stream
 
 SETTINGS = AdaptiveSettings(batch_size=350, memory_size=500)
@@ -32,6 +33,14 @@ def test_summary(run, flow_frame):
     row = run.summary().first()
     assert (row.adaptive_batches, row.warmup_batches, row.memory_size, row.total_flows) == (3, 1, 500, len(flow_frame))
     assert row.final_threshold == run.logged(3).threshold
+    counts = {r.traffic_class: r["count"] for r in run.scored().groupBy("traffic_class").count().collect()}
+    assert run.summary(with_classes=True).first().class_breakdown == counts
+
+
+def test_batch_summary_as_csv(spark, run, tmp_path):
+    write_batch_summary(run.batch_summaries(), str(tmp_path / "out"))
+    rows = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
+    assert [r.batch_id for r in rows] == ["1", "2", "3"] and rows[0].phase == "warmup"
 
 
 def test_few_normals_skip_relearning(flows):
@@ -46,7 +55,11 @@ def test_few_normals_skip_relearning(flows):
 def test_sources_side_by_side(flows):
     scored, summaries = adaptive_per_source(flows, AdaptiveSettings(batch_size=200), parallel=3)
     assert scored.count() == flows.count()
-    assert {r.dataset_source for r in summaries.collect()} == {"shop", "office", "branch"}
+    rows = summaries.collect()
+    assert {r.dataset_source for r in rows} == {"shop", "office", "branch"}
+    row = combined_summary(scored, summaries).first()
+    last = {r.dataset_source: r.threshold for r in sorted(rows, key=lambda r: r.batch_id)}
+    assert row.per_source_thresholds == ", ".join(f"{k}={last[k]}" for k in sorted(last)) and row.total_flows == flows.count()
 
 
 def test_stream_equals_batch(spark, flows, run, flow_frame):

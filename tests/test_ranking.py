@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from flowlake.operators.positions import assign_batches, time_order, with_position
-from flowlake.operators.ranking import benign_reference, best_per_signature, limit_rows, top_hits
+from flowlake.operators.ranking import benign_reference, best_per_signature, latest_rows, limit_rows, top_hits
 from flowlake.operators.reports import summary_cards, top_hit_rows
 from flowlake.operators.resample import balanced_resample, stratified_split
 from flowlake.operators.summary import summarize
@@ -91,3 +91,11 @@ def test_best_per_signature_with_text_keys_and_null_scores(spark):
     found = best_per_signature(table, ["src_ip"], "flow_id").collect()
     assert {(r.src_ip, r.flow_id, r.anomaly_score) for r in found} == {("a", "k1", 5.0), ("b", "k3", None), (None, "k4", 1.0)}
     assert [r.flow_id for r in top_hits(table, 2).collect()] == ["k1", "k4"]
+
+
+def test_latest_rows_with_null_and_equal_times(flows):
+    table = flows.withColumn("timestamp", F.when(F.col("flow_id") % 50 == 0, None).when(F.col("flow_id") % 3 == 0, F.lit("2024-01-20").cast("timestamp"))
+                             .otherwise(F.col("timestamp")))
+    frame = table.select("timestamp", "flow_id").toPandas().sort_values(["timestamp", "flow_id"], na_position="last")
+    for count in (1, 13, 25, 300, 500, 999, 1000, 5000):
+        assert sorted(r.flow_id for r in latest_rows(table, count).collect()) == sorted(frame["flow_id"].tail(count))
