@@ -29,6 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_quotation_linking": quotation.SQL,
         "op2_ngram_jaccard_join": ngram_join.SQL,
         "op4_benchmark_decontamination": decontaminate.SQL,
-        "op5_url_rules": url_rules.query,
         "op7_exact_dedup": exact_dedup.SQL,
     }
