@@ -10,9 +10,10 @@ with fewer words has the whole sequence as its one n-gram. Two texts link when `
    blocks of a group meet, so a hot group takes many tasks.
 3. Within two blocks, counts of the n-grams in bins, about sixteen to a bin, bound the difference of two sets from
    below. Texts that can link with none leave; only the sets of the rest are fetched.
-4. The rest are stored in a trie in the common order. Each set walks down it once: a node's overlap is its
-   parent's plus its own, shared by all sets below, and a subtree ends as soon as what is left of the set or
-   below the node cannot reach the overlap that is needed.
+4. The rest are stored in a trie in the common order. All sets of the other block walk down it together: a node's
+   overlap with each is its parent's plus its own, shared by all sets below, and a set leaves a subtree as soon as
+   what is left of it or below the node cannot reach the overlap that is needed.
+   Two texts that share their first group meet in no other.
 5. The links' forest goes to distributed connected components. Links are counted, with their copies, where the
    two meet in the least group they share.
 
@@ -45,6 +46,8 @@ FREQUENT = 1 << 20
 #: An n-gram of more than this share of all texts is a group of its own.
 HOT_SHARE = 0.05
 BLOCK = 512
+#: Cells of the table of a trie's elements and the sets that walk down it.
+PROBE_CELLS = 48 << 20
 _BINS = (5, 14)  # least and most bits of a bin's number
 _ROUTE_BITS = 1 << 26
 
@@ -226,6 +229,7 @@ def _possible(rule: Rule):
                 continue
             left, right, same = _halves(table)
             size = table.column("size").to_numpy().astype(np.int64)
+            group, leader = table.column("first").to_numpy(), table.column("leader")[0].as_py()
             bins = [np.frombuffer(x, np.uint8).astype(np.int16) for x in table.column("bins").to_pylist()]
             width = np.array([len(x) for x in bins])
             keep = np.zeros(table.num_rows, bool)
@@ -239,7 +243,8 @@ def _possible(rule: Rule):
                     both = min(w, len(bins[k]))  # the coarser bins are sums of the finer ones
                     apart = np.abs(folded(stored[w][near], both) - folded(bins[k][None], both)).sum(1)
                     most = (size[k] + size[at[near]] - apart) // 2  # common n-grams at most
-                    can = near[most >= rule.needed(size[k], size[at[near]])]
+                    elsewhere = (group[at[near]] == group[k]) & (group[k] != leader)  # they meet in their first group
+                    can = near[(most >= rule.needed(size[k], size[at[near]])) & ~elsewhere]
                     if len(can):
                         keep[k] = True
                         keep[at[can]] = True
@@ -251,93 +256,78 @@ def _possible(rule: Rule):
 class Trie:
     """Sets in a trie with path compression. Elements are numbered so that frequent ones come first.
 
-    Nodes are stored level by level as runs of elements with their parent; ``low`` and ``high`` are the
-    positions of the sets below a node, ``deepest`` is the size of the largest of them.
+    A node has the run of elements that all sets below share after its parent's, its children, the stored sets
+    that end with it, and the least and largest size of the sets below.
     """
 
     def __init__(self, sets: list[np.ndarray]):
-        flat = np.concatenate(sets)
-        self.elements, code, often = np.unique(flat, return_inverse=True, return_counts=True)
-        self.rank = rank = np.empty(len(self.elements), np.int64)
-        rank[np.lexsort((self.elements, -often))] = np.arange(len(self.elements))
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        order = np.lexsort((rank[code], row))
-        bounds = np.cumsum([0, *(len(s) for s in sets)])
-        self.paths = [rank[code][order[a:b]] for a, b in zip(bounds, bounds[1:])]
-        self.by_path = sorted(range(len(sets)), key=lambda k: self.paths[k].tolist())
-        self.size = np.array([len(self.paths[k]) for k in self.by_path])
-        self._build()
-
-    def _build(self) -> None:
-        paths = [self.paths[k] for k in self.by_path]
+        self.elements, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(self.elements), np.int64)
+        self.rank[np.lexsort((self.elements, -often))] = np.arange(len(self.elements))
+        size = np.array([len(s) for s in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        ranked = self.rank[code]
+        ranked = ranked[np.lexsort((ranked, row))]
+        ends = np.cumsum(size)
+        paths = [ranked[b - n:b] for b, n in zip(ends, size)]
+        order = sorted(range(len(sets)), key=lambda k: paths[k].tolist())
         shared = [0]  # elements that neighbours in path order have in common from the start
-        for a, b in zip(paths, paths[1:]):
-            n = min(len(a), len(b))
-            differ = np.flatnonzero(a[:n] != b[:n])
+        for a, b in zip(order, order[1:]):
+            n = min(len(paths[a]), len(paths[b]))
+            differ = np.flatnonzero(paths[a][:n] != paths[b][:n])
             shared.append(int(differ[0]) if len(differ) else n)
-        levels: list[list] = []
-        todo = [(0, len(paths), 0, -1)]  # sets low to high share ``depth`` elements; their node's number
+        self.size = size
+        #: (run, children, sets that end here, end of the run, least size, largest size)
         self.nodes: list[tuple] = []
+        self.roots: list[int] = []
+        todo = [(0, len(sets), 0, self.roots)]
         while todo:
-            below = []
-            level = []
-            for low, high, depth, parent in todo:
-                at = low
-                while at < high:
-                    if len(paths[at]) == depth:  # ends here; it is found through its parent's range
-                        at += 1
-                        continue
-                    end = at + 1
-                    while end < high and shared[end] > depth:
-                        end += 1
-                    to = min([len(paths[at]), *(shared[k] for k in range(at + 1, end))])
-                    number = len(self.nodes) + len(level)
-                    level.append((parent, at, end, depth, to, paths[at][depth:to]))
-                    below.append((at, end, to, number))
-                    at = end
-            self.nodes += level
-            levels.append(level)
-            todo = [x for x in below if x[1] - x[0] > 1 or len(paths[x[0]]) > x[2]]
-        self.levels = []
-        for level in levels:
-            if level:
-                runs = [x[5] for x in level]
-                self.levels.append({
-                    "parent": np.array([x[0] for x in level]), "low": np.array([x[1] for x in level]), "high": np.array([x[2] for x in level]),
-                    "to": np.array([x[4] for x in level]), "flat": np.concatenate(runs),
-                    "start": np.cumsum([0, *(len(r) for r in runs)])[:-1], "length": np.array([len(r) for r in runs]),
-                    "deepest": np.array([self.size[x[1]:x[2]].max() for x in level])})
-
-    def links(self, ngrams: np.ndarray, rule: Rule) -> np.ndarray:
-        """Positions (in path order) of the sets that link with ``ngrams``, itself included if it is stored."""
-        place = np.minimum(np.searchsorted(self.elements, ngrams), len(self.elements) - 1)
-        member = np.zeros(len(self.elements), bool)
-        member[self.rank[place[self.elements[place] == ngrams]]] = True
-        size = len(ngrams)
-        need = rule.needed(size, self.size)
-        overlap = np.zeros(len(self.size), np.int64)  # of each set, as far as its path was walked
-        alive = np.array([-1])
-        shared_so_far = {-1: 0}
-        number = 0
-        for level in self.levels:
-            count = len(level["parent"])
-            go = np.flatnonzero(np.isin(level["parent"], alive))
-            if len(go):
-                length = level["length"][go]
-                index = np.repeat(level["start"][go] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
-                gained = np.add.reduceat(member[level["flat"][index]].astype(np.int64), np.r_[0, np.cumsum(length)[:-1]])
-                total = gained + np.array([shared_so_far[p] for p in level["parent"][go].tolist()])
-                rest = np.minimum(size - total, level["deepest"][go] - level["to"][go])
-                least = np.array([need[a:b].min() for a, b in zip(level["low"][go].tolist(), level["high"][go].tolist())])
-                for k, own in zip(go.tolist(), total.tolist()):
-                    overlap[level["low"][k]:level["high"][k]] = own
-                on = total + rest >= least
-                alive = go[on] + number
-                shared_so_far = dict(zip(alive.tolist(), total[on].tolist()))
-            else:
-                break
-            number += count
-        return np.flatnonzero(overlap >= need)
+            low, high, depth, siblings = todo.pop()
+            while low < high and len(paths[order[low]]) == depth:
+                low += 1  # written with the parent
+            while low < high:
+                end = low + 1
+                while end < high and shared[end] > depth:
+                    end += 1
+                members = order[low:end]
+                to = min([len(paths[order[low]]), *shared[low + 1:end]])
+                children: list[int] = []
+                sizes = size[members]
+                siblings.append(len(self.nodes))
+                self.nodes.append((paths[order[low]][depth:to], children, [k for k in members if size[k] == to], to,
+                                   int(sizes.min()), int(sizes.max())))
+                todo.append((low, end, to, children))
+                low = end
+
+    def links(self, probes: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+        """(probe, set) of all probes and stored sets that link."""
+        width = max(1, PROBE_CELLS // max(1, len(self.elements)))
+        found = [self._walk(probes[a:a + width], a, rule) for a in range(0, len(probes), width)]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _walk(self, probes: list[np.ndarray], first: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(p) for p in probes])
+        member = np.zeros((len(self.elements), len(probes)), np.uint8)
+        for k, ngrams in enumerate(probes):
+            place = np.minimum(np.searchsorted(self.elements, ngrams), len(self.elements) - 1)
+            member[self.rank[place[self.elements[place] == ngrams]], k] = 1
+        linked_probes, linked_sets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        todo = [(node, np.arange(len(probes)), np.zeros(len(probes), np.int64)) for node in self.roots]
+        while todo:
+            node, alive, overlap = todo.pop()
+            run, children, ending, to, least, largest = self.nodes[node]
+            part = member[run] if len(alive) == len(probes) else member[run][:, alive]
+            overlap = overlap + part.sum(0, dtype=np.int64)
+            for k in ending:
+                hit = alive[overlap >= rule.needed(size[alive], to)]
+                linked_probes.append(hit + first)
+                linked_sets.append(np.full(len(hit), k))
+            if children:
+                rest = np.minimum(size[alive] - overlap, largest - to)
+                on = overlap + rest >= rule.needed(size[alive], max(least, to))
+                if on.any():
+                    todo += [(child, alive[on], overlap[on]) for child in children]
+        return np.concatenate(linked_probes), np.concatenate(linked_sets)
 
 
 def _linked(rule: Rule):
@@ -348,13 +338,14 @@ def _linked(rule: Rule):
                 continue
             left, right, same = _halves(table)
             sets = [np.frombuffer(x, np.uint64) for x in table.column("ngrams").to_pylist()]
-            node = table.column("node").to_numpy()
-            copies = table.column("copies").to_numpy()
+            node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
             groups = [set(x) for x in table.column("leaders").to_pylist()]
+            firsts = [min(g) for g in groups]
             leader = table.column("leader")[0].as_py()
-            trie = Trie([sets[k] for k in right.tolist()])
-            stored = right[np.array(trie.by_path, np.int64)]
-            parent = {int(k): int(k) for k in range(table.num_rows)}
+            probe, stored = Trie([sets[k] for k in right.tolist()]).links([sets[k] for k in left.tolist()], rule)
+            a, b = left[probe], right[stored]
+            once = a < b if same else np.ones(len(a), bool)
+            parent = list(range(table.num_rows))
 
             def root(k: int) -> int:
                 while parent[k] != k:
@@ -363,16 +354,14 @@ def _linked(rule: Rule):
                 return k
 
             links = np.zeros(table.num_rows, np.int64)
-            for k in left.tolist():
-                for other in stored[trie.links(sets[k], rule)].tolist():
-                    if other == k or same and other < k:
-                        continue
-                    a, b = root(k), root(other)
-                    if a != b:
-                        parent[max(a, b, key=lambda x: node[x])] = min(a, b, key=lambda x: node[x])
-                    if min(groups[k] & groups[other]) == leader:
-                        links[k] += copies[other]
-                        links[other] += copies[k]
+            for k, other in zip(a[once].tolist(), b[once].tolist()):
+                x, y = root(k), root(other)
+                if x != y:
+                    parent[max(x, y, key=node.__getitem__)] = min(x, y, key=node.__getitem__)
+                meet = firsts[k] if firsts[k] == firsts[other] else min(groups[k] & groups[other])
+                if meet == leader:  # of the groups that both are in, this one counts the link
+                    links[k] += copies[other]
+                    links[other] += copies[k]
             roots = np.array([root(k) for k in range(table.num_rows)])
             some = np.flatnonzero((links > 0) | (roots != np.arange(len(roots))))
             if len(some):
@@ -433,14 +422,16 @@ def similar_documents(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
               .filter("hot OR least <> most").select(F.expr("CASE WHEN hot THEN token ELSE least END").alias("leader"), "node").distinct())
     groups = cut_lineage(groups, "groups")
     sizes = groups.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = (groups.join(sizes, "leader").join(classes.select("node", "size", "bins"), "node")
+    firsts = groups.groupBy("node").agg(F.min("leader").alias("first"))
+    dealt = (groups.join(sizes, "leader").join(classes.select("node", "size", "bins").join(firsts, "node"), "node")
              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("leader", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"),
-                     "block", "node", "size", "bins"))
+                     "block", "node", "size", "first", "bins"))
     possible = cut_lineage(dealt.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
                            .mapInArrow(_possible(rule), _fields("leader", "i", "j", "block", "node")), "possible")
-    leaders = possible.groupBy("node").agg(F.collect_set("leader").alias("leaders"))  # at most a prefix long
+    members = groups.join(possible.select("node").distinct(), "node")
+    leaders = members.groupBy("node").agg(F.collect_set("leader").alias("leaders"))  # at most a prefix long
     shared = spark.sparkContext.broadcast(_bitmap(possible.select("node")))
     sets = text.mapInArrow(_sets(rule, shared), _fields("node", "ngrams")).join(leaders, "node").dropDuplicates(["node"])
     met = (possible.join(sets.join(classes.select("node", "copies"), "node"), "node")

@@ -42,11 +42,15 @@ def test_trie_finds_all_links():
             s = set(base[:random.randint(1, 40)]) | set(random.sample(range(2000), random.randint(0, 5)))
             sets.append(np.array(sorted(s), np.uint64))
         trie = Trie(sets)
+        probes = sets + [np.array(sorted(random.sample(range(3000, 4000), 3) + base[:20]), np.uint64)]
         for rule in (Rule(), Rule(3, 60, 100), Rule(5, 1, 100)):
-            for probe in sets + [np.array(sorted(random.sample(range(3000, 4000), 3) + base[:20]), np.uint64)]:
-                want = [k for k, s in enumerate(sets) if rule.den * len(set(s.tolist()) & set(probe.tolist()))
-                        >= rule.num * len(set(s.tolist()) | set(probe.tolist()))]
-                assert sorted(trie.by_path[k] for k in trie.links(probe, rule)) == want
+            want = {(p, k) for p, probe in enumerate(probes) for k, s in enumerate(sets)
+                    if rule.den * len(set(s.tolist()) & set(probe.tolist())) >= rule.num * len(set(s.tolist()) | set(probe.tolist()))}
+            for cells in (1, 10 ** 6):  # one set at a time, and all together
+                ngram_join.PROBE_CELLS, before = cells, ngram_join.PROBE_CELLS
+                found = list(zip(*(x.tolist() for x in trie.links(probes, rule))))
+                ngram_join.PROBE_CELLS = before
+                assert len(found) == len(set(found)) and set(found) == want
 
 
 def test_hard_rows(spark):
