@@ -12,13 +12,14 @@ Everything that depends on the corpus stays distributed:
 1. Texts are dealt to bundles of about ``BUNDLE_BYTES``. A bundle lists its distinct words, and the distinct joints
    where a word's tail meets the next word's head, once, with their training counts, and its texts as numbers of
    these words.
-2. Counts are summed over bundles. In the same way, bundles of words and joints list their distinct contexts.
+2. Counts are summed over bundles, by ranges of words. In the same way, bundles of neighbouring words and joints
+   list their distinct contexts.
 3. Contexts that share their last two bytes form a subtree, which one task weighs from the leaves up; the two
    levels above hold at most 65,280 decisions and are broadcast.
 4. Scores of contexts return to the bundles of words, scores of words and joints to the bundles of texts.
 
-Words are matched between bundles by 64-bit hashes: among 10^9 different words two are mistaken with a chance of
-about one in thirty.
+Words and joints are matched between bundles by their bytes. Within a bundle words are told apart by 64-bit
+hashes, of which two among a million meet with a chance of one in 4 * 10^7.
 
 Edge cases: a null text is empty and has the end symbol as its only token; rows that repeat a doc_id are rows of
 their own; without training rows every decision has probability one half and the base score is that of an
@@ -40,17 +41,16 @@ from flowlake.session import cut_lineage
 
 DEPTH = 5
 HEAD, TAIL = 3, 2
-BUNDLE_BYTES = 24 << 20
+BUNDLE_BYTES = 32 << 20
 BUNDLE_WORDS = 400_000
 _SPACE, _END = 0x20, 0x0A
-_END_HASH = -1
 _SPLIT = 2  # context bytes that name a subtree
 _LEAST = np.log(0.5)
 
 
 # -- bundles of texts ---------------------------------------------------------------------------------------
 
-_TEXT_FIELDS = "bundle long, doc_id long, held_out boolean, low binary, high binary, hash long, word binary, number int, n long"
+_TEXT_FIELDS = "bundle long, doc_id long, held_out boolean, low binary, high binary, word binary, number int, n long"
 
 
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +62,9 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = batch.column(0).slice(low, high - low)
             held_out = batch.column(1).slice(low, high - low).to_numpy(zero_copy_only=False).astype(bool)
             sizes = np.bincount(found.row, minlength=high - low)
-            parts.append((ids, held_out, sizes, found.hash, _distinct(data, found), _joints(data, found, sizes, held_out)))
+            value, first, code = np.unique(found.hash, return_index=True, return_inverse=True)
+            listed = K.binary_rows(K.LOWER[data], found.start[first], found.end[first])
+            parts.append((ids, held_out, sizes, value, listed, code.astype(np.int32), _joints(data, found, sizes, held_out)))
             held += len(data)
             if held >= BUNDLE_BYTES:
                 yield from _bundle(task + done, parts)
@@ -71,12 +73,6 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _bundle(task + done, parts)
 
 
-def _distinct(data: np.ndarray, found: K.Words) -> tuple[np.ndarray, pa.Array]:
-    """(hash, lower-cased word) of the distinct words of a slice."""
-    value, first = np.unique(found.hash, return_index=True)
-    return value, K.binary_rows(K.LOWER[data], found.start[first], found.end[first])
-
-
 def edges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Of the words [start, end): the last two bytes (the last one lower) above the first three coded bytes."""
     size = end - start
@@ -114,18 +110,20 @@ def _joints(data: np.ndarray, found: K.Words, sizes: np.ndarray, held_out: np.nd
 
 
 def _bundle(number: int, parts: list) -> Iterator[pa.RecordBatch]:
-    hashes = np.concatenate([p[3] for p in parts])
+    """The rows of a bundle. A part is a slice: ids, held out, words per text, distinct words as hashes and as bytes,
+    the texts as numbers of the slice's distinct words, joints."""
     sizes = np.concatenate([p[2] for p in parts])
     held_out = np.concatenate([p[1] for p in parts])
     ids = pa.chunked_array([p[0] for p in parts]).combine_chunks()
-    value, code, often = np.unique(hashes, return_inverse=True, return_counts=True)
+    value, first, places = np.unique(np.concatenate([p[3] for p in parts]), return_index=True, return_inverse=True)
+    bounds = np.cumsum([0, *(len(p[3]) for p in parts)])
+    code = np.concatenate([places[a:b].astype(np.int32)[p[5]] for p, a, b in zip(parts, bounds, bounds[1:])])
     trained = np.bincount(code[np.repeat(~held_out, sizes)], minlength=len(value))
-    by_use = np.argsort(-often, kind="stable")  # frequent words get small numbers, which take little room
-    rank = np.empty(len(value), np.int64)
+    by_use = np.argsort(-np.bincount(code, minlength=len(value)), kind="stable")  # frequent words get small numbers, which take little room
+    rank = np.empty(len(value), np.int32)
     rank[by_use] = np.arange(len(value))
     code = rank[code]
-    known, first = np.unique(np.concatenate([p[4][0] for p in parts]), return_index=True)
-    words = pa.chunked_array([p[4][1] for p in parts]).combine_chunks().take(pa.array(first))
+    words = pa.chunked_array([p[4] for p in parts]).combine_chunks().take(pa.array(first))
     low, high = (code & 0xFFFF).astype("<u2"), (code >> 16).astype(np.uint8 if len(value) < 1 << 24 else "<u4")
     ends = np.cumsum(sizes)
     for a in range(0, len(sizes), 4096):
@@ -134,19 +132,39 @@ def _bundle(number: int, parts: list) -> Iterator[pa.RecordBatch]:
         yield _filled(b - a, number, doc_id=ids.slice(a, b - a), held_out=pa.array(held_out[a:b]),
                       low=pa.array([low[x:y].tobytes() for x, y in spans], pa.binary()),
                       high=pa.array([high[x:y].tobytes() for x, y in spans], pa.binary()))
+    by_word = pa.compute.sort_indices(words)  # neighbours share bytes, which a shuffle by ranges packs well
+    words, rank, trained = words.take(by_word), rank[by_word.to_numpy()], trained[by_word.to_numpy()]
     for a in range(0, len(value), 50_000):
         b = min(a + 50_000, len(value))
-        yield _filled(b - a, number, hash=K.signed(known[a:b]), word=words.slice(a, b - a),
-                      number=pa.array(rank[a:b].astype(np.int32)), n=pa.array(trained[a:b]))
-    yield _filled(1, number, hash=pa.array([_END_HASH]), word=pa.array([bytes([_END])], pa.binary()),
+        yield _filled(b - a, number, word=words.slice(a, b - a), number=pa.array(rank[a:b].astype(np.int32)), n=pa.array(trained[a:b]))
+    yield _filled(1, number, word=pa.array([bytes([_END])], pa.binary()),
                   number=pa.array([len(value)], pa.int32()), n=pa.array([int((~held_out).sum())]))
-    joint, code = np.unique(np.concatenate([p[5][0] for p in parts]), return_inverse=True)
-    trained = np.bincount(code, np.concatenate([p[5][1] for p in parts]), len(joint)).astype(np.int64)
+    joint, code = np.unique(np.concatenate([p[6][0] for p in parts]), return_inverse=True)
+    trained = np.bincount(code, np.concatenate([p[6][1] for p in parts]), len(joint)).astype(np.int64)
     for a in range(0, len(joint), 50_000):
-        yield _filled(len(joint[a:a + 50_000]), number, hash=K.signed(joint[a:a + 50_000]), n=pa.array(trained[a:a + 50_000]))
+        yield _filled(len(joint[a:a + 50_000]), number, word=_joint_bytes(joint[a:a + 50_000]), n=pa.array(trained[a:a + 50_000]))
+
+
+def _joint_bytes(joint: np.ndarray) -> pa.Array:
+    """Joints as binary: a space, which no word has, and their five bytes."""
+    value = (joint | np.uint64(_SPACE << 40)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+    start = np.arange(len(joint)) * 6
+    return K.binary_rows(np.ascontiguousarray(value).reshape(-1), start, start + 6)
+
 
+def _split(listed: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Which of the listed binaries are joints, the words among the others, and the joints' keys."""
+    raw, offsets = _word_bytes(listed)
+    is_joint = np.zeros(len(listed), bool)
+    some = offsets[1:] > offsets[:-1]
+    is_joint[some] = raw[offsets[:-1][some]] == _SPACE
+    joint = np.zeros(int(is_joint.sum()), np.uint64)
+    for k in range(1, 6):
+        joint = (joint << np.uint64(8)) | raw[offsets[:-1][is_joint] + k]
+    return is_joint, listed.filter(pa.array(~is_joint)), joint
 
-_TYPES = {"doc_id": pa.int64(), "held_out": pa.bool_(), "low": pa.binary(), "high": pa.binary(), "hash": pa.int64(),
+
+_TYPES = {"doc_id": pa.int64(), "held_out": pa.bool_(), "low": pa.binary(), "high": pa.binary(),
           "word": pa.binary(), "number": pa.int32(), "n": pa.int64()}
 
 
@@ -203,16 +221,25 @@ def joint_grams(joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(numbers), np.concatenate(keys)
 
 
-def _grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(row, gram) of a table of words and joints; a joint has no word, and its key as hash."""
-    is_word = table.column("word").is_valid().to_numpy()
-    at_word, at_joint = np.flatnonzero(is_word), np.flatnonzero(~is_word)
-    number, key = word_grams(table.column("word").combine_chunks().drop_null())
-    other, more = joint_grams(table.column("hash").to_numpy()[at_joint].view(np.uint64))
-    return np.concatenate([at_word[number], at_joint[other]]), np.concatenate([key, more])
+def _grams(listed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, gram) of listed words and joints."""
+    is_joint, words, joint = _split(listed)
+    number, key = word_grams(words)
+    other, more = joint_grams(joint)
+    return np.concatenate([np.flatnonzero(~is_joint)[number], np.flatnonzero(is_joint)[other]]), np.concatenate([key, more])
+
+
+_WORD_FIELDS = "bundle long, word binary, c long, gram long, n long"
+
+
+_CHUNK = 50_000
 
 
-_WORD_FIELDS = "bundle long, hash long, word binary, c long, gram long, n long"
+def _counted_grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, training count) of the distinct grams of some words and joints."""
+    row, key = _grams(table.column("word").combine_chunks())
+    value, code = np.unique(key, return_inverse=True)
+    return value, np.bincount(code, table.column("c").to_numpy()[row].astype(float), len(value))
 
 
 def _word_bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,16 +248,17 @@ def _word_bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def out() -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(parts)
-        row, key = _grams(table)
-        value, code = np.unique(key, return_inverse=True)
-        n = np.bincount(code, table.column("c").to_numpy()[row].astype(float), len(value)).astype(np.int64)
-        none = pa.nulls(len(value), pa.int64())
-        yield pa.RecordBatch.from_pydict({"bundle": pa.array(np.full(len(value), task + done)), "hash": none, "word": pa.nulls(len(value), pa.binary()),
-                                          "c": none, "gram": K.signed(value), "n": pa.array(n)})
+        listed = [_counted_grams(table.slice(a, _CHUNK)) for a in range(0, table.num_rows, _CHUNK)]
+        value, code = np.unique(np.concatenate([x[0] for x in listed]), return_inverse=True)
+        n = np.bincount(code, np.concatenate([x[1] for x in listed]), len(value)).astype(np.int64)
+        for a in range(0, len(value), 100_000):
+            rows = len(value[a:a + 100_000])
+            yield pa.RecordBatch.from_pydict({
+                "bundle": pa.array(np.full(rows, task + done)), "word": pa.nulls(rows, pa.binary()), "c": pa.nulls(rows, pa.int64()),
+                "gram": K.signed(value[a:a + 100_000]), "n": pa.array(n[a:a + 100_000])})
         none = pa.nulls(table.num_rows, pa.int64())
-        yield pa.RecordBatch.from_pydict({
-            "bundle": pa.array(np.full(table.num_rows, task + done)), "hash": table.column("hash").combine_chunks(),
-            "word": table.column("word").combine_chunks(), "c": table.column("c").combine_chunks(), "gram": none, "n": none})
+        yield pa.RecordBatch.from_pydict({"bundle": pa.array(np.full(table.num_rows, task + done)), "word": table.column("word").combine_chunks(),
+                                          "c": table.column("c").combine_chunks(), "gram": none, "n": none})
 
     for batch in batches:
         for a in range(0, batch.num_rows, BUNDLE_WORDS):
@@ -372,15 +400,18 @@ def _score_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored, items = table.filter(is_gram), table.filter(pa.compute.invert(is_gram))
         gram = scored.column("gram").to_numpy().view(np.uint64)
         order = np.argsort(gram)
-        row, key = _grams(items)
-        value = scored.column("log10").to_numpy()[order][np.searchsorted(gram[order], key)] if len(key) else np.zeros(0)
-        is_word = items.column("word").is_valid()
-        edge = np.zeros(items.num_rows, np.uint64)
-        raw, offsets = _word_bytes(items.column("word").combine_chunks().drop_null())
-        edge[is_word.to_numpy()] = edges(raw, offsets[:-1], offsets[1:])
-        yield pa.RecordBatch.from_pydict({
-            "is_word": is_word.combine_chunks(), "hash": items.column("hash").combine_chunks(), "c": items.column("c").combine_chunks(),
-            "log10": pa.array(np.bincount(row, value, items.num_rows)), "edge": K.signed(edge)})
+        gram, log10 = gram[order], scored.column("log10").to_numpy()[order]
+        for a in range(0, items.num_rows, _CHUNK):
+            part = items.slice(a, _CHUNK)
+            listed = part.column("word").combine_chunks()
+            row, key = _grams(listed)
+            value = log10[np.searchsorted(gram, key)] if len(key) else np.zeros(0)
+            is_joint, words, joint = _split(listed)
+            raw, offsets = _word_bytes(words)
+            edge = np.zeros(part.num_rows, np.uint64)
+            edge[~is_joint], edge[is_joint] = edges(raw, offsets[:-1], offsets[1:]), joint
+            yield pa.RecordBatch.from_pydict({"word": listed, "c": part.column("c").combine_chunks(),
+                                              "log10": pa.array(np.bincount(row, value, part.num_rows)), "edge": K.signed(edge)})
 
 
 def _score_texts(total: int, distinct: int):
@@ -392,7 +423,7 @@ def _score_texts(total: int, distinct: int):
             order = np.argsort(words.column("number").to_numpy())
             c, log10 = words.column("c").to_numpy()[order], words.column("log10").to_numpy()[order]
             edge = words.column("edge").to_numpy().view(np.uint64)[order]
-            key = joints.column("hash").to_numpy().view(np.uint64)
+            key = joints.column("edge").to_numpy().view(np.uint64)
             by_key = np.argsort(key)
             key, joint_log10 = key[by_key], joints.column("log10").to_numpy()[by_key]
             base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
@@ -422,10 +453,12 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     bundles = cut_lineage(docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
                           .mapInArrow(_bundles, _TEXT_FIELDS), "bundles")
-    listed = bundles.filter("hash IS NOT NULL").withColumn("is_word", F.col("word").isNotNull())
-    counted = listed.groupBy("is_word", "hash").agg(F.sum("n").alias("c"), F.first("word").alias("word"))
-    items = cut_lineage(counted.select("hash", "word", "c").mapInArrow(_word_bundles, _WORD_FIELDS), "items")
-    row = items.filter("word IS NOT NULL").agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
+    listed = bundles.filter("word IS NOT NULL").select("bundle", "word", "number", "n")
+    counted = listed.select("word", "n").repartitionByRange("word").groupBy("word").agg(F.sum("n").alias("c"))
+    fewer = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)  # larger bundles list a context less often
+    items = cut_lineage(counted.coalesce(fewer).mapInArrow(_word_bundles, _WORD_FIELDS), "items")
+    is_word = F.substring("word", 1, 1) != F.lit(bytes([_SPACE]))
+    row = items.filter("word IS NOT NULL").filter(is_word).agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
     total, distinct = int(row[0] or 0), int(row[1])
 
     requests = items.filter("gram IS NOT NULL").select("bundle", "gram", "n")
@@ -439,14 +472,13 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
         return [F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]
 
     replies = requests.select("bundle", "gram").join(gram_scores, "gram").select(
-        "bundle", "gram", "log10", *empty(word="binary", hash="long", c="long"))
-    asked = items.filter("gram IS NULL").select("bundle", *empty(gram="long", log10="double"), "word", "hash", "c")
+        "bundle", "gram", "log10", *empty(word="binary", c="long"))
+    asked = items.filter("gram IS NULL").select("bundle", *empty(gram="long", log10="double"), "word", "c")
     scored = (replies.unionByName(asked).repartition("bundle").sortWithinPartitions("bundle")
-              .mapInArrow(_score_items, "is_word boolean, hash long, c long, log10 double, edge long"))
+              .mapInArrow(_score_items, "word binary, c long, log10 double, edge long"))
     text_only = {"doc_id": "long", "held_out": "boolean", "low": "binary", "high": "binary"}
-    back = listed.select("bundle", "is_word", "hash", "number").join(scored, ["is_word", "hash"]).select(
-        "bundle", "number", F.when(~F.col("is_word"), F.col("hash")).alias("hash"), "c", "log10", "edge", *empty(**text_only))
-    texts = bundles.filter("hash IS NULL").select("bundle", *empty(number="int", hash="long", c="long", log10="double", edge="long"), *text_only)
+    back = listed.select("bundle", "number", "word").join(scored, "word").select("bundle", "number", "c", "log10", "edge", *empty(**text_only))
+    texts = bundles.filter("word IS NULL").select("bundle", *empty(number="int", c="long", log10="double", edge="long"), *text_only)
     return (back.unionByName(texts).repartition("bundle").sortWithinPartitions("bundle").mapInArrow(
         _score_texts(total, distinct),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
