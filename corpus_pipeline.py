@@ -1,6 +1,7 @@
 """A corpus pipeline of five stages over ``documents``; each works on all that the one before kept.
 
-Language identification drops texts without letters and texts of which no language has a quarter of the letters.
+Language identification drops texts without letters and texts of which no language has three fifths of the letters:
+mixtures go, however many languages there are. It does not judge digits or token junk beside the letters.
 Exact deduplication keeps the smallest doc_id of equal texts. The n-gram join (five words, similarity 0.8) keeps
 the smallest doc_id of each connected group. Decontamination drops documents with a benchmark window. The last
 stage encodes and decodes the rest and returns doc_id, lang, source, n_tokens and digests of ids and text.
@@ -18,8 +19,9 @@ from flowlake.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngra
 from flowlake.llm.routing import numbered, without_ids
 from flowlake.session import cut_lineage
 
-#: Least share of a text's letters that its language must have.
-LANGUAGE_SHARE = 0.25
+#: Least share of a text's letters that its language must have: a clear majority, so that an even mixture of two languages
+#: fails as well, whose larger half has a little over one half.
+LANGUAGE_SHARE = 0.6
 NEAR_DUPLICATES = ngram_join.Rule(width=5, num=80, den=100)
 
 

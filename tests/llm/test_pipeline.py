@@ -1,5 +1,8 @@
 import corpus_pipeline
 from brute_llm import contamination, hard_docs, normalised, roots, sha, similar
+from pyspark.sql import functions as F
+
+from flowlake.llm import language_id
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +42,25 @@ def test_hard_rows_and_empty_table_pass_through(spark):
         assert set(docs.columns) <= set(rows.columns)
         last = corpus_pipeline.STAGES[-1][1](spark, rows, SF)
         last.count()
+
+
+def test_language_stage_drops_even_mixtures(spark):
+    """Even mixtures of two, three and four languages go; held-out labelled texts stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    long = {lang: next(r.text for r in docs.orderBy("doc_id").collect() if r.lang == lang and len(r.text) > 1500) for lang in ("de", "en", "es", "fr")}
+
+    def letters(lang, n):
+        """The first words of a long text up to n letters."""
+        text = long[lang]
+        ends = [k for k in range(len(text)) if text[k].isspace() and sum(c.isalpha() for c in text[:k]) <= n]
+        return text[:ends[-1]]
+
+    mixed = [" ".join(letters(lang, 400) for lang in langs) for langs in (("de", "en"), ("fr", "es"), ("en", "fr", "de"), ("es", "de", "fr", "en"))]
+    rows = docs.unionByName(spark.createDataFrame([(-k, text, None) for k, text in enumerate(mixed, 1)], docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, rows, SF).collect()}
+    assert not {d for d in kept if d < 0} and len(kept) == docs.count()
+    larger = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    held_out = language_id.remainder("doc_id", 4) == 2
+    found = language_id.predict(larger.filter(held_out), language_id.fit(larger.filter(~held_out)))
+    stay = found.agg(F.avg((F.col("_score") >= corpus_pipeline.LANGUAGE_SHARE).cast("double"))).first()[0]
+    assert stay >= 0.99
