@@ -8,8 +8,10 @@ read again with its host's winning paths, in order of votes, and falls back on i
 none of them.
 
 Inside the chosen containers, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are left out, found by tag or by words of class, id and role. Character references are decoded,
-white space within a block becomes one space, blocks are joined by one space in page order.
+reader comments are left out, found by tag or by words of class, id and role. Names that only describe (``no-sidebar``,
+``tag-social``) do not count, and what names itself content keeps its text. Where the words would take most of a
+page's unlinked text, the page is read again with the containers that hold its content or all there is. Character
+references are decoded, white space within a block becomes one space, blocks are joined by one space in page order.
 
 Votes are one row per host and path; the winners are broadcast if they are few (``BROADCAST_HOSTS``) and joined
 by host otherwise, where Spark splits a host that holds much of the table.
@@ -37,6 +39,8 @@ from flowlake.session import cut_lineage
 WINNING_SHARE = 0.05
 #: Hosts whose winners are broadcast (at most 20 paths each, 8 bytes a path).
 BROADCAST_HOSTS = 100_000
+#: Readings of a page whose words leave out most of its text at every depth; the last one disregards the words.
+MOST_READINGS = 6
 _NEAR_BEST = 0.8
 _CONTENT_BONUS = 1.3
 
@@ -59,6 +63,13 @@ _LEFT_OUT_WORDS = frozenset("""ad ads advert advertisement advertising adverts a
     notices outbrain overlay pager pagination popup promo promotion promoted recommended related replies respond search share sharing
     sidebar signup social sponsor sponsored subscribe subscription taboola toolbar widget contentinfo complementary""".split())
 
+#: Reader comments: as large as they may be, they are left out as long as the page has other text.
+_READERS = frozenset("comment comments disqus replies respond".split())
+#: A name that begins with one of these tells what an element has or is filed under, not what it is.
+_DESCRIBES = frozenset("cat category has hide is no not show tag with without".split())
+#: Words that may stand beside those of ``_CONTENT`` in the name of a content element.
+_CONTENT_TOO = _CONTENT | {"body", "text"}
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
@@ -75,15 +86,46 @@ class Container(NamedTuple):
     content: bool
 
 
+class Worded(NamedTuple):
+    """An outermost element left out by its words: its number on the page, characters of its text less those of its
+    links, whether it is a container, has content elements or a main heading, holds reader comments, begins a name
+    with such a word."""
+    number: int
+    chars: int
+    container: bool
+    content: bool
+    readers: bool
+    named: bool
+
+
 class Page(NamedTuple):
     """Blocks of a page in order, as (text, link characters), without what is left out; its containers."""
     blocks: list[tuple[str, int]]
     containers: list[Container]
 
 
-def _described(attributes: str) -> tuple[str, set[str], bool]:
-    """(generalised classes, words of class, id and role, whether it is hidden)."""
-    classes, words, hidden = "", set(), False
+class Described(NamedTuple):
+    """Generalised classes; words of class, id and role, each name's by itself; whether the element is hidden."""
+    classes: str = ""
+    names: tuple[tuple[str, ...], ...] = ()
+    hidden: bool = False
+
+    def is_content(self, whole: bool = False) -> bool:
+        """Whether a name has a word for content, or, if ``whole``, is made of such words."""
+        if whole:
+            return any(not _CONTENT.isdisjoint(n) and _CONTENT_TOO.issuperset(n) for n in self.names)
+        return any(not _CONTENT.isdisjoint(n) for n in self.names)
+
+    def left_out(self) -> list[tuple[str, ...]]:
+        """The names that say that this is no part of an article."""
+        return [n for n in self.names if n[0] not in _DESCRIBES and not _LEFT_OUT_WORDS.isdisjoint(n)]
+
+
+_PLAIN = Described()
+
+
+def _described(attributes: str) -> Described:
+    classes, names, hidden = "", [], False
     for found in _NAMES.finditer(attributes):
         name = found.group(1).lower()
         value = (found.group(2) or found.group(3) or found.group(4) or "").lower()
@@ -94,21 +136,50 @@ def _described(attributes: str) -> tuple[str, set[str], bool]:
         elif name == "style":
             hidden |= bool(_INVISIBLE.search(value))
         else:
-            words.update(_WORDS.findall(value))
+            names += [words for words in map(tuple, map(_WORDS.findall, value.split())) if words]
             if name == "class":
                 classes = ".".join(sorted(_DIGITS.sub("#", value).split()))
-    return classes, words, hidden
+    return Described(classes, tuple(names), hidden)
 
 
 def parse(html: str) -> Page:
-    """Blocks and containers of a page in one pass over its tags."""
+    """Blocks and containers of a page; it is read again as long as the words leave out most of its unlinked text."""
+    kept: frozenset[int] = frozenset()
+    for _ in range(MOST_READINGS - 1):
+        page, worded = _read(html, kept)
+        more = _kept_after_all(page, worded)
+        if not more:
+            return page
+        kept |= more
+    return _read(html, None)[0]
+
+
+def _kept_after_all(page: Page, worded: list[Worded]) -> frozenset[int]:
+    """The elements that are to keep their text although their words say otherwise."""
+    removed = sum(w.chars for w in worded)
+    rest = sum(max(0, len(text) - 2 * linked) for text, linked in page.blocks)
+    if removed <= rest:
+        return frozenset()
+    large = [w for w in worded if w.container and w.chars]
+    found = [w for w in large if w.content and not w.readers]
+    if not found and not any(c.content and any(len(t) > 2 * n for t, n in page.blocks[c.first:c.end]) for c in page.containers):
+        found = [w for w in large if not w.named and not w.readers]
+    if not found and not rest:
+        found = [w for w in large if not w.readers] or large
+    return frozenset(w.number for w in found)
+
+
+def _read(html: str, kept: frozenset[int] | None) -> tuple[Page, list[Worded]]:
+    """One pass over the tags; elements whose numbers are in ``kept`` (all, if None) are not left out by their words."""
     blocks: list[tuple[str, int]] = []
     containers: list[Container] = []
-    stack: list[list] = []  # [tag, path, left out, first block, content, is link]
+    stack: list[list] = []  # [tag, path, left out, first block, content, what its words leave out]
     opened: dict[str, int] = {}
     text: list[str] = []
     linked = 0
-    left_out = links = 0
+    left_out = links = worded = number = within = 0
+    found_words: list[Worded] = []
+    held, holds = 0, False  # of the outermost element left out by its words
 
     def end_block() -> None:
         nonlocal linked
@@ -120,15 +191,21 @@ def parse(html: str) -> Page:
             linked = 0
 
     def close() -> None:
-        nonlocal left_out, links
-        tag, path, out, first, content, _ = stack.pop()
+        nonlocal left_out, links, worded, within, held, holds
+        tag, path, out, first, content, by_words = stack.pop()
         opened[tag] -= 1
         if tag in _BLOCK:
             end_block()
-        if tag in _CONTAINERS and not left_out:
+        if tag in _CONTAINERS and not left_out and not worded:
             containers.append(Container(path, first, len(blocks), len(stack), content))
         left_out -= out
         links -= tag == "a"
+        within -= content
+        if by_words:
+            worded -= 1
+            if not worded and not left_out:
+                found_words.append(by_words._replace(chars=max(0, held), content=holds))
+                held, holds = 0, False
 
     at, end = 0, len(html)
     while at < end:
@@ -136,8 +213,11 @@ def parse(html: str) -> Page:
         stop = token.start() if token else end
         if stop > at and not left_out:
             piece = entities.unescape(html[at:stop])
-            text.append(piece)
-            linked += len(piece) if links else 0
+            if worded:
+                held += -len(piece.strip()) if links else len(piece.strip())
+            else:
+                text.append(piece)
+                linked += len(piece) if links else 0
         if not token:
             break
         at = token.end()
@@ -172,21 +252,31 @@ def parse(html: str) -> Page:
             end_block()
         if tag in _VOID or token.group(3).endswith("/") and tag not in _BLOCK:
             continue
-        classes, words, hidden = _described(token.group(3)) if token.group(3) else ("", (), False)
-        out = int(tag in _LEFT_OUT_TAGS or hidden or tag not in ("html", "body") and not _LEFT_OUT_WORDS.isdisjoint(words))
-        if out:
+        about = _described(token.group(3)) if token.group(3) else _PLAIN
+        out = int(tag in _LEFT_OUT_TAGS or about.hidden)
+        number += 1
+        by_words = None
+        if not out and kept is not None and number not in kept and tag not in ("html", "body", "main") and (names := about.left_out()) and not about.is_content(whole=True):
+            # an article is left out only if it is a part of other content and its whole name says so, as of a reader's comment
+            if tag != "article" or within and any(len(n) == 1 for n in names):
+                by_words = Worded(number, 0, tag in _CONTAINERS, False, any(not _READERS.isdisjoint(n) for n in names), any(n[0] in _LEFT_OUT_WORDS for n in names))
+        if out or by_words:
             end_block() if tag in _BLOCK else None
         parent = stack[-1][1] if stack else 0
-        path = xxhash.xxh64_intdigest(f"{tag}.{classes}", parent) if tag in _CONTAINERS or tag in _BLOCK else parent
-        content = tag in ("article", "main") or not _CONTENT.isdisjoint(words)
-        stack.append([tag, path, out, len(blocks), content, tag == "a"])
+        path = xxhash.xxh64_intdigest(f"{tag}.{about.classes}", parent) if tag in _CONTAINERS or tag in _BLOCK else parent
+        content = tag in ("article", "main") or about.is_content()
+        if worded and not left_out and not out and not by_words:
+            holds |= tag in ("article", "main", "h1") or about.is_content(whole=True)
+        worded += by_words is not None
+        within += content
+        stack.append([tag, path, out, len(blocks), content, by_words])
         opened[tag] = opened.get(tag, 0) + 1
         left_out += out
         links += tag == "a"
     while stack:
         close()
     end_block()
-    return Page(blocks, containers)
+    return Page(blocks, containers), found_words
 
 
 def best_container(page: Page) -> tuple[int, int] | None:

@@ -56,3 +56,30 @@ def test_host_agreement_and_hard_rows(spark, monkeypatch):
     monkeypatch.setattr(host_paths, "BROADCAST_HOSTS", 0)
     assert sorted(((r.page_id, r._text) for r in host_paths.extract(pages).collect())) == got
     assert host_paths.extract(pages.filter("false")).count() == 0
+
+
+def test_words_that_do_not_leave_out_the_article():
+    """Articles, self-named content and large layout containers keep their text whatever their classes say."""
+    article = "<h1>Title here</h1>" + "<p>some words of the article</p>" * 5
+    whole = " ".join(["Title here", *["some words of the article"] * 5])
+    for tag, attributes in (("article", "class='post tag-social'"), ("div", "class='content with-sidebar'"), ("main", "class='no-header'"),
+                            ("div", "class='entry-content share'"), ("article", "class='sponsored'"), ("div", "id='post' class='widget'"),
+                            ("div", "class='layout page-sidebar-left'"), ("div", "class='elementor-widget'"), ("section", "class='banner'"),
+                            ("main", "class='notice'")):
+        inside = f"<{tag} {attributes}>{article}</{tag}>"
+        nested = f"<div class='site header-fixed'>{inside}</div>"
+        for page in (inside, nested, f"<main>{inside}</main>"):
+            got = host_paths.main_text(f"<body><nav>no</nav><div class='ad'>no</div>{page}<footer>no</footer>", [])
+            assert got == whole, (page[:80], got)
+
+
+def test_words_still_leave_out_what_is_no_article():
+    much = "<p>what a reader or a seller says at length</p>" * 30
+    kept = "<article><h1>Title</h1><p>a short article</p>%s</article>"
+    for other in ("<div id='comments'>%s</div>", "<div class='post-comments'>%s</div>", "<article class='comment'>%s</article>", "<div class='cookie-notice'>%s</div>",
+                  "<div class='site-sidebar'>%s</div>", "<section class='widget-area'>%s</section>"):
+        assert host_paths.main_text("<body>" + kept % (other % much), []) == "Title a short article", other
+        if "<article" not in other:
+            assert host_paths.main_text("<body>" + kept % "" + other % much, []) == "Title a short article", other
+    assert host_paths.main_text("<body><div class='text'><p>a short text</p></div><div id='comments'><h1>Talk</h1>" + much, []) == "a short text"
+    assert host_paths.main_text("<div class='site-widget'>" * 2000 + "<p>deep text", []) == "deep text"
