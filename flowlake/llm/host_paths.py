@@ -1,11 +1,12 @@
 """Main-text extraction by the container paths that the pages of a host agree on.
 
 Each page is parsed into blocks and containers. A container's score is the text of its blocks, less their link
-text, with a bonus for what names itself the content; the page votes for the path of its deepest container that
-holds most of the best score. A path is the chain of tags with their classes, digits generalised, so pages of
+text, with a bonus for what names itself the content; the page votes for the path of its best container, or of a
+deeper one if no article text lies outside of that: no unlinked text at all within what names itself content;
+elsewhere no unlinked text beside the container on its way up, and most of the score inside. A path is the chain of tags with their classes, digits generalised, so pages of
 one template share it. Spark counts the votes of every host; the paths with a fair share win. Every page is then
-read again with its host's winning paths, in order of votes, and falls back on its own best container if it has
-none of them.
+read again with its host's winning paths, in order of votes; a path that holds less than the page's own best
+container counts only if that container is none of the host's. A page without any of them falls back on its own.
 
 Inside the chosen containers, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are left out, found by tag or by words of class, id and role. Names that only describe (``no-sidebar``,
@@ -78,12 +79,15 @@ _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Container(NamedTuple):
-    """A container: path, blocks it spans, depth, whether it names itself the content."""
+    """A container: path, blocks it spans, depth, whether it names itself the content; its number and that of the
+    container around it (0 for none), in order of opening."""
     path: int
     first: int
     end: int
     depth: int
     content: bool
+    number: int
+    parent: int
 
 
 class Worded(NamedTuple):
@@ -99,9 +103,11 @@ class Worded(NamedTuple):
 
 
 class Page(NamedTuple):
-    """Blocks of a page in order, as (text, link characters), without what is left out; its containers."""
+    """Blocks of a page in order, as (text, link characters), without what is left out; its containers; the number of
+    the innermost container of each block."""
     blocks: list[tuple[str, int]]
     containers: list[Container]
+    owners: list[int]
 
 
 class Described(NamedTuple):
@@ -173,6 +179,8 @@ def _read(html: str, kept: frozenset[int] | None) -> tuple[Page, list[Worded]]:
     """One pass over the tags; elements whose numbers are in ``kept`` (all, if None) are not left out by their words."""
     blocks: list[tuple[str, int]] = []
     containers: list[Container] = []
+    owners: list[int] = []
+    around = [0]  # numbers of the open containers
     stack: list[list] = []  # [tag, path, left out, first block, content, what its words leave out]
     opened: dict[str, int] = {}
     text: list[str] = []
@@ -187,6 +195,7 @@ def _read(html: str, kept: frozenset[int] | None) -> tuple[Page, list[Worded]]:
             joined = " ".join("".join(text).split())
             if joined:
                 blocks.append((joined, min(linked, len(joined))))
+                owners.append(around[-1])
             text.clear()
             linked = 0
 
@@ -196,8 +205,10 @@ def _read(html: str, kept: frozenset[int] | None) -> tuple[Page, list[Worded]]:
         opened[tag] -= 1
         if tag in _BLOCK:
             end_block()
-        if tag in _CONTAINERS and not left_out and not worded:
-            containers.append(Container(path, first, len(blocks), len(stack), content))
+        if tag in _CONTAINERS:
+            own = around.pop()
+            if not left_out and not worded:
+                containers.append(Container(path, first, len(blocks), len(stack), content, own, around[-1]))
         left_out -= out
         links -= tag == "a"
         within -= content
@@ -264,50 +275,75 @@ def _read(html: str, kept: frozenset[int] | None) -> tuple[Page, list[Worded]]:
             end_block() if tag in _BLOCK else None
         parent = stack[-1][1] if stack else 0
         path = xxhash.xxh64_intdigest(f"{tag}.{about.classes}", parent) if tag in _CONTAINERS or tag in _BLOCK else parent
-        content = tag in ("article", "main") or about.is_content()
+        content = tag in ("article", "main") or tag not in ("html", "body") and about.is_content()
         if worded and not left_out and not out and not by_words:
             holds |= tag in ("article", "main", "h1") or about.is_content(whole=True)
         worded += by_words is not None
         within += content
         stack.append([tag, path, out, len(blocks), content, by_words])
+        if tag in _CONTAINERS:
+            around.append(number)
         opened[tag] = opened.get(tag, 0) + 1
         left_out += out
         links += tag == "a"
     while stack:
         close()
     end_block()
-    return Page(blocks, containers), found_words
+    return Page(blocks, containers, owners), found_words
+
+
+def _unlinked(block: tuple[str, int]) -> int:
+    """Characters of a block that count as text of an article."""
+    return max(0, len(block[0]) - 2 * block[1])
 
 
 def best_container(page: Page) -> tuple[int, int] | None:
-    """(path, characters) of the deepest container that holds most of the page's best score."""
-    total = [0]
-    for text, linked in page.blocks:
-        total.append(total[-1] + max(0, len(text) - 2 * linked))
-    scored = [((total[c.end] - total[c.first]) * (_CONTENT_BONUS if c.content else 1.0), c) for c in page.containers]
-    best = max((s for s, _ in scored), default=0)
+    """(path, characters) of the best container, or of the deepest one in it that leaves out no article text."""
+    total, beside = [0], {}
+    for block, owner in zip(page.blocks, page.owners):
+        total.append(total[-1] + _unlinked(block))
+        beside[owner] = beside.get(owner, 0) + _unlinked(block)
+    scored = {c.number: (total[c.end] - total[c.first]) * (_CONTENT_BONUS if c.content else 1.0) for c in page.containers}
+    best = max(scored.values(), default=0)
     if best <= 0:
         return None
-    _, chosen = max(((s, c) for s, c in scored if s >= _NEAR_BEST * best), key=lambda x: (x[1].depth, x[0], -x[1].first))
+    opened = sorted(page.containers, key=lambda c: c.number)
+    top = next(c for c in opened if scored[c.number] == best)
+    whole = {}  # by container within the best one, if nothing beside it is lost: what a deeper one must hold
+    chosen = top
+    for c in opened:
+        held = total[c.end] - total[c.first]
+        if c.number != top.number:
+            if c.parent not in whole or beside.get(c.parent, 0) or held < whole[c.parent]:
+                continue
+            if scored[c.number] >= _NEAR_BEST * best and (c.depth, scored[c.number], -c.first) > (chosen.depth, scored[chosen.number], -chosen.first):
+                chosen = c
+        whole[c.number] = held if c.content else whole.get(c.parent, 0)
     return chosen.path, total[chosen.end] - total[chosen.first]
 
 
+def blocks_at(page: Page, path: int) -> list[int]:
+    """The blocks of all containers with this path, each once, in page order."""
+    return sorted({k for c in page.containers if c.path == path for k in range(c.first, c.end)})
+
+
 def text_at(page: Page, path: int) -> str:
     """The blocks of all containers with this path, each once, in page order."""
-    within = sorted({k for c in page.containers if c.path == path for k in range(c.first, c.end)})
-    return " ".join(page.blocks[k][0] for k in within)
+    return " ".join(page.blocks[k][0] for k in blocks_at(page, path))
 
 
 def main_text(html: str | None, paths: list[int]) -> str:
-    """The text at the first of ``paths`` that has any, else at the page's own best container, else all blocks."""
+    """The text at the first of ``paths`` that has any and, if the page's own best container is at one of them, holds no
+    less; else at that container, else all blocks."""
     page = parse(html or "")
     present = {c.path for c in page.containers}
+    own = best_container(page)
+    least = sum(_unlinked(page.blocks[k]) for k in blocks_at(page, own[0])) if own and own[0] in paths else 0
     for path in paths:
         if path in present:
-            text = text_at(page, path)
-            if text:
-                return text
-    own = best_container(page)
+            held = blocks_at(page, path)
+            if held and sum(_unlinked(page.blocks[k]) for k in held) >= least:
+                return " ".join(page.blocks[k][0] for k in held)
     return text_at(page, own[0]) if own else " ".join(text for text, _ in page.blocks)
 
 

@@ -83,3 +83,22 @@ def test_words_still_leave_out_what_is_no_article():
             assert host_paths.main_text("<body>" + kept % "" + other % much, []) == "Title a short article", other
     assert host_paths.main_text("<body><div class='text'><p>a short text</p></div><div id='comments'><h1>Talk</h1>" + much, []) == "a short text"
     assert host_paths.main_text("<div class='site-widget'>" * 2000 + "<p>deep text", []) == "deep text"
+
+
+def test_title_and_lead_outside_the_inner_container(spark):
+    """Neither the page's own container nor the host's path drops a part of the article."""
+    body = "<p>" + "the body of the text " * 40
+    inner = "<div class='entry'>%s</div>"
+    title = "<h1>Title</h1><p>A lead of some words.</p>"
+    both = "Title A lead of some words. " + ("the body of the text " * 40).strip()
+    for outer in ("<article>%s</article>", "<div class='post'>%s</div>", "<div class='wrap'>%s</div>"):
+        got = host_paths.main_text("<body><p>tagline</p>" * (outer[1] == "a") + outer % (title + (inner if "wrap" not in outer else "<div>%s</div>") % body), [])
+        assert got == both, outer
+    menu = "<ul><li><a href='/x'>a link to some other page</a></ul>"
+    assert host_paths.main_text("<article>" + menu + inner % body + "</article>", []) == both[28:]  # linked text alone does not keep the outer one
+
+    deep, split = "<article>" + inner % body + "</article>", "<article>" + title + inner % "<p>part one of it" + "<section>" + body + "</section></article>"
+    rows = [(k, "http://hot.example/a", deep) for k in range(40)] + [(100 + k, "http://hot.example/b", split) for k in range(10)]
+    found = host_paths.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = {r.page_id // 100: r._text for r in found}
+    assert texts == {0: both[28:], 1: both[:28] + "part one of it " + both[28:]}
