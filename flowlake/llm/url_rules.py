@@ -10,6 +10,9 @@ Curated rules come first: a rule of host and path fits its host and all subdomai
 the rule's; the longest wins. URLs that no curated rule fits get the verdict of the mined rule of highest
 confidence, then support, then most tokens, then block before allow; without one they are allowed.
 
+Labels name documents; a page gets the label of a document whose letters and digits are those of its article without
+the main heading. Ids of pages and documents are unrelated and never compared.
+
 Everything runs as DataFrame operations and Spark ML.
 
 Edge cases: a null URL or one without ``://`` has empty host, path and tokens and is allowed; repeated rows are
@@ -142,16 +145,37 @@ def judge(urls: DataFrame, rules: list[CuratedRule], labels: DataFrame | None =
     return own.toDF(*urls.columns, "_host", "_path", "_rule", "_verdict", "_mined")
 
 
+def text_key(text: Column) -> Column:
+    """A digest of the letters and digits of a text; null if it has none."""
+    letters = F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")
+    return F.when(letters != "", F.sha2(letters, 256))
+
+
+def article_of(html: Column) -> Column:
+    """What the page's first article or main element holds without main heading, scripts, tags and character references; empty
+    without such an element."""
+    inside = F.regexp_extract(html, r"(?is)<(article|main)\b[^>]*>(.*?)(?:</\1\s*>|\z)", 2)
+    text = F.regexp_replace(inside, r"(?is)<!--.*?(?:-->|\z)|<(script|style|h1)\b[^>]*>.*?(?:</\1\s*>|\z)|<[^>]*>", " ")
+    return F.regexp_replace(text, r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", " ")
+
+
+def document_verdicts(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, verdict) by the text key of the labelled documents; of several labels of a text the strictest."""
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), "block").otherwise("allow")
+    keys = documents.select("doc_id", text_key(F.col("text")).alias("id")).filter("id IS NOT NULL")
+    return keys.join(labels.select("doc_id", bad.alias("verdict")), "doc_id").groupBy("id").agg(F.max("verdict").alias("verdict"))
+
+
 #: The rules of the query, as its contract gives them.
 RULES = [CuratedRule("block", "net", "/"), CuratedRule("allow", "example.net", "/en/"),
          CuratedRule("block", "example.com", "/de/"), CuratedRule("allow", "org", "/fr/")]
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    bad = F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), "block").otherwise("allow"))  # of repeated labels the stricter
-    verdicts = labels.groupBy(F.col("doc_id").alias("id")).agg(bad.alias("verdict"))
-    found = judge(pages, RULES, verdicts, id_col="page_id")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    own = F.concat(F.lit("-"), F.col("page_id").cast("string"))  # no document's key, and not the same for all
+    keyed = pages.select("page_id", "url", F.coalesce(text_key(article_of(F.col("html"))), own).alias("key"))
+    verdicts = document_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = judge(keyed, RULES, verdicts, id_col="key")
     return found.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
                         F.col("_verdict").alias("verdict"), F.col("_mined").alias("mined"))

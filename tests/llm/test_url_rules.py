@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from flowlake.llm import url_rules
+from flowlake.llm import host_paths, url_rules
 from flowlake.llm.url_rules import RULES
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +84,33 @@ def test_labels_generalise_to_other_urls(spark, monkeypatch):
         monkeypatch.setattr(url_rules, "BROADCAST_SETS", limit)
         found = url_rules.judge(urls, RULES, labels, id_col="page_id").collect()
         assert {r.page_id: r._verdict for r in found} == want
+
+
+def test_labels_of_documents_reach_pages_by_text(spark):
+    """Page ids and document ids are unrelated: a page has the label of the document whose text it shows."""
+    page = "<title>x</title><div class='ad'>no</div><%s class='a'><h1>One</h1><script>no</script><p>One &amp; two<br><!-- no --><b>th</b>ree é</%s>no"
+    pages = spark.createDataFrame([(1, page % ("article", "article")), (2, page % ("main", "main")), (3, "<p>one two"), (4, None)], "page_id long, html string")
+    documents = spark.createDataFrame([(7, "One & two\nthree é"), (8, "One  & two three é"), (1, "other"), (3, "!"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 0), (1, 0, 1), (2, 0, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    verdicts = {r.id: r.verdict for r in url_rules.document_verdicts(documents, labels).collect()}
+    keys = {r.page_id: r.key for r in pages.select("page_id", url_rules.text_key(url_rules.article_of(pages.html)).alias("key")).collect()}
+    assert sorted(verdicts.values()) == ["block", "block"]  # the stricter one of both copies, and the other text
+    assert {k: verdicts.get(v) for k, v in keys.items()} == {1: "block", 2: "block", 3: None, 4: None}
+
+
+def test_query_learns_from_texts_not_ids(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: "".join(c for c in r.text or "" if c.isalnum()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    strict = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        strict[texts[r.doc_id]] = max(strict.get(texts[r.doc_id], ""), "block" if r.quality == 0 or r.toxic == 1 else "allow")
+    rows = []
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        parsed_page = host_paths.parse(r.html)
+        blocks = host_paths.blocks_at(parsed_page, host_paths.best_container(parsed_page)[0])
+        rows.append((r.page_id, r.url, strict.get("".join(c for k in blocks[1:] for c in parsed_page.blocks[k][0] if c.isalnum()))))
+    assert sum(v is not None for *_, v in rows) > 50
+    urls = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[2]], "id long, verdict string")
+    want = {r.page_id: (r._verdict, r._mined) for r in url_rules.judge(urls, RULES, labels, id_col="page_id").collect()}
+    assert {r.page_id: (r.verdict, r.mined) for r in url_rules.query(spark, sf).collect()} == want
