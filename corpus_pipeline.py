@@ -3,11 +3,11 @@
 Language identification drops texts without letters and texts of which no language has three fifths of the letters:
 mixtures go, however many languages there are. It does not judge digits or token junk beside the letters.
 Exact deduplication keeps the smallest doc_id of equal texts. The n-gram join (five words, similarity 0.8) keeps
-the smallest doc_id of each connected group. Decontamination drops documents with a benchmark window. The last
+the row with the smallest doc_id of each connected group; rows are told apart by doc_id and a 64-bit hash of the text. Decontamination drops documents with a benchmark window. The last
 stage encodes and decodes the rest and returns doc_id, lang, source, n_tokens and digests of ids and text.
 
 All stages but the last return the columns of documents. Edge cases are those of the operators: null and empty
-texts go in the first stage, rows without doc_id stay where a stage decides by id, an empty table passes through.
+texts go in the first stage, near copies without doc_id go if another of their group has one, an empty table passes through.
 """
 
 from __future__ import annotations
@@ -36,8 +36,14 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.similar_documents(docs, NEAR_DUPLICATES)
-    return without_ids(docs, "doc_id", cut_lineage(found.filter("doc_id <> component_id").select("doc_id"), "dropped"))
+    plain, name = numbered(docs)
+    keyed = plain.withColumn("_key", F.xxhash64(name["doc_id"], name["text"]))  # a doc_id may repeat with another text, or lack
+    found = ngram_join.similar_documents(keyed, NEAR_DUPLICATES, "_key", name["text"]).filter("n_links > 0")
+    own = keyed.select("_key", F.col(name["doc_id"]).alias("_id"))
+    linked = cut_lineage(found.select(F.col("doc_id").alias("_key"), "component_id").join(own, "_key"), "linked")
+    least = linked.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("first"))
+    dropped = cut_lineage(linked.select("_key").join(least.select("first._key"), "_key", "left_anti"), "dropped")
+    return without_ids(keyed, "_key", dropped).select(plain.columns).toDF(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

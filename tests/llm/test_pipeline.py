@@ -64,3 +64,13 @@ def test_language_stage_drops_even_mixtures(spark):
     found = language_id.predict(larger.filter(held_out), language_id.fit(larger.filter(~held_out)))
     stay = found.agg(F.avg((F.col("_score") >= corpus_pipeline.LANGUAGE_SHARE).cast("double"))).first()[0]
     assert stay >= 0.99
+
+
+def test_near_duplicates_go_by_row(spark):
+    """A repeated doc_id neither takes an unrelated text with it nor saves a near copy; near copies without an id go."""
+    near = [" ".join(f"{x}{k}" for k in range(60)) + f" end {n}" for n, x in enumerate("aaa")] + [" ".join(f"b{k}" for k in range(60)) + f" end {n}" for n in range(2)]
+    rows = [(1, near[0]), (2, near[1]), (2, "a clean text with no copy under the same id"), (None, near[2]), (5, near[3]), (5, near[4]), (None, "no id and no copy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()))
+    assert [r for r in kept if r[0] != 5] == [(0, "no id and no copy"), (1, near[0]), (2, rows[2][1])]
+    assert [d for d, _ in kept].count(5) == 1
