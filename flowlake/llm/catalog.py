@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlake.llm import byte_bpe, decontaminate, exact_dedup, host_paths, language_id, ngram_join, packing, quotation, tree_weighting, url_rules
+from flowlake.llm import (
+    byte_bpe, compression_quality, decontaminate, exact_dedup, hard_negatives, host_paths, language_id, ngram_join, packing, quotation, tree_weighting,
+    url_rules, vector_codes,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": byte_bpe.query,
         "op9_host_paths": host_paths.query,
         "op10_tree_weighting": tree_weighting.query,
+        "op11_vector_codes": vector_codes.query,
+        "op12_hard_negatives": hard_negatives.query,
+        "op13_compression_quality": compression_quality.query,
     }
 
 
@@ -30,4 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_ngram_jaccard_join": ngram_join.SQL,
         "op4_benchmark_decontamination": decontaminate.SQL,
         "op7_exact_dedup": exact_dedup.SQL,
+        "op11_vector_codes": vector_codes.SQL,
+        "op12_hard_negatives": hard_negatives.SQL,
     }
