@@ -13,11 +13,11 @@ from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.baseline import FlowBaseline, FlowBaselineModel
-from ..operators.positions import place, time_order
+from ..operators.positions import PlacedTable, place, time_order
 from ..operators.quantiles import smallest_cut
 from ..operators.ranking import benign_reference
 from ..operators.summary import batch_summary, combined_source_summary, summarize
@@ -132,6 +132,11 @@ class AdaptiveLearner:
         row = self.spark.read.schema("warm_seen long, batch_id long").parquet(f"{self.root}/epochs/epoch={epoch}").first()
         return row["warm_seen"], row["batch_id"]
 
+    def last_epoch(self) -> int:
+        """The latest micro-batch that was finished, -1 if none was."""
+        epochs = self.spark.read.schema("warm_seen long, batch_id long, epoch long").parquet(f"{self.root}/epochs")
+        return epochs.agg(F.coalesce(F.max("epoch"), F.lit(-1))).first()[0]
+
     def logged(self, batch_id: int) -> StepLog:
         row = self.spark.read.schema(_LOG_SCHEMA).parquet(self._path("log", batch_id)).first()
         return StepLog(**row.asDict())
@@ -212,15 +217,20 @@ def adaptive_run(flows: DataFrame, settings: AdaptiveSettings = AdaptiveSettings
     its batch only. Choose ``batch_size`` so that the number of batches stays
     in the thousands.
     """
-    spark, size = flows.sparkSession, settings.size
     placed = place(flows, time_order(settings.key))
     if not placed.total:
         raise ValueError("no flows for adaptive learning")
-    slices = -(-placed.total // size)
+    return _run_range(placed, 0, placed.total, settings, root)
+
+
+def _run_range(placed: PlacedTable, start: int, rows: int, settings: AdaptiveSettings, root: str | None = None) -> AdaptiveLearner:
+    """Adaptive scoring of ``rows`` rows of a placed table from ``start`` on; positions count from there."""
+    spark, size = placed.stored.sparkSession, settings.size
+    slices = -(-rows // size)
 
     def batch(first: int, stop: int) -> DataFrame:
-        rows = placed.rows(first * size, stop * size)
-        return rows.withColumn("slice_id", F.floor(F.col("position") / size).cast("long"))
+        found = placed.rows(start + first * size, start + min(stop * size, rows))
+        return found.withColumn("position", F.col("position") - start).withColumn("slice_id", F.floor(F.col("position") / size).cast("long"))
 
     learner = AdaptiveLearner(spark, root or scratch_path(spark, "adaptive"), settings)
     warm = min(max(1, settings.warmup_batches), slices)
@@ -234,19 +244,22 @@ def adaptive_per_source(flows: DataFrame, settings: AdaptiveSettings = AdaptiveS
                         by: str = "dataset_source", parallel: int = 4) -> tuple[DataFrame, DataFrame]:
     """An adaptive run per source: scored rows of all sources and their batch summaries.
 
-    Sources are independent, so their jobs share the cluster side by side.
+    The flows are written once, ordered by source and time, and every step of
+    every source reads a row range of that. Sources are independent, so their
+    jobs share the cluster side by side.
     """
-    sources = [r[0] for r in flows.select(by).distinct().orderBy(by).collect()]
+    placed = place(flows, [F.col(by).asc_nulls_first(), *time_order(settings.key)])
+    # one row per source, as the driver runs each
+    ranges = placed.rows().groupBy(by).agg(F.min("position").alias("start"), F.count(F.lit(1)).alias("rows")).orderBy("start").collect()
 
     def run(source) -> AdaptiveLearner:
-        part: Column = F.col(by).eqNullSafe(F.lit(source))
-        return adaptive_run(flows.filter(part), settings)
+        return _run_range(placed, source["start"], source["rows"], settings)
 
     with ThreadPoolExecutor(parallel) as pool:
-        learners = list(pool.map(run, sources))
+        learners = list(pool.map(run, ranges))
     scored = reduce(lambda a, b: a.unionByName(b), [one.scored() for one in learners])
     summaries = reduce(lambda a, b: a.unionByName(b), [
-        one.batch_summaries().withColumn(by, F.lit(source)) for one, source in zip(learners, sources)])
+        one.batch_summaries().withColumn(by, F.lit(source[by])) for one, source in zip(learners, ranges)])
     return scored, summaries
 
 

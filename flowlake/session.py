@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from threading import get_ident
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,14 +58,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/flowlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def cut_lineage(df: DataFrame, name: str, partition_by: list[str] | None = None, outlives: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The written table survives the loss of any executor and gives later jobs
     a plain columnar scan with pruning instead of a replay of the whole plan.
-    ``drop_scratch`` removes it once nothing reads it any more.
+    ``drop_scratch`` removes it once nothing reads it any more, as does the
+    end of the innermost ``temporary_tables`` around it, or of the one around that if it ``outlives`` it.
     """
     path = scratch_path(df.sparkSession, name)
+    open_lists = _written.get(get_ident(), [])
+    if len(open_lists) > outlives:
+        open_lists[-1 - outlives].append(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -70,6 +77,24 @@ def cut_lineage(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: By thread, paths written within each open ``temporary_tables``, the innermost last.
+_written: dict[int, list[list[str]]] = {}
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end what ``cut_lineage`` wrote meanwhile in this thread, but for tables that outlive it."""
+    paths: list[str] = []
+    _written.setdefault(get_ident(), []).append(paths)
+    try:
+        yield
+    finally:
+        _written[get_ident()].pop()
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files of a table that ``cut_lineage`` wrote."""
     spark = df.sparkSession

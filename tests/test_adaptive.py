@@ -6,7 +6,7 @@ from brute import adaptive
 from flowlake.plans.adaptive import AdaptiveSettings, adaptive_per_source, adaptive_run, combined_summary, latest_by_position
 from flowlake.session import scratch_path
 from flowlake.sources.sinks import write_batch_summary
-from flowlake.streaming.adaptive_stream import start_adaptive_stream
+from flowlake.streaming.adaptive_stream import finish_warmup, first_deliveries, score_available, start_adaptive_stream
 
 SETTINGS = AdaptiveSettings(batch_size=350, memory_size=500)
 
@@ -108,3 +108,45 @@ def test_latest_rows_at_high_slice_numbers(spark):
 def test_warmup_is_counted_in_slices_there_are(flows):
     learner = adaptive_run(flows, AdaptiveSettings(batch_size=500, warmup_batches=9))
     assert learner.summary().first().warmup_batches == 2
+
+
+def test_first_deliveries_over_many_micro_batches(spark):
+    """Fifty micro-batches, each with flows of earlier ones and rows without a key; then keys that are let go."""
+    root = scratch_path(spark, "deliveries")
+    rows = [(k // 4, k if k % 4 < 3 else k // 2 if k % 8 < 7 else None) for k in range(200)]
+    for number in range(50):
+        part = spark.createDataFrame([r for r in rows if r[0] == number], "delivery long, flow_id long")
+        part.coalesce(1).write.parquet(f"{root}/input/n={number:02d}")
+    stream = (spark.readStream.schema("delivery long, flow_id long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+              .parquet(f"{root}/input"))
+    query = first_deliveries(stream, "flow_id").writeStream.format("parquet").option("path", f"{root}/out").option(
+        "checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["batchId"] >= 49
+    # the state knows each key and each row without one, once
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == len({k for _, k in rows if k is not None}) + sum(k is None for _, k in rows)
+    found = [r.flow_id for r in spark.read.parquet(f"{root}/out").collect()]
+    assert sorted(found, key=repr) == sorted([*{k for _, k in rows if k is not None}, *[k for _, k in rows if k is None]], key=repr)
+
+    forgetful = first_deliveries(stream, "flow_id", "1 hour").writeStream.format("parquet").option("path", f"{root}/again").option(
+        "checkpointLocation", f"{root}/offsets2").trigger(availableNow=True).start()
+    forgetful.awaitTermination()
+    assert spark.read.parquet(f"{root}/again").count() == len(found)
+
+
+def test_an_unfinished_warmup_is_scored(spark, flows, flow_frame):
+    root = scratch_path(spark, "short")
+    settings = AdaptiveSettings(batch_size=350, memory_size=500, warmup_batches=5, rank=0)
+    ids = flow_frame["flow_id"].tolist()
+
+    def deliver(part):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/input")
+        score_available(spark.readStream.schema(flows.schema).parquet(f"{root}/input"), f"{root}/run", settings)
+
+    deliver(flows.filter(F.col("flow_id").isin(ids[:600])))
+    scored = spark.read.parquet(f"{root}/run/scored")
+    assert scored.count() == 600 and {r.learning_phase for r in scored.select("learning_phase").distinct().collect()} == {"warmup"}
+    assert not finish_warmup(spark, f"{root}/run", settings)
+    deliver(flows.filter(F.col("flow_id").isin(ids[600:])))
+    scored = spark.read.parquet(f"{root}/run/scored")
+    assert scored.count() == len(ids) and scored.filter("learning_phase = 'adapt'").count() == len(ids) - 600
