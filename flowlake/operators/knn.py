@@ -1,18 +1,32 @@
-"""Exact k-nearest-neighbour search and votes by cosine distance."""
+"""Exact k-nearest-neighbour search and votes by cosine distance.
+
+A training table whose counted size fits is broadcast. A larger one is laid out by pivots: unit vectors are points of a
+metric space, every training row belongs to the nearest of some pivots, and the rows of a pivot are cut into rings by their
+distance to it. Two passes move each training block once: the first one searches the block around every test row, which
+bounds its k-th distance, the second one only those blocks that the triangle inequality does not put beyond that bound.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BROADCAST_BYTES = 256 * 1024 * 1024
-_TEST_BLOCK = 20_000
-_TRAIN_BLOCK = 200_000
+#: Training rows of a block, on average; blocks of equal distances are cut further by hash.
+TRAIN_BLOCK = 20_000
+#: Test rows that one task brings to a block; a block asked for by more of them is copied.
+TEST_ROWS = 200_000
+MOST_PIVOTS = 1024
 _CHUNK = 512
+#: Rounding allowance of distances; a block is only left out if it lies beyond the bound by more.
+_SLACK = 1e-6
 
 
 def _matrix(column) -> np.ndarray:
@@ -62,9 +76,9 @@ def nearest_neighbours(test: DataFrame, train: DataFrame, k: int = 7, key: str =
     """``id, neighbours`` with the k nearest training rows of every test row.
 
     No pair is ever emitted: distances live in one matrix block at a time and
-    only the k best per test row leave it. A training table whose counted
-    size fits is broadcast; a larger one is cut into blocks that meet the
-    blocks of the test table, and the partial results are merged.
+    only the k best per test row leave it. A training table whose counted size
+    is above ``broadcast_bytes`` is searched by pivots. Of equal distances the
+    smaller id is nearer; vectors of length zero are at distance 1 to all.
     """
     queries = test.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     known = train.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"),
@@ -75,7 +89,7 @@ def nearest_neighbours(test: DataFrame, train: DataFrame, k: int = 7, key: str =
         raise ValueError("no training rows")
     if rows * first[0] * 8 <= broadcast_bytes:
         return _broadcast_search(queries, known, k)
-    return _block_search(queries, known, k, rows, queries.count())
+    return PivotIndex.of(known, rows).search(queries, k)
 
 
 def _broadcast_search(queries: DataFrame, known: DataFrame, k: int) -> DataFrame:
@@ -93,30 +107,175 @@ def _broadcast_search(queries: DataFrame, known: DataFrame, k: int) -> DataFrame
     return queries.mapInArrow(search, _SCHEMA)
 
 
-def _block_search(queries: DataFrame, known: DataFrame, k: int, n_known: int, n_queries: int,
-                  train_block: int = _TRAIN_BLOCK, test_block: int = _TEST_BLOCK) -> DataFrame:
-    train_blocks, test_blocks = -(-n_known // train_block), max(1, -(-n_queries // test_block))
+def _lifted(rows: np.ndarray, side: int) -> np.ndarray:
+    """Unit vectors with two coordinates more, one for each side, that make vectors of length zero unit vectors too and
+    change no inner product between a test row (side 0) and a training row (side 1)."""
+    extra = np.zeros((len(rows), 2))
+    extra[:, side] = np.sqrt(np.clip(1.0 - (rows ** 2).sum(1), 0.0, 1.0))
+    extra[extra < 1e-7] = 0.0  # rounding of the length
+    return np.hstack([rows, extra])
+
+
+def _apart(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Euclidean distances of unit vectors."""
+    return np.sqrt(np.maximum(2.0 - 2.0 * rows @ pivots.T, 0.0))
+
+
+class PivotIndex:
+    """Training rows in blocks: ``rows`` has ``block, id, v, label``, ``blocks`` for each block its pivot and the least and
+    largest distance of its rows to it."""
+
+    def __init__(self, rows: DataFrame, pivots: np.ndarray, blocks: np.ndarray):
+        self.rows, self.pivots, self.blocks = rows, pivots, blocks
+
+    @classmethod
+    def of(cls, known: DataFrame, rows: int, block: int | None = None) -> PivotIndex:
+        """Lay out ``known`` (id, v, label); a few numbers per block and at most ``MOST_PIVOTS`` vectors reach the driver."""
+        block = block or TRAIN_BLOCK
+        wanted = min(MOST_PIVOTS, max(8, math.isqrt(rows)))
+        sample = known.orderBy(F.xxhash64("id", "v"), "id").limit(wanted).select("v").toArrow()
+        pivots = np.unique(_lifted(_matrix(sample.column("v")), 1), axis=0)
+        shared = known.sparkSession.sparkContext.broadcast(pivots)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    apart = _apart(_lifted(_matrix(batch.column("v")), 1), shared.value)
+                    own = apart.argmin(1)
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.columns, pa.array(own.astype(np.int32)), pa.array(apart[np.arange(len(own)), own])],
+                        names=[*batch.schema.names, "pivot", "away"])
+
+        placed = cut_lineage(known.mapInArrow(place, _fields(known) + ", pivot int, away double"), "placed")
+        rings = max(1, -(-rows // (block * len(pivots))))  # of an average pivot
+        cuts = placed.groupBy("pivot").agg(F.percentile_approx("away", [(k + 1) / rings for k in range(rings)], 10_000).alias("cuts"))
+        ringed = (placed.join(F.broadcast(cuts), "pivot")  # one row per pivot
+                  .withColumn("ring", F.size(F.filter("cuts", lambda cut: cut < F.col("away")))).drop("cuts"))
+        counts = ringed.groupBy("pivot", "ring").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+        cut = (ringed.join(F.broadcast(counts), ["pivot", "ring"])  # one row per ring
+               .withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts"))))
+        bounds = cut.groupBy("pivot", "ring", "part").agg(F.min("away").alias("near"), F.max("away").alias("far")).orderBy("pivot", "ring", "part")
+        found = bounds.toArrow()
+        numbered = found.append_column("block", pa.array(np.arange(found.num_rows)))
+        names = known.sparkSession.createDataFrame(numbered.select(["pivot", "ring", "part", "block"]))
+        stored = cut_lineage(cut.join(F.broadcast(names), ["pivot", "ring", "part"]).select("block", *known.columns), "blocks")
+        return cls(stored, pivots, np.stack([numbered.column(c).to_numpy().astype(float) for c in ("pivot", "near", "far")], 1))
+
+    def least(self, rows: np.ndarray) -> np.ndarray:
+        """How near the rows of each block can be at least (test rows x blocks)."""
+        to_pivot = _apart(rows, self.pivots)
+        pivot, near, far = self.blocks[:, 0].astype(int), self.blocks[:, 1], self.blocks[:, 2]
+        ring = np.maximum(to_pivot[:, pivot] - far, near - to_pivot[:, pivot])
+        # a row of the block is nearer to its own pivot than to the test row's, so it lies beyond the plane between the two
+        own = to_pivot.argmin(1)
+        between = _apart(self.pivots[own], self.pivots)
+        behind = (to_pivot ** 2 - (to_pivot.min(1) ** 2)[:, None]) / np.maximum(2 * between, 1e-12)
+        behind[between < 1e-6] = 0.0
+        return np.maximum(ring, behind[:, pivot]).clip(0.0)
+
+    def _shared(self, spark):
+        return spark.sparkContext.broadcast((self.pivots, self.blocks))
+
+    def homes(self, queries: DataFrame) -> DataFrame:
+        """``queries`` with the one block that lies around each of them."""
+        shared = self._shared(queries.sparkSession)
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = PivotIndex(None, *shared.value)
+            for batch in batches:
+                for part in _slices(batch):
+                    block = index.least(_lifted(_matrix(part.column("v")), 0)).argmin(1)
+                    yield part.append_column("block", pa.array(block))
+
+        return queries.mapInArrow(find, _fields(queries) + ", block long")
+
+    def to_meet(self, bounded: DataFrame) -> DataFrame:
+        """(id, v, block) for all blocks, but the row's ``block`` if it has one, that may hold a row within ``bound`` of it."""
+        shared = self._shared(bounded.sparkSession)
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = PivotIndex(None, *shared.value)
+            for batch in batches:
+                for part in _slices(batch):
+                    bound = np.sqrt(np.maximum(2 * part.column("bound").to_numpy(), 0))
+                    open_to = index.least(_lifted(_matrix(part.column("v")), 0)) <= bound[:, None] + _SLACK
+                    if "block" in part.schema.names:
+                        open_to[np.arange(part.num_rows), part.column("block").to_numpy()] = False
+                    row, block = np.nonzero(open_to)
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), part.column("v").cast(pa.list_(pa.float64())).take(pa.array(row)),
+                                                      pa.array(block)], names=["id", "v", "block"])
+
+        return bounded.mapInArrow(find, "id long, v array<double>, block long")
+
+    def meet(self, asked: DataFrame, k: int) -> DataFrame:
+        """The k nearest rows of its block for each row of ``asked`` (id, v, block)."""
+        return self._met(asked, lambda ids, test, *train: _neighbour_arrays(ids, test, *train, k), _SCHEMA)
+
+    def _met(self, asked: DataFrame, look: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+        """``look`` (ids and unit vectors of test rows; unit vectors, ids, labels of the block) for all rows of ``asked``."""
+        copies = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TEST_ROWS).cast("int").alias("copies"))
+        copies = cut_lineage(copies, "asked")  # one row per block
+        test = (asked.join(F.broadcast(copies), "block").withColumn("copy", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int"))
+                .select("block", "copy", F.lit(1).alias("is_test"), "id", F.col("v").cast("array<double>").alias("v"),
+                        F.lit(None).cast("string").alias("label")))
+        train = (self.rows.join(F.broadcast(copies), "block")
+                 .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+                 .select("block", "copy", F.lit(0).alias("is_test"), "id", F.col("v").cast("array<double>").alias("v"), "label"))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            current, held, ready = None, [], None
+            for batch in batches:
+                block, copy, is_test = (batch.column(c).to_numpy() for c in ("block", "copy", "is_test"))
+                change = np.flatnonzero(np.diff(block) | np.diff(copy) | np.diff(is_test)) + 1
+                for low, high in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+                    if high == low:
+                        continue
+                    key, part = (block[low], copy[low]), batch.slice(low, high - low)
+                    if key != current:
+                        current, held, ready = key, [], None
+                    if not is_test[low]:
+                        held.append(part)
+                        continue
+                    if ready is None:
+                        table = pa.Table.from_batches(held)
+                        ready = (_matrix(table.column("v")), table.column("id").to_numpy(), np.array(table.column("label").to_pylist(), dtype=object))
+                    yield look(part.column("id"), _matrix(part.column("v")), *ready)
+
+        keys = ["block", "copy"]
+        return train.unionByName(test).repartition(*keys).sortWithinPartitions(*keys, "is_test").mapInArrow(search, schema)
+
+    def within(self, queries: DataFrame, distance: float) -> DataFrame:
+        """(id, other, cosine) of the test rows and all rows of a larger id at most ``distance`` away (1 - cosine)."""
+        def look(ids: pa.Array, test: np.ndarray, train: np.ndarray, train_ids: np.ndarray, labels: np.ndarray) -> pa.RecordBatch:
+            own, found = ids.to_numpy(), [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]]
+            for low in range(0, len(test), _CHUNK):
+                cosine = test[low:low + _CHUNK] @ train.T
+                row, other = np.nonzero((1.0 - cosine <= distance) & (own[low:low + _CHUNK, None] < train_ids))
+                found.append([own[low + row], train_ids[other], cosine[row, other]])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["id", "other", "cosine"])
+
+        asked = cut_lineage(self.to_meet(queries.withColumn("bound", F.lit(float(distance)))), "asked")
+        return self._met(asked, look, "id long, other long, cosine double")
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """``id, neighbours`` with the k nearest rows of all blocks."""
+        homes = cut_lineage(self.homes(queries), "homes")
+        first = cut_lineage(self.meet(homes, k), "first")
+        # no k rows at home: every block is open, as no distance exceeds 2
+        bound = F.when(F.size("neighbours") == k, F.element_at("neighbours", -1)["distance"]).otherwise(2.0)
+        bounded = homes.join(first.select("id", bound.alias("bound")), "id")
+        asked = cut_lineage(self.to_meet(bounded), "asked")
+        return first.unionByName(self.meet(asked, k)).groupBy("id").agg(
+            F.slice(F.sort_array(F.flatten(F.collect_list("neighbours"))), 1, k).alias("neighbours"))
 
-    def blocked(df, own, own_blocks, other, other_blocks):
-        return (df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(own_blocks)).cast("int"))
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1)))))
 
-    left = blocked(queries, "test_block", test_blocks, "train_block", train_blocks)
-    right = blocked(known, "train_block", train_blocks, "test_block", test_blocks)
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
-    def search(test: pa.Table, train: pa.Table) -> pa.Table:
-        if test.num_rows == 0 or train.num_rows == 0:
-            return pa.table({"id": pa.array([], pa.int64()), "neighbours": pa.array([], pa.list_(
-                pa.struct([("distance", pa.float64()), ("id", pa.int64()), ("label", pa.string())])))})
-        batch = _neighbour_arrays(
-            test.column("id").combine_chunks(), _matrix(test.column("v")), _matrix(train.column("v")),
-            train.column("id").to_numpy(), np.array(train.column("label").to_pylist(), dtype=object), k)
-        return pa.Table.from_batches([batch])
 
-    partial = (left.groupBy("test_block", "train_block")
-               .cogroup(right.groupBy("test_block", "train_block")).applyInArrow(search, _SCHEMA))
-    return partial.groupBy("id").agg(
-        F.slice(F.sort_array(F.flatten(F.collect_list("neighbours"))), 1, k).alias("neighbours"))
+def _slices(batch: pa.RecordBatch, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    for low in range(0, batch.num_rows, rows):
+        yield batch.slice(low, rows)
 
 
 def predict(neighbours: DataFrame) -> DataFrame:

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, norm, vector_sum
 from ..schema import TARGET_ACCURACY, TARGET_INTER, TARGET_INTRA
 from ..session import cut_lineage
+from .knn import PivotIndex
 from .params import small_or_written
 
 #: Probe vectors of one broadcast.
 PROBE_BYTES = 32 << 20
+#: Classes of a block when class pairs are formed.
+CLASS_BLOCK = 512
 
 
 def unit_vectors(df: DataFrame, vector: str = "embedding", name: str = "unit") -> DataFrame:
@@ -41,17 +44,38 @@ def intra_class(sums: DataFrame, label: str = "label") -> DataFrame:
     return sums.select(label, F.when(n < 2, 1.0).otherwise(pairs).alias("intra_cosine"))
 
 
-def inter_class(sums: DataFrame, label: str = "label") -> DataFrame:
-    """Mean cosine between every two classes."""
-    # One row holding the class table: it grows with the classes, not the rows.
-    listed = sums.agg(F.sort_array(F.collect_list(F.struct(
-        F.col(label).alias("label"), "n", "total"))).alias("classes"))
-    first = listed.select("classes", F.posexplode("classes").alias("i", "a"))
-    both = first.select("a", F.explode(F.slice(
-        "classes", F.col("i") + 2, F.greatest(F.size("classes") - F.col("i") - 1, F.lit(0)))).alias("b"))
+def inter_class(sums: DataFrame, label: str = "label", block: int = CLASS_BLOCK) -> DataFrame:
+    """Mean cosine between every two classes.
+
+    Classes are dealt to blocks of about ``block``; every two blocks meet in one task, in which each pair is formed once.
+    """
+    blocks = max(1, -(-sums.count() // block))
+    own = F.pmod(F.xxhash64(label), F.lit(blocks)).cast("int")
+    side = sums.select(F.struct(F.col(label).alias("label")).alias("key"), "n", "total", own.alias("own"),
+                       F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    a, b = side.alias("a"), side.alias("b")
+    met = a.join(b, (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own")) & (F.col("a.key") < F.col("b.key")))
     mean = dot(F.col("a.total"), F.col("b.total")) / (F.col("a.n") * F.col("b.n"))
-    return both.select(F.col("a.label").alias("class_a"), F.col("b.label").alias("class_b"),
-                       mean.alias("inter_cosine"))
+    return met.select(F.col("a.key.label").alias("class_a"), F.col("b.key.label").alias("class_b"), mean.alias("inter_cosine"))
+
+
+def mean_inter_class(sums: DataFrame, size: int = 64) -> DataFrame:
+    """The mean of :func:`inter_class` over all pairs, from the sum of the classes' means; null for fewer than two classes."""
+    means = sums.select(F.transform("total", lambda x: x / F.col("n")).alias("mean"))
+    row = means.agg(F.count(F.lit(1)).alias("n"), vector_sum(F.col("mean"), size).alias("total"), F.sum(dot(F.col("mean"), F.col("mean"))).alias("squares"))
+    pairs = (dot(F.col("total"), F.col("total")) - F.col("squares")) / (F.col("n") * (F.col("n") - 1))
+    return row.select(F.when(F.col("n") > 1, pairs).alias("inter_cosine"))
+
+
+def cosine_join(df: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int | None = None) -> DataFrame:
+    """(id, other, cosine) of all pairs of rows with a cosine of at least ``threshold``, the smaller id first.
+
+    Rows are laid out by pivots (:class:`~flowlake.operators.knn.PivotIndex`); a row meets only those blocks that the
+    triangle inequality does not put farther away than the threshold. Ids are unique.
+    """
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.lit(None).cast("string").alias("label"))
+    index = PivotIndex.of(rows, rows.count(), block)
+    return index.within(rows.select("id", "v"), 1.0 - threshold)
 
 
 def cosine_to(df: DataFrame, probes: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -79,7 +103,7 @@ def embedding_kpis(df: DataFrame, accuracy: float | None = None, label: str = "l
     """Unweighted means over classes and class pairs, and whether they meet the targets."""
     sums, _ = small_or_written(class_sums(df, label, vector, size), "class_sums")
     intra = intra_class(sums, label).agg(F.avg("intra_cosine").alias("value")).withColumn("kpi", F.lit("intra"))
-    inter = inter_class(sums, label).agg(F.avg("inter_cosine").alias("value")).withColumn("kpi", F.lit("inter"))
+    inter = mean_inter_class(sums, size).select(F.col("inter_cosine").alias("value"), F.lit("inter").alias("kpi"))
     table = intra.unionByName(inter).groupBy().pivot("kpi", ["intra", "inter"]).agg(F.first("value"))
     result = table.select(
         F.coalesce("intra", F.lit(0.0)).alias("mean_intra"),
