@@ -65,11 +65,8 @@ def median_side(column: Column, cut: float, at_least: bool = False) -> Column:
     )
 
 
-def median_is_above(side: dict, cut: float, at_least: bool = False) -> bool:
-    """Evaluate one collected :func:`median_side` result."""
-    if side["n"] == 0:
-        return False
-    if 2 * side["above"] != side["n"]:
-        return 2 * side["above"] > side["n"]
+def median_is_above(side: Column, cut: float, at_least: bool = False) -> Column:
+    """Evaluate a :func:`median_side` result; false without values."""
     middle = (side["below_edge"] + side["above_edge"]) / 2
-    return middle >= cut if at_least else middle > cut
+    at_tie = middle >= cut if at_least else middle > cut
+    return F.when(side["n"] == 0, False).when(2 * side["above"] != side["n"], 2 * side["above"] > side["n"]).otherwise(at_tie)

@@ -103,30 +103,57 @@ class UnitPlan:
         return value * factor if factor > 1 else value / round(1 / factor)
 
 
-def detect_units(df: DataFrame) -> UnitPlan:
-    """Decide the time units of a standardized table in one counting pass."""
-    sides: dict[str, tuple[Column, float, bool]] = {}
-    for name in ["duration_sec", "inter_arrival_mean_ms", "inter_arrival_std_ms"]:
+class FileUnits:
+    """Factors that differ from file to file, in columns that :func:`file_facts` names."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+
+    def apply(self, name: str, value: Column) -> Column:
+        if _unit(name) not in self.names:
+            return value
+        factor = F.col(_unit(name))
+        return (F.when(factor == 0, 0.0).when(factor > 1, value * factor).when(factor < 1, value / F.round(1 / factor))
+                .otherwise(value))
+
+
+def _unit(name: str) -> str:
+    return f"_unit_{name}"
+
+
+def unit_factors(df: DataFrame) -> dict[str, Column]:
+    """Aggregates that give the factor of every time column there is, by counting."""
+    found: dict[str, Column] = {}
+    for name, factor in (("duration_sec", 1e-6), ("inter_arrival_mean_ms", 1e-3), ("inter_arrival_std_ms", 1e-3)):
         if name in df.columns:
-            sides[name] = (F.abs(_number(df, name)), 1000.0, False)
+            above = median_is_above(median_side(F.abs(_number(df, name)), 1000.0), 1000.0)
+            found[name] = F.when(above, factor).otherwise(1.0)
     for name in _GAP_COLUMNS + _JITTER_COLUMNS:
         if name in df.columns:
             value = _number(df, name)
-            sides[name] = (F.when(value > 0, value), 10.0, True)
-    if not sides:
+            side = median_side(F.when(value > 0, value), 10.0, True)
+            found[name] = F.when(side["n"] == 0, 0.0).when(median_is_above(side, 10.0, True), 1.0).otherwise(1000.0)
+    return found
+
+
+def detect_units(df: DataFrame) -> UnitPlan:
+    """Decide the time units of a standardized table in one counting pass."""
+    factors = unit_factors(df)
+    if not factors:
         return UnitPlan()
-    row = df.agg(*[median_side(c, cut, edge).alias(n) for n, (c, cut, edge) in sides.items()]).first()
-    factors: dict[str, float] = {}
-    for name, (_, cut, edge) in sides.items():
-        above = median_is_above(row[name].asDict(), cut, edge)
-        if name in _GAP_COLUMNS + _JITTER_COLUMNS:
-            factors[name] = 0.0 if row[name]["n"] == 0 else (1.0 if above else 1000.0)
-        elif above:
-            factors[name] = 1e-6 if name == "duration_sec" else 1e-3
-    return UnitPlan(factors)
-
-
-def scale_times(df: DataFrame, units: UnitPlan) -> DataFrame:
+    found = df.agg(*[c.alias(name) for name, c in factors.items()]).first().asDict()
+    return UnitPlan({name: factor for name, factor in found.items() if factor != 1.0 or name in _GAP_COLUMNS + _JITTER_COLUMNS})
+
+
+def file_facts(df: DataFrame, source: str, also: list[Column] | None = None) -> DataFrame:
+    """All that is decided file by file, in one pass over a standardized table: units and the reading of dates."""
+    facts = [c.cast("double").alias(_unit(name)) for name, c in unit_factors(df).items()]
+    if dict(df.dtypes).get("timestamp") == "string":
+        facts.append(_day_first().alias("_day_first"))
+    return df.groupBy(source).agg(*(also or []), *(facts or [F.count(F.lit(1)).alias("_rows")]))
+
+
+def scale_times(df: DataFrame, units: UnitPlan | FileUnits) -> DataFrame:
     """Duration in seconds, inter-arrival mean and deviation in milliseconds."""
     def scaled(name: str) -> Column:
         return units.apply(name, _number(df, name)) if name in df.columns else F.lit(0.0)
@@ -164,7 +191,7 @@ def fill_defaults(df: DataFrame, infer_flow_direction: bool = False) -> DataFram
 
     A null protocol stays null here: it is text of unknown content, not a
     missing column, and becomes OTHER. Ports are numbers, truncated; text that
-    is no number becomes null and can be counted by :func:`rejected_ports`.
+    is no number becomes null; :func:`unusable_ports` finds it before.
     """
     new: dict[str, Column] = {}
     for name, default in CATEGORICAL_DEFAULTS.items():
@@ -213,31 +240,34 @@ def normalize_text(df: DataFrame, null_label: str = "nan",
     return df.withColumns(new)
 
 
-def day_first_files(df: DataFrame, source: str | None = None) -> DataFrame:
-    """Per file whether its timestamps are read day-first: if that reading fits more of its rows."""
-    text = F.col("timestamp")
-    month, day = (F.count(slash_timestamp(text, first)) for first in (False, True))
-    return df.groupBy(*([source] if source else [])).agg((day > month).alias("_day_first"))
+def _with_facts(df: DataFrame, source: str, facts: DataFrame, names: list[str]) -> DataFrame:
+    table, small = small_or_written(facts.select(source, *names), "files")
+    return df.join(F.broadcast(table) if small else table, source, "left")
+
+
+def _day_first() -> Column:
+    """Aggregate: whether timestamps are read day-first, if that reading fits more of the rows."""
+    month, day = (F.count(slash_timestamp(F.col("timestamp"), first)) for first in (False, True))
+    return day > month
 
 
 def parse_timestamps(df: DataFrame, order_by: list[Column] | None = None, base: str = "2026-04-20",
                      step_seconds: int = 5, source: str | None = None) -> DataFrame:
     """Timestamps, or evenly spaced ones in row order where the column is absent.
 
-    ``source`` names the column of the file a row comes from: day and month are
-    told apart once per file, and each file's spaced timestamps start anew.
-    Without it the table counts as one file.
+    ``source`` names the column of the file a row comes from: each file's spaced timestamps start anew, and day and month
+    are told apart once per file, unless a column ``_day_first`` already says how. Without it the table counts as one file.
     """
     if "timestamp" in df.columns:
         dtype = dict(df.dtypes)["timestamp"]
         if dtype != "string":
             return df.withColumn("timestamp", parse_timestamp(F.col("timestamp"), dtype))
-        files = day_first_files(df, source)
-        if not source:
-            return df.withColumn("timestamp", parse_timestamp(F.col("timestamp"), dtype, bool(files.first()["_day_first"])))
-        table, small = small_or_written(files, "files")
-        joined = df.join(F.broadcast(table) if small else table, source, "left")
-        return joined.withColumn("timestamp", parse_timestamp(F.col("timestamp"), dtype, F.col("_day_first"))).drop("_day_first")
+        if "_day_first" in df.columns:
+            return df.withColumn("timestamp", parse_timestamp(F.col("timestamp"), dtype, F.col("_day_first")))
+        if source:
+            joined = _with_facts(df, source, df.groupBy(source).agg(_day_first().alias("_day_first")), ["_day_first"])
+            return parse_timestamps(joined, source=source).drop("_day_first")
+        return df.withColumn("timestamp", parse_timestamp(F.col("timestamp"), dtype, bool(df.agg(_day_first().alias("day")).first()["day"])))
     placed = with_position(df, order_by, "_position")
     if source:
         table, small = small_or_written(placed.groupBy(source).agg(F.min("_position").alias("_first")), "files")
@@ -250,10 +280,13 @@ def parse_timestamps(df: DataFrame, order_by: list[Column] | None = None, base:
 
 def prepare_flows(df: DataFrame, units: UnitPlan | None = None, *, volume: str = "first",
                   infer_flow_direction: bool = False, null_label: str = "nan",
-                  label_fallback: str | None = None,
-                  order_by: list[Column] | None = None, source: str | None = None) -> DataFrame:
+                  label_fallback: str | None = None, order_by: list[Column] | None = None,
+                  source: str | None = None, facts: DataFrame | None = None) -> DataFrame:
     """Raw flow table to canonical flow table.
 
+    With ``source``, the column of the file a row comes from, units and the reading of dates are decided for each file;
+    ``facts`` has them if they are known (:func:`file_facts`). Otherwise the table counts as one file.
+
     Ports that are no numbers become null here; :mod:`flowlake.sources.csv_flows`
     keeps files with such rows out, and fitting refuses them.
 
@@ -263,22 +296,24 @@ def prepare_flows(df: DataFrame, units: UnitPlan | None = None, *, volume: str =
     named = standardize_columns(df, volume)
     if volume == "sum":
         named = add_volumes(named)
+    known: list[str] = []
+    if source:
+        facts = facts if facts is not None else file_facts(named, source)
+        known = [c for c in facts.columns if c == "_day_first" or c.startswith("_unit_")]
+        named = _with_facts(named, source, facts, known)
     if units is None:
-        units = detect_units(named)
-    timed = scale_times(parse_timestamps(named, order_by, source=source), units)
+        units = FileUnits(known) if source else detect_units(named)
+    timed = scale_times(parse_timestamps(named, order_by, source=source), units).drop(*known)
     filled = fill_defaults(derive_missing(timed), infer_flow_direction)
     return normalize_text(coerce_numbers(filled), null_label, label_fallback)
 
 
-def rejected_ports(df: DataFrame, by: list[Column] | None = None,
-                   also: list[Column] | None = None) -> DataFrame:
-    """Rows per group whose ports are given but are no finite numbers."""
-    named = standardize_columns(df)
+def unusable_ports(df: DataFrame) -> Column:
+    """Whether a row of a standardized table has ports that are given but are no finite numbers."""
     bad = F.lit(False)
     for name in ("src_port", "dst_port"):
-        if name in named.columns:
-            value = _number(named, name, or_zero=False)
+        if name in df.columns:
+            value = _number(df, name, or_zero=False)
             finite = F.coalesce(F.abs(value) != F.lit(float("inf")), F.lit(False))
             bad = bad | (_quoted(name).isNotNull() & ~finite)
-    return named.groupBy(*(by or [])).agg(
-        F.count("*").alias("n_rows"), F.count_if(bad).alias("bad_rows"), *(also or []))
+    return bad

@@ -1,4 +1,8 @@
-"""Flow CSV files of any layout: discovery, inspection, quarantine, load."""
+"""Flow CSV files of any layout: discovery, inspection, quarantine, load.
+
+A file is read three times: once as lines, for its header, its encoding and cells that go over several lines; once as
+cells, for all that is decided about it (quarantine, units, reading of dates); and then for its flows.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.prepare import prepare_flows, rejected_ports
+from ..operators.prepare import file_facts, prepare_flows, standardize_columns, unusable_ports
 from ..schema import SKIP_FILE_WORDS
 
 # --- fixed values: cell texts that mean "missing" ----------------------------
@@ -26,11 +30,15 @@ _NOT_WINDOWS = "[" + "".join(c for c, w in _HIGH_BYTES.items() if w == "\ufffd")
 
 @dataclass(frozen=True)
 class FileGroup:
-    """Files that share a header line and an encoding, read by one scan."""
+    """Files that share a header line and an encoding, read by one scan.
+
+    Files with a cell that goes over several lines are a group of their own: such a file is read by one task.
+    """
 
     columns: tuple[str, ...]
     encoding: str
     paths: tuple[str, ...]
+    multi_line: bool = False
 
 
 def is_flow_file(name: Column) -> Column:
@@ -74,14 +82,16 @@ def _decoded(text: Column, encoding: str) -> Column:
     return F.translate(text, "".join(_HIGH_BYTES), "".join(_HIGH_BYTES.values()))
 
 
-def _headers(spark: SparkSession, paths: list[str], encoding: str, flag: Column) -> dict[str, tuple[str, bool]]:
-    """First line of each file, and whether any of its lines is flagged."""
+def _headers(spark: SparkSession, paths: list[str], encoding: str, flag: Column) -> dict[str, tuple[str, bool, bool]]:
+    """First line of each file, whether any of its lines is flagged, and whether one opens or closes a longer cell."""
     lines = _lines(spark, paths, encoding).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"), "value")
-    per_file = lines.groupBy("path").agg(F.min_by("value", F.struct("block", "line")).alias("header"),
-                                         F.bool_or(flag).alias("flagged"))
-    return {r["path"]: (r["header"], r["flagged"]) for r in per_file.collect()}
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    per_file = lines.groupBy("path").agg(
+        F.min_by("value", F.struct("block", "line")).alias("header"), F.bool_or(flag).alias("flagged"),
+        F.bool_or(quotes % 2 == 1).alias("multi_line"))
+    return {r["path"]: (r["header"], r["flagged"], bool(r["multi_line"])) for r in per_file.collect()}
 
 
 def inspect(spark: SparkSession, paths: list[str]) -> list[FileGroup]:
@@ -91,18 +101,17 @@ def inspect(spark: SparkSession, paths: list[str]) -> list[FileGroup]:
     """
     value = F.col("value")
     found = _headers(spark, paths, UTF8, ~F.is_valid_utf8(value))
-    headers = {path: (header, UTF8) for path, (header, invalid) in found.items() if not invalid}
+    headers = {path: (header, UTF8, multi_line) for path, (header, invalid, multi_line) in found.items() if not invalid}
     single_byte = [path for path in found if path not in headers]
     if single_byte:
-        for path, (header, latin) in _headers(spark, single_byte, LATIN, value.rlike(_NOT_WINDOWS)).items():
-            encoding = LATIN if latin else WINDOWS
+        for path, (header, latin, multi_line) in _headers(spark, single_byte, LATIN, value.rlike(_NOT_WINDOWS)).items():
             names = header if latin else header.translate(str.maketrans(_HIGH_BYTES))
-            headers[path] = (names, encoding)
-    groups: dict[tuple[str, str], list[str]] = {}
-    for path, (header, encoding) in sorted(headers.items()):
-        groups.setdefault((header, encoding), []).append(path)
-    return [FileGroup(_unique(next(csv.reader([header]))), encoding, tuple(files))
-            for (header, encoding), files in groups.items()]
+            headers[path] = (names, LATIN if latin else WINDOWS, multi_line)
+    groups: dict[tuple[str, str, bool], list[str]] = {}
+    for path, kind in sorted(headers.items()):
+        groups.setdefault(kind, []).append(path)
+    return [FileGroup(_unique(next(csv.reader([header]))), encoding, tuple(files), multi_line)
+            for (header, encoding, multi_line), files in groups.items()]
 
 
 def _unique(names: list[str]) -> tuple[str, ...]:
@@ -123,7 +132,7 @@ def read_group(spark: SparkSession, group: FileGroup, paths: list[str] | None =
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*group.columns, "_extra")])
     raw = (spark.read.schema(schema)
            .options(header=True, encoding=UTF8 if group.encoding == UTF8 else LATIN, quote='"', escape='"', emptyValue="",
-                    mode="PERMISSIVE")
+                    mode="PERMISSIVE", multiLine=group.multi_line)
            .csv(list(paths or group.paths)))
     cells = [F.when(~F.col(f"`{c}`").isin(MISSING_TEXTS), _decoded(F.col(f"`{c}`"), group.encoding)).alias(c)
              for c in group.columns]
@@ -132,37 +141,39 @@ def read_group(spark: SparkSession, group: FileGroup, paths: list[str] | None =
                       F.col("_extra").isNotNull().alias("_too_long"))
 
 
+def _facts(spark: SparkSession, group: FileGroup) -> DataFrame:
+    """One row per file: the counts of its verdict and what else is decided file by file."""
+    named = standardize_columns(read_group(spark, group))
+    counts = [F.count(F.lit(1)).alias("n_rows"), F.count_if(unusable_ports(named)).alias("bad_rows"),
+              F.count_if("_too_long").alias("too_long_rows")]
+    return file_facts(named, "_path", counts).withColumn("accepted", (F.col("bad_rows") == 0) & (F.col("too_long_rows") == 0))
+
+
 def quarantine_report(spark: SparkSession, groups: list[FileGroup]) -> DataFrame:
     """Per file: rows, rows with unusable ports, rows that are too long, verdict."""
-    reports = []
-    for group in groups:
-        reports.append(rejected_ports(read_group(spark, group), [F.col("_path")],
-                                      [F.count_if("_too_long").alias("too_long_rows")]))
-    report = reduce(lambda a, b: a.unionByName(b), reports)
-    return report.select(
-        F.col("_path").alias("path"), "n_rows", "bad_rows", "too_long_rows",
-        ((F.col("bad_rows") == 0) & (F.col("too_long_rows") == 0)).alias("accepted"))
+    return reduce(lambda a, b: a.unionByName(b), [
+        _facts(spark, group).select(F.col("_path").alias("path"), "n_rows", "bad_rows", "too_long_rows", "accepted") for group in groups])
 
 
 def load_flows(spark: SparkSession, paths: list[str], **prepare) -> tuple[DataFrame, DataFrame]:
     """Canonical flows of all readable files, and the per-file report.
 
-    A file with unusable ports or ragged rows is left out as a whole. Files
-    without a time column are spaced in line order, each from the same start.
+    A file with unusable ports or ragged rows is left out as a whole. Time units and the reading of dates are decided
+    for each file. Files without a time column are spaced in line order, each from the same start.
     """
     prepare.setdefault("order_by", [F.col("_path"), F.col("_block"), F.col("_line")])
-    groups = inspect(spark, discover(spark, paths))
-    report = quarantine_report(spark, groups)
-    # One row per file: the same list the scan itself needs on the driver.
-    verdicts = report.collect()
-    accepted = {r["path"] for r in verdicts if r["accepted"]}
-    tables = []
-    for group in groups:
-        kept = [p for p in group.paths if p in accepted]
+    tables, reports = [], []
+    for group in inspect(spark, discover(spark, paths)):
+        # One row per file: the same list the scan itself needs on the driver.
+        facts = _facts(spark, group)
+        rows = facts.collect()
+        facts = spark.createDataFrame(rows, facts.schema)
+        reports.append(facts.select(F.col("_path").alias("path"), "n_rows", "bad_rows", "too_long_rows", "accepted"))
+        kept = [r["_path"] for r in rows if r["accepted"]]
         if kept:
             raw = read_group(spark, group, kept).drop("_too_long")
-            tables.append(prepare_flows(raw, source="_path", **prepare).drop("_path", "_block", "_line"))
+            tables.append(prepare_flows(raw, source="_path", facts=facts, **prepare).drop("_path", "_block", "_line"))
     if not tables:
         raise FileNotFoundError("no readable CSV inputs")
     flows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-    return flows, spark.createDataFrame(verdicts, report.schema)
+    return flows, reduce(lambda a, b: a.unionByName(b), reports)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlake.sources.csv_flows import discover, inspect, load_flows
+from flowlake.sources import versions
 from flowlake.sources.sinks import embeddings_wide, write_csv
 from flowlake import fixtures
 from conftest import SF
@@ -89,3 +90,62 @@ def test_dotted_folders_and_times_that_start_anew(spark, tmp_path):
     with pytest.raises(ValueError):
         (tmp_path / "x.json").write_text("{}")
         load_flows(spark, [str(tmp_path / "x.json")])
+
+
+def test_units_and_dates_of_each_file(spark, tmp_path):
+    """Files of one header: seconds and microseconds, day-first and month-first."""
+    base = tmp_path / "captures"
+    write(base, "a.csv", "srcip,dport,dur,timestamp\n10.0.0.1,443,5.5,13/02/2024 10:00\n10.0.0.2,443,7,01/02/2024 10:00\n")
+    write(base, "b.csv", "srcip,dport,dur,timestamp\n10.0.1.1,443,5500000,02/13/2024 10:00\n10.0.1.2,443,7000000,02/01/2024 10:00\n")
+    flows, _ = load_flows(spark, [str(base)])
+    rows = {r.src_ip: (r.duration_sec, str(r.timestamp)[:10]) for r in flows.collect()}
+    assert rows["10.0.0.1"] == rows["10.0.1.1"] == (5.5, "2024-02-13") and rows["10.0.0.2"] == rows["10.0.1.2"] == (7.0, "2024-02-01")
+    assert not [c for c in flows.columns if c.startswith("_")]
+
+
+def test_cells_over_several_lines(spark, tmp_path):
+    base = tmp_path / "lines"
+    write(base, "a.csv", 'srcip,dport,label\n10.0.0.1,443,"port\nscan, ""slow"""\n10.0.0.2,443,benign\n')
+    write(base, "b.csv", 'srcip,dport,label\n10.0.1.1,443,benign\n')
+    write(base, "c.csv", 'srcip,dport,label\n10.0.2.1,443,"caf\u00e9\n\u20ac"\n', "cp1252")
+    groups = {g.paths[0][-5:]: g for g in inspect(spark, discover(spark, [str(base)]))}
+    assert [groups[k].multi_line for k in ("a.csv", "b.csv", "c.csv")] == [True, False, True]
+    flows, report = load_flows(spark, [str(base)])
+    assert report.filter("accepted").count() == 3 and {r.n_rows for r in report.collect()} == {1, 2}
+    assert {r.src_ip: r.label for r in flows.collect()} == {
+        "10.0.0.1": 'port\nscan, "slow"', "10.0.0.2": "normal", "10.0.1.1": "normal", "10.0.2.1": "caf\u00e9\n\u20ac"}
+
+
+def test_versions_are_published_whole(spark, tmp_path):
+    root = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        versions.read_table(spark, root)
+    assert versions.publish_table(spark.range(3), root) == 1
+
+    def killed(folder):
+        spark.range(5).write.parquet(folder)
+        raise RuntimeError("killed between writes")
+
+    with pytest.raises(RuntimeError):
+        versions.publish(spark, root, killed)
+    assert versions.versions(spark, root) == [1] and versions.read_table(spark, root).count() == 3
+    assert versions.publish_table(spark.range(7), root) == 2
+    assert versions.read_table(spark, root).count() == 7 and versions.read_table(spark, root, 1).count() == 3
+    with pytest.raises(FileNotFoundError):
+        versions.folder_of(spark, root, 9)
+
+
+def test_a_number_is_taken_once(spark, tmp_path, monkeypatch):
+    """A writer that looked before another one published goes on to the next number."""
+    root = str(tmp_path / "table")
+    versions.publish_table(spark.range(1), root)
+    known, seen = versions.versions, []
+
+    def stale(*args):
+        seen.append(args)
+        return [] if len(seen) == 1 else known(*args)
+
+    monkeypatch.setattr(versions, "versions", stale)
+    assert versions.publish_table(spark.range(2), root) == 2
+    monkeypatch.undo()
+    assert versions.read_table(spark, root, 1).count() == 1 and versions.read_table(spark, root).count() == 2
