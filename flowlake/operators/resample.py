@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key, hash_unit
+from ..session import cut_lineage
 from .params import GroupParams, small_or_written
+from .positions import with_position
 from .quantiles import smallest_cut
 
 _COPIES_PER_STEP = 10_000
@@ -27,9 +29,9 @@ def class_counts(df: DataFrame, label: str) -> dict[object, int]:
 
 
 def label_index(df: DataFrame, label: str, name: str = "label_index") -> DataFrame:
-    """0-based index of each label in sorted order."""
+    """0-based index of each label in sorted order; a null label has none."""
     # The unpartitioned window sees one row per class, not the table.
-    classes = df.select(label).distinct().withColumn(
+    classes = df.select(label).distinct().filter(F.col(label).isNotNull()).withColumn(
         name, F.row_number().over(Window.orderBy(label)) - 1)
     table, small = small_or_written(classes, "classes")
     return df.join(F.broadcast(table) if small else table, label, "left")
@@ -48,8 +50,11 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
 
     Each class is cut at its exact k-th smallest seeded hash, so a class may
     be of any size. If a class has a single row the split ignores classes.
+    Rows without a label are a class; an empty table stays empty.
     """
     counts = class_counts(df, label)
+    if not counts:
+        return df.withColumn(name, F.lit(False))
     hashed = hash_key(F.col(key), seed)
     if min(counts.values()) < 2:
         total = sum(counts.values())
@@ -63,19 +68,24 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
 
 def balanced_resample(df: DataFrame, label: str, key: str, draws: int | None = None,
                       seed: int = 42) -> DataFrame:
-    """Sampling with replacement, every class equally likely.
+    """``draws`` draws with replacement (as many as rows by default): a class at random, then one of its rows.
 
-    A row of a class with ``n_c`` rows is expected ``draws / (classes * n_c)``
-    times and drawn the whole part of that, plus one more time with the
-    remaining probability. The decision is local to the row: nothing but the
-    class counts is shuffled. ``draw`` numbers the copies of a row.
+    Every draw has two seeded random numbers of its own, one for the class and one for the row's place in it, so the
+    numbers of draws are multinomial and add up exactly. Draws of the same row are counted before they are shuffled: a
+    class of one row gets its many draws as one number. ``draw`` numbers the copies of a row. Rows without a label are a
+    class, the first one; the order of rows that share a key is any.
     """
-    counts = class_counts(df, label)
-    draws = sum(counts.values()) if draws is None else draws
-    weights = {c: {"w": draws / (len(counts) * n)} for c, n in counts.items()}
-    joined, get = GroupParams(label, weights).attach(df)
-    copies = F.floor(F.expr(get("w")) + hash_unit(F.col(key), seed)).cast("long")
-    counted = GroupParams.detach(joined.withColumn("_copies", copies)).filter("_copies > 0")
+    placed = cut_lineage(with_position(df, [F.col(label).asc_nulls_first(), F.col(key).asc_nulls_first()], "_position"), "placed")
+    classes = placed.groupBy(F.col(label).alias("_class")).agg(F.min("_position").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    ranked, small = small_or_written(with_position(classes, [F.col("_first").asc()], "_rank"), "classes")
+    rows, count = ranked.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.count(F.lit(1))).first()
+    if not rows:
+        return df.withColumn("draw", F.lit(1).cast("long"))
+    drawn = df.sparkSession.range(rows if draws is None else draws).select(
+        F.floor(hash_unit(F.col("id"), seed) * count).alias("_rank"), hash_unit(F.col("id"), seed + 1).alias("_unit"))
+    places = (drawn.join(F.broadcast(ranked) if small else ranked, "_rank")
+              .groupBy((F.col("_first") + F.floor(F.col("_unit") * F.col("_rows"))).alias("_position")).agg(F.count(F.lit(1)).alias("_copies")))
+    counted = placed.join(places, "_position").drop("_position")
     # A tiny class repeats its rows very often: the steps are spread over tasks first.
     steps = counted.withColumn("_from", F.explode(F.sequence(
         F.lit(1).cast("long"), F.col("_copies"), F.lit(_COPIES_PER_STEP).cast("long"))))

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from flowlake.operators.positions import assign_batches, time_order, with_position
 from flowlake.operators.ranking import benign_reference, best_per_signature, latest_rows, limit_rows, top_hits
 from flowlake.operators.reports import summary_cards, top_hit_rows
-from flowlake.operators.resample import balanced_resample, stratified_split
+from flowlake.operators.resample import balanced_resample, label_index, stratified_split
 from flowlake.operators.summary import summarize
 
 
@@ -67,7 +67,34 @@ def test_split_and_resample(flows):
     lone = flows.withColumn("label", F.when(F.col("flow_id") == 0, "lone").otherwise("rest"))
     assert stratified_split(lone, "label", "flow_id").filter("is_test").count() == 200
     many = balanced_resample(lone, "label", "flow_id", draws=60_000).groupBy("label").count().collect()
-    assert {r["label"]: r["count"] for r in many}["lone"] == 30_000
+    counts = {r["label"]: r["count"] for r in many}
+    assert sum(counts.values()) == 60_000 and abs(counts["lone"] - 30_000) < 5 * (60_000 / 4) ** 0.5
+
+
+def test_draws_are_multinomial(spark):
+    """Exactly n draws; classes and the rows of a class come equally often, as a chi-square test finds."""
+    table = spark.createDataFrame([(k, "a" if k < 60 else "b" if k < 90 else None) for k in range(100)], "flow_id long, label string")
+    drawn = balanced_resample(table, "label", "flow_id", draws=9000).collect()
+    assert len(drawn) == 9000 and len({(r.flow_id, r.draw) for r in drawn}) == 9000
+    counts = {k: 0 for k in range(100)}
+    for r in drawn:
+        counts[r.flow_id] += 1
+
+    def chi_square(parts):
+        return sum((seen - sum(parts) / len(parts)) ** 2 / (sum(parts) / len(parts)) for seen in parts)
+
+    ids = [range(60), range(60, 90), range(90, 100)]
+    assert chi_square([sum(counts[k] for k in own) for own in ids]) < 14  # 2 degrees of freedom, one in a thousand
+    assert all(chi_square([counts[k] for k in own]) < bound for own, bound in zip(ids, (99, 58, 28)))
+    assert sorted(balanced_resample(table, "label", "flow_id", draws=9000).collect()) == sorted(drawn)
+    empty = balanced_resample(table.filter("false"), "label", "flow_id")
+    assert empty.count() == 0 and empty.columns == ["flow_id", "label", "draw"]
+
+
+def test_missing_labels_and_empty_tables(spark):
+    table = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "flow_id long, label string")
+    assert {r.flow_id: r.label_index for r in label_index(table, "label").collect()} == {1: 1, 2: None, 3: 0, 4: 1}
+    assert stratified_split(table.filter("false"), "label", "flow_id").select("is_test").collect() == []
 
 
 def test_summary_without_labels_or_denominators(flows):
