@@ -1,18 +1,20 @@
 """Main-text extraction by the container paths that the pages of a host agree on.
 
 Each page is parsed into blocks and containers. A container's score is the text of its blocks, less their link
-text, with a bonus for what names itself the content; the page votes for the path of its best container, or of a
-deeper one if no article text lies outside of that: no unlinked text at all within what names itself content;
-elsewhere no unlinked text beside the container on its way up, and most of the score inside. A path is the chain of tags with their classes, digits generalised, so pages of
-one template share it. Spark counts the votes of every host; the paths with a fair share win. Every page is then
-read again with its host's winning paths, in order of votes; a path that holds less than the page's own best
-container counts only if that container is none of the host's. A page without any of them falls back on its own.
+text, with a bonus for what names itself the content; the page votes for the path of its best container, or of the
+deepest one in it that holds the same unlinked text. Unless the best one names itself the content, it must hold all
+unlinked text of the page, so that none is lost for standing apart. A path is the chain of tags with their classes,
+digits generalised, so pages of one template share it. Spark counts the votes of every host; the paths with a fair share
+win. Every page is then read again with its host's winning paths, in order of votes; a path counts on a page only if it
+holds no less unlinked text than the page's own best container. A page without any of them falls back on its own.
 
 Inside the chosen containers, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are left out, found by tag or by words of class, id and role. Names that only describe (``no-sidebar``,
 ``tag-social``) do not count, and what names itself content keeps its text. Where the words would take most of a
 page's unlinked text, the page is read again with the containers that hold its content or all there is. Character
 references are decoded, white space within a block becomes one space, blocks are joined by one space in page order.
+A ``<`` before a letter opens a tag, to its end outside of quotes or, if a quote is not closed, to the next ``>`` or the
+end of the page; no markup becomes text.
 
 Votes are one row per host and path; the winners are broadcast if they are few (``BROADCAST_HOSTS``) and joined
 by host otherwise, where Spark splits a host that holds much of the table.
@@ -42,7 +44,6 @@ WINNING_SHARE = 0.05
 BROADCAST_HOSTS = 100_000
 #: Readings of a page whose words leave out most of its text at every depth; the last one disregards the words.
 MOST_READINGS = 6
-_NEAR_BEST = 0.8
 _CONTENT_BONUS = 1.3
 
 #: Fixed values of HTML.
@@ -71,7 +72,7 @@ _DESCRIBES = frozenset("cat category has hide is no not show tag with without".s
 #: Words that may stand beside those of ``_CONTENT`` in the name of a content element.
 _CONTENT_TOO = _CONTENT | {"body", "text"}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 _DIGITS = re.compile(r"\d+")
@@ -232,10 +233,11 @@ def _read(html: str, kept: frozenset[int] | None) -> tuple[Page, list[Worded]]:
         if not token:
             break
         at = token.end()
-        tag = (token.group(2) or "").lower()
+        closing, tag, attributes = token.group(1, 2, 3) if token.group(2) else token.group(4, 5, 6)
         if not tag:
             continue
-        if token.group(1):
+        tag = tag.lower()
+        if closing:
             if opened.get(tag):
                 while stack[-1][0] != tag:
                     close()
@@ -261,9 +263,9 @@ def _read(html: str, kept: frozenset[int] | None) -> tuple[Page, list[Worded]]:
                 elif stack[k][0] in _SCOPES:
                     break
             end_block()
-        if tag in _VOID or token.group(3).endswith("/") and tag not in _BLOCK:
+        if tag in _VOID or attributes.endswith("/") and tag not in _BLOCK:
             continue
-        about = _described(token.group(3)) if token.group(3) else _PLAIN
+        about = _described(attributes) if attributes else _PLAIN
         out = int(tag in _LEFT_OUT_TAGS or about.hidden)
         number += 1
         by_words = None
@@ -298,28 +300,28 @@ def _unlinked(block: tuple[str, int]) -> int:
 
 
 def best_container(page: Page) -> tuple[int, int] | None:
-    """(path, characters) of the best container, or of the deepest one in it that leaves out no article text."""
-    total, beside = [0], {}
-    for block, owner in zip(page.blocks, page.owners):
+    """(path, characters) of the best container, or of the deepest one in it that holds the same unlinked text.
+
+    None if no container names itself the content and none holds all unlinked text of the page.
+    """
+    total = [0]
+    for block in page.blocks:
         total.append(total[-1] + _unlinked(block))
-        beside[owner] = beside.get(owner, 0) + _unlinked(block)
-    scored = {c.number: (total[c.end] - total[c.first]) * (_CONTENT_BONUS if c.content else 1.0) for c in page.containers}
+    held = {c.number: total[c.end] - total[c.first] for c in page.containers}
+    scored = {c.number: held[c.number] * (_CONTENT_BONUS if c.content else 1.0) for c in page.containers}
     best = max(scored.values(), default=0)
     if best <= 0:
         return None
     opened = sorted(page.containers, key=lambda c: c.number)
     top = next(c for c in opened if scored[c.number] == best)
-    whole = {}  # by container within the best one, if nothing beside it is lost: what a deeper one must hold
-    chosen = top
+    if not top.content and held[top.number] < total[-1]:
+        return None
+    chosen, inside = top, {top.number}
     for c in opened:
-        held = total[c.end] - total[c.first]
-        if c.number != top.number:
-            if c.parent not in whole or beside.get(c.parent, 0) or held < whole[c.parent]:
-                continue
-            if scored[c.number] >= _NEAR_BEST * best and (c.depth, scored[c.number], -c.first) > (chosen.depth, scored[chosen.number], -chosen.first):
-                chosen = c
-        whole[c.number] = held if c.content else whole.get(c.parent, 0)
-    return chosen.path, total[chosen.end] - total[chosen.first]
+        if c.parent in inside and held[c.number] == held[top.number]:
+            chosen = c
+            inside.add(c.number)
+    return chosen.path, held[top.number]
 
 
 def blocks_at(page: Page, path: int) -> list[int]:
@@ -333,12 +335,12 @@ def text_at(page: Page, path: int) -> str:
 
 
 def main_text(html: str | None, paths: list[int]) -> str:
-    """The text at the first of ``paths`` that has any and, if the page's own best container is at one of them, holds no
-    less; else at that container, else all blocks."""
+    """The text at the first of ``paths`` that holds no less unlinked text than the page's own best container; else at that
+    container, else all blocks."""
     page = parse(html or "")
     present = {c.path for c in page.containers}
     own = best_container(page)
-    least = sum(_unlinked(page.blocks[k]) for k in blocks_at(page, own[0])) if own and own[0] in paths else 0
+    least = own[1] if own else sum(map(_unlinked, page.blocks))
     for path in paths:
         if path in present:
             held = blocks_at(page, path)

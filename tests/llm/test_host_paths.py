@@ -43,16 +43,19 @@ def test_pages(spark):
 
 
 def test_host_agreement_and_hard_rows(spark, monkeypatch):
-    """A page whose own best container misleads is read by its host's path."""
-    usual = "<body><div class='text'><p>" + "good words here " * 20 + "</div><div class='more'>short</div>"
-    odd = "<body><div class='text'><p>the text</div><div class='more'>" + "very long other matter " * 40 + "</div>"
-    rows = [(k, "http://Host.example/a", usual) for k in range(30)] + [(99, "http://host.example/b?x", odd), (100, None, None),
+    """A page on which two containers hold the article is read by its host's path, and none by a path that holds less."""
+    menu = "<ul><li><a href='/x'>a link</a></ul>"
+    usual = f"<body>{menu}<div class='text'><p>" + "good words here " * 20 + "</div>"
+    odd = f"<body><div class='text'>{menu}<section><p>the text</section></div>"  # its own best one is the section
+    split = "<body><div class='text'><p>the text</div><div class='more'>" + "other matter " * 40 + "</div>"
+    rows = [(k, "http://Host.example/a", usual) for k in range(30)] + [(98, "http://host.example/b?x", odd), (99, "http://host.example/b?x", split), (100, None, None),
             (101, "no scheme", "<p>x"), (101, "no scheme", "<p>x"), (102, "http://e.example", "")]
     pages = spark.createDataFrame([(*r, "c", "d") for r in rows], "page_id long, url string, html string, path string, votes string")
     found = host_paths.extract(pages)
     assert found.columns == ["page_id", "url", "path", "votes", "_text"]
     got = sorted(((r.page_id, r._text) for r in found.collect()))
-    assert got[-5:] == [(99, "the text"), (100, ""), (101, "x"), (101, "x"), (102, "")] and len(got) == 35
+    assert got[-6:] == [(98, "a link the text"), (99, "the text " + ("other matter " * 40).strip()), (100, ""), (101, "x"), (101, "x"), (102, "")]
+    assert len(got) == 36 and {t for k, t in got if k < 30} == {("good words here " * 20).strip()}
     monkeypatch.setattr(host_paths, "BROADCAST_HOSTS", 0)
     assert sorted(((r.page_id, r._text) for r in host_paths.extract(pages).collect())) == got
     assert host_paths.extract(pages.filter("false")).count() == 0
@@ -102,3 +105,31 @@ def test_title_and_lead_outside_the_inner_container(spark):
     found = host_paths.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     texts = {r.page_id // 100: r._text for r in found}
     assert texts == {0: both[28:], 1: both[:28] + "part one of it " + both[28:]}
+
+
+def test_no_unlinked_block_is_lost_and_no_markup_is_text():
+    two = "<div class=a>%s</div><div class=b>%s</div>" % ("x" * 1020, "y" * 200)
+    assert host_paths.main_text(two, []) == host_paths.main_text("<body>" + two, []) == "x" * 1020 + " " + "y" * 200
+    assert host_paths.main_text("before <div>" + "x" * 90 + "</div> after", []) == "before " + "x" * 90 + " after"
+    assert host_paths.main_text('<p>one two <a title="x>link</a> three</p>', []) == "one two link three"
+    assert host_paths.main_text("one <b", []) == "one" and host_paths.main_text("one <b title='x", []) == "one"
+    assert host_paths.main_text("one <!doctype", []) == "one" and host_paths.main_text("1 < 2 <3", []) == "1 < 2 <3"
+
+
+def test_votes_are_counted_as_by_hand(spark):
+    """Winners of every host against a plain count over the same pages."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("url", "html")
+    found = {r._host: r._paths for r in host_paths.winning_paths(pages.withColumn("_host", host_paths.host_of(pages["url"]))).collect()}
+    votes, chars = {}, {}
+    for r in pages.collect():
+        host = re.match(r"(?s).*?://([^/?#]*)", r.url or "")
+        own = host_paths.best_container(host_paths.parse(r.html or ""))
+        if own:
+            key = host.group(1).lower() if host else "", own[0] - (1 << 64) if own[0] >> 63 else own[0]
+            votes[key] = votes.get(key, 0) + 1
+            chars[key] = chars.get(key, 0) + own[1]
+    want = {}
+    for (host, path), n in votes.items():
+        if n >= host_paths.WINNING_SHARE * sum(m for (h, _), m in votes.items() if h == host):
+            want.setdefault(host, []).append((n, chars[host, path], path))
+    assert found == {host: [path for _, _, path in sorted(paths, reverse=True)] for host, paths in want.items()}
