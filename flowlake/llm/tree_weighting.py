@@ -44,6 +44,10 @@ HEAD, TAIL = 3, 2
 BUNDLE_BYTES = 32 << 20
 BUNDLE_WORDS = 400_000
 _SPACE, _END = 0x20, 0x0A
+#: Bytes of words as they are coded: A-Z lower-cased; NUL, which stands for "nothing here" in keys, has the place of A, which
+#: no lower-cased word has any more.
+CODED = K.LOWER.copy()
+CODED[0] = 0x41
 _SPLIT = 2  # context bytes that name a subtree
 _LEAST = np.log(0.5)
 
@@ -63,7 +67,7 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held_out = batch.column(1).slice(low, high - low).to_numpy(zero_copy_only=False).astype(bool)
             sizes = np.bincount(found.row, minlength=high - low)
             value, first, code = np.unique(found.hash, return_index=True, return_inverse=True)
-            listed = K.binary_rows(K.LOWER[data], found.start[first], found.end[first])
+            listed = K.binary_rows(CODED[data], found.start[first], found.end[first])
             parts.append((ids, held_out, sizes, value, listed, code.astype(np.int32), _joints(data, found, sizes, held_out)))
             held += len(data)
             if held >= BUNDLE_BYTES:
@@ -105,7 +109,7 @@ def joint_keys(edge: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _joints(data: np.ndarray, found: K.Words, sizes: np.ndarray, held_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, training count) of the distinct joints of a slice."""
-    key, code = np.unique(joint_keys(edges(K.LOWER[data], found.start, found.end), sizes), return_inverse=True)
+    key, code = np.unique(joint_keys(edges(CODED[data], found.start, found.end), sizes), return_inverse=True)
     return key, np.bincount(code, np.repeat(~held_out, sizes + 1), len(key)).astype(np.int64)
 
 

@@ -18,6 +18,7 @@ def coded(text):
     """(context bytes, nearest first, byte) of every coded byte, by the module's definition."""
     out, before = [], b""
     for word in words(text):
+        word = word.replace(b"\0", b"A")  # no lower-cased word has an A
         full = word + b" "
         for k, byte in enumerate(full):
             context = full[:k][::-1]
@@ -133,3 +134,11 @@ def test_without_training_rows_and_without_rows(spark):
 def test_query_holds_out_by_checksum(spark):
     for r in T.query(spark, SF).collect():
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1) and r.score < 0
+
+
+def test_nul_is_a_byte_like_others(spark):
+    rows = [(0, "ab ab ab cd"), (2, "ab \0 x\0y ab"), (1, "\0\0"), (6, "ab"), (11, "\0\0\0\0 \0"), (16, "x\0y")]
+    found = T.scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 == 1)
+    check(rows, found, lambda d: d % 5 == 1)
+    score = {r.doc_id: r.score for r in found.collect()}
+    assert score[1] < score[6]  # an unseen word of two NULs is less likely than a word of training
