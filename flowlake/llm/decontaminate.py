@@ -122,12 +122,21 @@ def _scan(windows, text_col: str, again: bool):
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list]:
-    """The items in blocks of bounded size; the driver holds one block at a time."""
-    sized = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("binary").alias("text")).filter("length(text) > 0")
+    """The different items in blocks of bounded size (a larger item is a block of its own); the driver holds one at a time."""
+    sized = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("binary").alias("text")).filter("length(text) > 0").distinct()
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 if total <= BLOCK_BYTES else int(-(-2 * total // BLOCK_BYTES))
-    for block in range(blocks):
-        yield sized.filter(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == block).collect()
+    if total <= BLOCK_BYTES:
+        yield sized.collect()
+        return
+    buckets = int(16 * -(-total // BLOCK_BYTES))
+    bucket = F.pmod(F.xxhash64("text", "item"), F.lit(buckets))
+    held, first = 0, 0
+    for number, size in sized.groupBy(bucket.alias("bucket")).agg(F.sum(F.length("text"))).orderBy("bucket").toLocalIterator():
+        if held and held + size > BLOCK_BYTES:
+            yield sized.filter(bucket.between(first, number - 1)).collect()
+            held, first = 0, number
+        held += size
+    yield sized.filter(bucket >= first).collect()
 
 
 def hit_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",

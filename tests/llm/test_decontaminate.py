@@ -48,3 +48,12 @@ def test_removing_documents_and_spans(spark):
 def test_empty_tables(spark):
     assert decontaminate.contamination(hard_docs(spark, []), items(spark)).count() == 0
     assert decontaminate.contamination(hard_docs(spark), items(spark, [])).filter("contaminated").count() == 0
+
+
+def test_blocks_are_bounded_and_hold_every_item_once(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 8000)
+    rows = [(7, "the same item " * 20)] * 500 + [(k, f"item number {k} " * 20) for k in range(100)] + [(1000, "long " * 4000), (None, None), (1, "")]
+    blocks = list(decontaminate._blocks(spark.createDataFrame(rows, "item_id long, text string").repartition(4), "item_id", "text"))
+    sizes = [sum(len(r.text) for r in block) for block in blocks]
+    assert len(blocks) > 3 and all(size <= 8000 or len(block) == 1 for block, size in zip(blocks, sizes))
+    assert sorted((r.item, bytes(r.text).decode()) for block in blocks for r in block) == sorted({r for r in rows if r[1]})
