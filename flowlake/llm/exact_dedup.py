@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.llm.routing import numbered, routed
-from flowlake.session import cut_lineage
+from flowlake.session import cut_lineage, drop_scratch
 
 #: Fingerprints are 64 bits: the leading bits are the quotient, the rest the remainder.
 QUOTIENT_BITS = 24
@@ -160,7 +160,8 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     plain, name = numbered(docs)
     own_id, text = name[id_col], normalised(F.col(name[text_col]))
-    _, repeated = _prepare(docs, id_col, text_col)
+    prints, repeated = _prepare(docs, id_col, text_col)
+    drop_scratch(prints)
     groups = _groups(docs, repeated, id_col, text_col).select(
         "_fp", F.col("text_sha256").alias("_sha"), "keep_id", F.lit(True).alias("_grouped"))
     marked = routed(plain.withColumn("_text", text).withColumn("_fp", F.xxhash64("_text")), "_fp", repeated, "fingerprint")

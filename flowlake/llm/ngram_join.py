@@ -6,8 +6,9 @@ with fewer words has the whole sequence as its one n-gram. Two texts link when `
 1. Equal sets form classes, so copies are never compared. One global order of n-grams puts those that occur in
    most texts first (``FREQUENT`` ones by counted classes of frequency, all others by hash).
 2. Texts that link share an n-gram among the rarest ``n - ceil(num * n / den) + 1`` of each. Texts that share
-   one get the least of them as group; groups are cut into blocks of at most ``BLOCK`` texts and every two
-   blocks of a group meet, so a hot group takes many tasks.
+   one get the least of them as group. A group of more than ``BLOCK`` texts is cut into bands of set size, so wide that
+   sets that link lie in one band or in neighbours; a text goes to its own band and, as a guest, to the next one. What
+   is left is cut into blocks of about ``BLOCK`` texts and every two blocks of a band meet, so a hot group takes many tasks.
 3. Within two blocks, counts of the n-grams in bins, about sixteen to a bin, bound the difference of two sets from
    below. Texts that can link with none leave; only the sets of the rest are fetched.
 4. The rest are stored in a trie in the common order. All sets of the other block walk down it together: a node's
@@ -27,17 +28,19 @@ gives an empty result; further columns are left aside.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake.llm import kernels as K
 from flowlake.llm.components import components
-from flowlake.session import cut_lineage, drop_scratch
+from flowlake.llm.routing import numbered, without_ids
+from flowlake.session import cut_lineage, drop_scratch, temporary_tables
 
 #: N-grams that are counted before the counts are handed on.
 BUFFER = 4 << 20
@@ -61,6 +64,11 @@ class Rule(NamedTuple):
     def prefix(self, size: np.ndarray) -> np.ndarray:
         return size - (-(-self.num * size // self.den)) + 1
 
+    def band(self, size: Column) -> Column:
+        """The band of a set size: sizes of sets that link are in the same one or in neighbours."""
+        width = max(math.log(self.den / self.num) * (1 + 1e-9), 1e-3)  # wider than the ratio, so rounding parts no pair
+        return F.floor(F.log(size) / width).cast("int")
+
     def needed(self, size: int, sizes: np.ndarray) -> np.ndarray:
         """Least common n-grams of sets that link."""
         return -(-self.num * (size + sizes) // (self.num + self.den))
@@ -224,10 +232,11 @@ def folded(bins: np.ndarray, width: int) -> np.ndarray:
 def _possible(rule: Rule):
     """Of every two blocks, the texts that can link with another one by sizes and bins."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in K.streamed_groups(batches, ["leader", "i", "j"]):
+        for table in K.streamed_groups(batches, _MEETING):
             if table.num_rows < 2:
                 continue
             left, right, same = _halves(table)
+            guest = table.column("guest").to_numpy(zero_copy_only=False)
             size = table.column("size").to_numpy().astype(np.int64)
             group, leader = table.column("first").to_numpy(), table.column("leader")[0].as_py()
             bins = [np.frombuffer(x, np.uint8).astype(np.int16) for x in table.column("bins").to_pylist()]
@@ -237,7 +246,8 @@ def _possible(rule: Rule):
             stored = {w: np.stack([bins[k] for k in at]) for w, at in by_width.items()}
             for k in left.tolist():
                 for w, at in by_width.items():
-                    near = np.flatnonzero((rule.den * np.minimum(size[k], size[at]) >= rule.num * np.maximum(size[k], size[at])) & (at != k))
+                    near = np.flatnonzero((rule.den * np.minimum(size[k], size[at]) >= rule.num * np.maximum(size[k], size[at])) & (at != k)
+                                          & ~(guest[k] & guest[at]))  # guests meet in their own band
                     if not len(near):
                         continue
                     both = min(w, len(bins[k]))  # the coarser bins are sums of the finer ones
@@ -249,7 +259,7 @@ def _possible(rule: Rule):
                         keep[k] = True
                         keep[at[can]] = True
             if keep.any():
-                yield from table.filter(pa.array(keep)).select(["leader", "i", "j", "block", "node"]).to_batches()
+                yield from table.filter(pa.array(keep)).select([*_MEETING, "block", "guest", "node"]).to_batches()
     return run
 
 
@@ -333,10 +343,11 @@ class Trie:
 def _linked(rule: Rule):
     """(node, root, links) of the texts with a link in their two blocks: the least node of their tree, counted links."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in K.streamed_groups(batches, ["leader", "i", "j"]):
+        for table in K.streamed_groups(batches, _MEETING):
             if table.num_rows < 2:
                 continue
             left, right, same = _halves(table)
+            guest = table.column("guest").to_numpy(zero_copy_only=False)
             sets = [np.frombuffer(x, np.uint64) for x in table.column("ngrams").to_pylist()]
             node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
             groups = [set(x) for x in table.column("leaders").to_pylist()]
@@ -344,7 +355,7 @@ def _linked(rule: Rule):
             leader = table.column("leader")[0].as_py()
             probe, stored = Trie([sets[k] for k in right.tolist()]).links([sets[k] for k in left.tolist()], rule)
             a, b = left[probe], right[stored]
-            once = a < b if same else np.ones(len(a), bool)
+            once = (a < b if same else np.ones(len(a), bool)) & ~(guest[a] & guest[b])
             parent = list(range(table.num_rows))
 
             def root(k: int) -> int:
@@ -369,8 +380,12 @@ def _linked(rule: Rule):
     return run
 
 
+#: Rows with these in common meet in one task.
+_MEETING = ["leader", "band", "i", "j"]
+
+
 def _fields(*names: str) -> str:
-    kinds = {"bins": "binary", "ngrams": "binary", "hot": "boolean", "i": "int", "j": "int", "block": "int"}
+    kinds = {"bins": "binary", "ngrams": "binary", "hot": "boolean", "guest": "boolean", "band": "int", "i": "int", "j": "int", "block": "int"}
     return ", ".join(f"{n} {kinds.get(n, 'long')}" for n in names)
 
 
@@ -405,6 +420,14 @@ def _order(counted: DataFrame, texts: int) -> tuple[Order, int]:
 
 def similar_documents(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, n_links (documents it links with)."""
+    with temporary_tables(docs.sparkSession):
+        found, known = _similar(docs, rule, id_col, text_col)
+    return found.join(known, "node", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _similar(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node) of all rows and (node, component_id, n_links) of all sets; all else is temporary."""
     spark = docs.sparkSession
     text = docs.select(F.col(text_col).alias("text"))
     counted = cut_lineage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -413,6 +436,9 @@ def similar_documents(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
     classes = cut_lineage(named.filter("size > 0").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bins").alias("bins")), "classes")
     order, hot = _order(counted, classes.count())
+    found = cut_lineage(named.select("doc_id", F.col("size").alias("n_shingles"), F.expr("CASE WHEN size > 0 THEN node END").alias("node")),
+                        "found", outlives=True)
+    drop_scratch(counted)
     shared = spark.sparkContext.broadcast(order)
 
     rows = text.mapInArrow(_prefixes(rule, shared, hot), _fields("token", "node", "hot"))
@@ -421,21 +447,16 @@ def similar_documents(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
     groups = (rows.withColumn("least", F.min("node").over(same)).withColumn("most", F.max("node").over(same))
               .filter("hot OR least <> most").select(F.expr("CASE WHEN hot THEN token ELSE least END").alias("leader"), "node").distinct())
     groups = cut_lineage(groups, "groups")
-    sizes = groups.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     firsts = groups.groupBy("node").agg(F.min("leader").alias("first"))
-    dealt = (groups.join(sizes, "leader").join(classes.select("node", "size", "bins").join(firsts, "node"), "node")
-             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("leader", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"),
-                     "block", "node", "size", "first", "bins"))
-    possible = cut_lineage(dealt.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-                           .mapInArrow(_possible(rule), _fields("leader", "i", "j", "block", "node")), "possible")
+    dealt = _dealt(rule, groups.join(classes.select("node", "size", "bins").join(firsts, "node"), "node"), groups.join(classes.select("node", "size"), "node"))
+    possible = cut_lineage(dealt.repartition(*_MEETING).sortWithinPartitions(*_MEETING)
+                           .mapInArrow(_possible(rule), _fields(*_MEETING, "block", "guest", "node")), "possible")
     members = groups.join(possible.select("node").distinct(), "node")
     leaders = members.groupBy("node").agg(F.collect_set("leader").alias("leaders"))  # at most a prefix long
     shared = spark.sparkContext.broadcast(_bitmap(possible.select("node")))
     sets = text.mapInArrow(_sets(rule, shared), _fields("node", "ngrams")).join(leaders, "node").dropDuplicates(["node"])
     met = (possible.join(sets.join(classes.select("node", "copies"), "node"), "node")
-           .repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+           .repartition(*_MEETING).sortWithinPartitions(*_MEETING)
            .mapInArrow(_linked(rule), _fields("node", "root", "links")))
     links = cut_lineage(met, "links")
     least = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
@@ -445,9 +466,46 @@ def similar_documents(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
     firsts = in_component.groupBy("component").agg(F.min("first_id").alias("component_id"))
     known = in_component.join(firsts, "component").select(
         "node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    found = named.select("doc_id", "node", F.col("size").alias("n_shingles")).withColumn("node", F.expr("CASE WHEN n_shingles > 0 THEN node END"))
-    return found.join(known, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return found, cut_lineage(known, "known", outlives=True)
+
+
+def _dealt(rule: Rule, rows: DataFrame, narrow: DataFrame) -> DataFrame:
+    """``rows`` (leader, node, size, ..) for each two blocks that they are part of: ``_MEETING``, own block, guest or not.
+
+    ``narrow`` has leader, node and size of the same rows, for counting.
+    """
+    banded = narrow.groupBy("leader", rule.band(F.col("size")).alias("own")).agg(F.count(F.lit(1)).alias("n"))
+    banded = cut_lineage(banded.withColumn("all", F.sum("n").over(Window.partitionBy("leader"))), "banded")  # few bands a leader
+    places = banded.select("leader", "all", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("band"), "n")
+    large = places.filter(F.col("all") > BLOCK).groupBy("leader", "band").agg(F.sum("n").alias("n"))
+    small = banded.filter(F.col("all") <= BLOCK).select("leader").distinct().select("leader", F.lit(-1).alias("band"), F.lit(1).cast("long").alias("n"))
+    blocks = large.unionByName(small).select("leader", "band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own = rule.band(F.col("size"))
+    # a leader that is not cut has band -1 alone, so only one of the three places below is there
+    roles = F.explode(F.array(F.struct(F.lit(-1).alias("band"), F.lit(False).alias("guest")), F.struct(own.alias("band"), F.lit(False).alias("guest")),
+                              F.struct((own + 1).alias("band"), F.lit(True).alias("guest"))))
+    placed = rows.withColumn("role", roles).withColumns({"band": F.col("role.band"), "guest": F.col("role.guest")}).join(blocks, ["leader", "band"])
+    return (placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("leader", "band", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"),
+                    "block", "guest", "node", "size", "first", "bins"))
+
+
+def without_near_copies(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: all that are linked with nothing and of each group the one with the smallest id.
+
+    Rows are told apart by id and a 64-bit hash of the text, as an id may repeat with another text, or lack; a row
+    without an id stays only if no other of its group has one.
+    """
+    plain, name = numbered(docs)
+    keyed = plain.withColumn("_key", F.xxhash64(name[id_col], name[text_col]))
+    with temporary_tables(docs.sparkSession):
+        found = similar_documents(keyed, rule, "_key", name[text_col]).filter("n_links > 0")
+        own = keyed.select("_key", F.col(name[id_col]).alias("_id"))
+        linked = cut_lineage(found.select(F.col("doc_id").alias("_key"), "component_id").join(own, "_key"), "linked")
+        least = linked.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("first"))
+        dropped = cut_lineage(linked.select("_key").join(least.select("first._key"), "_key", "left_anti"), "dropped", outlives=True)
+    return without_ids(keyed, "_key", dropped).select(plain.columns).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

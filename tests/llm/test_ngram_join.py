@@ -76,3 +76,23 @@ def test_documents_with_the_rule_of_the_pipeline(spark):
 
 def test_empty_table(spark):
     assert ngram_join.similar_documents(hard_docs(spark, [])).count() == 0
+
+
+def test_large_groups_meet_by_size(spark):
+    """One n-gram in sets of many sizes: rows that are sent to blocks stay far below all blocks for all sets."""
+    for count in (10_000, 20_000):
+        rows = spark.range(count).selectExpr("7L AS leader", "id AS node", "CAST(20 * exp(6.9 * id / %d) AS LONG) AS size" % count, "0L AS first", "X'00' AS bins")
+        rows = rows.unionByName(spark.range(5).selectExpr("8L AS leader", "id AS node", "id + 1 AS size", "0L AS first", "X'00' AS bins"))
+        dealt = ngram_join._dealt(Rule(), rows, rows.select("leader", "node", "size")).groupBy("leader", "guest").count().collect()
+        found = {(r.leader, r.guest): r["count"] for r in dealt}
+        assert found.pop((8, False)) == 5
+        assert sum(found.values()) < count * -(-count // ngram_join.BLOCK) / 8  # a block of all sets for each of them
+
+
+def test_bands_part_no_pair():
+    for rule in (Rule(), Rule(5, 80, 100), Rule(1, 1, 2), Rule(3, 100, 100)):
+        width = max(np.log(rule.den / rule.num) * (1 + 1e-9), 1e-3)
+        sizes = np.arange(1, 3000)
+        band = np.floor(np.log(sizes) / width)
+        largest = np.minimum(rule.den * sizes // rule.num, 2999)
+        assert (band[largest - 1] - band <= 1).all()
