@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlake.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join
-from flowlake.llm.routing import numbered, without_ids
-from flowlake.session import cut_lineage
+from flowlake.llm.routing import numbered
+from flowlake.session import cut_lineage, drop_scratch, temporary_tables
 
 #: Least share of a text's letters that its language must have: a clear majority, so that an even mixture of two languages
 #: fails as well, whose larger half has a little over one half.
@@ -36,14 +36,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    plain, name = numbered(docs)
-    keyed = plain.withColumn("_key", F.xxhash64(name["doc_id"], name["text"]))  # a doc_id may repeat with another text, or lack
-    found = ngram_join.similar_documents(keyed, NEAR_DUPLICATES, "_key", name["text"]).filter("n_links > 0")
-    own = keyed.select("_key", F.col(name["doc_id"]).alias("_id"))
-    linked = cut_lineage(found.select(F.col("doc_id").alias("_key"), "component_id").join(own, "_key"), "linked")
-    least = linked.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("first"))
-    dropped = cut_lineage(linked.select("_key").join(least.select("first._key"), "_key", "left_anti"), "dropped")
-    return without_ids(keyed, "_key", dropped).select(plain.columns).toDF(*docs.columns)
+    return ngram_join.without_near_copies(docs, NEAR_DUPLICATES)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages. Once a stage's rows are written, its other tables and the rows before it are deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir), name)
+        with temporary_tables(spark):
+            docs = cut_lineage(stage(spark, docs, sf_dir), name, outlives=True)
+        if before is not None:
+            drop_scratch(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
