@@ -27,8 +27,8 @@ from ..operators.prepare import (add_volumes, coerce_numbers, derive_missing, de
 from ..operators.triplet import triplet_loss
 from ..schema import ENCODER_COLUMNS, FEATURE_COLUMNS
 from ..session import cut_lineage, scratch_path, spread
-from ..sources import csv_flows, sinks
-from ..streaming.adaptive_stream import start_adaptive_stream
+from ..sources import csv_flows, sinks, versions
+from ..streaming.adaptive_stream import score_available
 from .adaptive import AdaptiveSettings, adaptive_per_source, adaptive_run
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,20 @@ def src_csv_flows(spark, sf_dir):
                                 "dst_port", "protocol", "duration_sec", "packets", "label"))
 
 
+@query
+def src_units_per_file(spark, sf_dir):
+    """Two captures with one header, one in seconds and one in microseconds, some labels over two lines."""
+    path = scratch_path(spark, "units")
+    raw = fx.raw_flows(spark, sf_dir, "src_dst_long")
+    second = F.col("flow_id") % 2 == 1
+    raw.withColumns({
+        "duration": F.when(second, F.floor(F.col("duration").cast("double") * 1_000_000).cast("long").cast("string")).otherwise(F.col("duration")),
+        "label": F.when(second & (F.col("flow_id") % 50 < 4), F.concat_ws("\n", F.lit("port, scan"), F.lit('"slow"'))).otherwise(F.col("label")),
+        "file": F.when(second, "b").otherwise("a")}).write.partitionBy("file").options(header=True, escape='"').csv(path)
+    flows, _ = csv_flows.load_flows(spark, [path], order_by=[F.col("flow_id").cast("long")])
+    return rounded(flows.select(F.col("flow_id").cast("long").alias("flow_id"), "duration_sec", "label"))
+
+
 @query
 def src_skip_patterns(spark, sf_dir):
     names = ["day1.csv", "my_events.csv", "day2.csv", "UNSW_features.csv"]
@@ -348,6 +362,27 @@ def model_params(spark, sf_dir):
     return type(model).load(spark, path).params_table(spark)
 
 
+@query
+def model_versions(spark, sf_dir):
+    """Publish two models, load the last one, fitted on the known normal flows, and score all flows."""
+    flows, root = fx.flows(spark, sf_dir), scratch_path(spark, "models")
+    for known in (flows, ranking.benign_reference(flows)):
+        model = FlowBaseline(rank=0).fit(known, KEEP)
+        versions.publish(spark, root, model.save)
+        model.release()
+    loaded = type(model).load(spark, versions.folder_of(spark, root))
+    return rounded(cut_lineage(loaded.transform(flows).select("flow_id", "anomaly_score", "is_anomaly", "risk_level", "traffic_class"), "scored"))
+
+
+@query
+def subspace_moments(spark, sf_dir):
+    """Sums of the second, fourth and sixth powers of all singular values, as logarithms."""
+    values = FlowBaseline().fit(fx.flows(spark, sf_dir), KEEP).singular_values[None].tolist()
+    table = spark.createDataFrame([(v,) for v in values], "v double")
+    powers = [F.log10(F.sum(F.pow("v", F.lit(float(p))))).alias(f"power_{p}") for p in (2, 4, 6)]
+    return rounded(table.agg(*powers))
+
+
 @query
 def decision_threshold(spark, sf_dir):
     model = FlowBaseline(rank=0).fit(fx.flows(spark, sf_dir), KEEP)
@@ -465,6 +500,15 @@ def batch_summary(spark, sf_dir):
     return summary.batch_summary(FlowBaseline(rank=0).fit_transform(batched, KEEP))
 
 
+@query
+def summary_versions(spark, sf_dir):
+    """Publish the batch summaries twice, the first time in part, and read back the last version."""
+    root, summaries = scratch_path(spark, "summaries"), batch_summary(spark, sf_dir)
+    versions.publish_table(summaries.filter("batch_id = 1"), root)
+    versions.publish_table(summaries, root)
+    return versions.read_table(spark, root)
+
+
 @query
 def per_source_thresholds(spark, sf_dir):
     model = FlowBaseline(rank=0, by="dataset_source").fit(fx.flows(spark, sf_dir), KEEP)
@@ -621,6 +665,32 @@ def relearn_overview(spark, sf_dir):
     return rounded(_adaptive(spark, sf_dir, rank=0).batch_summaries())
 
 
+def _with_decisions(learner):
+    """Scored rows with what their batch's step decided and how many rows its memory then holds."""
+    log = learner.log_table().select("batch_id", "relearn_status", "candidates", "memory_rows")
+    return rounded(learner.scored().join(F.broadcast(log), "batch_id").select(
+        "flow_id", "batch_id", "learning_phase", "anomaly_score", "is_anomaly", "relearn_status", "candidates", "memory_rows"))
+
+
+@query
+def adaptive_evicting(spark, sf_dir):
+    """Five batches with a memory of half a batch: every step drops the oldest rows."""
+    flows = fx.flows(spark, sf_dir)
+    size = -(-flows.count() // 5)
+    return _with_decisions(adaptive_run(flows, AdaptiveSettings(batch_size=size, memory_size=size // 2, rank=0)))
+
+
+@query
+def adaptive_skipping(spark, sf_dir):
+    """Too few normal flows in the second of three batches: the third is scored by the model of the first."""
+    flows = fx.flows(spark, sf_dir)
+    size = -(-flows.count() // 3)
+    placed = with_position(flows, time_order("flow_id"))
+    attack = (F.floor(F.col("position") / size) == 1) & (F.col("flow_id") % 20 != 0)
+    relabelled = placed.withColumn("label", F.when(attack, "ddos").otherwise(F.col("label"))).drop("position")
+    return _with_decisions(adaptive_run(relabelled, AdaptiveSettings(batch_size=size, rank=0)))
+
+
 @query
 def stream_adaptive(spark, sf_dir):
     """The fixture as a stream: three deliveries, each scored as it arrives."""
@@ -640,7 +710,7 @@ def _streamed(spark, sf_dir, settings):
     for i in range(3):
         placed.filter(F.col("slice_id") == i).drop("slice_id").write.mode("append").parquet(f"{root}/input")
         stream = spark.readStream.schema(flows.schema).parquet(f"{root}/input")
-        start_adaptive_stream(stream, f"{root}/run", settings).awaitTermination()
+        score_available(stream, f"{root}/run", settings)
     scored = spark.read.parquet(f"{root}/run/scored")
     return rounded(scored.select("flow_id", F.col("batch_id").cast("long").alias("batch_id"), "learning_phase",
                                  "anomaly_score", "is_anomaly"))
@@ -724,6 +794,19 @@ def cosine_pairs(spark, sf_dir):
     return rounded(similarity.cosine_to(vectors, probes))
 
 
+@query
+def cosine_join(spark, sf_dir):
+    """All pairs of vectors with a cosine of at least 0.35."""
+    return rounded(similarity.cosine_join(spread(fx.embeddings(spark, sf_dir)), 0.35))
+
+
+@query
+def knn_pivots(spark, sf_dir):
+    """The votes of nearest neighbours that are found by pivots instead of a broadcast."""
+    split = _split(spark, sf_dir)
+    return knn.predict(knn.nearest_neighbours(split.filter("is_test"), split.filter("NOT is_test"), broadcast_bytes=0))
+
+
 def _sums(spark, sf_dir):
     return similarity.class_sums(fx.embeddings(spark, sf_dir).withColumn("label", F.col("label").cast("string")))
 

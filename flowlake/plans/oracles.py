@@ -170,19 +170,44 @@ def _fitted(p: str) -> str:
     return f"(SELECT threshold FROM {p}ownthr)"
 
 
-def adaptive_ctes() -> list[str]:
-    """Three batches: the first is the warm-up, the model is fitted anew on all normal flows after each."""
+def _candidates(k: int) -> str:
+    """The rows of batch ``k`` to learn from: the normal ones, topped up to 250 with the lowest scores of unknown label."""
+    return (f"candidates{k} AS (SELECT * FROM part{k} WHERE flow_id IN (SELECT flow_id FROM (SELECT flow_id, label, "
+            "row_number() OVER (ORDER BY anomaly_score, flow_id) AS rank, count(*) FILTER (label = 'normal') OVER () AS normals "
+            f"FROM b{k}scores WHERE label IN ('normal', 'unknown')) WHERE label = 'normal' OR rank <= 250 - normals))")
+
+
+def adaptive_ctes(batches: int = 3, memory: str | None = None, label: str = "label", skipped: tuple[int, ...] = ()) -> list[str]:
+    """The first batch is the warm-up; the model is fitted anew on the memory after each batch but the ``skipped`` ones.
+
+    The memory holds the latest ``memory`` normal flows of the batches learned from, all of them by default.
+    """
+    size = f"((SELECT count(*) + {batches - 1} FROM flows) // {batches})"
     steps = ["""placed AS (SELECT *, row_number() OVER (ORDER BY "timestamp" NULLS LAST, flow_id) - 1 AS position FROM flows)""",
-             "sliced AS (SELECT *, position // ((SELECT count(*) + 2 FROM flows) // 3) AS slice_id FROM placed)",
-             *(f"part{k} AS (SELECT * FROM sliced WHERE slice_id = {k})" for k in range(3)),
-             "memory1 AS (SELECT * FROM part0 WHERE label = 'normal')",
-             "memory2 AS (SELECT * FROM sliced WHERE slice_id < 2 AND label = 'normal')",
-             *fit_ctes("m1", "memory1"), *fit_ctes("m2", "memory2")]
-    for k, model in enumerate(("m1", "m1", "m2")):
-        steps += apply_ctes(f"b{k}", model, f"part{k}", _fitted(model)) + class_ctes(f"b{k}flagged", p=f"b{k}")
+             f"cut AS (SELECT *, position // {size} AS slice_id FROM placed)",
+             f"sliced AS (SELECT * REPLACE ({label} AS label) FROM cut)",
+             *(f"part{k} AS (SELECT * FROM sliced WHERE slice_id = {k})" for k in range(batches))]
+    latest = f" ORDER BY position DESC LIMIT {memory}" if memory else ""
     columns = "flow_id, slice_id, protocol, label, anomaly_score, is_anomaly, threshold, traffic_class"
-    return [*steps, "result AS (" + " UNION ALL ".join(
-        f"SELECT {columns}, {k + 1} AS batch_id, '{'adapt' if k else 'warmup'}' AS phase FROM b{k}classed" for k in range(3)) + ")"]
+    rows, version = [], 1
+    for k in range(batches):
+        if k == 0:  # the model is fitted before the memory is cut; all rows if few are known to be normal
+            steps += ["candidates0 AS (SELECT * FROM part0 WHERE label = 'normal' OR "
+                      "(SELECT count(*) FROM part0 WHERE label = 'normal') < 250)", *fit_ctes("m1", "candidates0")]
+        steps += apply_ctes(f"b{k}", f"m{version}", f"part{k}", _fitted(f"m{version}")) + class_ctes(f"b{k}flagged", p=f"b{k}")
+        if k:
+            steps.append(_candidates(k))
+        if k not in skipped:
+            held = f"SELECT * FROM memory{version} UNION ALL " if k else ""
+            version = k + 1
+            steps.append(f"memory{version} AS (SELECT * FROM ({held}SELECT * FROM candidates{k}){latest})")
+            if k and k + 1 < batches:
+                steps += fit_ctes(f"m{version}", f"memory{version}")
+        status = "skipped" if k in skipped else "updated" if k else "warmup"
+        rows.append(f"SELECT {columns}, {k + 1} AS batch_id, '{'adapt' if k else 'warmup'}' AS phase, '{status}' AS relearn_status, "
+                    f"(SELECT count(*) FROM candidates{k}) AS candidates, (SELECT count(*) FROM memory{version}) AS memory_rows "
+                    f"FROM b{k}classed")
+    return [*steps, "result AS (" + " UNION ALL ".join(rows) + ")"]
 
 
 def scored_ctes(group: str = "0", source: str = "flows") -> list[str]:
@@ -325,6 +350,9 @@ def oracle_sql() -> dict[str, str]:
     q["src_csv_flows"] = with_raw("src_dst_long", select=f"""SELECT flow_id, src_ip, dst_ip, CAST(src_port AS INT) AS src_port,
       CAST(dst_port AS INT) AS dst_port, {protocol('proto')} AS protocol, round({number('duration')}, 6) AS duration_sec,
       greatest({number('src_pkts')}, 0) AS packets, {label('label')} AS label FROM raw""")
+    q["src_units_per_file"] = with_raw("src_dst_long", select=f"""SELECT flow_id, round(greatest(CASE WHEN flow_id % 2 = 1
+      THEN floor({number('duration')} * 1000000) / 1000000 ELSE {number('duration')} END, 1e-6), 6) AS duration_sec,
+      CASE WHEN flow_id % 2 = 1 AND flow_id % 50 < 4 THEN 'port, scan' || chr(10) || '"slow"' ELSE {label('label')} END AS label FROM raw""")
     q["src_skip_patterns"] = with_flows(select="SELECT flow_id, dst_port FROM flows WHERE flow_id % 4 IN (0, 2)")
     q["src_quarantine"] = with_flows(select="""SELECT concat('part_', CAST(flow_id % 4 AS VARCHAR)) AS file,
       count(*) AS n_rows, count_if(flow_id % 4 = 1 AND flow_id % 50 < 4) AS bad_rows,
@@ -457,13 +485,28 @@ def oracle_sql() -> dict[str, str]:
       (SELECT count(*) FROM thr) AS source_models,
       (SELECT string_agg(g || '=' || CAST(round(threshold, 4) AS VARCHAR), ', ' ORDER BY g) FROM thr) AS per_source_thresholds,
       round(quantile_cont(anomaly_score, 0.92), 6) AS overall_score_quantile FROM result""")
+    q["summary_versions"] = q["batch_summary"]
     unseen = ["known AS (SELECT * FROM flows WHERE label = 'normal')", *fit_ctes("m", "known"),
               *apply_ctes("a", "m", "flows", _fitted("m")), *class_ctes("aflagged")]
     q["score_unseen_flows"] = with_flows(*unseen, select=f"""SELECT flow_id, round(anomaly_score, 6) AS anomaly_score, is_anomaly,
       {RISK} AS risk_level, traffic_class FROM classed""")
+    q["model_versions"] = q["score_unseen_flows"]
+    gram = ", ".join(f"sum(c_{a} * c_{b})" for a in FEATURE_COLUMNS for b in FEATURE_COLUMNS)
+    q["subspace_moments"] = with_flows(
+        *model_ctes()[:5], "centred AS (SELECT " + _each("z_{n} - m_{n} AS c_{n}") + " FROM scaled JOIN mean USING (g))",
+        f"gram AS (SELECT unnest([{gram}]) AS v, unnest(range(400)) // 20 AS i, unnest(range(400)) % 20 AS j FROM centred)",
+        "square AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM gram a JOIN gram b ON a.j = b.i GROUP BY a.i, b.j)",
+        select="""SELECT round(log10((SELECT sum(v) FROM gram WHERE i = j)), 6) AS power_2, round(log10((SELECT sum(v * v) FROM gram)), 6) AS power_4,
+      round(log10((SELECT sum(s.v * g.v) FROM square s JOIN gram g USING (i, j))), 6) AS power_6""")
     q["adaptive_flags"] = with_flows(*adaptive_ctes(), select="""SELECT flow_id, batch_id, slice_id, phase AS learning_phase,
       round(anomaly_score, 6) AS anomaly_score, is_anomaly, traffic_class FROM result""")
-    q["stream_flags"] = with_flows(*adaptive_ctes(), select="""SELECT flow_id, batch_id, phase AS learning_phase,
+    decided = """SELECT flow_id, batch_id, phase AS learning_phase, round(anomaly_score, 6) AS anomaly_score, is_anomaly,
+      relearn_status, candidates, memory_rows FROM result"""
+    q["adaptive_evicting"] = with_flows(*adaptive_ctes(5, "((SELECT count(*) + 4 FROM flows) // 5) // 2"), select=decided)
+    q["adaptive_skipping"] = with_flows(*adaptive_ctes(
+        label="CASE WHEN slice_id = 1 AND flow_id % 20 <> 0 THEN 'ddos' ELSE label END", skipped=(1,)), select=decided)
+    # the stream keeps the default memory of 5000 flows
+    q["stream_flags"] = with_flows(*adaptive_ctes(memory="5000"), select="""SELECT flow_id, batch_id, phase AS learning_phase,
       round(anomaly_score, 6) AS anomaly_score, is_anomaly FROM result""")
     q["relearn_overview"] = with_flows(*adaptive_ctes(), select=f"""SELECT batch_id, phase,
       {_summary(False).replace('AS total_flows', 'AS batch_size')}, round(any_value(threshold), 4) AS threshold,
@@ -501,9 +544,14 @@ def oracle_sql() -> dict[str, str]:
     q["training_labels"] = with_flows(*s, select="SELECT flow_id, traffic_class AS training_label FROM result")
     q["label_index"] = with_flows(select="SELECT flow_id, dense_rank() OVER (ORDER BY src_ip) - 1 AS label_index FROM flows")
     q["stratified_split"] = f"WITH {_SPLIT} SELECT vec_id, label, is_test FROM split"
-    q["balanced_resample"] = with_flows(select=f"""SELECT flow_id, label, unnest(range(1, 1 + CAST(floor(w + {_hash('flow_id')}
-      / 4503599627370496.0) AS BIGINT))) AS draw FROM (SELECT *, (count(*) OVER ()) * 1.0 /
-      ((SELECT count(DISTINCT label) FROM flows) * count(*) OVER (PARTITION BY label)) AS w FROM flows)""")
+    q["balanced_resample"] = with_flows(
+        "placed AS (SELECT flow_id, label, dense_rank() OVER (ORDER BY label) - 1 AS r, row_number() OVER (PARTITION BY label "
+        "ORDER BY flow_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM flows)",
+        "sizes AS (SELECT DISTINCT r, n FROM placed)",
+        f"""draws AS (SELECT CAST(floor({_hash('d')} / 4503599627370496.0 * (SELECT count(*) FROM sizes)) AS BIGINT) AS r,
+      {_hash('d', 43)} / 4503599627370496.0 AS u FROM range((SELECT count(*) FROM flows)) AS t(d))""",
+        select="""SELECT flow_id, label, row_number() OVER (PARTITION BY flow_id) AS draw
+      FROM draws JOIN sizes USING (r) JOIN placed p ON p.r = draws.r AND p.i = CAST(floor(u * sizes.n) AS BIGINT)""")
     q["triplet_loss"] = f"""WITH e AS (SELECT vec_id, label, vec_id // 128 AS batch, CAST(embedding AS DOUBLE[]) AS v
       FROM embeddings), pairs AS (SELECT a.batch, a.vec_id, a.label = b.label AS same,
       1 - least(greatest(list_dot_product(a.v, b.v), -1), 1) AS d FROM e a JOIN e b ON a.batch = b.batch
@@ -513,6 +561,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT b.batch, count(loss) AS anchors, round(coalesce(avg(loss), 0), 6) AS loss
       FROM (SELECT DISTINCT batch FROM e) b LEFT JOIN anchors USING (batch) GROUP BY b.batch"""
     q["knn_predict"] = f"WITH {_KNN} SELECT id, predicted FROM best"
+    q["knn_pivots"] = q["knn_predict"]
     q["knn_proba"] = f"""WITH {_KNN}, classes AS (SELECT DISTINCT CAST(label AS VARCHAR) AS class FROM split WHERE NOT is_test)
       SELECT id, class, round(coalesce(n, 0) / 7.0, 6) AS probability FROM best CROSS JOIN classes
       LEFT JOIN votes USING (id) WHERE votes.label = class UNION ALL
@@ -536,6 +585,8 @@ def oracle_sql() -> dict[str, str]:
     q["cosine_pairs"] = f"""WITH {_UNITS}, probes AS (SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY label)
       SELECT a.vec_id, b.vec_id AS probe, round(list_dot_product(a.v, b.v) / (a.len * b.len), 6) AS cosine
       FROM units a, units b WHERE b.vec_id IN (SELECT vec_id FROM probes)"""
+    q["cosine_join"] = f"""WITH {_UNITS} SELECT a.vec_id AS id, b.vec_id AS other, round(list_dot_product(a.v, b.v) / (a.len * b.len), 6) AS cosine
+      FROM units a JOIN units b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) / (a.len * b.len) >= 0.35"""
     q["cosine_intra"] = f"WITH {_CLASS_PAIRS} SELECT label, round(intra_cosine, 6) AS intra_cosine FROM intra"
     q["cosine_inter"] = f"WITH {_CLASS_PAIRS} SELECT class_a, class_b, round(inter_cosine, 6) AS inter_cosine FROM inter"
     q["embedding_kpis"] = f"""WITH {_CLASS_PAIRS}, k AS (SELECT (SELECT avg(intra_cosine) FROM intra) AS mean_intra,
