@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlake.llm import kernels as K
+
 #: Entries after which a worker's caches start anew.
 CACHE_PIECES = 400_000
 CACHE_STATES = 1_000_000
@@ -344,7 +346,7 @@ class _Made(dict):
         return value
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str], Codec] = K.Cache()
 
 
 def codec(path: str, pattern: str) -> Codec:

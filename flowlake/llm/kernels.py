@@ -18,7 +18,17 @@ SLICE_BYTES = 2 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers: dict[str, np.ndarray] = {}
+
+
+class Cache(dict):
+    """What a process works out once. Task functions travel by value with the globals that they use; a cache that the
+    driver has filled would go along with each of them, so it travels empty."""
+
+    def __reduce__(self):
+        return Cache, ()
+
+
+_powers: dict[str, np.ndarray] = Cache()
 
 #: Byte tables: what belongs to a word, and A-Z lower-cased.
 SPACE = np.zeros(256, bool)

@@ -53,12 +53,12 @@ _RANGES = [
 ]
 SCRIPTS = list(dict.fromkeys(name for _, name in _RANGES))
 _TABLE = 0x32400
-_tables: list = []
+_tables: dict[str, tuple] = K.Cache()
 
 
 def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By code point: whether it is a letter, its lower case, its script."""
-    if not _tables:
+    if "letters" not in _tables:
         points = [chr(c) for c in range(_TABLE)]
         lower = np.arange(_TABLE, dtype=np.uint32)
         for c in range(_TABLE):
@@ -68,8 +68,8 @@ def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         script = np.zeros(_TABLE, np.uint8)
         for (low, name), high in zip(_RANGES, [low for low, _ in _RANGES[1:]] + [_TABLE]):
             script[low:high] = SCRIPTS.index(name)
-        _tables.append((np.array([unicodedata.category(p)[0] == "L" for p in points]), lower, script))
-    return _tables[0]
+        _tables["letters"] = np.array([unicodedata.category(p)[0] == "L" for p in points]), lower, script
+    return _tables["letters"]
 
 
 class LetterWords(NamedTuple):

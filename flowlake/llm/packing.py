@@ -181,7 +181,7 @@ def unpacked(rows: DataFrame) -> DataFrame:
     return piece.groupBy("doc_id").agg(joined.alias("p")).select("doc_id", F.concat(F.lit(b""), F.expr("aggregate(p.ids, X'', (a, x) -> concat(a, x))")).alias("ids"))
 
 
-_encoders: dict = {}
+_encoders: dict = K.Cache()
 
 
 def public_encoder():

@@ -6,6 +6,9 @@ from brute_llm import LOWER, WORD
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark import cloudpickle
+
+from flowlake.llm import byte_bpe, decontaminate, language_id, ngram_join
 from flowlake.llm import kernels as K
 from flowlake.llm.components import components
 from flowlake.llm.routing import without_ids
@@ -56,3 +59,11 @@ def test_rows_without_the_dropped_ids_stay(spark):
     table = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (2, "d"), (3, "e")], "doc_id long, _hash string")
     dropped = spark.createDataFrame([(2,), (9,)], "doc_id long")
     assert sorted(r[1] for r in without_ids(table, "doc_id", dropped).collect()) == ["a", "c", "e"]
+
+
+def test_task_functions_travel_without_what_the_driver_has_worked_out():
+    K.powers("up", 10), K.powers("down", 10)
+    language_id.letter_words(np.frombuffer(b"one two", np.uint8), np.array([0, 7]))
+    byte_bpe.codec(*byte_bpe.public_vocabulary())
+    for function in (ngram_join._count(ngram_join.Rule()), language_id._count, decontaminate._scan(None, "text", False), byte_bpe.codec):
+        assert len(cloudpickle.dumps(function)) < 200_000
