@@ -14,6 +14,8 @@ from .positions import with_position
 from .quantiles import smallest_cut
 
 _COPIES_PER_STEP = 10_000
+#: Most classes whose counts are kept on the driver.
+COUNTED_CLASSES = 10_000
 
 
 def training_labels(flows: DataFrame, name: str = "training_label") -> DataFrame:
@@ -49,17 +51,25 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
     """Mark ``ceil(test_fraction * n)`` rows of every class as test rows.
 
     Each class is cut at its exact k-th smallest seeded hash, so a class may
-    be of any size. If a class has a single row the split ignores classes.
-    Rows without a label are a class; an empty table stays empty.
+    be of any size: by counting for up to ``COUNTED_CLASSES`` classes, by the
+    position within the class for more. If a class has a single row the split
+    ignores classes. Rows without a label are a class; an empty table stays empty.
     """
-    counts = class_counts(df, label)
-    if not counts:
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    classes, least, total = sizes.agg(F.count(F.lit(1)), F.min("n"), F.sum("n")).first()
+    if not classes:
         return df.withColumn(name, F.lit(False))
     hashed = hash_key(F.col(key), seed)
-    if min(counts.values()) < 2:
-        total = sum(counts.values())
+    if least < 2:
         cut = smallest_cut(df, hashed, {None: math.ceil(test_fraction * total)}, {None: total})[None]
         return df.withColumn(name, hashed <= int(cut))
+    if classes > COUNTED_CLASSES:
+        placed = cut_lineage(with_position(df, [F.col(label).asc_nulls_first(), hashed, F.col(key)], "_position"), "placed")
+        firsts = placed.groupBy(F.col(label).alias("_class")).agg(
+            F.min("_position").alias("_first"), F.ceil(F.count(F.lit(1)) * test_fraction).alias("_wanted"))
+        within = F.col("_position") - F.col("_first")
+        return placed.join(firsts, F.col(label).eqNullSafe(F.col("_class"))).withColumn(name, within < F.col("_wanted")).select(*df.columns, name)
+    counts = class_counts(df, label)
     wanted = {c: math.ceil(test_fraction * n) for c, n in counts.items()}
     cuts = smallest_cut(df, hashed, wanted, counts, by=label)
     joined, get = GroupParams(label, {c: {"cut": cut} for c, cut in cuts.items()}).attach(df)

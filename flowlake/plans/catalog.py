@@ -1,8 +1,8 @@
 """The query catalogue: one callable per operator, each over whole tables.
 
-Queries with comparison SQL score with ``rank=0``, i.e. without a subspace:
-the score formula is the same, and every part of it can be restated in SQL.
-The rank-4 queries next to them are covered by NumPy tests.
+Many queries score with ``rank=0``, i.e. without a subspace, which is quicker to
+compare; the rank-4 queries next to them have comparison SQL of their own, in
+which the subspace is the projector that powers of the scatter matrix tend to.
 """
 
 from __future__ import annotations
@@ -532,7 +532,7 @@ def per_source_scores(spark, sf_dir):
 def per_source_combined(spark, sf_dir):
     result, estimator = scored_flows(spark, sf_dir, rank=4, by="dataset_source")
     each = summary.per_source_summary(result, estimator.model.thresholds)
-    return summary.combined_source_summary(result, each, 0.08)
+    return rounded(summary.combined_source_summary(result, each, 0.08))
 
 
 @query

@@ -7,7 +7,7 @@ fixture that derives the input tables.
 
 from __future__ import annotations
 
-from ..fixtures import duckdb_flows_cte, duckdb_raw_cte
+from ..fixtures import FLOW_EXPRESSIONS, duckdb_flows_cte, duckdb_raw_cte
 from ..schema import (COLUMN_ALIASES, ENCODER_COLUMNS, FAILED_STATES, FEATURE_COLUMNS, FEATURE_WORDING,
                       PRIVATE_IPV4_BLOCKS, PROTOCOL_NAMES, SERVICE_NAME_PORTS, SERVICE_PORTS)
 
@@ -21,7 +21,7 @@ def _map(values: dict) -> str:
 
 
 def with_flows(*ctes: str, select: str) -> str:
-    return "WITH " + ",\n".join([FLOWS, *ctes]) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join([FLOWS, *ctes]) + "\n" + select
 
 
 def with_raw(layout: str, *ctes: str, select: str) -> str:
@@ -85,7 +85,35 @@ def _each(template: str, names: list[str] = FEATURE_COLUMNS, sep: str = ", ") ->
     return sep.join(template.replace("{n}", n) for n in names)
 
 
-def model_ctes(group: str = "0", source: str = "flows") -> list[str]:
+def plane_ctes(p: str, centred: str, rank: int = 4, steps: int = 30) -> list[str]:
+    """``p``plane (g, m): the projector on the leading directions of the rows ``centred`` (g, c_*), as a matrix.
+
+    The scatter matrix, squared ``steps`` times over, becomes the projector on its first direction; without that
+    direction the next one follows in the same way.
+    """
+    rows = ", ".join("[" + ", ".join(f"sum(c_{a} * c_{b})" for b in FEATURE_COLUMNS) + "]" for a in FEATURE_COLUMNS)
+    scaled = "[[x / t FOR x IN row] FOR row IN m]"
+    trace = "list_sum([m[i][i] FOR i IN range(1, 21)])"
+    ctes = [f"{p}rest0 AS MATERIALIZED (SELECT g, [{rows}] AS m FROM ({centred}) GROUP BY g)"]
+    for k in range(rank):
+        ctes += [
+            (f"{p}power{k} AS (SELECT g, 0 AS step, {scaled} AS m FROM (SELECT g, m, {trace} AS t FROM {p}rest{k}) UNION ALL "
+             f"SELECT g, step + 1, {scaled} FROM (SELECT g, step, m, {trace} AS t FROM (SELECT g, step, "
+             f"[[list_dot_product(a, b) FOR b IN m] FOR a IN m] AS m FROM {p}power{k} WHERE step < {steps})))"),
+            f"{p}found{k} AS MATERIALIZED (SELECT g, m FROM {p}power{k} WHERE step = {steps})",
+            (f"{p}rest{k + 1} AS MATERIALIZED (SELECT g, [[a.m[i][j] - v * b.m[i][j] FOR j IN range(1, 21)] FOR i IN range(1, 21)] AS m "
+             f"FROM (SELECT g, list_sum([list_dot_product(a.m[i], b.m[i]) FOR i IN range(1, 21)]) AS v FROM {p}rest{k} a JOIN {p}found{k} b USING (g)) "
+             f"JOIN {p}rest{k} a USING (g) JOIN {p}found{k} b USING (g))")]
+    total = " + ".join(f"f{k}.m[i][j]" for k in range(rank))
+    joined = f"{p}found0 f0 " + " ".join(f"JOIN {p}found{k} f{k} USING (g)" for k in range(1, rank))
+    return [*ctes, f"{p}plane AS MATERIALIZED (SELECT g, [[{total} FOR j IN range(1, 21)] FOR i IN range(1, 21)] AS m FROM {joined})"]
+
+
+#: What is left of a row's centred features ``x`` beside the plane ``m``.
+_LEFT = "sqrt(greatest(list_dot_product(x, x) - list_dot_product(x, [list_dot_product(p, x) FOR p IN m]), 0) / 20)"
+
+
+def model_ctes(group: str = "0", source: str = "flows", rank: int = 0) -> list[str]:
     """Feature, parameter and score tables; ``group`` is the model key."""
     feats = ", ".join(f"CAST({FEATURES[n]} AS DOUBLE) AS f_{n}" for n in FEATURE_COLUMNS)
     squares = " + ".join(
@@ -101,10 +129,14 @@ def model_ctes(group: str = "0", source: str = "flows") -> list[str]:
         f"mean AS (SELECT g, {_each('avg(z_{n}) AS m_{n}')} FROM scaled GROUP BY g)",
         ("freq AS (SELECT g, context_key, count(*) * 1.0 / (sum(count(*)) OVER (PARTITION BY g)) AS frequency "
          "FROM feat GROUP BY g, context_key)"),
-        (f"parts AS (SELECT scaled.*, sqrt(({squares}) / 20) AS distance, -ln(coalesce(frequency, 0.0001)) AS rarity "
+        *(plane_ctes("", "SELECT g, " + _each("z_{n} - m_{n} AS c_{n}") + " FROM scaled JOIN mean USING (g)") if rank else []),
+        (f"parts AS (SELECT scaled.*, sqrt(({squares}) / 20) AS distance, -ln(coalesce(frequency, 0.0001)) AS rarity, "
+         f"[{', '.join(f'least(greatest(z_{n} - m_{n}, -12), 12)' for n in FEATURE_COLUMNS)}] AS x "
          "FROM scaled JOIN mean USING (g) LEFT JOIN freq USING (g, context_key))"),
         # Without a subspace nothing is reconstructed, so that error is the distance.
-        "scores AS (SELECT *, 1.6 * distance + 1.2 * distance + 0.85 * rarity AS anomaly_score FROM parts)",
+        (f"errors AS (SELECT *, {_LEFT} AS reconstruction FROM parts JOIN plane USING (g))" if rank else
+         "errors AS (SELECT *, distance AS reconstruction FROM parts)"),
+        "scores AS (SELECT *, 1.6 * distance + 1.2 * reconstruction + 0.85 * rarity AS anomaly_score FROM errors)",
         ("centre AS (SELECT g, median(anomaly_score) FILTER (label = 'normal') AS mid FROM scores GROUP BY g)"),
         ("limits AS (SELECT g, quantile_cont(anomaly_score, 0.92) AS q_all, "
          "quantile_cont(anomaly_score, 0.995) FILTER (label = 'normal') AS q_normal, "
@@ -138,8 +170,8 @@ def class_ctes(flagged: str, group: str = "g", p: str = "") -> list[str]:
     ]
 
 
-def fit_ctes(p: str, source: str) -> list[str]:
-    """The model ``p`` (without a subspace) fitted on the rows of ``source``, down to its own threshold."""
+def fit_ctes(p: str, source: str, rank: int = 0) -> list[str]:
+    """The model ``p`` fitted on the rows of ``source``, down to its own threshold."""
     feats = ", ".join(f"CAST({FEATURES[n]} AS DOUBLE) AS f_{n}" for n in FEATURE_COLUMNS)
     return [
         f"{p}feat AS (SELECT *, 0 AS g, {CONTEXT} AS context_key, {feats} FROM {source})",
@@ -148,17 +180,22 @@ def fit_ctes(p: str, source: str) -> list[str]:
         + f" FROM {p}feat, {p}med)",
         f"{p}mean AS (SELECT " + _each("avg((f_{n} - med_{n}) / mad_{n}) AS m_{n}") + f" FROM {p}feat, {p}med, {p}mad)",
         f"{p}freq AS (SELECT context_key, count(*) * 1.0 / (SELECT count(*) FROM {p}feat) AS frequency FROM {p}feat GROUP BY 1)",
-        *apply_ctes(f"{p}own", p, source)]
+        *(plane_ctes(p, "SELECT 0 AS g, " + _each("(f_{n} - med_{n}) / mad_{n} - m_{n} AS c_{n}") + f" FROM {p}feat, {p}med, {p}mad, {p}mean")
+          if rank else []),
+        *apply_ctes(f"{p}own", p, source, rank=rank)]
 
 
-def apply_ctes(q: str, p: str, source: str, floor: str = "NULL") -> list[str]:
+def apply_ctes(q: str, p: str, source: str, floor: str = "NULL", rank: int = 0) -> list[str]:
     """Rows of ``source`` scored and flagged by model ``p`` as ``q``flagged; ``floor`` is the least threshold."""
     feats = ", ".join(f"CAST({FEATURES[n]} AS DOUBLE) AS f_{n}" for n in FEATURE_COLUMNS)
-    squares = " + ".join(f"power(least(greatest((f_{n} - med_{n}) / mad_{n} - m_{n}, -12), 12), 2)" for n in FEATURE_COLUMNS)
     return [
         f"{q}rows AS (SELECT *, 0 AS g, {CONTEXT} AS context_key, {feats} FROM {source})",
-        (f"{q}scores AS (SELECT r.*, 2.8 * sqrt(({squares}) / 20) + 0.85 * -ln(coalesce(frequency, 0.0001)) AS anomaly_score "
+        (f"{q}parts AS (SELECT r.*, -ln(coalesce(frequency, 0.0001)) AS rarity, "
+         f"[{', '.join(f'least(greatest((f_{n} - med_{n}) / mad_{n} - m_{n}, -12), 12)' for n in FEATURE_COLUMNS)}] AS x "
          f"FROM {q}rows r CROSS JOIN {p}med CROSS JOIN {p}mad CROSS JOIN {p}mean LEFT JOIN {p}freq USING (context_key))"),
+        (f"{q}scores AS (SELECT * EXCLUDE (x, rarity, m), 1.6 * sqrt(list_dot_product(x, x) / 20) + 1.2 * {_LEFT} + 0.85 * rarity AS anomaly_score "
+         f"FROM {q}parts JOIN {p}plane USING (g))" if rank else
+         f"{q}scores AS (SELECT * EXCLUDE (x, rarity), 2.8 * sqrt(list_dot_product(x, x) / 20) + 0.85 * rarity AS anomaly_score FROM {q}parts)"),
         f"{q}centre AS (SELECT median(anomaly_score) FILTER (label = 'normal') AS mid FROM {q}scores)",
         (f"{q}thr AS (SELECT greatest(quantile_cont(anomaly_score, 0.92), quantile_cont(anomaly_score, 0.995) FILTER (label = 'normal'), "
          f"any_value(mid) + greatest(3.5 * (median(abs(anomaly_score - mid)) FILTER (label = 'normal')), 1.0), {floor}) AS threshold "
@@ -177,7 +214,8 @@ def _candidates(k: int) -> str:
             f"FROM b{k}scores WHERE label IN ('normal', 'unknown')) WHERE label = 'normal' OR rank <= 250 - normals))")
 
 
-def adaptive_ctes(batches: int = 3, memory: str | None = None, label: str = "label", skipped: tuple[int, ...] = ()) -> list[str]:
+def adaptive_ctes(batches: int = 3, memory: str | None = None, label: str = "label", skipped: tuple[int, ...] = (),
+                  rank: int = 0) -> list[str]:
     """The first batch is the warm-up; the model is fitted anew on the memory after each batch but the ``skipped`` ones.
 
     The memory holds the latest ``memory`` normal flows of the batches learned from, all of them by default.
@@ -193,8 +231,8 @@ def adaptive_ctes(batches: int = 3, memory: str | None = None, label: str = "lab
     for k in range(batches):
         if k == 0:  # the model is fitted before the memory is cut; all rows if few are known to be normal
             steps += ["candidates0 AS (SELECT * FROM part0 WHERE label = 'normal' OR "
-                      "(SELECT count(*) FROM part0 WHERE label = 'normal') < 250)", *fit_ctes("m1", "candidates0")]
-        steps += apply_ctes(f"b{k}", f"m{version}", f"part{k}", _fitted(f"m{version}")) + class_ctes(f"b{k}flagged", p=f"b{k}")
+                      "(SELECT count(*) FROM part0 WHERE label = 'normal') < 250)", *fit_ctes("m1", "candidates0", rank)]
+        steps += apply_ctes(f"b{k}", f"m{version}", f"part{k}", _fitted(f"m{version}"), rank) + class_ctes(f"b{k}flagged", p=f"b{k}")
         if k:
             steps.append(_candidates(k))
         if k not in skipped:
@@ -202,7 +240,7 @@ def adaptive_ctes(batches: int = 3, memory: str | None = None, label: str = "lab
             version = k + 1
             steps.append(f"memory{version} AS (SELECT * FROM ({held}SELECT * FROM candidates{k}){latest})")
             if k and k + 1 < batches:
-                steps += fit_ctes(f"m{version}", f"memory{version}")
+                steps += fit_ctes(f"m{version}", f"memory{version}", rank)
         status = "skipped" if k in skipped else "updated" if k else "warmup"
         rows.append(f"SELECT {columns}, {k + 1} AS batch_id, '{'adapt' if k else 'warmup'}' AS phase, '{status}' AS relearn_status, "
                     f"(SELECT count(*) FROM candidates{k}) AS candidates, (SELECT count(*) FROM memory{version}) AS memory_rows "
@@ -210,8 +248,8 @@ def adaptive_ctes(batches: int = 3, memory: str | None = None, label: str = "lab
     return [*steps, "result AS (" + " UNION ALL ".join(rows) + ")"]
 
 
-def scored_ctes(group: str = "0", source: str = "flows") -> list[str]:
-    return (model_ctes(group, source) + class_ctes("flagged")
+def scored_ctes(group: str = "0", source: str = "flows", rank: int = 0) -> list[str]:
+    return (model_ctes(group, source, rank) + class_ctes("flagged")
             + [f"result AS (SELECT *, {RISK} AS risk_level FROM classed)"])
 
 
@@ -284,7 +322,7 @@ def _top_three() -> str:
     entries = ", ".join(
         f"{{'r': -abs(z_{n}), 'i': {i}, 't': '{FEATURE_WORDING.get(n, n)}=' || printf('%.2f', f_{n})}}"
         for i, n in enumerate(FEATURE_COLUMNS))
-    return f"list_transform(list_sort([{entries}])[1:3], lambda x: x.t)"
+    return f"list_transform(list_sort([{entries}])[1:3], lambda entry: entry.t)"
 
 
 def _std_columns() -> str:
@@ -441,12 +479,16 @@ def oracle_sql() -> dict[str, str]:
     q["scaled_mean"] = with_flows(*m[:5], select="SELECT feature, mean FROM (" + " UNION ALL ".join(
         f"SELECT '{n}' AS feature, round(m_{n}, 5) AS mean FROM mean" for n in FEATURE_COLUMNS) + ")")
     q["context_frequency"] = with_flows(*m[:6], select="SELECT context_key, round(frequency, 8) AS frequency FROM freq")
-    q["decision_threshold"] = with_flows(*m[:11], select="SELECT round(threshold, 6) AS threshold FROM thr")
+    q["decision_threshold"] = with_flows(*m[:12], select="SELECT round(threshold, 6) AS threshold FROM thr")
     q["score_distance"] = with_flows(*m[:7], select="SELECT flow_id, round(distance, 6) AS distance FROM parts")
     q["score_rarity"] = with_flows(*m[:7], select="SELECT flow_id, round(rarity, 6) AS rarity FROM parts")
-    q["risk_band"] = with_flows(*m[:8], select=f"""SELECT flow_id, {RISK} AS risk_level,
+    q["risk_band"] = with_flows(*m[:9], select=f"""SELECT flow_id, {RISK} AS risk_level,
       {RISK.replace('anomaly_score', '(anomaly_score / 2)')} AS risk_of_half FROM scores""")
     q["flags_without_subspace"] = with_flows(*m, select="SELECT flow_id, round(anomaly_score, 6) AS anomaly_score, is_anomaly FROM flagged")
+    four = model_ctes(rank=4)
+    q["score_reconstruction"] = with_flows(*four[:-4], select="SELECT flow_id, round(reconstruction, 6) AS reconstruction FROM scores")
+    q["anomaly_score"] = with_flows(*four[:-4], select="SELECT flow_id, round(anomaly_score, 6) AS anomaly_score FROM scores")
+    q["anomaly_flag"] = with_flows(*four, select="SELECT flow_id, round(anomaly_score, 6) AS anomaly_score, is_anomaly FROM flagged")
     q["explain_top3"] = with_flows(*m[:4], select=f"""SELECT flow_id, array_to_string({_top_three()}, ', ') ||
       ', context=' || protocol || '/' || direction || '/port-' || dst_port AS explanation FROM scaled""")
     known = [*m[:1], "marked AS (SELECT *, label = 'anomalous' AS is_anomaly FROM feat)", *class_ctes("marked")]
@@ -471,7 +513,7 @@ def oracle_sql() -> dict[str, str]:
         CASE WHEN position < 1000 THEN 'warmup' ELSE 'adapt' END AS phase,
         {_summary(False).replace('AS total_flows', 'AS batch_size')} FROM result GROUP BY 1, 2""")
     q["per_source_thresholds"] = with_flows(
-        *by_source[:11], select="SELECT g AS dataset_source, round(threshold, 6) AS threshold FROM thr")
+        *by_source[:12], select="SELECT g AS dataset_source, round(threshold, 6) AS threshold FROM thr")
     q["per_source_summary"] = with_flows(*scored_ctes("dataset_source"), select=f"""
       SELECT g AS dataset_source, {_summary()}, mode_protocol AS top_protocol, round(any_value(threshold), 4) AS threshold
       FROM result JOIN (SELECT g, arg_min(protocol, (-n, protocol)) AS mode_protocol FROM (SELECT g, protocol, count(*) AS n
@@ -485,12 +527,22 @@ def oracle_sql() -> dict[str, str]:
       (SELECT count(*) FROM thr) AS source_models,
       (SELECT string_agg(g || '=' || CAST(round(threshold, 4) AS VARCHAR), ', ' ORDER BY g) FROM thr) AS per_source_thresholds,
       round(quantile_cont(anomaly_score, 0.92), 6) AS overall_score_quantile FROM result""")
+    q["per_source_scores"] = with_flows(*scored_ctes("dataset_source", rank=4), select="""SELECT flow_id, dataset_source,
+      round(anomaly_score, 6) AS anomaly_score, is_anomaly, traffic_class FROM result""")
+    q["per_source_combined"] = q["per_source_overview"].replace(with_flows(*scored_ctes("dataset_source"), select=""), with_flows(
+        *scored_ctes("dataset_source", rank=4), select=""))
     q["summary_versions"] = q["batch_summary"]
     unseen = ["known AS (SELECT * FROM flows WHERE label = 'normal')", *fit_ctes("m", "known"),
               *apply_ctes("a", "m", "flows", _fitted("m")), *class_ctes("aflagged")]
     q["score_unseen_flows"] = with_flows(*unseen, select=f"""SELECT flow_id, round(anomaly_score, 6) AS anomaly_score, is_anomaly,
       {RISK} AS risk_level, traffic_class FROM classed""")
     q["model_versions"] = q["score_unseen_flows"]
+    unseen = ["known AS (SELECT * FROM flows WHERE label = 'normal')", *fit_ctes("m", "known", 4),
+              *apply_ctes("a", "m", "flows", _fitted("m"), 4), *class_ctes("aflagged"),
+              "told AS (SELECT *, " + _each("(f_{n} - med_{n}) / mad_{n} AS z_{n}") + " FROM classed, mmed, mmad)"]
+    q["score_flows"] = with_flows(*unseen, select=f"""SELECT flow_id, {SERVICE} AS service, round(anomaly_score, 6) AS anomaly_score, is_anomaly,
+      {RISK} AS risk_level, traffic_class, array_to_string({_top_three()}, ', ') || ', context=' || protocol || '/' || direction
+      || '/port-' || dst_port AS explanation FROM told""")
     gram = ", ".join(f"sum(c_{a} * c_{b})" for a in FEATURE_COLUMNS for b in FEATURE_COLUMNS)
     q["subspace_moments"] = with_flows(
         *model_ctes()[:5], "centred AS (SELECT " + _each("z_{n} - m_{n} AS c_{n}") + " FROM scaled JOIN mean USING (g))",
@@ -498,20 +550,23 @@ def oracle_sql() -> dict[str, str]:
         "square AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM gram a JOIN gram b ON a.j = b.i GROUP BY a.i, b.j)",
         select="""SELECT round(log10((SELECT sum(v) FROM gram WHERE i = j)), 6) AS power_2, round(log10((SELECT sum(v * v) FROM gram)), 6) AS power_4,
       round(log10((SELECT sum(s.v * g.v) FROM square s JOIN gram g USING (i, j))), 6) AS power_6""")
-    q["adaptive_flags"] = with_flows(*adaptive_ctes(), select="""SELECT flow_id, batch_id, slice_id, phase AS learning_phase,
+    for name, ctes in (("adaptive_flags", adaptive_ctes()), ("adaptive_scored", adaptive_ctes(rank=4))):
+        q[name] = with_flows(*ctes, select="""SELECT flow_id, batch_id, slice_id, phase AS learning_phase,
       round(anomaly_score, 6) AS anomaly_score, is_anomaly, traffic_class FROM result""")
     decided = """SELECT flow_id, batch_id, phase AS learning_phase, round(anomaly_score, 6) AS anomaly_score, is_anomaly,
       relearn_status, candidates, memory_rows FROM result"""
     q["adaptive_evicting"] = with_flows(*adaptive_ctes(5, "((SELECT count(*) + 4 FROM flows) // 5) // 2"), select=decided)
     q["adaptive_skipping"] = with_flows(*adaptive_ctes(
         label="CASE WHEN slice_id = 1 AND flow_id % 20 <> 0 THEN 'ddos' ELSE label END", skipped=(1,)), select=decided)
-    # the stream keeps the default memory of 5000 flows
-    q["stream_flags"] = with_flows(*adaptive_ctes(memory="5000"), select="""SELECT flow_id, batch_id, phase AS learning_phase,
+    for name, rank in (("stream_flags", 0), ("stream_adaptive", 4)):  # the stream keeps the default memory of 5000 flows
+        q[name] = with_flows(*adaptive_ctes(memory="5000", rank=rank), select="""SELECT flow_id, batch_id, phase AS learning_phase,
       round(anomaly_score, 6) AS anomaly_score, is_anomaly FROM result""")
-    q["relearn_overview"] = with_flows(*adaptive_ctes(), select=f"""SELECT batch_id, phase,
+    for name, rank in (("relearn_overview", 0), ("relearn_decisions", 4)):
+        q[name] = with_flows(*adaptive_ctes(rank=rank), select=f"""SELECT batch_id, phase,
       {_summary(False).replace('AS total_flows', 'AS batch_size')}, round(any_value(threshold), 4) AS threshold,
       CASE batch_id WHEN 1 THEN 'warmup' ELSE 'updated' END AS relearn_status FROM result GROUP BY batch_id, phase""")
-    q["adaptive_overview"] = with_flows(*adaptive_ctes(), select=f"""SELECT {_summary()},
+    for name, rank in (("adaptive_overview", 0), ("adaptive_summary", 4)):
+        q[name] = with_flows(*adaptive_ctes(rank=rank), select=f"""SELECT {_summary()},
       (SELECT protocol FROM result GROUP BY protocol ORDER BY count(*) DESC, protocol LIMIT 1) AS top_protocol,
       1 AS warmup_batches, 5 * ((SELECT count(*) + 2 FROM flows) // 3) AS memory_size, 3 AS adaptive_batches,
       0 AS skipped_relearn_batches, round((SELECT threshold FROM b2thr), 6) AS final_threshold FROM result""")
@@ -521,6 +576,12 @@ def oracle_sql() -> dict[str, str]:
       round(anomaly_score, 6) AS anomaly_score FROM (SELECT *, row_number() OVER (PARTITION BY src_ip, dst_ip, dst_port,
       protocol ORDER BY anomaly_score DESC, flow_id) AS rn FROM result) WHERE rn = 1
       ORDER BY anomaly_score DESC, flow_id LIMIT 5""")
+    columns = ", ".join(f'round({c}, 6) AS {c}' if "AS DOUBLE" in e else f'"{c}"' for c, e in FLOW_EXPRESSIONS.items())
+    q["fit_score_top_hits"] = with_flows(*scored_ctes(rank=4), select=f"""SELECT {columns}, {SERVICE} AS service,
+      round(anomaly_score, 6) AS anomaly_score, is_anomaly, risk_level, traffic_class, array_to_string({_top_three()}, ', ') || ', context='
+      || protocol || '/' || direction || '/port-' || dst_port AS explanation FROM (SELECT *, row_number() OVER (PARTITION BY src_ip, dst_ip,
+      dst_port, protocol ORDER BY anomaly_score DESC, flow_id) AS rn, anomaly_score AS score FROM result) WHERE rn = 1
+      ORDER BY score DESC, flow_id LIMIT 5""")
     q["best_per_signature"] = with_flows(*s, select="""SELECT flow_id, src_ip, dst_port, round(anomaly_score, 6) AS anomaly_score
       FROM (SELECT *, row_number() OVER (PARTITION BY src_ip, dst_port, protocol ORDER BY anomaly_score DESC, flow_id) AS rn
       FROM result) WHERE rn = 1""")

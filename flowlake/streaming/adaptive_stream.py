@@ -22,7 +22,6 @@ def first_deliveries(stream: DataFrame, key: str, remember: str | None = None) -
     by the clock and not by the flows' own times, so that no flow is ever too late; by default keys stay for good.
     Flows without a key all count; each leaves an entry of its own in the state.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     told_apart = stream.withColumn("_unkeyed", F.when(F.col(key).isNull(), F.uuid()))
     if remember is None:
         return told_apart.dropDuplicates([key, "_unkeyed"]).drop("_unkeyed")
@@ -59,9 +58,15 @@ def start_adaptive_stream(stream: DataFrame, root: str, settings: AdaptiveSettin
         learner.checkpoint_epoch(epoch, warm_seen, last)
         drop_scratch(new)
 
-    return (first_deliveries(stream, settings.key, remember).writeStream.foreachBatch(on_batch)
-            .option("checkpointLocation", f"{root}/offsets")
-            .trigger(**(trigger or {"availableNow": True})).start())
+    writer = (first_deliveries(stream, settings.key, remember).writeStream.foreachBatch(on_batch)
+              .option("checkpointLocation", f"{root}/offsets").trigger(**(trigger or {"availableNow": True})))
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, STATE_STORE)  # a query takes the settings that hold when it starts
+    try:
+        return writer.start()
+    finally:
+        conf.set(name, before)
 
 
 def _warmup_slices(learner: AdaptiveLearner, count: int, like: DataFrame | None = None) -> DataFrame:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from flowlake.operators.positions import assign_batches, time_order, with_position
 from flowlake.operators.ranking import benign_reference, best_per_signature, latest_rows, limit_rows, top_hits
 from flowlake.operators.reports import summary_cards, top_hit_rows
+from flowlake.operators import resample
 from flowlake.operators.resample import balanced_resample, label_index, stratified_split
 from flowlake.operators.summary import summarize
 
@@ -91,6 +92,14 @@ def test_draws_are_multinomial(spark):
     assert empty.count() == 0 and empty.columns == ["flow_id", "label", "draw"]
 
 
+def test_split_of_many_classes(spark, monkeypatch):
+    table = spark.createDataFrame([(k, None if k % 5 == 0 else f"c{k % 7}") for k in range(400)], "flow_id long, label string")
+    few = sorted(stratified_split(table, "label", "flow_id").collect())
+    monkeypatch.setattr(resample, "COUNTED_CLASSES", 1)
+    many = stratified_split(table, "label", "flow_id")
+    assert sorted(many.collect()) == few and many.columns == ["flow_id", "label", "is_test"] and 80 <= sum(r.is_test for r in few) <= 88
+
+
 def test_missing_labels_and_empty_tables(spark):
     table = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "flow_id long, label string")
     assert {r.flow_id: r.label_index for r in label_index(table, "label").collect()} == {1: 1, 2: None, 3: 0, 4: 1}
