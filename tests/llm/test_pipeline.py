@@ -1,8 +1,11 @@
+from pathlib import Path
+
 import corpus_pipeline
 from brute_llm import contamination, hard_docs, normalised, roots, sha, similar
 from pyspark.sql import functions as F
 
 from flowlake.llm import language_id
+from flowlake.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,6 +36,24 @@ def test_five_stages_of_the_documents(spark):
     assert all(r.decoded_sha256 == sha(texts[r.doc_id]) and r.n_tokens > 0 for r in found)
 
 
+def test_one_copy_of_the_documents_at_a_time(spark, monkeypatch):
+    """Each stage finds the rows of the one before and nothing else that was written; the last stage's rows are left."""
+    folder = Path(scratch_path(spark, "x")).parent
+    before = set(folder.iterdir()) if folder.exists() else set()
+    seen = []
+
+    def watched(stage):
+        def run(*args):
+            seen.append([p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before] if folder.exists() else [])
+            return stage(*args)
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, watched(stage)) for name, stage in corpus_pipeline.STAGES])
+    corpus_pipeline.run(spark, SF).count()
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert seen == [[], *([name] for name in names[:-1])]
+
+
 def test_hard_rows_and_empty_table_pass_through(spark):
     docs = hard_docs(spark)
     for rows in (docs, docs.filter("false")):
