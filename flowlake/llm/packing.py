@@ -130,11 +130,14 @@ def _pack(make_encoder: Callable, end_id: int, capacity: int):
         def pack(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal number, held, waiting
             rows = [[waiting[k] for k in row] for row in best_fit_decreasing([len(p.ids) for p in waiting], capacity)]
-            done = [r for r in rows if last or sum(len(p.ids) for p in r) >= _FULL * capacity]
-            if not done and rows:  # nothing is nearly full: let them go rather than hold them for ever
-                done, last = rows, True
-            waiting = [] if last else [p for r in rows if sum(len(p.ids) for p in r) < _FULL * capacity for p in r]
-            held = sum(len(p.ids) for p in waiting)
+            done, waiting, held = [], [], 0
+            for row in sorted(rows, key=lambda r: sum(len(p.ids) for p in r)):  # the emptiest wait for more, half a buffer at most
+                size = sum(len(p.ids) for p in row)
+                if last or size >= _FULL * capacity or held + size > BUFFER_IDS // 2:
+                    done.append(row)
+                else:
+                    waiting += row
+                    held += size
             for a in range(0, len(done), 256):
                 yield _written(shard, number, done[a:a + 256], capacity, end_id)
                 number += len(done[a:a + 256])

@@ -83,3 +83,17 @@ def test_documents_come_back(spark, tmp_path):
     assert back == {k: [*encode(t), packing.END_ID] for k, t in texts.items()}
     total = rows.agg({"n_ids": "sum"}).first()[0]
     assert total / (rows.count() * packing.ROW_IDS) > 0.95
+
+
+def test_at_most_half_a_buffer_waits(monkeypatch):
+    """Texts of two thirds of a row fill no row: each packing still hands on half a buffer and more."""
+    monkeypatch.setattr(packing, "BUFFER_IDS", 6400)
+    monkeypatch.setattr(packing.K, "partition", lambda: 0)
+    packings = []
+    pack = packing.best_fit_decreasing
+    monkeypatch.setattr(packing, "best_fit_decreasing", lambda sizes, capacity: packings.append(len(sizes)) or pack(sizes, capacity))
+    texts = [chr(97 + k % 26) * 42 for k in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(2000)), "text": pa.array(texts)})
+    rows = [r for b in packing._pack(lambda: lambda text: list(text.encode()), 0, 64)(iter([batch])) for r in b.to_pylist()]
+    assert sorted(d for r in rows for d in r["doc_ids"]) == list(range(2000))
+    assert sum(packings) < 3 * 2000
