@@ -7,6 +7,9 @@ can start. States
 and transitions are made when first met. Tokens are written once all positions from which a later token can
 start agree on them, which is at most one token length behind the input.
 
+Transitions lie in one flat hash table. Pieces that a run of texts brings and the caches lack step through it together,
+one byte of each at a time; a long piece goes alone.
+
 Decoding lifts the UTF-8 state machine from bytes to tokens: its state is the bytes of an unfinished character.
 
 Edge cases: null texts count as empty and have no tokens; texts are cut only where the pattern cuts them, and a
@@ -20,8 +23,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,10 +34,14 @@ from pyspark.sql import functions as F
 
 from flowlake.llm import kernels as K
 
-#: Entries after which a worker's caches start anew.
+#: Cuts that a worker keeps, half of them those met last, and entries after which its other caches start anew.
 CACHE_PIECES = 400_000
-CACHE_STATES = 1_000_000
+CACHE_STATES = 1 << 18
+#: Bytes of text whose pieces are encoded together; characters of a cut, or bytes of a piece, that is not kept and goes alone.
+RUN_BYTES = 1 << 19
+LONG = 64
 _FLUSH = 4096
+_SPREAD, _WORD = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _NEVER = 1 << 40
 _BYTES = [bytes((value,)) for value in range(256)]
 
@@ -44,7 +53,7 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.growing = {token[:n] for token in ranks for n in range(1, len(token))}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self._reached: dict[int, bool] = {}
         self._edges: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
 
@@ -92,7 +101,8 @@ class Vocabulary:
         Merges run in order of rank, so they do unless two parts that lie at the border at the same time
         merge before either is merged into its own token; of equal ranks the one further left comes first.
         """
-        known = self.pairs.get((left, right))
+        pair = left << 32 | right
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) > CACHE_STATES:
                 self.pairs.clear()
@@ -111,23 +121,76 @@ class Vocabulary:
                     k += 1
                 if i == len(before) or k == len(after):
                     break
-            self.pairs[left, right] = known
+            self.pairs[pair] = known
         return known
 
 
+class Steps:
+    """Target states by (state, byte), in an open hash table of flat arrays."""
+
+    def __init__(self, bits: int = 20):
+        self.shift, self.mask, self.count = 64 - bits, (1 << bits) - 1, 0
+        self.keys = array("q", [-1]) * (1 << bits)
+        self.targets = array("i", [0]) * (1 << bits)
+
+    def _place(self, key: int) -> int:
+        """Where the key is, or else the free place for it."""
+        keys, at = self.keys, (key * _SPREAD & _WORD) >> self.shift
+        while keys[at] != key and keys[at] >= 0:
+            at = (at + 1) & self.mask
+        return at
+
+    def get(self, key: int) -> int:
+        """The target, or -1."""
+        at = self._place(key)
+        return self.targets[at] if self.keys[at] >= 0 else -1
+
+    def put(self, key: int, target: int) -> None:
+        """Add a key that is not there."""
+        if 2 * self.count > self.mask:
+            old = [(k, t) for k, t in zip(self.keys, self.targets) if k >= 0]
+            self.__init__(65 - self.shift)
+            for k, t in old:
+                self.put(k, t)
+        at = self._place(key)
+        self.keys[at], self.targets[at] = key, target
+        self.count += 1
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The targets of many keys, -1 for those that are not there."""
+        keys, targets = np.frombuffer(self.keys, np.int64), np.frombuffer(self.targets, np.int32)
+        at = ((wanted.view(np.uint64) * np.uint64(_SPREAD)) >> np.uint64(self.shift)).view(np.int64)
+        there = keys[at]
+        out = targets[at]
+        open_ = np.flatnonzero(there != wanted)
+        while len(open_):
+            free = there[open_] < 0
+            out[open_[free]] = -1
+            open_ = open_[~free]
+            at[open_] = (at[open_] + 1) & self.mask
+            there[open_] = keys[at[open_]]
+            hit = there[open_] == wanted[open_]
+            out[open_[hit]] = targets[at[open_[hit]]]
+            open_ = open_[~hit]
+        return out
+
+
 class Transducer:
-    """Encodes pieces byte by byte. A state is a row of ``_next``, made when it is first entered."""
+    """Encodes pieces byte by byte. States and their steps are made when they are first entered."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self._length = np.zeros(max(vocabulary.tokens) + 1, np.int64)
+        for token, value in vocabulary.tokens.items():
+            self._length[token] = len(value)
         self._reset()
 
     def _reset(self) -> None:
         # a state's last tokens stand for the positions of its suffix where a token can start, and its end
         self._states = {(b"", (-1,)): 0}
         self._keys = [(b"", (-1,))]
-        self._next: list[dict[int, int]] = [{}]
-        self._token = [-1]
+        self._token = array("i", [-1])
+        self._steps = Steps()
         self._grown: dict[bytes, tuple] = {}
 
     def _starts(self, suffix: bytes) -> list[int]:
@@ -154,7 +217,7 @@ class Transducer:
             before = last[start]
             if before < 0:
                 break
-            fits = vocabulary.pairs.get((before, token))
+            fits = vocabulary.pairs.get(before << 32 | token)
             if vocabulary.fits(before, token) if fits is None else fits:
                 break
         else:
@@ -164,9 +227,8 @@ class Transducer:
         if target is None:
             target = self._states[key] = len(self._keys)
             self._keys.append(key)
-            self._next.append({})
             self._token.append(token)
-        self._next[state][byte] = target
+        self._steps.put(state << 8 | byte, target)
         return target
 
     def encode(self, piece: bytes) -> list[int]:
@@ -174,18 +236,70 @@ class Transducer:
         whole = self.vocabulary.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self._keys) > CACHE_STATES:
-            self._reset()
         out: list[int] = []
         last: list[int] = []  # the last token at each position that is not yet written
-        state, steps, token = 0, self._next, self._token
+        state = 0
         for byte in piece:
-            target = steps[state].get(byte)
-            state = self._enter(state, byte) if target is None else target
-            last.append(token[state])
+            target = self._steps.get(state << 8 | byte)
+            state = self._enter(state, byte) if target < 0 else target
+            last.append(self._token[state])
             if len(last) >= _FLUSH:
                 last = self._write_decided(last, len(self._keys[state][0]), out)
+                if len(self._keys) > 2 * CACHE_STATES:
+                    state = self._restart(state)
         self._write(last, len(last), out)
+        if len(self._keys) > CACHE_STATES:
+            self._reset()
+        return out
+
+    def _restart(self, state: int) -> int:
+        """Forget all states but this one; its new number."""
+        key = self._keys[state]
+        self._reset()
+        if key not in self._states:
+            self._states[key] = len(self._keys)
+            self._keys.append(key)
+            self._token.append(key[1][-1])
+        return self._states[key]
+
+    def encode_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """The token ids of each piece. Short pieces that are no tokens take each step together."""
+        ranks = self.vocabulary.ranks
+        out = [[ranks[p]] if p in ranks else self.encode(p) if len(p) > LONG else [] for p in pieces]
+        at = sorted((k for k, ids in enumerate(out) if not ids and pieces[k]), key=lambda k: -len(pieces[k]))
+        if not at:
+            return out
+        length = np.array([len(pieces[k]) for k in at])
+        data = np.frombuffer(b"".join([pieces[k] for k in at]), np.uint8).astype(np.int64)
+        begin = np.cumsum(length) - length
+        last = np.zeros(len(data), np.int64)  # the last token at each position
+        state, newest = np.zeros(len(at), np.int64), np.zeros(0, np.int64)
+        for k in range(int(length[0])):
+            going = int(np.searchsorted(-length, -k, "left"))  # longer than k
+            place = begin[:going] + k
+            wanted = state[:going] << 8 | data[place]
+            state = self._steps.find(wanted).astype(np.int64)
+            new = np.flatnonzero(state < 0)
+            if len(new):
+                keys, which = np.unique(wanted[new], return_inverse=True)
+                state[new] = np.array([self._enter(x >> 8, x & 255) for x in keys.tolist()])[which]
+            if len(newest) < len(self._keys):
+                newest = np.array(self._token)
+            last[place] = newest[state]
+        starts = np.full(len(data), -1, np.int64)  # the token that starts at a position
+        left, end = np.arange(len(at)), begin + length
+        while len(left):
+            token = last[end - 1]
+            end = end - self._length[token]
+            starts[end] = token
+            more = end > begin[left]
+            left, end = left[more], end[more]
+        ids = starts[starts >= 0].tolist()
+        bounds = np.concatenate([[0], np.cumsum(starts >= 0)[begin + length - 1]]).tolist()
+        for k, low, high in zip(at, bounds, bounds[1:]):
+            out[k] = ids[low:high]
+        if len(self._keys) > CACHE_STATES:
+            self._reset()
         return out
 
     def _write(self, last: list[int], end: int, out: list[int]) -> None:
@@ -272,40 +386,79 @@ class Codec:
     """Encoder and decoder of whole texts with caches.
 
     The pattern never matches across a single space between two other characters, and such a space begins the
-    match that follows. So a text is cut there first, and the ids of a cut are looked up as a whole.
+    match that follows. So a text is cut there first, and the ids of a cut are looked up as a whole. A cut of Latin
+    letters only is one match with its space.
     """
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary = Vocabulary.read(path)
         self.transducer = Transducer(self.vocabulary)
         self.pattern = regex.compile(pattern).findall
-        self._pieces = _Made(lambda piece: ",".join(map(str, self.transducer.encode(piece.encode()))))
-        self._cuts = _Made(lambda cut: self._of_pieces(" " + cut))
+        self._one_match = _LETTERS if r" ?\p{L}+" in pattern.split("|") else _NOTHING
+        self._names = {token: str(token) for token in self.vocabulary.tokens}
+        self._pieces: dict[str, str] = {}
+        self._cuts: dict[str, str] = {}
+        self._aged: dict[str, str] = {}  # cuts met before those
         self.stream = Utf8Stream(self.vocabulary.tokens)
         self._closed: dict[str, str | None] = {}
         for token, value in self.vocabulary.tokens.items():
             text, pending = Utf8Stream.step(b"", value)
             self._closed[str(token)] = text if not pending and text.encode() == value else None
 
-    def _of_pieces(self, text: str) -> str:
-        return ",".join(map(self._pieces.__getitem__, self.pattern(text)))
+    def encode_texts(self, texts: list[str]) -> list[str]:
+        """The ids of each text in decimal, joined by commas."""
+        rows, new, parts = [], set(), {}
+        cached, aged = self._cuts.get, self._aged.get
+        for text in texts:
+            plain = not _UNEVEN(text) and not text[:1].isspace() and not text[-1:].isspace()
+            cuts = text.split(" ") if plain else _SINGLE_SPACE(text)
+            if cuts[0] not in parts:
+                parts[cuts[0]] = self.pattern(cuts[0])  # no space before it
+            row = list(map(cached, cuts))
+            row[0] = None
+            lacking = [(k, cuts[k]) for k, ids in enumerate(row) if ids is None]
+            for _, cut in lacking[1:]:
+                ids = aged(cut)
+                if ids is None:
+                    new.add(cut)
+                else:
+                    self._cuts[cut] = ids
+            rows.append((row, lacking))
+        whole = list(filter(self._one_match, new))
+        others = {cut: self.pattern(" " + cut) for cut in new.difference(whole)}
+        pieces = list({p for found in (parts, others) for many in found.values() for p in many if p not in self._pieces})
+        names = self._names.__getitem__
+        ids = [",".join(map(names, x)) for x in self.transducer.encode_all([*((" " + cut).encode() for cut in whole), *map(str.encode, pieces)])]
+        self._cuts.update(zip(whole, ids))
+        self._pieces.update(zip(pieces, ids[len(whole):]))
+        known = self._pieces.__getitem__
+        for cut, many in others.items():
+            self._cuts[cut] = ",".join(map(known, many))
+        out = []
+        for row, lacking in rows:
+            for k, cut in lacking[1:]:
+                row[k] = self._cuts[cut]
+            row[0] = ",".join(map(known, parts[lacking[0][1]]))
+            out.append(",".join(row))
+        for cache, added in ((self._cuts, new), (self._pieces, pieces)):
+            for key in added:
+                if len(key) > LONG:
+                    del cache[key]
+        if len(self._cuts) > CACHE_PIECES // 2:
+            self._cuts, self._aged = {}, self._cuts
+        if len(self._pieces) > CACHE_PIECES // 4:
+            self._pieces.clear()
+        return out
 
     def encode_text(self, text: str) -> str:
-        """The ids in decimal, joined by commas."""
-        if not text:
-            return ""
-        plain = not _UNEVEN(text) and not text[0].isspace() and not text[-1].isspace()
-        cuts = iter(text.split(" ") if plain else _SINGLE_SPACE(text))
-        first = self._of_pieces(next(cuts))
-        ids = ",".join((first, *map(self._cuts.__getitem__, cuts)))
-        for cache in (self._cuts, self._pieces):
-            if len(cache) > CACHE_PIECES:
-                cache.clear()
-        return ids
+        return self.encode_texts([text])[0]
 
     def encode(self, text: str) -> list[int]:
-        ids = self.encode_text(text)
-        return list(map(int, ids.split(","))) if ids else []
+        return self.ids(self.encode_text(text))
+
+    @staticmethod
+    def ids(names: str) -> list[int]:
+        return list(map(int, names.split(","))) if names else []
 
     def decode_text(self, ids: str) -> str:
         """The text of ids as ``encode_text`` writes them; the state machine runs where a token is not whole characters."""
@@ -332,18 +485,8 @@ class Codec:
 
 _UNEVEN = re.compile(r" \s|\s ").search
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)").split
-
-
-class _Made(dict):
-    """Values that are made when first asked for."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> str:
-        value = self[key] = self.make(key)
-        return value
+_LETTERS = re.compile("[A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+").fullmatch  # all of them letters
+_NOTHING = re.compile(r"(?!)").match
 
 
 _codecs: dict[tuple[str, str], Codec] = K.Cache()
@@ -362,9 +505,9 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text
         own = codec(path, pattern)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
-            for low in range(0, batch.num_rows, 512):
-                ids = pa.array([own.encode(t or "") for t in texts.slice(low, 512).to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(low, 512).columns, ids], [*batch.schema.names, "_ids"])
+            for low, high, _, _ in K.text_slices(texts, RUN_BYTES):
+                ids = pa.array([own.ids(x) for x in own.encode_texts(texts[low:high].fill_null("").to_pylist())], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns, ids], [*batch.schema.names, "_ids"])
     docs = docs.drop("_ids")
     return docs.mapInArrow(run, _fields(docs, "_ids array<int>"))
 
@@ -392,9 +535,8 @@ def digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             counts, encoded, decoded = [], [], []
-            for low in range(0, batch.num_rows, 512):
-                for text in texts.slice(low, 512).to_pylist():
-                    ids = own.encode_text(text or "")
+            for low, high, _, _ in K.text_slices(texts, RUN_BYTES):
+                for ids in own.encode_texts(texts[low:high].fill_null("").to_pylist()):
                     counts.append(ids.count(",") + 1 if ids else 0)
                     encoded.append(hashlib.sha256(ids.encode()).hexdigest())
                     back = own.decode_text(ids)

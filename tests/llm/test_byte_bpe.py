@@ -82,3 +82,38 @@ def test_query(spark, library):
     for r in byte_bpe.query(spark, SF).collect():
         ids = library.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(texts[r.doc_id]))
+
+
+def test_runs_of_texts_with_small_caches(library, monkeypatch):
+    random.seed(8)
+    monkeypatch.setattr(byte_bpe, "CACHE_PIECES", 60)
+    monkeypatch.setattr(byte_bpe, "CACHE_STATES", 150)
+    monkeypatch.setattr(byte_bpe, "LONG", 12)
+    monkeypatch.setattr(byte_bpe, "_FLUSH", 40)
+    own = byte_bpe.Codec(PATH, PATTERN)
+    parts = ["th", "the", "ing", "é", "ß", "日本", " ", " ", " ", "  ", "\n", "23", "***", "'s", "😀", "×", "antidisestablishment", "ab" * 90]
+    for _ in range(150):
+        texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 40))) for _ in range(random.randint(1, 6))]
+        assert [own.ids(x) for x in own.encode_texts(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_long_cuts_do_not_stay_in_memory():
+    own = byte_bpe.Codec(PATH, PATTERN)
+    own.encode("the end " + "ab" * 5000 + " " + "é" * 5000 + " 1" + "2" * 5000 + " of it")
+    assert max(map(len, [*own._cuts, *own._pieces])) < 100
+
+
+def test_frequent_cuts_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHE_PIECES", 20)
+    own = byte_bpe.Codec(PATH, PATTERN)
+    made = []
+    encode_all = own.transducer.encode_all
+    monkeypatch.setattr(own.transducer, "encode_all", lambda pieces: made.extend(pieces) or encode_all(pieces))
+    for k in range(0, 400, 4):
+        own.encode(" ".join(["x", "often", *("ab" * (n % 7 + 1) + chr(97 + n // 26) + chr(97 + n % 26) for n in range(k, k + 4))]))
+    assert made.count(b" often") == 1
+
+
+def test_letters_of_one_match_are_letters():
+    letter = byte_bpe.regex.compile(r"\p{L}").fullmatch
+    assert all(letter(chr(c)) for c in range(0x250) if byte_bpe._LETTERS(chr(c)))
