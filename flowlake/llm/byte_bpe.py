@@ -21,10 +21,12 @@ U+FFFD for each maximal part. Tables may have further columns.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -499,6 +501,18 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """No search for cycles meanwhile: a run makes none, and each search goes through the states and caches."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_ids`` (array of int), in place of a column of that name."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,7 +520,8 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             for low, high, _, _ in K.text_slices(texts, RUN_BYTES):
-                ids = pa.array([own.ids(x) for x in own.encode_texts(texts[low:high].fill_null("").to_pylist())], pa.list_(pa.int32()))
+                with _uncollected():
+                    ids = pa.array([own.ids(x) for x in own.encode_texts(texts[low:high].fill_null("").to_pylist())], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns, ids], [*batch.schema.names, "_ids"])
     docs = docs.drop("_ids")
     return docs.mapInArrow(run, _fields(docs, "_ids array<int>"))
@@ -536,11 +551,12 @@ def digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
             texts = batch.column(batch.schema.get_field_index(text_col))
             counts, encoded, decoded = [], [], []
             for low, high, _, _ in K.text_slices(texts, RUN_BYTES):
-                for ids in own.encode_texts(texts[low:high].fill_null("").to_pylist()):
-                    counts.append(ids.count(",") + 1 if ids else 0)
-                    encoded.append(hashlib.sha256(ids.encode()).hexdigest())
-                    back = own.decode_text(ids)
-                    decoded.append(hashlib.sha256(back.encode()).hexdigest())
+                with _uncollected():
+                    for ids in own.encode_texts(texts[low:high].fill_null("").to_pylist()):
+                        counts.append(ids.count(",") + 1 if ids else 0)
+                        encoded.append(hashlib.sha256(ids.encode()).hexdigest())
+                        back = own.decode_text(ids)
+                        decoded.append(hashlib.sha256(back.encode()).hexdigest())
             columns = {n: c for n, c in zip(batch.schema.names, batch.columns) if n != text_col}
             yield pa.RecordBatch.from_pydict(columns | {
                 "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(encoded, pa.string()),
