@@ -6,7 +6,7 @@ with fewer words has the whole sequence as its one n-gram. Two texts link when `
 1. Equal sets form classes, so copies are never compared. One global order of n-grams puts those that occur in
    most texts first (``FREQUENT`` ones by counted classes of frequency, all others by hash).
 2. Texts that link share an n-gram among the rarest ``n - ceil(num * n / den) + 1`` of each. Texts that share
-   one get the least of them as group. A group of more than ``BLOCK`` texts is cut into bands of set size, so wide that
+   one get the least of them as group. A text leaves a group in which no other has a size that it can link with. A group of more than ``BLOCK`` texts is cut into bands of set size, so wide that
    sets that link lie in one band or in neighbours; a text goes to its own band and, as a guest, to the next one. What
    is left is cut into blocks of about ``BLOCK`` texts and every two blocks of a band meet, so a hot group takes many tasks.
 3. Within two blocks, counts of the n-grams in bins, about sixteen to a bin, bound the difference of two sets from
@@ -448,7 +448,9 @@ def _similar(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[D
               .filter("hot OR least <> most").select(F.expr("CASE WHEN hot THEN token ELSE least END").alias("leader"), "node").distinct())
     groups = cut_lineage(groups, "groups")
     firsts = groups.groupBy("node").agg(F.min("leader").alias("first"))
-    dealt = _dealt(rule, groups.join(classes.select("node", "size", "bins").join(firsts, "node"), "node"), groups.join(classes.select("node", "size"), "node"))
+    near = cut_lineage(_near_sizes(rule, cut_lineage(groups.join(classes.select("node", "size"), "node"), "sized")), "near")
+    wide = classes.select("node", "bins").join(firsts, "node")  # joins the rows that are still there, once they have their places
+    dealt = _dealt(rule, near, near).join(wide, "node").select(*_MEETING, "block", "guest", "node", "size", "first", "bins")
     possible = cut_lineage(dealt.repartition(*_MEETING).sortWithinPartitions(*_MEETING)
                            .mapInArrow(_possible(rule), _fields(*_MEETING, "block", "guest", "node")), "possible")
     members = groups.join(possible.select("node").distinct(), "node")
@@ -469,26 +471,38 @@ def _similar(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[D
     return found, cut_lineage(known, "known", outlives=True)
 
 
+def _near_sizes(rule: Rule, sized: DataFrame) -> DataFrame:
+    """The rows of ``sized`` (leader, node, size) whose leader has another row of a size that can link with theirs."""
+    sizes = sized.groupBy("leader", "size").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("leader").orderBy("size")  # a row for each size, however many texts have it
+    before, after = F.lag("size").over(order), F.lead("size").over(order)
+    near = (F.col("n") > 1) | F.coalesce(rule.den * before >= rule.num * F.col("size"), F.lit(False)) | F.coalesce(
+        rule.den * F.col("size") >= rule.num * after, F.lit(False))
+    return sized.join(sizes.withColumn("near", near).filter("near").select("leader", "size"), ["leader", "size"])
+
+
+def _placed(rule: Rule, sized: DataFrame) -> DataFrame:
+    """For each leader and set size the bands that its sets go to, as guests or not, and the bands' numbers of blocks."""
+    by_size = sized.groupBy("leader", "size").agg(F.count(F.lit(1)).alias("n"))
+    by_size = by_size.withColumn("all", F.sum("n").over(Window.partitionBy("leader")))
+    own = rule.band(F.col("size"))
+    whole = F.array(F.struct(F.lit(-1).alias("band"), F.lit(False).alias("guest")))
+    banded = F.array(F.struct(own.alias("band"), F.lit(False).alias("guest")), F.struct((own + 1).alias("band"), F.lit(True).alias("guest")))
+    placed = by_size.withColumn("role", F.explode(F.when(F.col("all") <= BLOCK, whole).otherwise(banded))).select("leader", "size", "n", "role.band", "role.guest")
+    blocks = F.ceil(F.sum("n").over(Window.partitionBy("leader", "band")) / BLOCK).cast("int")
+    return placed.withColumn("blocks", blocks).drop("n")
+
+
 def _dealt(rule: Rule, rows: DataFrame, narrow: DataFrame) -> DataFrame:
     """``rows`` (leader, node, size, ..) for each two blocks that they are part of: ``_MEETING``, own block, guest or not.
 
     ``narrow`` has leader, node and size of the same rows, for counting.
     """
-    banded = narrow.groupBy("leader", rule.band(F.col("size")).alias("own")).agg(F.count(F.lit(1)).alias("n"))
-    banded = cut_lineage(banded.withColumn("all", F.sum("n").over(Window.partitionBy("leader"))), "banded")  # few bands a leader
-    places = banded.select("leader", "all", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("band"), "n")
-    large = places.filter(F.col("all") > BLOCK).groupBy("leader", "band").agg(F.sum("n").alias("n"))
-    small = banded.filter(F.col("all") <= BLOCK).select("leader").distinct().select("leader", F.lit(-1).alias("band"), F.lit(1).cast("long").alias("n"))
-    blocks = large.unionByName(small).select("leader", "band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own = rule.band(F.col("size"))
-    # a leader that is not cut has band -1 alone, so only one of the three places below is there
-    roles = F.explode(F.array(F.struct(F.lit(-1).alias("band"), F.lit(False).alias("guest")), F.struct(own.alias("band"), F.lit(False).alias("guest")),
-                              F.struct((own + 1).alias("band"), F.lit(True).alias("guest"))))
-    placed = rows.withColumn("role", roles).withColumns({"band": F.col("role.band"), "guest": F.col("role.guest")}).join(blocks, ["leader", "band"])
+    placed = rows.join(cut_lineage(_placed(rule, narrow), "placed"), ["leader", "size"])
     return (placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("leader", "band", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"),
-                    "block", "guest", "node", "size", "first", "bins"))
+                    "block", "guest", *[c for c in rows.columns if c != "leader"]))
 
 
 def without_near_copies(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

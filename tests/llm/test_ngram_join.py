@@ -96,3 +96,9 @@ def test_bands_part_no_pair():
         band = np.floor(np.log(sizes) / width)
         largest = np.minimum(rule.den * sizes // rule.num, 2999)
         assert (band[largest - 1] - band <= 1).all()
+
+
+def test_texts_leave_groups_without_a_size_to_link_with(spark):
+    sizes = [(1, 1, 100), (1, 2, 91), (1, 3, 50), (1, 4, 30), (1, 5, 30), (2, 6, 40), (2, 7, 80), (3, 8, 90), (3, 9, 100), (3, 10, 112), (4, 11, 9)]
+    rows = spark.createDataFrame(sizes, "leader long, node long, size long")
+    assert {(r.leader, r.node) for r in ngram_join._near_sizes(Rule(), rows).collect()} == {(1, 1), (1, 2), (1, 4), (1, 5), (3, 8), (3, 9)}
