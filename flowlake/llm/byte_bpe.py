@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from flowlake.llm import kernels as K
 
-#: Cuts that a worker keeps, half of them those met last, and entries after which its other caches start anew.
+#: Cuts that a task keeps, half of them those met last, and entries after which its other caches start anew.
 CACHE_PIECES = 400_000
 CACHE_STATES = 1 << 18
 #: Bytes of text whose pieces are encoded together; characters of a cut, or bytes of a piece, that is not kept and goes alone.
@@ -495,7 +495,7 @@ _codecs: dict[tuple[str, str], Codec] = K.Cache()
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """This worker's codec; its states and caches last as long as the worker."""
+    """This task's codec; its states and caches last as long as the task."""
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(path, pattern)
     return _codecs[path, pattern]
@@ -524,7 +524,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text
                     ids = pa.array([own.ids(x) for x in own.encode_texts(texts[low:high].fill_null("").to_pylist())], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns, ids], [*batch.schema.names, "_ids"])
     docs = docs.drop("_ids")
-    return docs.mapInArrow(run, _fields(docs, "_ids array<int>"))
+    return docs.mapInArrow(K.releasing(run, _codecs), _fields(docs, "_ids array<int>"))
 
 
 def decode_ids(df: DataFrame, path: str, pattern: str, ids_col: str = "_ids") -> DataFrame:
@@ -537,7 +537,7 @@ def decode_ids(df: DataFrame, path: str, pattern: str, ids_col: str = "_ids") ->
                 texts = pa.array([own.decode(x or ()) for x in ids.slice(low, 512).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.slice(low, 512).columns, texts], [*batch.schema.names, "_decoded"])
     df = df.drop("_decoded")
-    return df.mapInArrow(run, _fields(df, "_decoded string"))
+    return df.mapInArrow(K.releasing(run, _codecs), _fields(df, "_decoded string"))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -562,7 +562,7 @@ def digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
                 "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(encoded, pa.string()),
                 "decoded_sha256": pa.array(decoded, pa.string())})
     docs = docs.drop(*({"n_tokens", "ids_sha256", "decoded_sha256"} - {text_col}))
-    return docs.mapInArrow(run, _fields(docs.drop(text_col), "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return docs.mapInArrow(K.releasing(run, _codecs), _fields(docs.drop(text_col), "n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def _fields(df: DataFrame, more: str) -> str:

@@ -150,7 +150,7 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
         if done:
             found = cut_lineage(found, "spans")
         known = spark.sparkContext.broadcast(WindowSet([(r.item, bytes(r.text)) for r in items], width))
-        found = found.mapInArrow(_scan(known, text_col, done > 0), fields)
+        found = found.mapInArrow(K.releasing(_scan(known, text_col, done > 0)), fields)
     return found
 
 

@@ -7,7 +7,7 @@ of a table share one with a chance of about (distinct words)^2 / 2^65.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -30,6 +30,22 @@ class Cache(dict):
 
 _powers: dict[str, np.ndarray] = Cache()
 
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *caches: Cache):
+    """``run``, which empties these caches and those of this module at its end.
+
+    As functions travel by value, each task fills caches of its own. They hang on globals that refer to themselves, so
+    without this they would stay in the worker until Python looks for cycles, beside those of the tasks that follow.
+    """
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for cache in (_powers, *caches):
+                cache.clear()
+    return task
+
+
 #: Byte tables: what belongs to a word, and A-Z lower-cased.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

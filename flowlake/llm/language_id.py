@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from flowlake.llm import kernels as K
 
 BUCKETS = 1 << 18
+#: Bytes of text that are worked on together: letters and words take some fifty times their bytes meanwhile.
+SLICE_BYTES = 1 << 18
 #: What a change of language costs, in nats.
 SWITCH = 14.0
 #: A language is a candidate for a script that has at least this share of its training letters.
@@ -113,7 +115,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch.column(0).to_pylist()
-        for low, high, data, offsets in K.text_slices(batch.column(1)):
+        for low, high, data, offsets in K.text_slices(batch.column(1), SLICE_BYTES):
             found = letter_words(data, offsets)
             names, code = np.unique(np.array(langs[low:high], object).astype(str), return_inverse=True)
             word_lang = code[found.row]
@@ -141,7 +143,7 @@ def fit(training: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
     """Count the letter statistics of all rows that have a language."""
     rows = training.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counted = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(K.releasing(_count, _tables), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # at most a row per language and bucket
     table = counted.toPandas()
     languages = sorted(table["lang"].unique())
@@ -216,7 +218,7 @@ def _predict(shared, text_col: str, with_spans: bool):
         for batch in batches:
             n = batch.num_rows
             best, share, spans = np.full(n, -1), np.zeros(n), [[] for _ in range(n)]
-            for low, high, data, offsets in K.text_slices(batch.column(batch.schema.get_field_index(text_col))):
+            for low, high, data, offsets in K.text_slices(batch.column(batch.schema.get_field_index(text_col)), SLICE_BYTES):
                 found = letter_words(data, offsets)
                 if not len(found.row) or not model.languages:
                     continue
@@ -247,7 +249,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", with_
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in _ADDED] + ["_lang string", "_score double"]
     fields += ["_lang_spans array<struct<lang:string,first:long,last:long>>"] * with_spans
-    return docs.mapInArrow(_predict(shared, text_col, with_spans), ", ".join(fields))
+    return docs.mapInArrow(K.releasing(_predict(shared, text_col, with_spans), _tables), ", ".join(fields))
 
 
 def remainder(id_col: str, modulus: int) -> Column:

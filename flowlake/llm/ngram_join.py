@@ -431,7 +431,7 @@ def _similar(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[D
     spark = docs.sparkSession
     text = docs.select(F.col(text_col).alias("text"))
     counted = cut_lineage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-                          .mapInArrow(_count(rule), _fields("doc_id", "node", "size", "bins", "token", "n")), "sets")
+                          .mapInArrow(K.releasing(_count(rule)), _fields("doc_id", "node", "size", "bins", "token", "n")), "sets")
     named = counted.filter("token IS NULL")
     classes = cut_lineage(named.filter("size > 0").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bins").alias("bins")), "classes")
@@ -441,7 +441,7 @@ def _similar(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[D
     drop_scratch(counted)
     shared = spark.sparkContext.broadcast(order)
 
-    rows = text.mapInArrow(_prefixes(rule, shared, hot), _fields("token", "node", "hot"))
+    rows = text.mapInArrow(K.releasing(_prefixes(rule, shared, hot)), _fields("token", "node", "hot"))
     rows = rows.withColumn("_salt", F.when(F.col("hot"), F.pmod("node", F.lit(1024))).otherwise(0))
     same = Window.partitionBy("token", "_salt")
     groups = (rows.withColumn("least", F.min("node").over(same)).withColumn("most", F.max("node").over(same))
@@ -456,7 +456,7 @@ def _similar(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[D
     members = groups.join(possible.select("node").distinct(), "node")
     leaders = members.groupBy("node").agg(F.collect_set("leader").alias("leaders"))  # at most a prefix long
     shared = spark.sparkContext.broadcast(_bitmap(possible.select("node")))
-    sets = text.mapInArrow(_sets(rule, shared), _fields("node", "ngrams")).join(leaders, "node").dropDuplicates(["node"])
+    sets = text.mapInArrow(K.releasing(_sets(rule, shared)), _fields("node", "ngrams")).join(leaders, "node").dropDuplicates(["node"])
     met = (possible.join(sets.join(classes.select("node", "copies"), "node"), "node")
            .repartition(*_MEETING).sortWithinPartitions(*_MEETING)
            .mapInArrow(_linked(rule), _fields("node", "root", "links")))

@@ -1,10 +1,14 @@
 import base64
+import gc
+import pickle
 import random
 
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
 from brute_llm import HARD, hard_docs, sha
+from pyspark import cloudpickle
 
 from flowlake.llm import byte_bpe
 
@@ -117,3 +121,22 @@ def test_frequent_cuts_are_encoded_once(monkeypatch):
 def test_letters_of_one_match_are_letters():
     letter = byte_bpe.regex.compile(r"\p{L}").fullmatch
     assert all(letter(chr(c)) for c in range(0x250) if byte_bpe._LETTERS(chr(c)))
+
+
+def test_codecs_end_with_their_tasks(spark, monkeypatch):
+    """Functions travel by value, so each task makes a codec; none may wait for the search for cycles."""
+    docs = hard_docs(spark)
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, fields: run)
+    travelling = cloudpickle.dumps(byte_bpe.digests(docs, PATH, PATTERN))
+    batch = pa.RecordBatch.from_pydict({"text": ["the end of it"]})
+
+    def alive():
+        return sum(type(x).__name__ == "Codec" for x in gc.get_objects())
+    gc.disable()
+    try:
+        before = alive()
+        for _ in range(2):
+            assert [b.column(0).to_pylist() for b in pickle.loads(travelling)(iter([batch]))] == [[4]]
+        assert alive() == before
+    finally:
+        gc.enable()

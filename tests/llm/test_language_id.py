@@ -1,8 +1,10 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from brute_llm import hard_docs
 
 from flowlake.llm import kernels as K
@@ -72,3 +74,16 @@ def test_mixed_scripts_hard_rows_and_empty_tables(spark):
     assert language_id.predict(hard_docs(spark, []), model).count() == 0
     nothing = language_id.fit(train.filter("false"))
     assert {r._lang for r in language_id.predict(hard_docs(spark), nothing).collect()} == {"und"}
+
+
+def test_memory_does_not_follow_the_batch():
+    language_id.letter_words(np.frombuffer(b"one", np.uint8), np.array([0, 3]))
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 2000, "text": ["the cat and the dog are here with us " * 50] * 2000})
+    tracemalloc.start()
+    try:
+        counted = list(language_id._count(iter([batch])))
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
+    letters = sum(b.column(2).filter(pa.compute.less(b.column(1), language_id.BUCKETS)).to_numpy().sum() for b in counted)
+    assert letters == 2000 * 50 * 28
