@@ -58,8 +58,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/flowlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, name: str, partition_by: list[str] | None = None, outlives: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def cut_lineage(df: DataFrame, name: str, partition_by: list[str] | None = None, outlives: bool = False,
+                per_file: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, at most ``per_file`` rows a file, and read it back.
 
     The written table survives the loss of any executor and gives later jobs
     a plain columnar scan with pruning instead of a replay of the whole plan.
@@ -73,6 +74,8 @@ def cut_lineage(df: DataFrame, name: str, partition_by: list[str] | None = None,
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if per_file:
+        writer = writer.option("maxRecordsPerFile", per_file)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
