@@ -2,8 +2,10 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowlake.operators import knn, tiles
+from flowlake.operators.evaluate import confusion_matrix
 
 
 def spread_out(spark, n, width=24, seed=3, copies=0, extra=()):
@@ -67,3 +69,14 @@ def test_shares_of_votes_are_whole_by_tiles(spark, strict):
     near = [knn.predict_proba(found_by(table, 7, broadcast_bytes=b), ["c0", "c1", "c2"]) for b in (1 << 30, 0)]
     one, other = (sorted(map(tuple, n.collect())) for n in near)
     assert one == other and len(one) == 125 * 3
+
+
+def judged(table, broadcast_bytes):
+    truth = table.select(F.col("vec_id").alias("id"), F.col("label").alias("truth"))
+    return confusion_matrix(knn.predict(found_by(table, 7, broadcast_bytes=broadcast_bytes)).join(truth, "id"))
+
+
+def test_confusion_counts_every_test_row_by_tiles(spark, strict):
+    points, table = spread_out(spark, 600, copies=200)
+    one, other = (sorted(map(tuple, judged(table, b).collect())) for b in (1 << 30, 0))
+    assert one == other and sum(n for *_, n in one) == 150
