@@ -64,6 +64,13 @@ def test_votes_of_far_vectors_meet_tile_by_tile(spark, strict):
         assert {r.id: [n.id for n in r.neighbours] for r in found.collect()} == brute_neighbours(points, ids[ids % 4 == 0], ids[ids % 4 != 0], k)
 
 
+def test_rows_that_share_an_id_stay_rows(spark, strict):
+    points, table = spread_out(spark, 400)
+    twice = table.unionByName(table.filter("vec_id < 40"))
+    by_broadcast, by_tiles = (sorted((r.id, [(n.id, n.label) for n in r.neighbours]) for r in found_by(twice, 5, broadcast_bytes=b).collect()) for b in (1 << 30, 0))
+    assert by_tiles == by_broadcast and len(by_tiles) == 110
+
+
 def test_shares_of_votes_are_whole_by_tiles(spark, strict):
     points, table = spread_out(spark, 500)
     near = [knn.predict_proba(found_by(table, 7, broadcast_bytes=b), ["c0", "c1", "c2"]) for b in (1 << 30, 0)]
