@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlake.operators import knn, tiles
-from flowlake.operators.evaluate import confusion_matrix
+from flowlake.operators.evaluate import classification_report, confusion_matrix
 
 
 def spread_out(spark, n, width=24, seed=3, copies=0, extra=()):
@@ -87,3 +87,9 @@ def test_confusion_counts_every_test_row_by_tiles(spark, strict):
     points, table = spread_out(spark, 600, copies=200)
     one, other = (sorted(map(tuple, judged(table, b).collect())) for b in (1 << 30, 0))
     assert one == other and sum(n for *_, n in one) == 150
+
+
+def test_report_is_the_same_by_tiles(spark, strict):
+    points, table = spread_out(spark, 600, seed=4)
+    one, other = (sorted(map(tuple, classification_report(judged(table, b)).collect())) for b in (1 << 30, 0))
+    assert one == other and len(one) == 6
