@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, norm, vector_sum
 from ..schema import TARGET_ACCURACY, TARGET_INTER, TARGET_INTRA
 from ..session import cut_lineage
-from .knn import PivotIndex
+from .knn import PivotIndex, pivots_pay
 from .params import small_or_written
+from .tiles import pairs
 
 #: Probe vectors of one broadcast.
 PROBE_BYTES = 32 << 20
@@ -71,11 +72,15 @@ def cosine_join(df: DataFrame, threshold: float, key: str = "vec_id", vector: st
     """(id, other, cosine) of all pairs of rows with a cosine of at least ``threshold``, the smaller id first.
 
     Rows are laid out by pivots (:class:`~flowlake.operators.knn.PivotIndex`); a row meets only those blocks that the
-    triangle inequality does not put farther away than the threshold. Ids are unique.
+    triangle inequality does not put farther away than the threshold. Where it would leave out too little, every two blocks
+    meet tile by tile (:mod:`~flowlake.operators.tiles`). Ids are unique.
     """
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.lit(None).cast("string").alias("label"))
-    index = PivotIndex.of(rows, rows.count(), block)
-    return index.within(rows.select("id", "v"), 1.0 - threshold)
+    count, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    given = rows.select("id", "v")
+    if block or pivots_pay(given, count, rows, count, distance=1.0 - threshold):
+        return PivotIndex.of(rows, count, block).within(given, 1.0 - threshold)
+    return pairs(given, 1.0 - threshold, count, width)
 
 
 def cosine_to(df: DataFrame, probes: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -219,3 +219,21 @@ def nearest(test: DataFrame, train: DataFrame, k: int, tests: int, trains: int,
 
     met = _met(left, right, trains, width).mapInArrow(search, f"block long, place int, id long, neighbours {NEIGHBOURS}")
     return met.groupBy("block", "place").agg(F.first("id").alias("id"), F.slice(F.sort_array(F.flatten(F.collect_list("neighbours"))), 1, k).alias("neighbours")).drop("block", "place")
+
+
+def pairs(df: DataFrame, distance: float, rows: int, width: int) -> DataFrame:
+    """(id, other, cosine) of all pairs of rows (id, v) at most ``distance`` away, the smaller id first; rows of one id are no pair."""
+    kind = _kind(df)
+    left = _blocks(df.withColumn("label", F.lit(None).cast("string")), rows, width, "blocks").drop("labels")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, vectors, other, others, other_vectors, _ in _pairs_of_blocks(batches, (kind, kind)):
+            # each two blocks meet once, half of them as smaller and larger
+            if block != other and (block < other) != ((block + other) % 2 == 0):
+                continue
+            for row, col, cosine in close(vectors, other_vectors, distance):
+                keep = (ids[row] != others[col]) & ((row < col) | (block != other))
+                a, b = ids[row[keep]], others[col[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.minimum(a, b), np.maximum(a, b), cosine[keep])], names=["id", "other", "cosine"])
+
+    return _met(left, left, rows, width).mapInArrow(search, "id long, other long, cosine double")

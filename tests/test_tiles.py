@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowlake.operators import knn, tiles
+from flowlake.operators import knn, similarity, tiles
 from flowlake.operators.evaluate import classification_report, confusion_matrix
 
 
@@ -93,3 +93,23 @@ def test_report_is_the_same_by_tiles(spark, strict):
     points, table = spread_out(spark, 600, seed=4)
     one, other = (sorted(map(tuple, classification_report(judged(table, b)).collect())) for b in (1 << 30, 0))
     assert one == other and len(one) == 6
+
+
+def test_pairs_of_far_vectors_meet_tile_by_tile(spark, strict):
+    points, table = spread_out(spark, 700, copies=100, extra=[np.zeros((3, 24))])
+    repeated = table.unionByName(table.filter("vec_id < 20"))
+    unit = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-8)
+    cosine = unit @ unit.T
+    times = np.where(np.arange(len(points)) < 20, 2, 1)
+    want = sorted((int(i), int(j)) for i, j in zip(*np.nonzero(cosine >= 0.35)) if i < j for _ in range(times[i] * times[j]))
+    joined = similarity.cosine_join(repeated, 0.35)
+    assert "CartesianProduct" in joined._jdf.queryExecution().executedPlan().toString()
+    found = joined.collect()
+    assert sorted((r.id, r.other) for r in found) == want
+    assert all(abs(r.cosine - cosine[r.id, r.other]) < 1e-9 for r in found)
+
+
+def test_pairs_of_a_common_vector_come_in_bounded_batches():
+    same = tiles.unit(np.ones(3000 * 8), 3000)
+    sizes = [len(row) for row, _, _ in tiles.close(same, same, 0.5)]
+    assert sum(sizes) == 9_000_000 and max(sizes) <= tiles._PAIRS
