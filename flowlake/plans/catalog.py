@@ -802,7 +802,7 @@ def cosine_join(spark, sf_dir):
 
 @query
 def knn_pivots(spark, sf_dir):
-    """The votes of nearest neighbours that are found by pivots instead of a broadcast."""
+    """The votes of nearest neighbours that are found without a broadcast: by pivots, or tile by tile if those leave out too little."""
     split = _split(spark, sf_dir)
     return knn.predict(knn.nearest_neighbours(split.filter("is_test"), split.filter("NOT is_test"), broadcast_bytes=0))
 

@@ -95,6 +95,30 @@ def test_report_is_the_same_by_tiles(spark, strict):
     assert one == other and len(one) == 6
 
 
+def test_near_vectors_are_still_found_by_pivots(spark, strict):
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(60, 12))[rng.integers(0, 60, 3000)] + 0.02 * rng.normal(size=(3000, 12))
+    table = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(points)], "vec_id long, embedding array<double>, label string")
+    found = found_by(table, 5, broadcast_bytes=0)
+    assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
+    ids = np.arange(3000)
+    assert {r.id: {n.id for n in r.neighbours} for r in found.collect()} == {
+        i: set(n) for i, n in brute_neighbours(points, ids[ids % 4 == 0], ids[ids % 4 != 0], 5).items()}
+
+
+def test_meetings_leave_a_task_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(knn, "_BATCH", 50)
+    points, table = spread_out(spark, 1000)
+    known = table.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    index = knn.PivotIndex.of(known, 1000, 30)
+    sent = []
+    monkeypatch.setattr(type(known), "mapInArrow", lambda self, look, schema: sent.append(look))
+    index.to_meet(known.select("id", "v").withColumn("bound", F.lit(2.0)))
+    given = knn.pa.RecordBatch.from_pydict({"id": list(range(1000)), "v": points.tolist(), "bound": [2.0] * 1000})
+    batches = [b.num_rows for b in sent[0](iter([given]))]
+    assert sum(batches) == 1000 * index.blocks.shape[0] and max(batches) <= 50
+
+
 def test_pairs_of_far_vectors_meet_tile_by_tile(spark, strict):
     points, table = spread_out(spark, 700, copies=100, extra=[np.zeros((3, 24))])
     repeated = table.unionByName(table.filter("vec_id < 20"))
